@@ -74,7 +74,7 @@ ROLL = 0x9E3779B97F4A7C15
 UNROLL = pow(ROLL, -1, 1 << 64)
 
 
-@lru_cache(2)
+@lru_cache(64)
 def _powers(base: int, size: int) -> np.ndarray:
     out = np.full(size, base, np.uint64)
     out[0] = 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, langid, simhash, toxicity
+from . import ann, chat, common, langid, simhash, substring, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +61,19 @@ def op3_toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op6_substring_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest_repeats(substring.find_repeats(_read(spark, sf_dir, "documents")))
+
+
 def op7_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op9_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
