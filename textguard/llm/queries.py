@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, common, langid, simhash, substring, toxicity
+from . import ann, chat, common, fertility, langid, licenses, mixing, packing, simhash, substring, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,15 @@ def op3_toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op4_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, common.word_count(F.col("text")))
+
+
 def op6_substring_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest_repeats(substring.find_repeats(_read(spark, sf_dir, "documents")))
 
@@ -70,13 +79,27 @@ def op7_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op8_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return docs.select("doc_id", fertility.fertility(F.col("text")).alias("q")).select("doc_id", "q.*")
+
+
 def op9_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_mix_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.mix(_read(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", "mix.source", "mix.lang", "mix.topic", "mix.n_tokens", F.round("mix.probability", 6).alias("probability"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_prefix_targets": OP1_SQL}
+    return {
+        "op1_chat_prefix_targets": OP1_SQL,
+        "op4_license_dice": licenses.oracle_sql(),
+        "op10_mix_raking": mixing.oracle_sql(),
+    }
