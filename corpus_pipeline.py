@@ -1,13 +1,68 @@
-"""A corpus pipeline out of the operators in textguard.llm."""
+"""A corpus pipeline out of the operators in textguard.llm.
+
+documents -> language ID -> SimHash near-dedup -> substring dedup -> mixing -> best-fit packing.
+Every stage takes (spark, docs, sf_dir) and works on all documents that the one before kept; all
+but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textguard.llm import common, langid, mixing, packing, simhash, substring
+
+#: A document is rejected by language ID below this likeness to its best profile.
+LEAST_LIKENESS = 0.2
+
+#: Fingerprints, anchors and fitted profiles have no equivalent in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that are like one of the languages learned from the labelled rows; texts that are null or have no letter go."""
+    profiles = langid.fit_profiles(docs)
+    guess = common.fresh_name(docs, "guess")
+    judged = docs.withColumn(guess, langid.predict_language(F.col("text"), profiles))
+    return judged.where((F.col(f"{guess}.lang_pred") != langid.UNKNOWN) & (F.col(f"{guess}.score") >= LEAST_LIKENESS)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each SimHash component; rows without an id stay."""
+    groups = simhash.near_duplicates(docs)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of 50 words that a document with a smaller id has too; n_chars follows the text."""
+    cut = substring.remove_repeats(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draw documents so that sources, languages and topics meet their targets."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the documents, measured in words, into training sequences."""
+    return packing.pack_documents(docs, common.word_count(F.col("text")))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeated_passages),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; what a stage kept is stored once and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

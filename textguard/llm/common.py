@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -37,11 +38,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder is the session's spark.checkpoint.dir; only where that is unset (tests, a
     laptop) a temporary one is made.
     """
+    shared_folder(df)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(df: DataFrame) -> str:
+    """The session's checkpoint folder, set up if need be."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it again: for wide tables."""
+    path = f"{shared_folder(df)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fresh_name(df: DataFrame, wanted: str) -> str:

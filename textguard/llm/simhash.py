@@ -18,7 +18,6 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np

@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, checkpointed, rolling, words_of
@@ -78,9 +78,9 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Repeats:
-    """profile: row_key, doc_id, n_words, whole (SHA-256 of the words) for each row of the input;
-    copies: (row_key) whose words all stand in a smaller document; marked: (row_key, text) with
-    seeds; removed: (row_key, removed: hashes of passages to take out)."""
+    """profile: doc_id, h (hash of the text), n_words, whole (SHA-256 of the words) for each row;
+    copies: doc_id and h of rows whose words all stand in a smaller document; marked: doc_id, h and
+    raw text of rows with seeds; removed: doc_id and the hashes of the passages to take out."""
 
     profile: DataFrame
     copies: DataFrame
@@ -90,11 +90,6 @@ class Repeats:
     gram: int
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """Key of a row: rows with equal id and text are treated alike."""
-    return F.struct(doc_id.alias("id"), F.xxhash64(text).alias("h"))
-
-
 def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 50, gram: int = 16) -> Repeats:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     keyed = rows.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("raw"))
@@ -122,8 +117,9 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     copies = settled.where("doc_id > first_id").select("doc_id", "h")
     seeds = settled.where("doc_id = first_id").select("doc_id", "h", "whole", F.explode("anchors").alias("anchor"))
     shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
-    marks = seeds.join(shared.select("anchor"), "anchor").groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("seeds"))
-    marked = checkpointed(keyed.join(marks, ["doc_id", "h"]))
+    # whether a passage goes depends on its document's id alone, so rows of equal id can share marks
+    marks = seeds.join(shared.select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("seeds"))
+    marked = checkpointed(keyed.join(marks, "doc_id"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(length, gram)
@@ -139,14 +135,14 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
                 sizes.append(len(found))
             spread = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*anchors, np.empty(0, np.int64)])), pa.array(np.concatenate([*hashes, np.empty(0, np.int64)])), batch.column("doc_id").take(spread), batch.column("h").take(spread)],
-                names=["anchor", "passage", "doc_id", "h"],
+                [pa.array(np.concatenate([*anchors, np.empty(0, np.int64)])), pa.array(np.concatenate([*hashes, np.empty(0, np.int64)])), batch.column("doc_id").take(spread)],
+                names=["anchor", "passage", "doc_id"],
             )
 
-    passages = marked.mapInArrow(extend, f"anchor long, passage long, doc_id {id_type}, h long")
+    passages = marked.mapInArrow(extend, f"anchor long, passage long, doc_id {id_type}")
     least = passages.groupBy("anchor", "passage").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
     repeated = passages.join(least.select("anchor", "passage", "low"), ["anchor", "passage"]).where("doc_id > low")
-    removed = repeated.groupBy("doc_id", "h").agg(F.collect_set("passage").alias("removed"))
+    removed = repeated.groupBy("doc_id").agg(F.collect_set("passage").alias("removed"))
     return Repeats(profile, copies, marked.select("doc_id", "h", "raw"), removed, length, gram)
 
 
@@ -157,7 +153,7 @@ def digest_repeats(found: Repeats) -> DataFrame:
     words go.
     """
     length, gram = found.length, found.gram
-    cut = found.marked.join(found.removed, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    cut = found.marked.join(found.removed, "doc_id").dropDuplicates(["doc_id", "h"])
 
     @F.pandas_udf("n_removed long, kept string")
     def cut_out(raws: pd.Series, removed: pd.Series) -> pd.DataFrame:
@@ -169,7 +165,7 @@ def digest_repeats(found: Repeats) -> DataFrame:
             out.append((int(covered.sum()), hashlib.sha256(kept).hexdigest()))
         return pd.DataFrame(out, columns=["n_removed", "kept"])
 
-    changed = cut.select("doc_id", "h", cut_out("raw", "removed").alias("c")).select("doc_id", "h", "c.n_removed", "c.kept")
+    changed = cut.join(found.copies, ["doc_id", "h"], "left_anti").select("doc_id", "h", cut_out("raw", "removed").alias("c")).select("doc_id", "h", "c.n_removed", "c.kept")
     gone = found.copies.distinct().select("doc_id", "h", F.lit(-1).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept"))
     return found.profile.join(changed.unionByName(gone), ["doc_id", "h"], "left").select(
         "doc_id",
@@ -186,7 +182,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     found = find_repeats(docs, text, doc_id, length, gram)
     gone = found.copies.distinct().withColumn("all_gone", F.lit(True)).withColumn("removed", F.lit(None).cast("array<long>"))
-    marks = found.removed.withColumn("all_gone", F.lit(False)).unionByName(gone)
+    marks = found.marked.select("doc_id", "h").distinct().join(found.removed, "doc_id").join(gone, ["doc_id", "h"], "left_anti").withColumn("all_gone", F.lit(False)).unionByName(gone)
     marks = marks.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "all_gone", "removed")
 
     @F.pandas_udf("string")
