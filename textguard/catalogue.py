@@ -1,11 +1,208 @@
-"""Registered queries of the screening engine and their SQL."""
+"""Registered queries of the screening engine and their SQL.
+
+Every query reads the given tables; rows that exercise rules which the tables lack are unioned in.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import policy, reports, scan
+from .plans import rules as R
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with the planted rows."""
+    planted = spark.createDataFrame([(i, t, "en", "planted") for i, t in R.PLANTED], "doc_id long, text string, lang string, source string")
+    return _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").unionByName(planted)
+
+
+def _findings(docs: DataFrame) -> DataFrame:
+    """Long table of findings after suppression."""
+    found = scan.scan(docs).select("doc_id", "lang", "source", F.explode("findings").alias("f"))
+    return found.select("doc_id", "lang", "source", "f.id", "f.category", "f.severity", "f.layer", scan.rank_of(F.col("f.severity")).alias("rank"))
+
+
+def _q(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_DOCS = "docs AS (SELECT doc_id, text, lang, source FROM documents UNION ALL " + " UNION ALL ".join(f"SELECT {i}, {_q(t)}, 'en', 'planted'" for i, t in R.PLANTED) + ")"
+_RULES = "rules(id, category, severity, pattern, layer) AS (VALUES " + ", ".join(f"({_q(r.id)}, {_q(r.category)}, {_q(r.severity)}, {_q(r.pattern)}, {_q(r.layer)})" for r in R.RULES) + ")"
+_RANK = "CASE {} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in R.SEVERITIES.items()) + " ELSE 0 END"
+_NEGATED = " OR ".join(f"contains(before, {_q(p)})" for p in R.NEGATIONS)
+_FOUND = f"""{_DOCS}, {_RULES},
+hits AS (SELECT doc_id, lang, source, id, category, severity, layer, text, strpos(text, regexp_extract(text, pattern)) AS hit FROM docs, rules WHERE regexp_matches(text, pattern)),
+guarded AS (SELECT *, lower(substr(text, greatest(hit - {R.NEGATION_CHARS}, 1), hit - greatest(hit - {R.NEGATION_CHARS}, 1))) AS before FROM hits),
+judged AS (SELECT doc_id, lang, source, id, category, layer, CASE WHEN {_NEGATED} THEN 'review' ELSE severity END AS severity FROM guarded),
+ranked AS (SELECT *, {_RANK.format('severity')} AS rank FROM judged),
+found AS (SELECT * FROM ranked m WHERE layer <> 'mechanism' OR NOT EXISTS (SELECT 1 FROM ranked c WHERE c.layer = 'carrier' AND c.doc_id = m.doc_id AND c.category = m.category AND c.rank >= m.rank))"""
+_DECIDE = "CASE WHEN {0} IS NULL THEN 'allow' WHEN {0} >= 3 THEN 'block' WHEN {0} = 2 THEN 'quarantine' ELSE 'allow_redacted' END"
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def _register(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@_register(f"WITH {_FOUND}, d AS (SELECT doc_id, lang, (SELECT max(rank) FROM found f WHERE f.doc_id = docs.doc_id) AS top FROM docs) SELECT lang, {_DECIDE.format('top')} AS decision, count(*) AS n FROM d GROUP BY ALL")
+def decision_by_lang(spark, sf_dir):
+    return scan.scan(_documents(spark, sf_dir)).groupBy("lang", "decision").agg(F.count("*").alias("n"))
+
+
+_SECRET_UNION = " UNION ALL ".join(f"SELECT doc_id, {i} AS ord, '{n}' AS rule, unnest(regexp_extract_all(text, {_q(rx)})) AS token FROM docs" for i, (n, rx) in enumerate(R.SECRETS))
+
+
+@_register(f"WITH {_DOCS}, hits AS ({_SECRET_UNION}) SELECT doc_id, min_by(rule, ord) AS rule, token FROM hits WHERE NOT regexp_matches(token, {_q(R.PLACEHOLDERS)}) GROUP BY doc_id, token")
+def secret_formats(spark, sf_dir):
+    return scan.secrets(_documents(spark, sf_dir))
+
+
+@_register(f"WITH {_FOUND} SELECT doc_id, id, severity FROM found")
+def findings_guarded(spark, sf_dir):
+    return _findings(_documents(spark, sf_dir)).select("doc_id", "id", "severity")
+
+
+@_register(f"WITH {_FOUND}, grouped AS (SELECT source, category, count(DISTINCT CASE WHEN rank >= 3 THEN id END) AS strong, max(rank) AS top, count(*) AS n FROM found GROUP BY ALL) SELECT source, sum(n)::BIGINT AS findings, CASE WHEN max(strong) >= 2 THEN 'known_attack' WHEN max(top) >= 2 THEN 'review' ELSE 'clean_notes' END AS overall FROM grouped GROUP BY source")
+def repo_rollup(spark, sf_dir):
+    return reports.ladder(_findings(_documents(spark, sf_dir)), "source")
+
+
+@_register(f"WITH {_FOUND} SELECT coalesce(severity, 'all') AS severity, coalesce(category, 'all') AS category, count(*) AS n FROM found GROUP BY ROLLUP (severity, category)")
+def severity_category_rollup(spark, sf_dir):
+    found = _findings(_documents(spark, sf_dir)).rollup("severity", "category").agg(F.count("*").alias("n"))
+    return found.select(F.coalesce("severity", F.lit("all")).alias("severity"), F.coalesce("category", F.lit("all")).alias("category"), "n")
+
+
+@_register(f"WITH {_FOUND}, d AS (SELECT doc_id, coalesce(max(rank), -1) >= 2 AS caught FROM docs LEFT JOIN found USING (doc_id) GROUP BY doc_id) SELECT toxic, caught, count(*) AS n FROM d JOIN labels USING (doc_id) GROUP BY ALL")
+def confusion_matrix(spark, sf_dir):
+    judged = scan.scan(_documents(spark, sf_dir)).select("doc_id", F.col("decision").isin("block", "quarantine").alias("caught"))
+    return _read(spark, sf_dir, "labels").join(judged, "doc_id").groupBy("toxic", "caught").agg(F.count("*").alias("n"))
+
+
+@_register(f"WITH {_FOUND} SELECT id, count(*) AS n FROM found JOIN labels USING (doc_id) WHERE toxic = 0 AND rank >= 2 GROUP BY id")
+def corpus_fp_gate(spark, sf_dir):
+    clean = _read(spark, sf_dir, "labels").where("toxic = 0").select("doc_id")
+    return _findings(_documents(spark, sf_dir)).where("rank >= 2").join(clean, "doc_id").groupBy("id").agg(F.count("*").alias("n"))
+
+
+@_register()
+def sarif_export(spark, sf_dir):
+    return reports.sarif_results(_findings(_documents(spark, sf_dir)), "doc_id")
+
+
+@_register()
+def normalize_full(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.sha2(T.normalize(F.col("text")), 256).alias("sha"))
+
+
+def _fold(fold):
+    return lambda spark, sf_dir: _documents(spark, sf_dir).select("doc_id", F.sha2(fold(F.col("text")), 256).alias("sha"))
+
+
+for _name, _fun, _expression in [
+    ("leet_fold", T.fold_leet, f"translate(text, {_q(T.LEET[0])}, {_q(T.LEET[1])})"),
+    ("rot13_view", T.rot13, f"translate(text, {_q(T.ROT13[0])}, {_q(T.ROT13[1])})"),
+    ("reverse_view", F.reverse, "array_to_string(list_reverse(string_split(text, '')), '')"),
+    ("homoglyph_fold", T.fold_lookalikes, f"translate(text, {_q(T.LOOKALIKES[0])}, {_q(T.LOOKALIKES[1])})"),
+    ("whitespace_collapse", T.collapse_whitespace, r"regexp_replace(regexp_replace(regexp_replace(text, '[\t\r\x0B\f]', ' ', 'g'), ' {2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')"),
+    ("invisible_strip", T.strip_invisible, f"regexp_replace(text, '{T.INVISIBLE}', '', 'g')"),
+]:
+    QUERIES[_name] = _fold(_fun)
+    SQL[_name] = f"WITH {_DOCS} SELECT doc_id, sha256({_expression}) AS sha FROM docs"
+
+
+@_register(f"SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/]{{20,}}={{0,2}}')) AS run FROM documents")
+def token_like_runs(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/]{20,}={0,2}"), F.lit(0))).alias("run"))
+
+
+_SIGNALS = (r"(?i)[0-9]{3}", r"(?i)[a-z0-9.]+@[a-z0-9]+")
+
+
+@_register(f"WITH w AS (SELECT doc_id, unnest(list_transform(range(0, CASE WHEN length(text) <= {R.WINDOW_CHARS} THEN 1 ELSE ceil((length(text) - {R.WINDOW_CHARS}) / {R.WINDOW_STEP}.0)::INT + 1 END), lambda i: substr(text, (i * {R.WINDOW_STEP} + 1)::INT, {R.WINDOW_CHARS}))) AS part FROM documents) SELECT doc_id, bool_or(regexp_matches(part, '{_SIGNALS[0]}') AND regexp_matches(part, '{_SIGNALS[1]}')) AS hit FROM w GROUP BY doc_id")
+def cooccur_window(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", scan.cooccur(F.col("text"), *_SIGNALS).alias("hit"))
+
+
+@_register("SELECT page_id, len(regexp_extract_all(html, '<!--')) AS comments FROM pages WHERE regexp_matches(html, '(?i)<script')")
+def html_comment_filter(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").where(F.rlike("html", F.lit("(?i)<script"))).select("page_id", F.regexp_count("html", F.lit("<!--")).cast("long").alias("comments"))
+
+
+_CHANNELS = {"user": "message", "assistant": "agent_output", "system": "log_memory"}
+
+
+@_register(f"WITH {_RULES} SELECT CASE role " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CHANNELS.items()) + " END AS channel, count(*) AS turns, count(*) FILTER (EXISTS (SELECT 1 FROM rules WHERE regexp_matches(text, pattern))) AS hits FROM conversations GROUP BY ALL")
+def role_channel_scan(spark, sf_dir):
+    channel = F.element_at(F.create_map(*[F.lit(x) for kv in _CHANNELS.items() for x in kv]), F.col("role"))
+    rows = _read(spark, sf_dir, "conversations").select(channel.alias("channel"), F.size(scan.findings(F.col("text"))).alias("k"))
+    return rows.groupBy("channel").agg(F.count("*").alias("turns"), F.count_if(F.col("k") > 0).alias("hits"))
+
+
+_EVENT = {"click": "allow", "view": "allow", "error": "block", "signup": "quarantine", "purchase": "allow_redacted"}
+_EVENT_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _EVENT.items()) + " END"
+
+
+@_register(f"WITH e AS (SELECT CAST(ts AS DATE) AS day, {_EVENT_SQL} AS decision, value FROM events) SELECT day, count(*) AS total, count(*) FILTER (decision = 'block') AS blocked, count(*) FILTER (decision = 'quarantine') AS quarantined, count(*) FILTER (decision = 'allow') AS clean, round(avg(value), 4) AS avg_latency FROM e GROUP BY day")
+def daily_report(spark, sf_dir):
+    decision = F.element_at(F.create_map(*[F.lit(x) for kv in _EVENT.items() for x in kv]), F.col("event_type"))
+    return reports.daily_report(_read(spark, sf_dir, "events"), F.to_date("ts"), decision, F.col("value"))
+
+
+@_register("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 3")
+def receipts_tail(spark, sf_dir):
+    return reports.tail(_read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 3).select("user_id", "event_id")
+
+
+@_register("""WITH b AS (SELECT p_partkey AS tool, sha256(p_name) AS sha256 FROM part WHERE p_partkey % 7 <> 0), a AS (SELECT p_partkey AS tool, sha256(CASE WHEN p_partkey % 5 = 0 THEN p_name || '!' ELSE p_name END) AS sha256 FROM part WHERE p_partkey % 11 <> 0)
+SELECT tool, CASE WHEN b.sha256 IS NULL THEN 'added' WHEN a.sha256 IS NULL THEN 'removed' ELSE 'changed' END AS change FROM b FULL JOIN a USING (tool) WHERE b.sha256 IS DISTINCT FROM a.sha256""")
+def pin_diff(spark, sf_dir):
+    part = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("tool"), F.col("p_name").alias("name"))
+    before = part.where("tool % 7 <> 0").select("tool", F.sha2("name", 256).alias("sha256"))
+    after = part.where("tool % 11 <> 0").select("tool", F.sha2(F.when(F.col("tool") % 5 == 0, F.concat("name", F.lit("!"))).otherwise(F.col("name")), 256).alias("sha256"))
+    return reports.pin_diff(before, after)
+
+
+_PATH = r"^https?://[^/]+(/[^?#]*)"
+
+
+@_register(f"SELECT page_id FROM (SELECT page_id, regexp_extract(url, '{_PATH}', 1) AS p FROM pages) WHERE p = '/en' OR starts_with(p, '/en/') OR p = '/fr' OR starts_with(p, '/fr/')")
+def policy_path_prefix(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").where(policy.under_path(F.regexp_extract("url", _PATH, 1), ["/en", "/fr"])).select("page_id")
+
+
+@_register("WITH h AS (SELECT lower(regexp_extract(url, '^https?://([^/:]+)', 1)) AS host FROM pages) SELECT host, count(*) AS n FROM h WHERE host <> '' AND host NOT IN ('ththre.example.com', 'thther.example.org') GROUP BY host")
+def host_allowlist(spark, sf_dir):
+    return policy.denied_hosts(_read(spark, sf_dir, "pages"), "url", ["ththre.example.com", "thther.example.org"])
+
+
+@_register("""WITH c AS (SELECT event_type AS vendor, 10 * 16777216 + (user_id % 4) * 65536 + event_id % 256 AS number FROM events), r AS (SELECT DISTINCT event_type AS vendor, 167772160 + (length(event_type) % 4) * 65536 AS lo, 167772160 + (length(event_type) % 4) * 65536 + 65535 AS hi FROM events)
+SELECT vendor, count(*) FILTER (number BETWEEN lo AND hi) AS verified, count(*) FILTER (number NOT BETWEEN lo AND hi) AS fake FROM c JOIN r USING (vendor) GROUP BY vendor""")
+def ua_cidr_verify(spark, sf_dir):
+    events = _read(spark, sf_dir, "events")
+    claims = events.select(F.col("event_type").alias("vendor"), F.format_string("10.%d.0.%d", F.col("user_id") % 4, F.col("event_id") % 256).alias("ip"))
+    lo = F.lit(10 * 16777216) + (F.char_length("event_type") % 4) * 65536
+    return policy.verify_ranges(claims, events.select(F.col("event_type").alias("vendor"), lo.alias("lo"), (lo + 65535).alias("hi")).distinct())
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
