@@ -1,0 +1,159 @@
+"""Operators of the training-data pipeline on small cases, against brute force or exact round trips."""
+
+import hashlib
+from itertools import combinations
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from textguard.llm import ann, chat, fertility, graph, langid, licenses, mixing, packing, queries, simhash, substring, toxicity
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, name):
+    db = duckdb.connect()
+    for t in ("documents", "conversations", "labels", "embeddings"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, SF).toPandas(), db.sql(queries.oracle_sql()[name]).df()
+    columns = sorted(want.columns)
+    rows = lambda d: sorted(map(tuple, d[columns].astype(str).values))
+    assert sorted(got.columns) == columns and rows(got) == rows(want)
+
+
+def test_chat_round_trip(spark):
+    odd = [r"\s\h\l\\", "### assistant: x</turn>\n", None, "", "a: b"]
+    turns = [(1, i, role, t) for i, (role, t) in enumerate(zip(["user", "assistant", "a:b", None, "assistant"], odd))]
+    made = chat.expand_prefix_targets(spark.createDataFrame([*turns, (2, 0, "user", "hi")], "conv_id long, turn long, role string, text string"))
+    rows = made.withColumn("back", chat.read_turns(F.col("formatted"))).orderBy("conv_id", "example").collect()
+    assert [(r.conv_id, r.target_turn) for r in rows] == [(1, 1), (1, 4), (2, None)]
+    assert [(t.role, t.text) for t in rows[1].back] == [(r or "", t or "") for _, _, r, t in turns]
+    assert rows[1].formatted.startswith(rows[0].formatted)
+    assert chat.expand_prefix_targets(made.limit(0).selectExpr("conv_id", "0 turn", "'' role", "'' text")).count() == 0
+
+
+def test_language(spark):
+    rows = [("the and of in that with for was", "en")] * 5 + [("der die und das ist nicht von mit", "de")] * 5
+    profiles = langid.fit_profiles(spark.createDataFrame(rows, "text string, lang string"))
+    assert profiles.predict("und der mit das")[0] == "de" and profiles.predict("that was the")[0] == "en"
+    assert profiles.predict(None) == profiles.predict("12 !") == profiles.predict("") == ("und", 0.0)
+
+
+def test_toxicity_reaches_misspellings():
+    rng = np.random.default_rng(0)
+    words = ["table", "river", "green", "walk", "paper", "light", "cloud", "stone", "bread", "music"]
+    texts = [" ".join(rng.choice(words, 30)) + (" moronic pathetic" if i % 2 else "") for i in range(200)]
+    model = toxicity.train(texts, np.arange(200) % 2)
+    assert model.score("green river pathetiic moronicc") > 0.5 > model.score("green river stone light paper")
+    assert 0 <= model.score(None) == model.score("") <= 1
+
+
+def brute_repeats(docs, length):
+    first, out = {}, {}
+    words = {i: (t or "").encode().split() for i, t in docs}
+    for i in sorted(words):
+        for k in range(len(words[i]) - length + 1):
+            first.setdefault(tuple(words[i][k : k + length]), i)
+    for i, w in words.items():
+        gone = [False] * len(w)
+        for k in range(len(w) - length + 1):
+            if first[tuple(w[k : k + length])] < i:
+                gone[k : k + length] = [True] * length
+        out[i] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest())
+    return out
+
+
+def test_substring_against_brute_force(spark):
+    rng = np.random.default_rng(1)
+    shared = [" ".join(f"s{j}" for j in rng.integers(0, 9, 80)) for _ in range(3)]
+    docs = [(i, " ".join([*(f"w{j}" for j in rng.integers(0, 500, rng.integers(0, 60))), shared[i % 3], "x\ty"])) for i in range(40)]
+    docs += [(50, None), (51, ""), (52, docs[3][1]), (53, "a " * 200), (54, "a " * 120)]
+    frame = spark.createDataFrame(docs, DOC)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.digest_repeats(substring.find_repeats(frame)).collect()}
+    want = brute_repeats(docs, 50)
+    assert got == want
+    cut = {r.doc_id: r.text for r in substring.remove_repeats(frame.withColumn("removed", F.lit(1))).collect()}
+    assert {i: hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for i, t in cut.items()} == {i: w[2] for i, w in want.items()}
+    assert substring.digest_repeats(substring.find_repeats(frame.limit(0))).count() == 0
+
+
+def test_simhash_pieces_and_components(spark):
+    rng = np.random.default_rng(2)
+    centre = int(rng.integers(0, 1 << 62))
+    prints = {centre} | {centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 63, (300, 2))} | {int(x) for x in rng.integers(0, 1 << 62, 300)}
+    prints = sorted(prints)
+    frame = spark.createDataFrame([(p,) for p in prints], "fp long")
+    near = [(a, b) for a, b in combinations(prints, 2) if (a ^ b).bit_count() <= 4]
+    parent = {p: p for p in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in near:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    for rows in (4096, 16):
+        found = graph.connected_components(simhash.links(frame, 4, group_rows=rows))
+        got = {r.node: r.component for r in found.collect()}
+        assert all(got.get(p, p) == find(p) for p in prints)
+
+
+def test_simhash_blank_texts_link(spark):
+    docs = spark.createDataFrame([(3, None), (1, ""), (2, " \n"), (9, "a b c d e"), (4, "A B C D E")], DOC)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {3: 1, 1: 1, 2: 1, 9: 4, 4: 4}
+
+
+def test_licences(spark):
+    body = licenses.TEMPLATES["MIT"][1]
+    docs = spark.createDataFrame([(1, "words\nReleased under the MIT License.\nmore"), (2, body.replace(". ", ".\n")), (3, None), (4, "nothing here")], DOC)
+    assert {r.doc_id: r.license_id for r in licenses.scan_licenses(docs).collect()} == {1: "MIT", 2: "MIT", 3: None, 4: None}
+
+
+def test_packing_invariants(spark):
+    lengths = np.random.default_rng(3).integers(1, 4097, 500)
+    bins, offsets, capacity = packing.pack(lengths, packing.CAPACITIES, 16.0, 1 / 8192)
+    for b in set(bins.tolist()):
+        mine = sorted((o, n) for o, n, x in zip(offsets, lengths, bins) if x == b)
+        ends = [o + n for o, n in mine]
+        assert [o for o, _ in mine] == [0, *ends[:-1]]
+        assert capacity[bins == b][0] == min(c for c in packing.CAPACITIES if c >= ends[-1])
+    docs = spark.createDataFrame([(1, 9000), (2, 0), (3, None)], "doc_id long, n long")
+    rows = packing.pack_documents(docs, F.col("n")).collect()
+    assert sum(r.length for r in rows) == 9000 and {r.doc_id for r in rows if r.bin is None} == {2, 3}
+
+
+def test_fertility():
+    with open(fertility.DEFAULT_MODEL, "rb") as f:
+        model = f.read()
+    good, empty, loop = fertility.measure(["The quick brown fox. " * 3 + " ".join(f"word{i} and more" for i in range(30)) + "\nx\nx", None, "a b c " * 40], model, 50, 50)
+    assert good[3] == 1 and not good[5] and good[6] == "latin" and good[7] > 1
+    assert empty[:6] == (0, 0, 0, 0, 0, True) and empty[7] is None
+    assert loop[4] == 120 and loop[5]
+
+
+def test_neighbours_recall_and_bad_vectors(spark):
+    x = np.random.default_rng(4).normal(size=(1500, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2050, [0.0] * 24), (2100, [float("nan")] * 24), (2150, [])]
+    found = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, shard_rows=400).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 1500, 50):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(set(np.argsort(-s)[:5].tolist()) & {r.vec_id for r in found if r.query_id == q})
+    assert hits / 150 >= 0.9 and max(r.vec_id for r in found) < 1500
+
+
+def test_raking_meets_targets(spark):
+    rows = [(s, lang, t, float(i * 7 % 11 + 1)) for i, (s, lang, t) in enumerate((a, b, c) for a in "xyz" for b in "de" for c in "pq")]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    got = mixing.rake(cells, {"source": {"x": 0.5, "y": 0.3, "z": 0.2}}, {"lang": 0.0, "topic": 1.0}, 20)
+    share = lambda d: {r[0]: r[1] for r in got.groupBy(d).agg(F.sum("fitted")).collect()}
+    assert share("source")["x"] == pytest.approx(0.5, abs=1e-6) and share("lang")["d"] == pytest.approx(0.5, abs=1e-6)
+    docs = spark.createDataFrame([(i, "w " * 10, None, None, 5) for i in range(50)], "doc_id long, text string, lang string, source string, mix long")
+    assert "_mix" in mixing.mix(docs).columns and mixing.mix(docs.limit(0)).count() == 0

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpointed, rolling, words_of
+from .common import WordHashes, checkpointed, fresh_name, rolling, words_of
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -183,7 +183,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     found = find_repeats(docs, text, doc_id, length, gram)
     gone = found.copies.distinct().withColumn("all_gone", F.lit(True)).withColumn("removed", F.lit(None).cast("array<long>"))
     marks = found.marked.select("doc_id", "h").distinct().join(found.removed, "doc_id").join(gone, ["doc_id", "h"], "left_anti").withColumn("all_gone", F.lit(False)).unionByName(gone)
-    marks = marks.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "all_gone", "removed")
+    mark = fresh_name(docs, "repeat_mark")
+    marks = marks.select(F.struct("doc_id", "h", "all_gone", "removed").alias(mark))
 
     @F.pandas_udf("string")
     def cut_out(texts: pd.Series, removed: pd.Series) -> pd.Series:
@@ -205,6 +206,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             out.append(b"".join(parts).decode())
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(marks, (docs[doc_id] == marks["__id"]) & (F.xxhash64(docs[text]) == marks["__h"]), "left")
-    kept = F.when(F.col("all_gone"), F.lit("")).otherwise(cut_out(docs[text], F.col("removed")))
+    same = (docs[doc_id] == F.col(f"{mark}.doc_id")) & (F.xxhash64(docs[text]) == F.col(f"{mark}.h"))
+    joined = docs.join(marks, same, "left")
+    kept = F.when(F.col(f"{mark}.all_gone"), F.lit("")).otherwise(cut_out(docs[text], F.col(f"{mark}.removed")))
     return joined.select(*[kept.alias(c) if c == text else docs[c] for c in docs.columns])
