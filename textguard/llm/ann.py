@@ -98,7 +98,7 @@ class Quantiser:
         return out * np.float32(self.scale[which] ** 2)
 
 
-def fit_quantiser(sample: np.ndarray, total: int, neighbours: int, recall: float = 0.99, block_width: int = 4, seed: int = 7) -> Quantiser:
+def fit_quantiser(sample: np.ndarray, total: int, neighbours: int, recall: float = 0.98, block_width: int = 2, seed: int = 7) -> Quantiser:
     """Fit on unit vectors ``sample``; visits and depth are those that reach ``recall`` for the sample's own neighbours, the depth scaled up to ``total`` rows."""
     rng = np.random.default_rng(seed)
     lists = int(np.clip(np.sqrt(total), 1, min(1024, max(1, len(sample) // 16))))
@@ -128,12 +128,13 @@ def fit_quantiser(sample: np.ndarray, total: int, neighbours: int, recall: float
         if len(members) and len(who):
             rough[np.ix_(who, members)] = full.distances(sample[asked[who]], which, codes[members])
     rank = np.argsort(np.argsort(rough, axis=1), axis=1)
-    depth = int(np.quantile(np.take_along_axis(rank, best, 1), recall)) + 1
-    depth = int(np.clip(depth * max(1.0, total / len(sample)) * 1.2, 16 * neighbours, 4096))
+    visited = np.isfinite(np.take_along_axis(rough, best, 1))  # only these can be ranked at all
+    depth = int(np.quantile(np.take_along_axis(rank, best, 1)[visited], recall)) + 1
+    depth = int(np.clip(depth * max(1.0, total / len(sample)) * 1.2, 10 * neighbours, 4096))
     return Quantiser(centres, scale, books, min(lists, max(visits, 2)), depth)
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", sample_rows: int = 20_000, sample_values: int = 4_000_000, shard_rows: int = 8192, seed: int = 7) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", sample_rows: int = 20_000, sample_values: int = 4_000_000, shard_rows: int = 16_384, seed: int = 7) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest by cosine of every row where ``is_query`` holds."""
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     id_type = rows.schema["vec_id"].dataType.simpleString()
