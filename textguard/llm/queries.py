@@ -56,7 +56,7 @@ def op3_toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     remainder = common.id_crc(F.col("doc_id")) % 5
     labels = _read(spark, sf_dir, "labels").where(remainder != 0).select("doc_id", "toxic")
-    model = toxicity.fit_toxicity(docs.join(labels, "doc_id"))
+    model = toxicity.fit_toxicity(docs, labels)
     scored = docs.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), toxicity.score_toxicity(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -171,16 +171,22 @@ def _curve(raw: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / spread), float(beta[1] - beta[0] * middle / spread)
 
 
-def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic", docs_per_class: int = 2500, seed: int = 7, **settings) -> SubwordModel:
-    """Train on about ``docs_per_class`` documents of each class (0, 1), drawn by a hash of the text."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
-    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", docs_per_class: int = 2500, seed: int = 7, **settings) -> SubwordModel:
+    """Train on about ``docs_per_class`` documents of each class (0, 1), drawn by a hash of their ids.
+
+    Labels are drawn before they meet the texts: the drawn ones are few, whatever the corpus, so
+    they are broadcast and no text is shuffled.
+    """
+    known = labels.select(F.col(doc_id).alias("key"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and key is not null")
+    totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for value, n in totals.items():
         share = F.when(F.col("label") == value, min(1.0, docs_per_class / n)).otherwise(share)
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(drawn < share).orderBy("label", F.xxhash64("text"), "text").toPandas()
-    return train(sample["text"].tolist(), sample["label"].to_numpy(), seed=seed, **settings)
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("key")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = known.where(drawn < share).limit(4 * docs_per_class)
+    rows = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
+    sample = rows.select("text", "label", "key").toPandas().sort_values(["label", "key"], kind="stable")
+    return train([None if t is None else str(t) for t in sample["text"]], sample["label"].to_numpy(), seed=seed, **settings)
 
 
 def score_toxicity(text: Column, model: SubwordModel) -> Column:
