@@ -3,7 +3,8 @@
 Units of a document are its lines, its blocks (runs of lines between blank ones, where there are
 several) and the whole text. A unit's bigrams are a set; the coefficient with a template is
 2|A and B| / (|A| + |B|). It can reach ``threshold`` only if the sizes are close enough, so
-templates are pruned by size before any bigram is compared.
+templates are pruned by size before any bigram is compared. It also needs a fixed part of a
+template's bigrams, so texts and units without any of a few words are passed over unread.
 
 Defined results: null, empty and blank texts and units of one word match nothing (null licence, 0
 units); ties go to the alphabetically first licence; rows with equal ids share their matches; an
@@ -16,6 +17,8 @@ template drop out before a coefficient is computed; only matches are shuffled.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +75,29 @@ def template_rows(templates: dict[str, list[str]] = TEMPLATES) -> list[tuple[str
     return [(name, grams) for name, texts in sorted(templates.items()) for text in texts if (grams := template_bigrams(text))]
 
 
+def needed_words(rows: list[tuple[str, list[str]]], threshold: float) -> list[str]:
+    """Words of which every matching unit holds one.
+
+    A match shares more than a fixed part of a template's bigrams, so it meets any set of words
+    that touches all but fewer of them. Chosen greedily: most templates served, then longest.
+    """
+    part = threshold / (2 - threshold)
+    left = [set(grams) for _, grams in rows]
+    missing = lambda i: len(left[i]) >= part * len(rows[i][1])
+    chosen: list[str] = []
+    while any(map(missing, range(len(rows)))):
+        gain: dict[str, list[int]] = {}
+        for i in filter(missing, range(len(rows))):
+            for word in {w for g in left[i] for w in g.split()}:
+                entry = gain.setdefault(word, [0, 0])
+                entry[0] += len(word) >= 6
+                entry[1] += sum(word in g.split() for g in left[i])
+        best = max(gain, key=lambda w: (gain[w][0] > 0, *gain[w], w))
+        chosen.append(best)
+        left = [{g for g in grams if best not in g.split()} for grams in left]
+    return sorted(chosen)
+
+
 def bigrams(unit: Column) -> Column:
     """Distinct word bigrams of a normalised unit."""
     words = F.filter(F.split(unit, " "), lambda w: w != "")
@@ -96,7 +122,10 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     known = sorted({g for _, grams in rows for g in grams})
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     literal = F.array(*[F.struct(F.lit(name).alias("id"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams in rows])
-    cut = docs.select(F.col(doc_id).alias("doc_id"), F.explode(units(F.col(text))).alias("u")).select("doc_id", "u.kind", "u.at", bigrams(F.col("u.unit")).alias("grams"))
+    words = needed_words(rows, threshold)
+    held = lambda where: reduce(or_, [F.contains(where, F.lit(w)) for w in words])
+    likely = docs.where(held(F.lower(F.col(text))))
+    cut = likely.select(F.col(doc_id).alias("doc_id"), F.explode(F.filter(units(F.col(text)), lambda u: held(u["unit"]))).alias("u")).select("doc_id", bigrams(F.col("u.unit")).alias("grams"))
     least, most = min(len(g) for _, g in rows) * low, max(len(g) for _, g in rows) * high
     sized = cut.where(F.size("grams").between(least, most))
     hits = sized.withColumn("hits", F.size(F.filter("grams", lambda g: g.isin(known)))).where(2 * F.col("hits") >= threshold * (F.col("hits") + least))
