@@ -26,7 +26,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _findings(docs: DataFrame) -> DataFrame:
     """Long table of findings after suppression."""
     found = scan.scan(docs).select("doc_id", "lang", "source", F.explode("findings").alias("f"))
-    return found.select("doc_id", "lang", "source", "f.id", "f.category", "f.severity", "f.layer", scan.rank_of(F.col("f.severity")).alias("rank"))
+    return found.select("doc_id", "lang", "source", "f.id", "f.category", "f.severity", "f.layer", "f.match", scan.rank_of(F.col("f.severity")).alias("rank"))
 
 
 def _q(value: str) -> str:
@@ -36,11 +36,13 @@ def _q(value: str) -> str:
 _DOCS = "docs AS (SELECT doc_id, text, lang, source FROM documents UNION ALL " + " UNION ALL ".join(f"SELECT {i}, {_q(t)}, 'en', 'planted'" for i, t in R.PLANTED) + ")"
 _RULES = "rules(id, category, severity, pattern, layer) AS (VALUES " + ", ".join(f"({_q(r.id)}, {_q(r.category)}, {_q(r.severity)}, {_q(r.pattern)}, {_q(r.layer)})" for r in R.RULES) + ")"
 _RANK = "CASE {} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in R.SEVERITIES.items()) + " ELSE 0 END"
-_NEGATED = " OR ".join(f"contains(before, {_q(p)})" for p in R.NEGATIONS)
+_NEGATED = " OR ".join([f"contains(before, {_q(p)})" for p in R.NEGATIONS] + [f"regexp_matches(regexp_extract(before, '(?s).*{label}(.*)$', 1), {_q(R.QUOTES)})" for label in R.LABELS])
+_DESCRIBED = "layer = 'mechanism' AND (" + " OR ".join(f"contains(clause, {_q(p)})" for p in R.DESCRIBING) + ")"
 _FOUND = f"""{_DOCS}, {_RULES},
-hits AS (SELECT doc_id, lang, source, id, category, severity, layer, text, strpos(text, regexp_extract(text, pattern)) AS hit FROM docs, rules WHERE regexp_matches(text, pattern)),
-guarded AS (SELECT *, lower(substr(text, greatest(hit - {R.NEGATION_CHARS}, 1), hit - greatest(hit - {R.NEGATION_CHARS}, 1))) AS before FROM hits),
-judged AS (SELECT doc_id, lang, source, id, category, layer, CASE WHEN {_NEGATED} THEN 'review' ELSE severity END AS severity FROM guarded),
+hits AS (SELECT doc_id, lang, source, id, category, severity, layer, text, substr(regexp_extract(text, pattern), 1, {R.MATCH_CHARS}) AS match, strpos(text, regexp_extract(text, pattern)) AS hit FROM docs, rules WHERE regexp_matches(text, pattern)),
+guarded AS (SELECT *, lower(substr(text, greatest(hit - {R.NEGATION_CHARS}, 1), hit - greatest(hit - {R.NEGATION_CHARS}, 1))) AS before,
+  regexp_replace(lower(substr(text, greatest(hit - {R.DESCRIBING_CHARS}, 1), hit - greatest(hit - {R.DESCRIBING_CHARS}, 1))), '(?s)^.*(?:[.!?] |\\n)', '') AS clause FROM hits),
+judged AS (SELECT doc_id, lang, source, id, category, layer, match, CASE WHEN {_NEGATED} OR {_DESCRIBED} THEN 'review' ELSE severity END AS severity FROM guarded),
 ranked AS (SELECT *, {_RANK.format('severity')} AS rank FROM judged),
 found AS (SELECT * FROM ranked m WHERE layer <> 'mechanism' OR NOT EXISTS (SELECT 1 FROM ranked c WHERE c.layer = 'carrier' AND c.doc_id = m.doc_id AND c.category = m.category AND c.rank >= m.rank))"""
 _DECIDE = "CASE WHEN {0} IS NULL THEN 'allow' WHEN {0} >= 3 THEN 'block' WHEN {0} = 2 THEN 'quarantine' ELSE 'allow_redacted' END"
@@ -72,14 +74,14 @@ def secret_formats(spark, sf_dir):
     return scan.secrets(_documents(spark, sf_dir))
 
 
-@_register(f"WITH {_FOUND} SELECT doc_id, id, severity FROM found")
+@_register(f"WITH {_FOUND} SELECT doc_id, id, severity, match FROM found")
 def findings_guarded(spark, sf_dir):
-    return _findings(_documents(spark, sf_dir)).select("doc_id", "id", "severity")
+    return _findings(_documents(spark, sf_dir)).select("doc_id", "id", "severity", "match")
 
 
-@_register(f"WITH {_FOUND}, grouped AS (SELECT source, category, count(DISTINCT CASE WHEN rank >= 3 THEN id END) AS strong, max(rank) AS top, count(*) AS n FROM found GROUP BY ALL) SELECT source, sum(n)::BIGINT AS findings, CASE WHEN max(strong) >= 2 THEN 'known_attack' WHEN max(top) >= 2 THEN 'review' ELSE 'clean_notes' END AS overall FROM grouped GROUP BY source")
+@_register(f"WITH {_FOUND}, grouped AS (SELECT source, doc_id, category, count(DISTINCT CASE WHEN rank >= 3 THEN id END) >= 2 AND count(DISTINCT CASE WHEN rank >= 3 THEN match END) >= 2 AS strong, max(rank) AS top, count(*) AS n FROM found GROUP BY ALL) SELECT source, sum(n)::BIGINT AS findings, CASE WHEN bool_or(strong) THEN 'known_attack' WHEN max(top) >= 2 THEN 'review' ELSE 'clean_notes' END AS overall FROM grouped GROUP BY source")
 def repo_rollup(spark, sf_dir):
-    return reports.ladder(_findings(_documents(spark, sf_dir)), "source")
+    return reports.ladder(_findings(_documents(spark, sf_dir)), "source", "doc_id")
 
 
 @_register(f"WITH {_FOUND} SELECT coalesce(severity, 'all') AS severity, coalesce(category, 'all') AS category, count(*) AS n FROM found GROUP BY ROLLUP (severity, category)")

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ladder(found: DataFrame, group: str) -> DataFrame:
-    """Per group: files, findings and the rung. Two rules of one category at high or above make it a known attack, any finding at medium or above asks for review, others are notes."""
-    by = found.groupBy(group, "category").agg(F.count_distinct(F.when(F.col("rank") >= 3, F.col("id"))).alias("strong"), F.max("rank").alias("top"), F.count("*").alias("n"))
-    rung = F.when(F.max("strong") >= 2, "known_attack").when(F.max("top") >= 2, "review").otherwise("clean_notes")
+def ladder(found: DataFrame, group: str, file: str) -> DataFrame:
+    """Per group: findings and the rung.
+
+    Two rules of one category with two different matches in one file, all at high or above, make
+    it a known attack; any finding at medium or above asks for review; others are notes.
+    """
+    strong = lambda c: F.count_distinct(F.when(F.col("rank") >= 3, F.col(c)))
+    by = found.groupBy(group, file, "category").agg(strong("id").alias("ids"), strong("match").alias("matches"), F.max("rank").alias("top"), F.count("*").alias("n"))
+    known = F.bool_or((F.col("ids") >= 2) & (F.col("matches") >= 2))
+    rung = F.when(known, "known_attack").when(F.max("top") >= 2, "review").otherwise("clean_notes")
     return by.groupBy(group).agg(F.sum("n").alias("findings"), rung.alias("overall"))
 
 
@@ -37,3 +45,41 @@ def sarif_results(found: DataFrame, location: str) -> DataFrame:
     level = F.when(F.col("rank") >= 3, "error").when(F.col("rank") == 2, "warning").otherwise("note")
     body = F.struct(F.col("id").alias("ruleId"), level.alias("level"), F.struct(F.col("category").alias("text")).alias("message"), F.array(F.struct(F.struct(F.struct(F.col(location).cast("string").alias("uri")).alias("artifactLocation")).alias("physicalLocation"))).alias("locations"))
     return found.select(location, "id", F.to_json(body).alias("result"))
+
+
+def result_json(scanned: DataFrame, key: str) -> DataFrame:
+    """One JSON object per scanned row: its decision and findings."""
+    body = F.struct(F.col(key), "decision", F.size("findings").alias("findings_count"), "findings")
+    return scanned.select(key, F.to_json(body).alias("result"))
+
+
+def summary_line(scanned: DataFrame, key: str) -> DataFrame:
+    """One line per scanned row: PASS, or the decision and how many findings of how many categories led to it."""
+    n, kinds = F.size("findings"), F.size(F.array_distinct("findings.category"))
+    line = F.when(n == 0, "PASS").otherwise(F.concat_ws(" ", F.upper("decision"), n, F.lit("findings in"), kinds, F.lit("categories")))
+    return scanned.select(key, line.alias("summary"))
+
+
+def quality_metrics(judged: DataFrame, segment: str) -> DataFrame:
+    """Confusion counts, precision, recall and F1 by segment and over all (segment 'all'), from booleans truth and caught.
+
+    A ratio without a base is 0. ``seal`` is a digest of the counts, equal for equal results.
+    """
+    count = lambda c: F.count_if(c)
+    truth, caught = F.col("truth"), F.col("caught")
+    counts = judged.rollup(segment).agg(count(truth & caught).alias("tp"), count(truth & ~caught).alias("fn"), count(~truth & caught).alias("fp"), count(~truth & ~caught).alias("tn"), F.grouping(segment).alias("g"))
+    ratio = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 4)
+    tp, fn, fp = F.col("tp"), F.col("fn"), F.col("fp")
+    return counts.select(
+        F.when(F.col("g") == 1, "all").otherwise(F.col(segment)).alias("segment"), "tp", "fn", "fp", "tn",
+        ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
+        F.sha2(F.concat_ws(",", "tp", "fn", "fp", "tn"), 256).alias("seal"),
+    )
+
+
+def html_report(days: DataFrame, most: int = 366) -> str:
+    """A page with the newest ``most`` rows of daily_report: an aggregate of one row a day."""
+    names = days.columns
+    rows = days.orderBy(F.desc("day")).limit(most).collect()
+    line = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{html.escape(str(c))}</{tag}>" for c in cells) + "</tr>"
+    return "<!doctype html><table>" + line(names, "th") + "".join(line(r, "td") for r in rows) + "</table>"

@@ -5,9 +5,13 @@ Findings stay an array in each row, so a scan is a narrow projection without a s
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import VIEW_LIMIT
 from ..plans import rules as R
 
 
@@ -21,21 +25,43 @@ def decision_of(rank: Column) -> Column:
     return F.when(rank.isNull(), "allow").otherwise(F.element_at(F.create_map(*[F.lit(x) for kv in R.DECISIONS.items() for x in kv]), rank))
 
 
-def negated(text: Column, pattern: str) -> Column:
-    """Whether a negation stands within 50 characters before the first match."""
-    at = F.instr(text, F.regexp_extract(text, pattern, 0))
-    start = F.greatest(at - R.NEGATION_CHARS, F.lit(1))
-    before = F.lower(F.substring(text, start, at - start))
-    out = F.lit(False)
-    for phrase in R.NEGATIONS:
-        out = out | F.contains(before, F.lit(phrase))
-    return out
+def _before(text: Column, at: Column, chars: int) -> Column:
+    """The ``chars`` characters before position ``at``, lower-cased."""
+    start = F.greatest(at - chars, F.lit(1))
+    return F.lower(F.substring(text, start, at - start))
+
+
+def _holds_any(text: Column, phrases: list[str]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(p)) for p in phrases])
+
+
+def negated(text: Column, at: Column) -> Column:
+    """Whether a negation, or a label followed by a quotation mark, stands shortly before a match."""
+    before = _before(text, at, R.NEGATION_CHARS)
+    quoted = [F.rlike(F.regexp_extract(before, f"(?s).*{label}(.*)$", 1), F.lit(R.QUOTES)) for label in R.LABELS]
+    return _holds_any(before, R.NEGATIONS) | reduce(or_, quoted)
+
+
+def described(text: Column, at: Column) -> Column:
+    """Whether the clause before a match speaks of defence or of attackers."""
+    clause = F.regexp_replace(_before(text, at, R.DESCRIBING_CHARS), r"(?s)^.*(?:[.!?] |\n)", "")
+    return _holds_any(clause, R.DESCRIBING)
+
+
+def finding(text: Column, rule: R.Rule) -> Column:
+    """The finding of one rule, null if it does not match. Its first match decides; where a guard holds, it counts as review."""
+    match = F.regexp_extract(text, rule.pattern, 0)
+    at = F.instr(text, match)
+    guards = [] if rule.negation_immune else [negated(text, at)]
+    guards += [described(text, at)] if rule.layer == "mechanism" else []
+    severity = F.when(reduce(or_, guards), "review").otherwise(rule.severity) if guards else F.lit(rule.severity)
+    made = F.struct(F.lit(rule.id).alias("id"), F.lit(rule.category).alias("category"), severity.alias("severity"), F.lit(rule.layer).alias("layer"), F.substring(match, 1, R.MATCH_CHARS).alias("match"))
+    return F.when(F.rlike(text, F.lit(rule.pattern)), made)
 
 
 def findings(text: Column, rules: list[R.Rule] = R.RULES) -> Column:
-    """Array of (id, category, severity, layer) of the rules that match; a negated match counts as review."""
-    one = lambda r: F.when(F.rlike(text, F.lit(r.pattern)), F.struct(F.lit(r.id).alias("id"), F.lit(r.category).alias("category"), F.when(negated(text, r.pattern), "review").otherwise(r.severity).alias("severity"), F.lit(r.layer).alias("layer")))
-    return F.array_compact(F.array(*map(one, rules)))
+    """Array of (id, category, severity, layer, match) of the rules that match."""
+    return F.array_compact(F.array(*[finding(text, r) for r in rules]))
 
 
 def suppress_mechanisms(found: Column) -> Column:
@@ -62,12 +88,27 @@ def cooccur(text: Column, first: str, second: str) -> Column:
     return F.exists(windows(text), lambda w: F.rlike(w, F.lit(first)) & F.rlike(w, F.lit(second)))
 
 
-def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, rule, token): distinct secret tokens, of equal tokens the first rule, no placeholders."""
+def guarded(text: Column, guard: str, core: str) -> Column:
+    """Whether ``core`` matches inside a window of a text that does not begin with ``guard``."""
+    return ~F.rlike(text, F.lit(f"^(?:{guard})")) & F.exists(windows(text), lambda w: F.rlike(w, F.lit(core)))
+
+
+def corroborated(text: Column, normal: Column, pattern: str) -> Column:
+    """Whether ``pattern`` matches the text or, for short texts, its normalised form."""
+    return F.rlike(text, F.lit(pattern)) | ((F.char_length(text) <= VIEW_LIMIT) & F.rlike(normal, F.lit(pattern)))
+
+
+def secret_tokens(text: Column) -> Column:
+    """Array of (ord, rule, token) of all secret-shaped tokens but stand-ins, in order of precedence."""
     def tokens(order: int, name: str, pattern: str) -> Column:
-        found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-        return F.transform(found, lambda t: F.struct(t.alias("token"), F.lit(order).alias("ord"), F.lit(name).alias("rule")))
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.transform(found, lambda t: F.struct(F.lit(order).alias("ord"), F.lit(name).alias("rule"), t.alias("token")))
 
     each = [tokens(i, name, rx) for i, (name, rx) in enumerate(R.SECRETS)]
-    hits = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.concat(*each)).alias("s")).select("doc_id", "s.*").where(~F.rlike("token", F.lit(R.PLACEHOLDERS)))
+    return F.filter(F.concat(*each), lambda s: ~F.rlike(s["token"], F.lit(R.PLACEHOLDERS)))
+
+
+def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, rule, token): distinct secret tokens, of equal tokens the first rule, no placeholders."""
+    hits = docs.select(F.col(doc_id).alias("doc_id"), F.explode(secret_tokens(F.col(text))).alias("s")).select("doc_id", "s.*")
     return hits.groupBy("doc_id", "token").agg(F.min(F.struct("ord", "rule")).alias("r")).select("doc_id", F.col("r.rule").alias("rule"), "token")
