@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import policy, reports, scan
+from .operators import cards, crawlers, keywords, policy, reports, scan, toolcalls
 from .plans import rules as R
 
 
@@ -202,6 +202,184 @@ def ua_cidr_verify(spark, sf_dir):
     return policy.verify_ranges(claims, events.select(F.col("event_type").alias("vendor"), lo.alias("lo"), (lo + 65535).alias("hi")).distinct())
 
 
+_GUARD, _CORE = r"[A-M]", r"(?i)[a-z0-9.]+@[a-z0-9]+\.[a-z]+"
+
+
+@_register(f"WITH {_DOCS} SELECT doc_id, NOT regexp_matches(text, '^(?:{_GUARD})') AND regexp_matches(text, '{_CORE}') AS hit FROM docs WHERE length(text) <= {R.WINDOW_CHARS}")
+def guarded_predicate(spark, sf_dir):
+    short = _documents(spark, sf_dir).where(F.char_length("text") <= R.WINDOW_CHARS)
+    return short.select("doc_id", scan.guarded(F.col("text"), _GUARD, _CORE).alias("hit"))
+
+
+_FOLDED = r"licensed under|sie|t[eo]st"
+
+
+@_register(f"WITH {_DOCS} SELECT doc_id, regexp_matches(text, '{_FOLDED}') OR (length(text) <= {T.VIEW_LIMIT} AND regexp_matches(translate(text, {_q(T.LEET[0])}, {_q(T.LEET[1])}), '{_FOLDED}')) AS hit FROM docs")
+def corroboration_lane(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", scan.corroborated(F.col("text"), T.fold_leet(F.col("text")), _FOLDED).alias("hit"))
+
+
+@_register(f"WITH {_FOUND}, k AS (SELECT doc_id, count(*) AS n, count(DISTINCT category) AS kinds, max(rank) AS top FROM found GROUP BY doc_id) SELECT doc_id, CASE WHEN n IS NULL THEN 'PASS' ELSE concat_ws(' ', upper({_DECIDE.format('top')}), n, 'findings in', kinds, 'categories') END AS summary FROM docs LEFT JOIN k USING (doc_id)")
+def summary_line(spark, sf_dir):
+    return reports.summary_line(scan.scan(_documents(spark, sf_dir)), "doc_id")
+
+
+@_register()
+def result_json(spark, sf_dir):
+    return reports.result_json(scan.scan(_documents(spark, sf_dir)), "doc_id")
+
+
+@_register(f"WITH {_FOUND} SELECT id, source, count(*) AS n FROM found GROUP BY ALL ORDER BY n DESC, id, source LIMIT 20")
+def top_findings(spark, sf_dir):
+    counted = _findings(_documents(spark, sf_dir)).groupBy("id", "source").agg(F.count("*").alias("n"))
+    return counted.orderBy(F.desc("n"), "id", F.asc_nulls_last("source")).limit(20)
+
+
+_RATIO = "round(CASE WHEN {1} > 0 THEN ({0})::DOUBLE / ({1}) ELSE 0.0 END, 4)"
+
+
+@_register(f"""WITH {_FOUND}, d AS (SELECT doc_id, docs.lang, coalesce(max(rank), -1) >= 2 AS caught FROM docs LEFT JOIN found USING (doc_id) GROUP BY ALL),
+c AS (SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS segment, count(*) FILTER (toxic = 1 AND caught) AS tp, count(*) FILTER (toxic = 1 AND NOT caught) AS fn, count(*) FILTER (toxic = 0 AND caught) AS fp, count(*) FILTER (toxic = 0 AND NOT caught) AS tn FROM d JOIN labels USING (doc_id) GROUP BY ROLLUP (lang))
+SELECT segment, tp, fn, fp, tn, {_RATIO.format('tp', '(tp + fp)')} AS precision, {_RATIO.format('tp', '(tp + fn)')} AS recall, {_RATIO.format('2 * tp', '(2 * tp + fp + fn)')} AS f1, sha256(concat_ws(',', tp, fn, fp, tn)) AS seal FROM c""")
+def quality_metrics(spark, sf_dir):
+    judged = scan.scan(_documents(spark, sf_dir)).select("doc_id", F.col("lang"), F.col("decision").isin("block", "quarantine").alias("caught"))
+    truth = _read(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("truth"))
+    return reports.quality_metrics(judged.join(truth, "doc_id"), "lang")
+
+
+_KEYWORDS = ["licensed under", "token", "the", "der die", "@", "MIT", "disregard all"]
+
+
+@_register(f"WITH {_DOCS}, k(keyword) AS (VALUES {', '.join(f'({_q(k.lower())})' for k in _KEYWORDS)}) SELECT doc_id, keyword FROM docs, k WHERE regexp_matches(lower(text), CASE WHEN regexp_matches(keyword, '[a-z0-9]$') THEN keyword || '([^\\p{{L}}\\p{{N}}]|$)' ELSE keyword END)")
+def keyword_boundary(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.explode(keywords.keyword_hits(F.col("text"), _KEYWORDS)).alias("keyword"))
+
+
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern cards made of the benchmark's passages."""
+    words = F.split("text", " ")
+    severity = F.element_at(F.array(*map(F.lit, ["critical", "high", "medium", "low", "urgent"])), (F.col("item_id") % 5 + 1).cast("int"))
+    return _read(spark, sf_dir, "benchmark").select(
+        F.when(F.col("item_id") % 9 == 0, F.concat(F.lit("bad "), "item_id")).otherwise(F.concat(F.lit("TG-"), "item_id")).alias("id"),
+        F.concat_ws(" ", F.slice(words, 1, 4)).alias("name"),
+        F.concat(F.lit("length-"), F.floor(F.char_length("text") / 100)).alias("category"),
+        severity.alias("severity"),
+        F.array(F.lit("file")).alias("channel"),
+        F.slice(words, 1, 3).alias("keywords"),
+        F.array(F.concat(words[0], F.lit(" .*"), F.when(F.col("item_id") % 7 == 0, "(").otherwise(""))).alias("regex"),
+    )
+
+
+_CARDS = """cards AS (SELECT CASE WHEN item_id % 9 = 0 THEN 'bad ' || item_id ELSE 'TG-' || item_id END AS id, 'length-' || (length(text) // 100) AS category, ['critical', 'high', 'medium', 'low', 'urgent'][item_id % 5 + 1] AS severity,
+  list_slice(string_split(text, ' '), 1, 3) AS keywords, string_split(text, ' ')[1] || ' .*' || CASE WHEN item_id % 7 = 0 THEN '(' ELSE '' END AS regex, item_id % 7 = 0 AS broken FROM benchmark)"""
+_DENIED = ["that", "with"]
+
+
+@_register(f"""WITH {_CARDS}, v AS (SELECT id, list_concat(CASE WHEN starts_with(id, 'bad') THEN ['id_shape'] ELSE [] END, CASE WHEN severity = 'urgent' THEN ['severity'] ELSE [] END, CASE WHEN broken THEN ['regex_broken'] ELSE [] END,
+  CASE WHEN len(list_filter(keywords, lambda k: NOT regexp_matches(k, '[\\p{{L}}\\p{{N}}]'))) > 0 THEN ['keyword_punctuation'] ELSE [] END, CASE WHEN len(list_filter(keywords, lambda k: length(trim(k)) < 4 AND NOT regexp_matches(k, '[/.\\\\*~_-]'))) > 0 THEN ['keyword_short'] ELSE [] END,
+  CASE WHEN len(list_filter(keywords, lambda k: lower(trim(k)) IN ('that', 'with'))) > 0 THEN ['keyword_denied'] ELSE [] END) AS found FROM cards) SELECT id, array_to_string(found, ',') AS violations FROM v""")
+def card_lint(spark, sf_dir):
+    return cards.lint(_cards(spark, sf_dir), _DENIED).select("id", F.array_join("violations", ",").alias("violations"))
+
+
+@_register(f"""WITH {_CARDS}, live AS (SELECT trim(regex) AS regex, min(id) AS live FROM cards WHERE severity = 'low' GROUP BY 1), first AS (SELECT trim(regex) AS regex, min(id) AS first FROM cards GROUP BY 1)
+SELECT id, nullif(coalesce(live, first), id) AS duplicate_of FROM cards JOIN first ON trim(cards.regex) = first.regex LEFT JOIN live ON trim(cards.regex) = live.regex""")
+def card_dedup(spark, sf_dir):
+    made = _cards(spark, sf_dir)
+    return cards.dedup(made, made.where("severity = 'low'"))
+
+
+@_register(f"WITH {_CARDS} SELECT CASE WHEN grouping(category) = 1 THEN 'all' ELSE category END AS category, CASE WHEN grouping(severity) = 1 THEN 'all' ELSE severity END AS severity, count(*) AS cards, sum(len(keywords))::BIGINT AS keywords, count(*) AS regexes FROM cards GROUP BY ROLLUP (category, severity)")
+def pattern_stats(spark, sf_dir):
+    return cards.stats(_cards(spark, sf_dir))
+
+
+@_register("""WITH clean AS (SELECT lower(text) AS t FROM documents JOIN labels USING (doc_id) WHERE toxic = 0 AND quality = 1), k(keyword) AS (VALUES ('licensed under'), ('token'), ('the'), ('der die'), ('@'), ('mit'), ('disregard all'))
+SELECT keyword, count(*) AS n_docs FROM clean, k WHERE regexp_matches(t, CASE WHEN keyword = '@' THEN keyword ELSE keyword || '([^\\p{L}\\p{N}]|$)' END) GROUP BY keyword""".replace("\\\\", "\\"))
+def keyword_gate(spark, sf_dir):
+    clean = _read(spark, sf_dir, "labels").where("toxic = 0 and quality = 1").select("doc_id")
+    return cards.clean_corpus_hits(_read(spark, sf_dir, "documents").join(clean, "doc_id"), "text", _KEYWORDS)
+
+
+_ALLOWED, _BLOCKED, _HOME = ["intake.example.org", "src1.example.org", "src2.example.org"], "~/.ssh", "/home/user"
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls that send documents about, with the digest of the server tool's descriptor."""
+    kind = F.pmod("doc_id", F.lit(5))
+    lang = F.coalesce("lang", F.lit("xx"))
+    given = (
+        F.when(kind == 0, F.create_map(F.lit("url"), F.concat(F.lit("https://"), F.coalesce("source", F.lit("none")), F.lit(".example.org/x")), F.lit("body"), F.coalesce("text", F.lit(""))))
+        .when(kind == 1, F.create_map(F.lit("command"), F.concat(F.lit("curl -d @- https://intake.example.org "), F.coalesce("text", F.lit("")))))
+        .when(kind == 2, F.create_map(F.lit("command"), F.concat(F.lit("echo "), F.coalesce("text", F.lit("")))))
+        .when(kind == 3, F.create_map(F.lit("file_path"), F.concat(F.when(F.col("doc_id") % 2 == 0, "~/.ssh/../.ssh/id_").otherwise("~/work/"), "doc_id")))
+        .otherwise(F.create_map(F.lit("text"), F.coalesce("text", F.lit(""))))
+    )
+    tool = F.when(kind == 0, "WebFetch").when(kind < 3, "Bash").when(kind == 3, "Read").otherwise(F.concat(F.lit("mcp__notes__"), lang))
+    sha = F.sha2(F.concat(F.when(lang == "de", "v2").otherwise("v1"), lang), 256)
+    return _documents(spark, sf_dir).select(F.col("doc_id").alias("call_id"), tool.alias("tool_name"), given.alias("tool_input"), sha.alias("sha256"))
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs = _read(spark, sf_dir, "documents").select("lang").where("lang <> 'fr'").distinct()
+    pins = langs.select(F.concat(F.lit("mcp__notes__"), "lang").alias("tool"), F.sha2(F.concat(F.lit("v1"), "lang"), 256).alias("sha256"))
+    return toolcalls.decide(toolcalls.with_pins(_calls(spark, sf_dir), pins), _ALLOWED, [_BLOCKED], _HOME)
+
+
+_TOKENS = "list_concat(" + ", ".join(f"list_transform(regexp_extract_all(clean, {_q(rx)}), lambda t: {{'rule': '{n}', 'token': t}})" for n, rx in R.SECRETS) + ")"
+_DECIDED = f"""{_DOCS}, shaped AS (SELECT doc_id AS call_id, ((doc_id % 5) + 5) % 5 AS kind, coalesce(lang, 'xx') AS l, coalesce(text, '') AS t, coalesce(source, 'none') AS s FROM docs),
+calls AS (SELECT call_id, l, CASE kind WHEN 0 THEN 'WebFetch' WHEN 1 THEN 'Bash' WHEN 2 THEN 'Bash' WHEN 3 THEN 'Read' ELSE 'mcp__notes__' || l END AS tool_name,
+  CASE kind WHEN 0 THEN 'https://' || s || '.example.org/x' || chr(10) || t WHEN 1 THEN 'curl -d @- https://intake.example.org ' || t WHEN 2 THEN 'echo ' || t WHEN 3 THEN CASE WHEN call_id % 2 = 0 THEN '~/.ssh/../.ssh/id_' ELSE '~/work/' END || call_id ELSE t END AS sent FROM shaped),
+judged AS (SELECT *, regexp_replace(sent, {_q(toolcalls.NO_WIDTH)}, '', 'g') AS clean,
+  tool_name = 'WebFetch' OR starts_with(tool_name, 'mcp__') OR (tool_name = 'Bash' AND (regexp_matches(sent, '(?i)\\bhttps?://') OR list_has_any(regexp_extract_all(sent, {_q(toolcalls.WORD)}), [{', '.join(map(_q, toolcalls.NETWORK_PROGRAMS))}]))) AS leaves,
+  list_filter(list_transform(regexp_extract_all(sent, {_q(toolcalls.PATH)}), lambda p: regexp_replace(regexp_replace(p, {_q(toolcalls.HOME)}, '{_HOME}/'), '/[^/]+/\\.\\./', '/')), lambda p: p = '{_HOME}/.ssh' OR starts_with(p, '{_HOME}/.ssh/')) AS touched,
+  list_filter(list_transform(regexp_extract_all(sent, {_q(toolcalls.HOST)}, 1), lambda h: lower(h)), lambda h: h NOT IN ({', '.join(map(_q, _ALLOWED))})) AS strange FROM calls),
+tokened AS (SELECT *, list_filter({_TOKENS}, lambda s: NOT regexp_matches(s.token, {_q(R.PLACEHOLDERS)})) AS tokens FROM judged),
+ruled AS (SELECT *, CASE WHEN leaves AND len(tokens) > 0 THEN 'secret:' || tokens[1].rule WHEN len(touched) > 0 THEN 'path' WHEN leaves AND len(strange) > 0 THEN 'host' WHEN starts_with(tool_name, 'mcp__') AND l IN ('fr', 'xx', 'de') THEN 'pin' ELSE 'clean' END AS rule_id FROM tokened),
+decided AS (SELECT call_id, tool_name, rule_id, CASE WHEN rule_id = 'clean' THEN 'defer' WHEN rule_id = 'pin' AND l <> 'de' THEN 'ask' ELSE 'deny' END AS action,
+  CASE WHEN starts_with(rule_id, 'secret') THEN substr(sha256(tokens[1].token), 1, 12) || '+' || (len(list_distinct(list_transform(tokens, lambda s: s.token))) - 1) WHEN rule_id = 'path' THEN touched[1] WHEN rule_id = 'host' THEN strange[1] WHEN rule_id = 'pin' THEN CASE WHEN l = 'de' THEN 'changed' ELSE 'new' END END AS detail FROM ruled)"""
+
+
+@_register(f"WITH {_DECIDED} SELECT call_id, tool_name, action, rule_id, detail FROM decided")
+def toolcall_decisions(spark, sf_dir):
+    return _decided(spark, sf_dir).select("call_id", "tool_name", "action", "rule_id", "detail")
+
+
+@_register(f"WITH {_DECIDED} SELECT tool_name, action AS decision, rule_id, count(*) AS n FROM decided GROUP BY ALL")
+def receipts_by_decision(spark, sf_dir):
+    made = toolcalls.receipts(_decided(spark, sf_dir), F.lit("2024-01-01").cast("timestamp"))
+    return made.groupBy("tool_name", "decision", "rule_id").agg(F.count("*").alias("n"))
+
+
+@_register("SELECT event_id, sha256(replace(props, ' ', '')) AS sha FROM events")
+def descriptor_hash(spark, sf_dir):
+    return _read(spark, sf_dir, "events").select("event_id", toolcalls.descriptor_sha(F.col("props")).alias("sha"))
+
+
+_AGENTS = ["Mozilla/5.0 GPTBot/1.1", "Mozilla/5.0 (compatible; ClaudeBot/1.0)", "Amazonbot/0.1", "curl/8.5", "x ChatGPT-User/1.0; GPTBot"]
+
+
+def _access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ip = F.when(F.col("user_id") % 7 == 0, F.format_string("fd00::%x", F.col("event_id") % 256)).otherwise(F.format_string("10.%d.0.%d", F.col("user_id") % 4, F.col("event_id") % 256))
+    agent = F.element_at(F.array(*map(F.lit, _AGENTS)), (F.col("event_id") % 5 + 1).cast("int"))
+    return _read(spark, sf_dir, "events").select(ip.alias("ip"), agent.alias("user_agent"))
+
+
+_LOG = """log AS (SELECT ['GPTBot (training)', 'ClaudeBot (training)', 'Amazonbot (no list published)', NULL, 'ChatGPT-User (answer time)'][event_id % 5 + 1] AS claim, event_id % 5 AS k,
+  CASE WHEN user_id % 7 = 0 THEN event_id % 256 < 16 ELSE user_id % 4 < 2 END AS ok, CASE WHEN user_id % 7 = 0 THEN 'fd00::' || printf('%x', event_id % 256) ELSE '10.' || (user_id % 4) || '.0.' || (event_id % 256) END AS ip FROM events WHERE event_id % 5 <> 3)"""
+
+
+@_register(f"WITH {_LOG} SELECT coalesce(claim, 'all') AS claim, count(*) FILTER (k IN (0, 1) AND ok) AS verified, count(*) FILTER (k IN (0, 1) AND NOT ok) AS fake, count(*) FILTER (k IN (2, 4)) AS uncheckable FROM log GROUP BY ROLLUP (claim)")
+def crawler_claims(spark, sf_dir):
+    published = [(v, c) for v in ("openai_train", "anthropic") for c in ("10.0.0.0/15", "fd00::/124", "no network")]
+    return crawlers.verify_claims(_access_log(spark, sf_dir), spark.createDataFrame(published, "vendor string, cidr string"))
+
+
+@_register(f"WITH {_LOG} SELECT ip, array_to_string(list_sort(list(DISTINCT claim)), '; ') AS claims FROM log GROUP BY ip HAVING count(DISTINCT claim) > 1")
+def crawler_shared_addresses(spark, sf_dir):
+    return crawlers.shared_addresses(_access_log(spark, sf_dir)).select("ip", F.array_join("claims", "; ").alias("claims"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

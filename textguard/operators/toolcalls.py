@@ -1,0 +1,117 @@
+"""Decisions on tool calls: secrets that leave, the user's paths and hosts, pinned descriptors.
+
+A call is a row (call_id, tool_name, tool_input map<string,string>). Every check is an expression
+over the row, so deciding needs no shuffle; only pins are joined.
+"""
+
+from __future__ import annotations
+
+import json
+from functools import reduce
+from operator import or_
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from .policy import under_path
+from .scan import secret_tokens
+
+#: Tools that reach the network, and programs that do.
+NETWORK_TOOLS = ["WebFetch", "WebSearch"]
+NETWORK_PROGRAMS = [
+    "curl", "wget", "nc", "ncat", "netcat", "telnet", "ssh", "scp", "sftp",
+    "rsync", "ftp", "socat", "http", "httpie", "xh",
+    "aws", "gcloud", "az", "gh", "glab", "heroku", "fly", "wrangler",
+    "twine", "npm", "yarn", "pnpm", "docker", "kubectl", "helm",
+    "sendmail", "mail", "mailx", "openssl",
+]
+#: Characters of no width and of text direction, taken out before secrets are sought.
+NO_WIDTH = r"[\x{00AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}]"
+#: Shapes of words, hosts and paths inside the values of a call.
+WORD = r"[A-Za-z0-9_\-]+"
+HOST = r"https?://([A-Za-z0-9._\-]+)"
+PATH = r"(?:\$\{HOME\}|\$HOME\b|[~/])[^\s'\"`;|&)>]*"
+HOME = r"^(?:\$\{HOME\}|\$HOME\b|~(?:/|$))"
+
+
+def sent_text(tool: Column, given: Column) -> Column:
+    """What a call could send: the command of a shell, all values of other tools."""
+    return F.when(tool == "Bash", F.coalesce(F.try_element_at(given, F.lit("command")), F.lit(""))).otherwise(F.coalesce(F.array_join(F.map_values(given), "\n"), F.lit("")))
+
+
+def reaches_network(tool: Column, given: Column) -> Column:
+    """Network tools and tools of servers do; a shell does if its command has a URL or names a network program anywhere."""
+    command = F.coalesce(F.try_element_at(given, F.lit("command")), F.lit(""))
+    named = F.arrays_overlap(F.regexp_extract_all(command, F.lit(WORD), F.lit(0)), F.array(*map(F.lit, NETWORK_PROGRAMS)))
+    return tool.isin(NETWORK_TOOLS) | F.startswith(tool, F.lit("mcp__")) | ((tool == "Bash") & (F.rlike(command, F.lit(r"(?i)\bhttps?://")) | named))
+
+
+def plain_path(path: Column, home: str) -> Column:
+    """Absolute path without ``~``, ``.``, ``..`` and empty components."""
+    full = F.regexp_replace(path, HOME, home.rstrip("/") + "/")
+    step = lambda kept, part: F.when(part.isin("", "."), kept).when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(part)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(full, "/"), F.array().cast("array<string>"), step), "/"))
+
+
+def _verdict(action: str, rule: Column | str, detail: Column) -> Column:
+    return F.struct(F.lit(action).alias("action"), (F.lit(rule) if isinstance(rule, str) else rule).alias("rule_id"), detail.alias("detail"))
+
+
+def decide(calls: DataFrame, allowed_hosts: list[str] = (), blocked_paths: list[str] = (), home: str = "/home/user", canaries: list[str] = ()) -> DataFrame:
+    """``calls`` with action, rule_id and detail; the first of these that applies decides.
+
+    A secret that leaves (deny; detail: 12 hex digits of its digest, and how many more there are),
+    a blocked path (deny; the path), a host that is not allowed (deny; the host), a server's tool
+    whose descriptor has changed (deny) or is not pinned (ask), else defer. Lists that are empty
+    are off. Pins count where ``calls`` has the columns sha256 and pinned (see with_pins). A null
+    tool or input holds nothing and defers.
+    """
+    tool, given = F.coalesce(F.col("tool_name"), F.lit("")), F.coalesce(F.col("tool_input"), F.create_map().cast("map<string,string>"))
+    leaves = reaches_network(tool, given)
+    tokens = F.filter(secret_tokens(F.regexp_replace(sent_text(tool, given), NO_WIDTH, "")), lambda s: ~s["token"].isin(list(canaries)))
+    more = F.size(F.array_distinct(F.transform(tokens, lambda s: s["token"]))) - 1
+    first = F.try_element_at(tokens, F.lit(1))
+    secret = F.when(leaves & (F.size(tokens) > 0), _verdict("deny", F.concat(F.lit("secret:"), first["rule"]), F.concat(F.substring(F.sha2(first["token"], 256), 1, 12), F.lit("+"), more)))
+    paths = F.flatten(F.transform(F.map_values(given), lambda v: F.regexp_extract_all(F.coalesce(v, F.lit("")), F.lit(PATH), F.lit(0))))
+    blocked = [p.replace("~", home, 1) if p.startswith("~") else p for p in blocked_paths]
+    touched = F.filter(F.transform(paths, lambda p: plain_path(p, home)), lambda p: under_path(p, blocked))
+    path = F.when(F.size(touched) > 0, _verdict("deny", "path", F.try_element_at(touched, F.lit(1))))
+    hosts = F.transform(F.regexp_extract_all(sent_text(tool, given), F.lit(HOST), F.lit(1)), lambda h: F.lower(h))
+    strange = F.filter(hosts, lambda h: ~h.isin([a.lower() for a in allowed_hosts]))
+    host = F.when(F.lit(bool(allowed_hosts)) & leaves & (F.size(strange) > 0), _verdict("deny", "host", F.try_element_at(strange, F.lit(1))))
+    checks = [secret, path, host]
+    if {"sha256", "pinned"} <= set(calls.columns):
+        served = F.startswith(tool, F.lit("mcp__"))
+        checks.append(F.when(served & F.col("pinned").isNull(), _verdict("ask", "pin", F.lit("new"))).when(served & ~F.col("sha256").eqNullSafe(F.col("pinned")), _verdict("deny", "pin", F.lit("changed"))))
+    return calls.withColumn("verdict", F.coalesce(*checks, _verdict("defer", "clean", F.lit(None).cast("string")))).select("*", "verdict.*").drop("verdict")
+
+
+def with_pins(calls: DataFrame, pins: DataFrame) -> DataFrame:
+    """``calls`` with the digest pinned for its tool; of several pins of a tool the smallest digest counts."""
+    one = pins.groupBy(F.col("tool").alias("tool_name")).agg(F.min("sha256").alias("pinned"))
+    return calls.join(one, "tool_name", "left")
+
+
+def canonical_json(text: str | None) -> str | None:
+    """JSON with sorted keys and without blanks; text that is no JSON gives null."""
+    try:
+        return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    except (TypeError, ValueError):
+        return None
+
+
+def descriptor_sha(descriptor: Column) -> Column:
+    """SHA-256 of a descriptor's canonical JSON; null if it is no JSON."""
+
+    def canonical(texts: pd.Series) -> pd.Series:
+        return texts.map(canonical_json)
+
+    return F.sha2(F.pandas_udf(canonical, StringType())(descriptor), 256)
+
+
+def receipts(decided: DataFrame, ts: Column) -> DataFrame:
+    """One receipt per decided call, with a digest of its input instead of the input."""
+    digest = F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("tool_input")))), 256)
+    return decided.select(ts.alias("ts"), "call_id", "tool_name", F.col("action").alias("decision"), F.lit("deterministic").alias("lane"), "rule_id", digest.alias("input_sha256"))
