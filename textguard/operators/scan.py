@@ -25,6 +25,11 @@ def decision_of(rank: Column) -> Column:
     return F.when(rank.isNull(), "allow").otherwise(F.element_at(F.create_map(*[F.lit(x) for kv in R.DECISIONS.items() for x in kv]), rank))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _before(text: Column, at: Column, chars: int) -> Column:
     """The ``chars`` characters before position ``at``, lower-cased."""
     start = F.greatest(at - chars, F.lit(1))
@@ -35,39 +40,37 @@ def _holds_any(text: Column, phrases: list[str]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(p)) for p in phrases])
 
 
-def negated(text: Column, at: Column) -> Column:
-    """Whether a negation, or a label followed by a quotation mark, stands shortly before a match."""
-    before = _before(text, at, R.NEGATION_CHARS)
-    quoted = [F.rlike(F.regexp_extract(before, f"(?s).*{label}(.*)$", 1), F.lit(R.QUOTES)) for label in R.LABELS]
+def negated(before: Column) -> Column:
+    """Whether a negation, or a label followed by a quotation mark, stands in the text before a match."""
+    quoted = [F.contains(before, F.lit(label)) & F.rlike(F.regexp_extract(before, f"(?s).*{label}(.*)$", 1), F.lit(R.QUOTES)) for label in R.LABELS]
     return _holds_any(before, R.NEGATIONS) | reduce(or_, quoted)
 
 
-def described(text: Column, at: Column) -> Column:
+def described(clause: Column) -> Column:
     """Whether the clause before a match speaks of defence or of attackers."""
-    clause = F.regexp_replace(_before(text, at, R.DESCRIBING_CHARS), r"(?s)^.*(?:[.!?] |\n)", "")
     return _holds_any(clause, R.DESCRIBING)
 
 
-def finding(text: Column, rule: R.Rule) -> Column:
-    """The finding of one rule, null if it does not match. Its first match decides; where a guard holds, it counts as review."""
-    match = F.regexp_extract(text, rule.pattern, 0)
-    at = F.instr(text, match)
-    guards = [] if rule.negation_immune else [negated(text, at)]
-    guards += [described(text, at)] if rule.layer == "mechanism" else []
-    severity = F.when(reduce(or_, guards), "review").otherwise(rule.severity) if guards else F.lit(rule.severity)
-    made = F.struct(F.lit(rule.id).alias("id"), F.lit(rule.category).alias("category"), severity.alias("severity"), F.lit(rule.layer).alias("layer"), F.substring(match, 1, R.MATCH_CHARS).alias("match"))
-    return F.when(F.rlike(text, F.lit(rule.pattern)), made)
-
-
 def findings(text: Column, rules: list[R.Rule] = R.RULES) -> Column:
-    """Array of (id, category, severity, layer, match) of the rules that match."""
-    return F.array_compact(F.array(*[finding(text, r) for r in rules]))
+    """Array of (id, category, severity, layer, match) of the rules that match.
+
+    Of each rule the first match decides; where a guard holds, it counts as review. Guards are
+    evaluated on the few matches alone, each piece of context cut once.
+    """
+    hit = lambda r: F.struct(*[F.lit(getattr(r, c)).alias(c) for c in ("id", "category", "severity", "layer", "negation_immune")], F.regexp_extract(text, r.pattern, 0).alias("match"))
+    hits = F.array_compact(F.array(*[F.when(F.rlike(text, F.lit(r.pattern)), hit(r)) for r in rules]))
+    placed = F.transform(hits, lambda h: F.struct(h.alias("h"), F.instr(text, h["match"]).alias("at")))
+    clause = lambda at: F.regexp_replace(_before(text, at, R.DESCRIBING_CHARS), r"(?s)^.*(?:[.!?] |\n)", "")
+    cut = F.transform(placed, lambda p: F.struct(p["h"].alias("h"), _before(text, p["at"], R.NEGATION_CHARS).alias("before"), F.when(p["h"]["layer"] == "mechanism", clause(p["at"])).otherwise("").alias("clause")))
+    harmless = lambda c: (~c["h"]["negation_immune"] & negated(c["before"])) | described(c["clause"])
+    made = lambda c: F.struct(c["h"]["id"].alias("id"), c["h"]["category"].alias("category"), F.when(harmless(c), "review").otherwise(c["h"]["severity"]).alias("severity"), c["h"]["layer"].alias("layer"), F.substring(c["h"]["match"], 1, R.MATCH_CHARS).alias("match"))
+    return F.transform(cut, made)
 
 
 def suppress_mechanisms(found: Column) -> Column:
     """Drop a mechanism where a carrier of its category ranks at least as high."""
-    beaten = lambda m: F.exists(found, lambda c: (c["layer"] == "carrier") & (c["category"] == m["category"]) & (rank_of(c["severity"]) >= rank_of(m["severity"])))
-    return F.filter(found, lambda f: (f["layer"] != "mechanism") | ~beaten(f))
+    beaten = lambda all_, m: F.exists(all_, lambda c: (c["layer"] == "carrier") & (c["category"] == m["category"]) & (rank_of(c["severity"]) >= rank_of(m["severity"])))
+    return bound(found, lambda all_: F.filter(all_, lambda f: (f["layer"] != "mechanism") | ~beaten(all_, f)))
 
 
 def scan(docs: DataFrame, text: str = "text", rules: list[R.Rule] = R.RULES) -> DataFrame:
