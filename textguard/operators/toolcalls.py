@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .policy import under_path
-from .scan import secret_tokens
+from .scan import bound, secret_tokens
 
 #: Tools that reach the network, and programs that do.
 NETWORK_TOOLS = ["WebFetch", "WebSearch"]
@@ -30,7 +30,7 @@ NETWORK_PROGRAMS = [
 #: Characters of no width and of text direction, taken out before secrets are sought.
 NO_WIDTH = r"[\x{00AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}]"
 #: Shapes of words, hosts and paths inside the values of a call.
-WORD = r"[A-Za-z0-9_\-]+"
+WORD_SIGNS = r"A-Za-z0-9_\-"
 HOST = r"https?://([A-Za-z0-9._\-]+)"
 PATH = r"(?:\$\{HOME\}|\$HOME\b|[~/])[^\s'\"`;|&)>]*"
 HOME = r"^(?:\$\{HOME\}|\$HOME\b|~(?:/|$))"
@@ -44,7 +44,7 @@ def sent_text(tool: Column, given: Column) -> Column:
 def reaches_network(tool: Column, given: Column) -> Column:
     """Network tools and tools of servers do; a shell does if its command has a URL or names a network program anywhere."""
     command = F.coalesce(F.try_element_at(given, F.lit("command")), F.lit(""))
-    named = F.arrays_overlap(F.regexp_extract_all(command, F.lit(WORD), F.lit(0)), F.array(*map(F.lit, NETWORK_PROGRAMS)))
+    named = F.rlike(command, F.lit(rf"(?<![{WORD_SIGNS}])(?:{'|'.join(NETWORK_PROGRAMS)})(?![{WORD_SIGNS}])"))
     return tool.isin(NETWORK_TOOLS) | F.startswith(tool, F.lit("mcp__")) | ((tool == "Bash") & (F.rlike(command, F.lit(r"(?i)\bhttps?://")) | named))
 
 
@@ -70,17 +70,17 @@ def decide(calls: DataFrame, allowed_hosts: list[str] = (), blocked_paths: list[
     """
     tool, given = F.coalesce(F.col("tool_name"), F.lit("")), F.coalesce(F.col("tool_input"), F.create_map().cast("map<string,string>"))
     leaves = reaches_network(tool, given)
-    tokens = F.filter(secret_tokens(F.regexp_replace(sent_text(tool, given), NO_WIDTH, "")), lambda s: ~s["token"].isin(list(canaries)))
-    more = F.size(F.array_distinct(F.transform(tokens, lambda s: s["token"]))) - 1
-    first = F.try_element_at(tokens, F.lit(1))
-    secret = F.when(leaves & (F.size(tokens) > 0), _verdict("deny", F.concat(F.lit("secret:"), first["rule"]), F.concat(F.substring(F.sha2(first["token"], 256), 1, 12), F.lit("+"), more)))
+    tokens = F.filter(bound(F.regexp_replace(sent_text(tool, given), NO_WIDTH, ""), secret_tokens), lambda s: ~s["token"].isin(list(canaries)))
+    more = lambda ts: F.size(F.array_distinct(F.transform(ts, lambda s: s["token"]))) - 1
+    found = lambda ts: _verdict("deny", F.concat(F.lit("secret:"), ts[0]["rule"]), F.concat(F.substring(F.sha2(ts[0]["token"], 256), 1, 12), F.lit("+"), more(ts)))
+    secret = F.when(leaves, bound(tokens, lambda ts: F.when(F.size(ts) > 0, found(ts))))
     paths = F.flatten(F.transform(F.map_values(given), lambda v: F.regexp_extract_all(F.coalesce(v, F.lit("")), F.lit(PATH), F.lit(0))))
     blocked = [p.replace("~", home, 1) if p.startswith("~") else p for p in blocked_paths]
     touched = F.filter(F.transform(paths, lambda p: plain_path(p, home)), lambda p: under_path(p, blocked))
-    path = F.when(F.size(touched) > 0, _verdict("deny", "path", F.try_element_at(touched, F.lit(1))))
+    path = bound(touched, lambda ps: F.when(F.size(ps) > 0, _verdict("deny", "path", ps[0])))
     hosts = F.transform(F.regexp_extract_all(sent_text(tool, given), F.lit(HOST), F.lit(1)), lambda h: F.lower(h))
     strange = F.filter(hosts, lambda h: ~h.isin([a.lower() for a in allowed_hosts]))
-    host = F.when(F.lit(bool(allowed_hosts)) & leaves & (F.size(strange) > 0), _verdict("deny", "host", F.try_element_at(strange, F.lit(1))))
+    host = F.when(F.lit(bool(allowed_hosts)) & leaves, bound(strange, lambda hs: F.when(F.size(hs) > 0, _verdict("deny", "host", hs[0]))))
     checks = [secret, path, host]
     if {"sha256", "pinned"} <= set(calls.columns):
         served = F.startswith(tool, F.lit("mcp__"))
