@@ -18,13 +18,26 @@ from pyspark.sql.types import StringType
 INVISIBLE = r"[\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}\x{00AD}\x{034F}\x{061C}\x{2028}\x{2029}\x{E0001}-\x{E007F}]"
 #: Digits and signs that stand for letters.
 LEET = ("013457@$!", "oieastasi")
-#: Look-alike letters of other scripts and the Latin letters they imitate.
-LOOKALIKES = ("аеорсухіјѕԁһԛԝАВЕКМНОРСТХαοιν", "aeopcyxijsdhqwABEKMHOPCTXaoiv")
+#: Look-alike letters of other scripts and the Latin letters they imitate: Cyrillic, Ukrainian, Armenian, Georgian, Greek, full width.
+LOOKALIKE_PAIRS = {
+    "АВСЕНКМОРТХ": "ABCEHKMOPTX",
+    "аеорсух": "aeopcyx",
+    "ІіЇїЄєҐґ": "IiIiEeGg",
+    "ՈՍ": "OS",
+    "ქ": "K",
+    "ΑΒΕΗΙΚΜΝΟΡΤΧΖ": "ABEHIKMNOPTXZ",
+    "αεορυ": "aeopu",
+    "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ": "abcdefghijklmnopqrstuvwxyz",
+}
+LOOKALIKES = "".join(LOOKALIKE_PAIRS), "".join(LOOKALIKE_PAIRS.values())
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROT13 = (LOWER + UPPER, LOWER[13:] + LOWER[:13] + UPPER[13:] + UPPER[:13])
 #: Views besides the plain text are only made up to this length.
 VIEW_LIMIT = 2000
-SEPARATOR = " \x1e "
+#: Sign between views; no text keeps it.
+VIEW_MARK = "\x1e"
+SEPARATOR = f" {VIEW_MARK} "
 
 
 def strip_invisible(text: Column) -> Column:
@@ -87,7 +100,16 @@ def decoded(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """Folded text, followed for short texts by its ROT13 and reversed views."""
-    plain = collapse_whitespace(fold_leet(decoded(strip_invisible(F.replace(text, F.lit("\x1e"), F.lit(" "))))))
-    views = F.concat_ws(SEPARATOR, plain, rot13(plain), F.reverse(plain))
-    return F.lower(F.when(F.char_length(plain) <= VIEW_LIMIT, views).otherwise(plain))
+    """Folded lower-case text, followed by its views.
+
+    The ROT13 view follows where it differs. Short texts are followed besides by all of this
+    reversed, and then, where it differs, by the whole with each ``l`` that begins a word read as ``i``.
+    """
+    plain = collapse_whitespace(fold_leet(decoded(strip_invisible(F.replace(text, F.lit(VIEW_MARK), F.lit(" "))))))
+    turned = lambda t: F.when(rot13(t) != t, F.concat_ws(SEPARATOR, t, rot13(t))).otherwise(t)
+    mirrored = lambda t: F.lower(F.concat_ws(SEPARATOR, t, F.reverse(t)))
+    reshaped = lambda t: F.regexp_replace(t, r"(?U)\bl(?=[a-z])", "i")
+    both = lambda t: F.when(reshaped(t) != t, F.concat_ws(SEPARATOR, t, reshaped(t))).otherwise(t)
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    short = lambda p: once(mirrored(turned(p)), both)
+    return F.when(text.isNotNull(), once(plain, lambda p: F.when(F.char_length(p) <= VIEW_LIMIT, short(p)).otherwise(F.lower(turned(p)))))
