@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import cards, crawlers, keywords, policy, reports, scan, toolcalls
+from .operators import cards, crawlers, engine, keywords, policy, reports, scan, toolcalls
+from .plans import patterns as P
 from .plans import rules as R
 
 
@@ -25,7 +26,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _findings(docs: DataFrame) -> DataFrame:
     """Long table of findings after suppression."""
-    found = scan.scan(docs).select("doc_id", "lang", "source", F.explode("findings").alias("f"))
+    # explode_outer: a plain explode makes the optimiser compute the findings twice, once for a filter
+    found = scan.scan(docs).select("doc_id", "lang", "source", F.explode_outer("findings").alias("f")).where("f is not null")
     return found.select("doc_id", "lang", "source", "f.id", "f.category", "f.severity", "f.layer", "f.match", scan.rank_of(F.col("f.severity")).alias("rank"))
 
 
@@ -380,6 +382,44 @@ def crawler_shared_addresses(spark, sf_dir):
     return crawlers.shared_addresses(_access_log(spark, sf_dir)).select("ip", F.array_join("claims", "; ").alias("claims"))
 
 
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with planted attacks of every shape."""
+    planted = spark.createDataFrame(P.PLANTED, "doc_id long, text string")
+    return _read(spark, sf_dir, "documents").select("doc_id", "text", "source").unionByName(planted, allowMissingColumns=True)
+
+
+_SHAPES = "docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, {_q(t)})" for i, t in P.PLANTED) + "))"
+#: Mechanisms whose regexes DuckDB can read too: they have no look-behind.
+_PLAIN_SHAPES = [m for m in P.MECHANISMS if not any("(?<" in rx for rx in m.regex)]
+_SHAPE_HITS = " UNION ALL ".join(
+    f"SELECT doc_id, '{m.id}' AS id, CASE " + " ".join(f"WHEN regexp_matches(text, {_q(rx)}) THEN regexp_extract(text, {_q(rx)})" for rx in m.regex) + " END AS hit FROM docs"
+    for m in _PLAIN_SHAPES if "file" in m.channel
+)
+
+
+@_register(f"WITH {_SHAPES}, hits AS ({_SHAPE_HITS}) SELECT doc_id, id, substr(hit, 1, {R.MATCH_CHARS}) AS match FROM hits WHERE hit IS NOT NULL")
+def mechanism_hits(spark, sf_dir):
+    found = engine.Engine(_PLAIN_SHAPES, mechanisms=False).scan(_shapes(spark, sf_dir), channel="file")
+    return found.select("doc_id", F.explode_outer("findings").alias("f")).where("f is not null").select("doc_id", "f.id", "f.match")
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns that know the benchmark's passages by their first words, some by keyword, some by keyword and regex."""
+    words = F.split("text", " ")
+    opening = F.array_join(F.slice(words, 1, 6), " ")
+    regex = F.when(F.col("item_id") % 3 == 0, F.array(F.concat(F.array_join(F.slice(words, 1, 3), r"\s+"), F.lit(r"\s+\S+"))))
+    channel = F.array(F.when(F.col("item_id") % 2 == 0, "web_content").otherwise("file"))
+    severity = F.element_at(F.array(*map(F.lit, ["high", "medium", "low"])), (F.col("item_id") % 3 + 1).cast("int"))
+    return _read(spark, sf_dir, "benchmark").select(F.concat(F.lit("P-"), "item_id").alias("id"), F.lit("passage").alias("category"), severity.alias("severity"), channel.alias("channel"), F.array(opening).alias("keywords"), regex.alias("regex"))
+
+
+@_register()
+def engine_decisions(spark, sf_dir):
+    source = F.when(F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 2 == 0, "web_content").otherwise("code")
+    found = engine.Engine(_passages(spark, sf_dir)).scan(_shapes(spark, sf_dir).withColumn("channel", source), channel=F.col("channel"))
+    return found.select("doc_id", "channel", "decision", F.size("findings").alias("n"), F.to_json("findings").alias("findings"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -71,11 +71,19 @@ def _base64_segment(match: re.Match) -> str:
     return found if len(found) > 4 and found.isprintable() else raw
 
 
+#: Single letters joined by signs or by single spaces, at least three of them, and what every such run holds.
+_JOINED, _JOINED_HINT = re.compile(r"\b[a-zA-Z](?:[.\-_][a-zA-Z]){2,}\b"), re.compile(r"[.\-_][a-zA-Z][.\-_][a-zA-Z]")
+_SPACED, _SPACED_HINT = re.compile(r"(?<!\S)[a-zA-Z](?: [a-zA-Z]){2,}(?!\S)"), re.compile(r" [a-zA-Z] [a-zA-Z](?!\S)")
+_FOLDED, _FOLDS = re.compile(f"[{LOOKALIKES[0]}]"), str.maketrans(*LOOKALIKES)
+
+
 def decode_layers(text: str | None, passes: int = 3) -> str | None:
-    """NFKC, then entities, percent codes, hex escapes and base64 runs until nothing changes (at most ``passes`` times), then spaced-out words."""
+    """NFKC and look-alikes; entities, percent codes, hex escapes and base64 runs until nothing changes (at most ``passes`` times); then words spelt with signs or spaces between their letters, and runs of white space."""
     if text is None:
         return None
-    text = unicodedata.normalize("NFKC", text).translate(str.maketrans(*LOOKALIKES))
+    text = unicodedata.normalize("NFKC", text)
+    if _FOLDED.search(text):
+        text = text.translate(_FOLDS)
     for _ in range(passes):
         before = text
         if "&" in text:
@@ -86,8 +94,11 @@ def decode_layers(text: str | None, passes: int = 3) -> str | None:
         text = re.sub(r"[A-Za-z0-9+/]{20,}={0,2}", _base64_segment, text)
         if text == before:
             break
-    text = re.sub(r"(?<![^\W_])[^\W\d_](?:[.\-_][^\W\d_]){2,}(?![^\W_])", lambda m: re.sub(r"[.\-_]", "", m.group(0)), text)
-    return re.sub(r"(?<!\S)[^\W\d_](?: [^\W\d_]){2,}(?!\S)", lambda m: m.group(0).replace(" ", ""), text)
+    if _JOINED_HINT.search(text):
+        text = _JOINED.sub(lambda m: re.sub(r"[.\-_]", "", m.group(0)), text)
+    if _SPACED_HINT.search(text):
+        text = _SPACED.sub(lambda m: m.group(0).replace(" ", ""), text)
+    return re.sub(r"\s{2,}", " ", text)
 
 
 def decoded(text: Column) -> Column:

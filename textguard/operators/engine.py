@@ -38,6 +38,9 @@ MOST_PATTERNS = 5_000
 #: Characters of normalised text that a keyword finding quotes before and after the keyword.
 QUOTED_BEFORE, QUOTED_AFTER = 10, 20
 
+#: Letters that count as another where case is ignored, although lower-casing keeps them.
+SAME_LETTERS = ("ſı", "si")
+
 _FLAGS = re.compile(r"\(\?([aiLmsux]+)\)")
 #: Escapes, whole character classes, Python's named groups, and repetitions, with and without a lower bound.
 _TOKENS = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?P<|\(\?P=(\w+)\)|\{\d+,?\d*\}|\{,(?=\d+\})|.", re.S)
@@ -205,32 +208,23 @@ class Engine:
         )
         of = lambda hit: F.element_at(table, hit["p"] + 1)
         taken = {c.lower() for c in docs.columns}
-        mark = next(m for m in ("_" * n + "engine" for n in range(1, 99)) if not any(c.startswith(m) for c in taken))
-        name = lambda part: F.col(f"{mark}_{part}")
+        normal, keyworded, result = (next(n for n in ("_" * k + part for k in range(1, 99)) if n not in taken) for part in ("normal", "keyworded", "result"))
         raw = F.col(text)
         empty = F.array().cast("array<struct<p int, match string, at int>>")
 
-        def lane(over: Column, pieces: Column, which: list[int], gate) -> Column:
+        def lane(over: Column, folded: Column, which: list[int], gate) -> Column:
+            """First match of each of the patterns ``which`` in a text; each helper column is computed once."""
+            def hits(low: Column, pieces: Column) -> Column:
+                near = lambda i: reduce(or_, [F.contains(low, F.lit(n)) for n in self.patterns[i].needs]) if self.patterns[i].needs else F.lit(True)
+                return F.array_compact(F.array(*[F.when(gate(i) & near(i), F.coalesce(*[first_match(over, pieces, i, rx) for rx in self.regexes[i]])) for i in which]))
+
             if not which:
                 return empty
-            hits = [F.when(gate(i), F.coalesce(*[first_match(over, pieces, i, rx) for rx in self.regexes[i]])) for i in which]
-            return F.array_compact(F.array(*hits))
-
-        regexed = [i for i in chosen if self.regexes[i]]
-        owners = self._owners(chosen)
-        doubtful = sorted({p for ps in owners.values() for p in ps if self.regexes[p]})
-        out = docs.withColumn(f"{mark}_normal", normalize(raw) if owners else F.lit(None).cast("string"))
-        out = out.withColumn(f"{mark}_keywords", keyword_places(name("normal"), owners))
-        out = out.withColumn(f"{mark}_keywords", F.filter(name("keywords"), lambda h: allowed(of(h)["channel"])))
-        literal = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
-        out = out.withColumn(f"{mark}_pieces", S.windows(raw))
-        out = out.withColumn(f"{mark}_raw", lane(raw, name("pieces"), regexed, lambda i: allowed(literal(self.patterns[i].channel))))
-        open_ = F.filter(F.transform(F.filter(name("keywords"), lambda h: of(h)["has_regex"]), lambda h: h["p"]), lambda p: ~F.exists(name("raw"), lambda m: m["p"] == p))
-        out = out.withColumn(f"{mark}_open", F.when(F.char_length(raw) <= VIEW_LIMIT, open_).otherwise(F.array().cast("array<int>")))
-        tried = S.bound(S.windows(name("normal")), lambda ws: lane(name("normal"), ws, doubtful, lambda i: F.array_contains(name("open"), i)))
-        out = out.withColumn(f"{mark}_tried", F.when(F.size(name("open")) > 0, tried).otherwise(empty))
+            windowed = any(evaluation(rx)[0] != "plain" for i in which for rx in self.regexes[i])
+            return S.bound(folded, lambda low: S.bound(S.windows(over), lambda ws: hits(low, ws)) if windowed else hits(low, F.lit(None)))
 
         def judged(hits: Column, over: Column, describing: bool) -> Column:
+            """Findings of an array of matches, with the guards held against the text before each."""
             before = lambda h: S._before(over, h["at"], R.NEGATION_CHARS)
             clause = lambda h: F.regexp_replace(S._before(over, h["at"], R.DESCRIBING_CHARS), r"(?s)^.*(?:[.!?] |\n)", "")
             cut = F.transform(hits, lambda h: F.struct(of(h).alias("o"), h["match"].alias("match"), before(h).alias("before"), (clause(h) if describing else F.lit("")).alias("clause")))
@@ -240,8 +234,26 @@ class Engine:
                 c["o"]["layer"].alias("layer"), F.substring(c["match"], 1, R.MATCH_CHARS).alias("match"), c["o"]["severity"].alias("original_severity"),
             ))
 
-        alone = F.filter(name("keywords"), lambda h: ~of(h)["has_regex"])
-        found = F.concat(judged(alone, name("normal"), False), judged(name("raw"), raw, True), judged(name("tried"), name("normal"), False))
-        out = out.withColumn("findings", S.suppress_mechanisms(found))
-        worst = F.array_max(F.transform("findings", lambda f: S.rank_of(f["severity"])))
-        return out.withColumn("decision", S.decision_of(worst)).drop(*[c for c in out.columns if c.startswith(f"{mark}_")])
+        regexed = [i for i in chosen if self.regexes[i]]
+        owners = self._owners(chosen)
+        doubtful = sorted({p for ps in owners.values() for p in ps if self.regexes[p]})
+        literal = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+
+        def verdict(folded: Column, known: Column, seen: Column) -> Column:
+            """Findings and decision, from the normalised text, keyword hits and matches in the text itself."""
+            unsure = F.transform(F.filter(known, lambda h: of(h)["has_regex"]), lambda h: h["p"])
+            open_ = F.when(F.char_length(raw) <= VIEW_LIMIT, F.filter(unsure, lambda p: ~F.exists(seen, lambda m: m["p"] == p))).otherwise(F.array().cast("array<int>"))
+            tried = S.bound(open_, lambda o: F.when(F.size(o) > 0, lane(folded, folded, doubtful, lambda i: F.array_contains(o, i))).otherwise(empty))
+            alone = F.filter(known, lambda h: ~of(h)["has_regex"])
+            found = F.concat(judged(alone, folded, False), judged(seen, raw, True), judged(tried, folded, False))
+            worst = lambda fs: F.array_max(F.transform(fs, lambda f: S.rank_of(f["severity"])))
+            return S.bound(S.suppress_mechanisms(found), lambda fs: F.struct(fs.alias("findings"), S.decision_of(worst(fs)).alias("decision")))
+
+        out = docs.withColumn(normal, normalize(raw) if owners else F.lit(None).cast("string"))
+        out = out.withColumn(keyworded, keyword_places(F.col(normal), owners))
+        known = F.filter(keyworded, lambda h: allowed(of(h)["channel"]))
+        seen = lane(raw, F.translate(F.lower(raw), *SAME_LETTERS), regexed, lambda i: allowed(literal(self.patterns[i].channel)))
+        # one nested expression: optimiser rules that copy a column's definition copy it once, not once for each use inside
+        out = out.withColumn(result, S.bound(F.col(normal), lambda n: S.bound(known, lambda k: S.bound(seen, lambda s: verdict(n, k, s)))))
+        kept = [c for c in docs.columns if c.lower() not in ("findings", "decision")]
+        return out.select(*[F.col(f"`{c}`") for c in kept], f"{result}.findings", f"{result}.decision")
