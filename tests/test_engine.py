@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from textguard.functions import text as T
 from textguard.operators import engine as E
+from textguard.operators import toolcalls
 from textguard.plans.patterns import MECHANISMS, PLANTED, Pattern
+from textguard.sources.patterns import search_patterns
 
 DOC = "doc_id long, text string, channel string"
 
@@ -97,3 +99,19 @@ def test_normal_form(spark):
     assert got[0] == sep.join(["lgnore", "ytaber", "rebaty", "erongl", "ignore", "ytaber", "rebaty", "erongl"])
     assert got[1] == f"x{sep}k{sep}k{sep}x" and got[2] == f"i2 i{sep}v2 v{sep}v 2v{sep}i 2i" and got[3] is None
     assert got[4] == "a" * 2001 + sep + "n" * 2001
+
+
+def test_findings_ask_last(spark):
+    attack = PLANTED[0][1]
+    rows = [("Bash", {"command": f"echo {attack}"}), ("Bash", {"other": attack}), ("Read", {"p": "~/.ssh/x", "t": attack}), ("WebFetch", {"a": "fine"}), (None, None)]
+    calls = spark.createDataFrame([(i, *r, "kept") for i, r in enumerate(rows)], "call_id long, tool_name string, tool_input map<string,string>, decision string")
+    got = toolcalls.ask_on_findings(toolcalls.decide(calls, blocked_paths=["~/.ssh"]), E.Engine()).orderBy("call_id").collect()
+    assert [(r.action, r.rule_id, r.lane) for r in got] == [("ask", "MECH-001", "fuzzy"), ("defer", "clean", "deterministic"), ("deny", "path", "deterministic"), ("defer", "clean", "deterministic"), ("defer", "clean", "deterministic")]
+    assert got[0].detail == "block"
+
+
+def test_search(spark):
+    rows = [("1", "n", "c", "high", None, ["Abc"]), ("2", "xabc", "d", "low", None, None), ("3", None, "c", "low", None, [])]
+    table = spark.createDataFrame(rows, "id string, name string, category string, severity string, description string, keywords array<string>")
+    found = lambda *a, **k: sorted(r.id for r in search_patterns(table, *a, **k).collect())
+    assert found("abc") == ["1", "2"] and found("abc", severity="low") == ["2"] and found(category="c") == ["1", "3"] and found() == ["1", "2", "3"]

@@ -353,6 +353,12 @@ def receipts_by_decision(spark, sf_dir):
     return made.groupBy("tool_name", "decision", "rule_id").agg(F.count("*").alias("n"))
 
 
+@_register()
+def toolcall_fuzzy(spark, sf_dir):
+    asked = toolcalls.ask_on_findings(_decided(spark, sf_dir), engine.Engine(_passages(spark, sf_dir)))
+    return asked.groupBy("tool_name", "action", "lane").agg(F.count("*").alias("n"))
+
+
 @_register("SELECT event_id, sha256(replace(props, ' ', '')) AS sha FROM events")
 def descriptor_hash(spark, sf_dir):
     return _read(spark, sf_dir, "events").select("event_id", toolcalls.descriptor_sha(F.col("props")).alias("sha"))

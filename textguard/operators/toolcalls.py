@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .engine import Engine
 from .policy import under_path
 from .scan import bound, secret_tokens
 
@@ -94,6 +95,23 @@ def with_pins(calls: DataFrame, pins: DataFrame) -> DataFrame:
     return calls.join(one, "tool_name", "left")
 
 
+def ask_on_findings(decided: DataFrame, engine: Engine) -> DataFrame:
+    """Result of decide, with ``lane``; calls that would defer are scanned, and asked about if what they could send has findings.
+
+    A finding is a guess, so it asks and never denies: rule_id is that of the first finding, detail
+    the decision a scan would have made. Calls decided before are not searched.
+    """
+    open_ = F.col("action") == "defer"
+    plain = decided.withColumn("_sent", F.when(open_, sent_text(F.coalesce(F.col("tool_name"), F.lit("")), F.coalesce(F.col("tool_input"), F.create_map().cast("map<string,string>")))))
+    scanned = engine.scan(plain, "_sent", "message")
+    asks = open_ & (F.size("findings") > 0)
+    return scanned.select(
+        *[F.col(f"`{c}`") for c in decided.columns if c not in ("action", "rule_id", "detail", "findings", "decision")],
+        F.when(asks, "ask").otherwise(F.col("action")).alias("action"), F.when(asks, F.element_at("findings.id", 1)).otherwise(F.col("rule_id")).alias("rule_id"),
+        F.when(asks, F.col("decision")).otherwise(F.col("detail")).alias("detail"), F.when(asks, "fuzzy").otherwise("deterministic").alias("lane"),
+    )
+
+
 def canonical_json(text: str | None) -> str | None:
     """JSON with sorted keys and without blanks; text that is no JSON gives null."""
     try:
@@ -114,4 +132,4 @@ def descriptor_sha(descriptor: Column) -> Column:
 def receipts(decided: DataFrame, ts: Column) -> DataFrame:
     """One receipt per decided call, with a digest of its input instead of the input."""
     digest = F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("tool_input")))), 256)
-    return decided.select(ts.alias("ts"), "call_id", "tool_name", F.col("action").alias("decision"), F.lit("deterministic").alias("lane"), "rule_id", digest.alias("input_sha256"))
+    return decided.select(ts.alias("ts"), "call_id", "tool_name", F.col("action").alias("decision"), (F.col("lane") if "lane" in decided.columns else F.lit("deterministic")).alias("lane"), "rule_id", digest.alias("input_sha256"))

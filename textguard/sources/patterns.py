@@ -15,8 +15,10 @@ def read_patterns(spark: SparkSession, folder: str) -> DataFrame:
     return whole.drop("_corrupt_record").withColumnRenamed("channels", "channel").withColumn("negation_immune", F.coalesce("negation_immune", F.lit(False)))
 
 
-def search_patterns(patterns: DataFrame, query: str) -> DataFrame:
-    """Patterns whose name, description, category or a keyword contains ``query``."""
+def search_patterns(patterns: DataFrame, query: str = "", category: str | None = None, severity: str | None = None) -> DataFrame:
+    """Patterns of a category and a severity, if given, whose name, description, category or a keyword contains ``query``."""
+    for column, value in (("category", category), ("severity", severity)):
+        patterns = patterns if value is None else patterns.where(F.col(column) == value)
     q = F.lit(query.lower())
     holds = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), q)
     return patterns.where(holds(F.col("name")) | holds(F.col("description")) | holds(F.col("category")) | F.exists(F.coalesce("keywords", F.array().cast("array<string>")), holds))
