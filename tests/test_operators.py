@@ -115,3 +115,10 @@ def test_files(spark, tmp_path):
     assert [r[0] for r in srt.select(files.clean_subtitles(F.col("s"))).collect()] == ["Hello there you", None]
     (tmp_path / "log.csv").write_text(" ClientIP ,UA\n1.2.3.4,bot\n,none\n5.6.7.8,\n")
     assert sorted(tuple(r) for r in files.read_csv_log(spark, str(tmp_path / "log.csv")).collect()) == [("1.2.3.4", "bot"), ("5.6.7.8", "")]
+
+
+def test_sarif_rules(spark):
+    rows = [("A", "c", "review", 0), ("A", "c", "critical", 4), ("B", None, "odd", 0), ("B", None, None, 0)]
+    got = {r.id: (r.level, r.score, json.loads(r.rule)) for r in reports.sarif_rules(spark.createDataFrame(rows, "id string, category string, severity string, rank int")).collect()}
+    assert got["A"][:2] == ("error", "9.5") and got["B"][0] == "note" and got["B"][1] == "5.0"
+    assert got["A"][2]["properties"]["security-severity"] == "9.5" and got["A"][2]["defaultConfiguration"] == {"level": "error"}

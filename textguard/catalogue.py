@@ -109,6 +109,14 @@ def sarif_export(spark, sf_dir):
     return reports.sarif_results(_findings(_documents(spark, sf_dir)), "doc_id")
 
 
+_SCORES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in reports.SECURITY_SCORES.items())
+
+
+@_register(f"WITH {_FOUND}, k AS (SELECT id, category, arg_max(severity, rank) AS severity, max(rank) AS top FROM found GROUP BY id, category) SELECT id, category, CASE WHEN top >= 3 THEN 'error' WHEN top = 2 THEN 'warning' ELSE 'note' END AS level, CASE severity {_SCORES} ELSE '5.0' END AS score FROM k")
+def sarif_rules(spark, sf_dir):
+    return reports.sarif_rules(_findings(_documents(spark, sf_dir))).drop("rule")
+
+
 @_register()
 def normalize_full(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.sha2(T.normalize(F.col("text")), 256).alias("sha"))

@@ -47,6 +47,21 @@ def sarif_results(found: DataFrame, location: str) -> DataFrame:
     return found.select(location, "id", F.to_json(body).alias("result"))
 
 
+#: Score by severity that code scanning shows.
+SECURITY_SCORES = {"critical": "9.5", "high": "8.0", "medium": "5.5", "low": "3.0", "review": "2.0"}
+
+
+def sarif_rules(found: DataFrame) -> DataFrame:
+    """One row per rule that has findings: id, category, level, score and the SARIF rule (JSON); its worst finding gives the severity."""
+    rules = found.groupBy("id").agg(F.max_by("severity", "rank").alias("severity"), F.max("rank").alias("rank"), F.min("category").alias("category"))
+    level = F.when(F.col("rank") >= 3, "error").when(F.col("rank") == 2, "warning").otherwise("note")
+    score = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SECURITY_SCORES.items() for x in kv]), F.col("severity")), F.lit("5.0"))
+    rows = rules.select("id", "category", level.alias("level"), score.alias("score"))
+    properties = F.struct("category", F.col("score").alias("security-severity"), F.array(F.lit("security"), F.concat(F.lit("category:"), "category")).alias("tags"))
+    body = F.struct("id", F.struct(F.col("id").alias("text")).alias("shortDescription"), properties.alias("properties"), F.struct("level").alias("defaultConfiguration"))
+    return rows.withColumn("rule", F.to_json(body))
+
+
 def result_json(scanned: DataFrame, key: str) -> DataFrame:
     """One JSON object per scanned row: its decision and findings."""
     body = F.struct(F.col(key), "decision", F.size("findings").alias("findings_count"), "findings")
