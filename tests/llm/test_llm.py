@@ -157,3 +157,26 @@ def test_raking_meets_targets(spark):
     assert share("source")["x"] == pytest.approx(0.5, abs=1e-6) and share("lang")["d"] == pytest.approx(0.5, abs=1e-6)
     docs = spark.createDataFrame([(i, "w " * 10, None, None, 5) for i in range(50)], "doc_id long, text string, lang string, source string, mix long")
     assert "_mix" in mixing.mix(docs).columns and mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_neighbours_among_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1600, 16))
+    x[np.arange(1600) % 3 == 1] = x[1]  # a third of all rows, more than the candidates of a query
+    x[2] = x[1] + 0.05 * rng.normal(size=16)  # near the copies, so they come first
+    rows = [(int(i), x[i].tolist()) for i in rng.permutation(1600)]
+    frame = spark.createDataFrame([*rows, rows[0]], "vec_id long, embedding array<double>")
+    found = ann.nearest_neighbours(frame, F.col("vec_id").isin(1, 2, 700), shard_rows=300).orderBy("query_id", "rank").collect()
+    got = lambda q: [r.vec_id for r in found if r.query_id == q]
+    assert got(1) == [4, 7, 10, 13, 16] and got(2) == [1, 4, 7, 10, 13] and got(700) == [1, 4, 7, 10, 13]
+
+
+def test_copies_do_not_crowd_out_neighbours(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 16))
+    x[3:600] = x[3]
+    x[0] = x[3] + 0.3 * rng.normal(size=16)
+    x[1], x[2] = x[0] + 1e-4, x[0] + 2e-4
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.nearest_neighbours(frame, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [1, 2, 3, 4, 5]

@@ -14,7 +14,12 @@ part, nor do rows with a null id or a length other than the commonest (of equall
 longest); ties go to the smaller id; an id that comes twice counts once, with its best score; a
 query without any candidate gives no row; an empty table gives no rows.
 
-Scale: the index is dealt into shards of about ``shard_rows`` rows: small lists share one, a hot
+Equal vectors (by two 64-bit hashes of their components) are indexed once, under the smallest of
+their ids. A group keeps its ``k`` + 1 smallest ids, which take its place after the reranking, so
+copies neither crowd out other candidates nor each other.
+
+Scale: no group of copies is gathered, as each partition passes on its ``k`` + 1 smallest ids only.
+The index is dealt into shards of about ``shard_rows`` rows: small lists share one, a hot
 list is spread over many. Queries go to the shards of their lists, in blocks, so no task holds an
 unbounded group. Only each shard's best candidates of a query leave it.
 """
@@ -142,13 +147,19 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, vec_id:
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     if lengths is None:
         return vectors.sparkSession.createDataFrame([], result)
-    dims, total = lengths["d"], lengths["n"]
-    rows = rows.where(F.size("v") == dims)
+    dims = lengths["d"]
+    rows = rows.where(F.size("v") == dims).select("*", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(seed), F.col("v")).alias("h2"))
+    key = ["vec_id", "h1", "h2"]
+    copies = Window.partitionBy("h1", "h2").orderBy("vec_id")
+    least = rows.select(*key).distinct().withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1)
+    groups = checkpointed(least.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("vec_id"), "h1", "h2", "ids"))
+    total = groups.count()
     wanted = min(sample_rows, max(256, sample_values // dims))
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("vec_id"), F.col("v")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(drawn < min(1.0, wanted / total)).select("vec_id", "v").orderBy("vec_id").limit(2 * wanted).collect()
-    if not sample:
-        sample = rows.select("vec_id", "v").limit(wanted).collect()
+    drawn = F.pmod("h2", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    for chosen in (groups.where(drawn < min(1.0, wanted / total)).orderBy("h2", "h1").limit(2 * wanted), groups.limit(wanted)):
+        sample = rows.join(F.broadcast(chosen.select(*key)), key).groupBy(*key).agg(F.any_value("v").alias("v")).orderBy(*key).collect()
+        if sample:
+            break
     quantiser = fit_quantiser(_unit(np.array([r["v"] for r in sample])), total, k, seed=seed)
 
     def matrix(column: pa.Array) -> np.ndarray:
@@ -158,9 +169,11 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, vec_id:
         for batch in batches:
             if batch.num_rows:
                 near, codes = quantiser.encode(matrix(batch.column("v")))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "list", "code"])
+                yield pa.RecordBatch.from_arrays([*map(batch.column, key), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=[*key, "list", "code"])
 
-    index = checkpointed(rows.select("vec_id", "v").mapInArrow(encode, f"vec_id {id_type}, list int, code binary"))
+    coded = rows.select(*key, "v").mapInArrow(encode, f"vec_id {id_type}, h1 long, h2 long, list int, code binary")
+    coded = coded.groupBy(*key).agg(F.min(F.struct("list", "code")).alias("c"))
+    index = checkpointed(coded.join(groups, key).select(*key, "c.list", "c.code", (F.size("ids") == 1).alias("single")))
     sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}
     first, spread, shard, filled = np.zeros(len(quantiser.centres), np.int64), np.ones(len(quantiser.centres), np.int64), 0, 0
     for which in range(len(first)):
@@ -172,7 +185,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, vec_id:
         if spread[which] > 1:
             shard, filled = shard + int(spread[which]), 0
     placed = vectors.sparkSession.createDataFrame(pd.DataFrame({"list": np.arange(len(first), dtype=np.int32), "first": first, "spread": spread}))
-    asked = rows.where("asks").select("vec_id", "v")
+    asked = rows.where("asks").groupBy(*key).agg(F.any_value("v").alias("v")).select(F.col("vec_id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2"), "v")
+    carried = asked.columns
     query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
 
     def deal(batches):
@@ -180,17 +194,19 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, vec_id:
             if batch.num_rows:
                 shards = [sorted({int(first[w]) + i for w in near for i in range(int(spread[w]))}) for near in quantiser.lists(matrix(batch.column("v")))]
                 take = pa.array(np.repeat(np.arange(len(shards)), [len(s) for s in shards]))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), batch.column("v").take(take), pa.array([s for each in shards for s in each], pa.int64())], names=["query_id", "v", "shard"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in carried], pa.array([s for each in shards for s in each], pa.int64())], names=[*carried, "shard"])
 
-    visiting = asked.mapInArrow(deal, f"query_id {id_type}, v array<double>, shard long").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)))
+    visiting = asked.mapInArrow(deal, f"query_id {id_type}, q1 long, q2 long, v array<double>, shard long").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)))
     # the list table has a fixed size: one row for each of at most 1024 centroids
-    stored = index.join(F.broadcast(placed), "list").select((F.col("first") + F.pmod(F.xxhash64("vec_id", "code"), F.col("spread"))).alias("shard"), "vec_id", "list", "code")
+    stored = index.join(F.broadcast(placed), "list").select((F.col("first") + F.pmod(F.xxhash64("vec_id", "code"), F.col("spread"))).alias("shard"), *key, "single", "list", "code")
     stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
 
     def search(asking: pa.Table, held: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": asking.column("query_id")[:0], "vec_id": held.column("vec_id")[:0], "far": pa.array([], pa.float32())})
+        asks, holds = ["query_id", "q1", "q2"], ["vec_id", "h1", "h2", "single"]
+        empty = pa.table({c: asking.column(c)[:0] for c in asks} | {c: held.column(c)[:0] for c in holds} | {"far": pa.array([], pa.float32())})
         if not asking.num_rows or not held.num_rows:
             return empty
+        held = held.sort_by("vec_id")
         which = held.column("list").to_numpy()
         codes = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(len(which), -1)
         order = np.argsort(which, kind="stable")
@@ -206,10 +222,12 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, vec_id:
                     continue
                 far = quantiser.distances(block[who], int(which[order[a]]), codes[order[a:b]])
                 keep = min(quantiser.depth, b - a)
-                best = np.argpartition(far, keep - 1, axis=1)[:, :keep]
+                # distances are not negative, so their bits sort as they do; equal ones go by id
+                keyed = far.view(np.uint32).astype(np.uint64) << np.uint64(32) | np.arange(b - a, dtype=np.uint64)
+                keyed = np.partition(keyed, keep - 1, axis=1)[:, :keep].ravel()
                 who_all.append(np.repeat(who, keep))
-                item_all.append(order[a:b][best].ravel())
-                far_all.append(np.take_along_axis(far, best, 1).ravel())
+                item_all.append(order[a:b][(keyed & np.uint64(0xFFFFFFFF)).astype(np.int64)])
+                far_all.append((keyed >> np.uint64(32)).astype(np.uint32).view(np.float32))
             if not who_all:
                 continue
             who, item, far = np.concatenate(who_all), np.concatenate(item_all), np.concatenate(far_all)
@@ -217,15 +235,18 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, vec_id:
             who, item, far = who[sort], item[sort], far[sort]
             begin = np.searchsorted(who, who)
             top = np.arange(len(who)) - begin < quantiser.depth
-            parts.append(pa.table({"query_id": asking.column("query_id").take(pa.array(who[top] + at)), "vec_id": held.column("vec_id").take(pa.array(item[top])), "far": pa.array(far[top], pa.float32())}))
+            asker, holder = pa.array(who[top] + at), pa.array(item[top])
+            parts.append(pa.table({c: asking.column(c).take(asker) for c in asks} | {c: held.column(c).take(holder) for c in holds} | {"far": pa.array(far[top], pa.float32())}))
         return pa.concat_tables(parts) if parts else empty
 
-    found = visiting.groupBy("shard", "block").cogroup(stored.groupBy("shard", "block")).applyInArrow(search, f"query_id {id_type}, vec_id {id_type}, far float")
-    nearest = Window.partitionBy("query_id").orderBy("far", "vec_id")
-    near = found.where("query_id <> vec_id").withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= quantiser.depth).select("query_id", "vec_id")
+    found = visiting.groupBy("shard", "block").cogroup(stored.groupBy("shard", "block")).applyInArrow(search, f"query_id {id_type}, q1 long, q2 long, vec_id {id_type}, h1 long, h2 long, single boolean, far float")
+    nearest = Window.partitionBy("query_id", "q1", "q2").orderBy("far", "vec_id", "h1", "h2")
+    others = found.where("query_id <> vec_id or not single")  # the own group counts for its other ids
+    near = others.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= quantiser.depth).drop("place", "far", "single")
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    exact = near.join(rows.select("vec_id", F.col("v").alias("b")), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("a")), "query_id")
+    exact = near.join(groups, key).join(rows.select(*key, F.col("v").alias("b")), key).join(asked.withColumnRenamed("v", "a"), ["query_id", "q1", "q2"])
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = exact.select("query_id", "vec_id", (dot / (norm(F.col("a")) * norm(F.col("b")))).alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    members = exact.select("query_id", "ids", (dot / (norm(F.col("a")) * norm(F.col("b")))).alias("score")).select("query_id", F.explode("ids").alias("vec_id"), "score")
+    scored = members.where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return scored.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
