@@ -180,3 +180,9 @@ def test_copies_do_not_crowd_out_neighbours(spark):
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     found = ann.nearest_neighbours(frame, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [r.vec_id for r in found] == [1, 2, 3, 4, 5]
+
+
+def test_depth_grows_with_the_table():
+    x = ann._unit(np.random.default_rng(8).normal(size=(800, 16)))
+    depths = [ann.fit_quantiser(x, total, 5).depth for total in (800, 8_000_000, 80_000_000)]
+    assert depths[0] >= 16 * 5 and depths[1] > 5 * 10_000 and depths[2] >= 9 * depths[1]

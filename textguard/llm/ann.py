@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 QUERY_BLOCK = 4096
+#: Candidates of a query above which finer codes are fitted.
+FINER_ABOVE = 4096
 
 
 def usable(vector: Column) -> Column:
@@ -103,8 +105,11 @@ class Quantiser:
         return out * np.float32(self.scale[which] ** 2)
 
 
-def fit_quantiser(sample: np.ndarray, total: int, neighbours: int, recall: float = 0.98, block_width: int = 2, seed: int = 7) -> Quantiser:
-    """Fit on unit vectors ``sample``; visits and depth are those that reach ``recall`` for the sample's own neighbours, the depth scaled up to ``total`` rows."""
+def fit_quantiser(sample: np.ndarray, total: int, neighbours: int, recall: float = 0.99, block_width: int = 2, seed: int = 7) -> Quantiser:
+    """Fit on unit vectors ``sample``; visits and depth together reach ``recall`` for the sample's own neighbours, the depth scaled up to ``total`` rows.
+
+    The depth has no upper bound: above ``FINER_ABOVE`` candidates narrower blocks are tried, which lower it.
+    """
     rng = np.random.default_rng(seed)
     lists = int(np.clip(np.sqrt(total), 1, min(1024, max(1, len(sample) // 16))))
     centres = kmeans(sample, lists, 12, rng)
@@ -113,30 +118,38 @@ def fit_quantiser(sample: np.ndarray, total: int, neighbours: int, recall: float
     sizes = np.bincount(near, minlength=lists)
     scale = np.sqrt(np.bincount(near, (left**2).sum(1), lists) / np.maximum(sizes, 1))
     scale[scale < 1e-9] = 1.0
-    blocks = -(-sample.shape[1] // block_width)
-    draft = Quantiser(centres, scale, np.zeros((blocks, 1, block_width)), lists, len(sample))
-    parts = draft.padded(left / scale[near, None])
-    books = np.stack([kmeans(parts[:, j], min(256, max(1, len(sample) // 4)), 8, rng) for j in range(blocks)])
-    full = Quantiser(centres, scale, books, lists, len(sample))
-    codes = full.encode(sample)[1]
     asked = rng.choice(len(sample), min(300, len(sample)), replace=False)
     exact = sample[asked] @ sample.T
     exact[np.arange(len(asked)), asked] = -2
     best = np.argsort(-exact, axis=1)[:, : min(neighbours, max(1, len(sample) - 1))]
-    order = full.lists(sample[asked])
-    place = np.argsort(order, axis=1)
-    visits = int(np.quantile(np.take_along_axis(place, near[best], 1), recall)) + 1
-    rough = np.full(exact.shape, np.inf, np.float32)
-    for which in range(lists):
-        members = np.flatnonzero(near == which)
-        who = np.flatnonzero(place[:, which] < visits)
-        if len(members) and len(who):
-            rough[np.ix_(who, members)] = full.distances(sample[asked[who]], which, codes[members])
-    rank = np.argsort(np.argsort(rough, axis=1), axis=1)
-    visited = np.isfinite(np.take_along_axis(rough, best, 1))  # only these can be ranked at all
-    depth = int(np.quantile(np.take_along_axis(rank, best, 1)[visited], recall)) + 1
-    depth = int(np.clip(depth * max(1.0, total / len(sample)) * 1.2, 10 * neighbours, 4096))
-    return Quantiser(centres, scale, books, min(lists, max(visits, 2)), depth)
+    far = (centres**2).sum(1) - 2 * (sample[asked] @ centres.T)
+    place = np.argsort(np.argsort(far, axis=1, kind="stable"), axis=1)
+    # half of what may be missed goes to the visits, so that the depth can reach the target over all neighbours
+    visits = int(np.quantile(np.take_along_axis(place, near[best], 1), (1 + recall) / 2, method="higher")) + 1
+
+    def coded(width: int) -> Quantiser:
+        blocks = -(-sample.shape[1] // width)
+        draft = Quantiser(centres, scale, np.zeros((blocks, 1, width)), lists, len(sample))
+        parts = draft.padded(left / scale[near, None])
+        books = np.stack([kmeans(parts[:, j], min(256, max(1, len(sample) // 4)), 8, rng) for j in range(blocks)])
+        full = Quantiser(centres, scale, books, lists, len(sample))
+        codes = full.encode(sample)[1]
+        rough = np.full(exact.shape, np.inf, np.float32)
+        for which in range(lists):
+            members = np.flatnonzero(near == which)
+            who = np.flatnonzero(place[:, which] < visits)
+            if len(members) and len(who):
+                rough[np.ix_(who, members)] = full.distances(sample[asked[who]], which, codes[members])
+        rank = np.argsort(np.argsort(rough, axis=1), axis=1)
+        depth = int(np.quantile(np.take_along_axis(rank, best, 1), recall, method="higher")) + 1
+        depth = max(int(np.ceil(depth * max(1.0, total / len(sample)) * 1.2)), 16 * neighbours)
+        return Quantiser(centres, scale, books, min(lists, max(visits, 2)), depth)
+
+    quantiser = coded(block_width)
+    while quantiser.depth > FINER_ABOVE and block_width > 1:
+        block_width -= 1
+        quantiser = min(quantiser, coded(block_width), key=lambda q: q.depth)
+    return quantiser
 
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", sample_rows: int = 20_000, sample_values: int = 4_000_000, shard_rows: int = 16_384, seed: int = 7) -> DataFrame:
