@@ -186,3 +186,33 @@ def test_depth_grows_with_the_table():
     x = ann._unit(np.random.default_rng(8).normal(size=(800, 16)))
     depths = [ann.fit_quantiser(x, total, 5).depth for total in (800, 8_000_000, 80_000_000)]
     assert depths[0] >= 16 * 5 and depths[1] > 5 * 10_000 and depths[2] >= 9 * depths[1]
+
+
+def test_licences_inside_longer_texts(spark):
+    code = "import os\n\ndef f(x):\n    return x + 1\n"
+    mit = licenses._MIT_BODY.replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE")
+    gnu = "This work is licensed under the GNU {}General Public License, version {}."
+    texts = {
+        "MIT": [f"{code}\n{mit}\n\n{code}", "See below. This code is released under the MIT License. Have fun with it."],
+        "GPL-2.0": [gnu.format("", 2), (licenses.TEXTS / "GPL-2.0.txt").read_text()],
+        "LGPL-3.0": [gnu.format("Lesser ", 3)],
+        "AGPL-3.0": [code + gnu.format("Affero ", 3)],
+        "GPL-3.0": [gnu.format("", 3)],
+        "Apache-2.0": [code + (licenses.TEXTS / "Apache-2.0.txt").read_text() + code],
+    }
+    rows = [(name, i, t) for name, each in texts.items() for i, t in enumerate(each)]
+    docs = spark.createDataFrame([(f"{name} {i}", t) for name, i, t in rows], "doc_id string, text string")
+    got = {r.doc_id: (r.license_id, r.n_units > 0) for r in licenses.scan_licenses(docs).collect()}
+    assert got == {f"{name} {i}": (name, True) for name, i, _ in rows}
+
+
+def test_best_window_against_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        template, text = (" ".join(f"w{j}" for j in rng.integers(0, 9, n)) for n in (8, 25))
+        words = text.split() + template.split()[:7] + text.split()[:5]
+        grams, own = list(zip(words, words[1:])), set(map(tuple, (g.split() for g in licenses.template_bigrams(template))))
+        dice = lambda w: 2 * len(w & own) / (len(w) + len(own))
+        want = max(dice(set(grams[a:b])) for a in range(len(grams)) for b in range(a + 1, len(grams) + 1))
+        got = licenses.Windows(licenses.template_rows({"x": [template]}), 0.5).best(" ".join(words))
+        assert (got[1] if got else 0) == pytest.approx(want if want >= 0.5 else 0)

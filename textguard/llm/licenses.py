@@ -6,20 +6,29 @@ several) and the whole text. A unit's bigrams are a set; the coefficient with a
 templates are pruned by size before any bigram is compared. It also needs a fixed part of a
 template's bigrams, so texts and units without any of a few words are passed over unread.
 
+A notice need not fill a unit: windows of words over the whole normalised text are compared too,
+with more templates (``NOTICES`` and the full texts beside this file). For each template the best
+window is found exactly: it begins and ends on a bigram of the template. It decides where no unit
+matches (and counts as one unit) and where it is better than the best unit and names another licence.
+
 Defined results: null, empty and blank texts and units of one word match nothing (null licence, 0
 units); ties go to the alphabetically first licence; rows with equal ids share their matches; an
 empty table gives no rows; other columns are ignored.
 
-Scale: built-in functions only; templates are a fixed literal. Units without a bigram of any
-template drop out before a coefficient is computed; only matches are shuffled.
+Scale: units are compared by built-in functions, windows in one Arrow pass without a shuffle;
+templates are fixed. Units without a bigram of any template drop out before a coefficient is
+computed; only matches are shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import reduce
 from operator import or_
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +71,42 @@ TEMPLATES: dict[str, list[str]] = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
 }
 
+_GNU = (
+    "This {0} is free software{5} you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version. "
+    "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details. "
+    "You should have received a copy of the GNU {1} along with this {3}{4}"
+)
+_POSTAL = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+_ONLINE = ". If not, see <https://www.gnu.org/licenses/>."
+
+
+def _gnu(program: str, name: str, versions: str) -> list[str]:
+    """A GNU licence's usual sentences and its notice with either ending."""
+    sentences = [f"This work is licensed under the GNU {name}, version {v}." for v in versions.split()]
+    return sentences + [_GNU.format(program, name, v, program, end, ":") for v in versions.split() for end in (_POSTAL, _ONLINE)]
+
+
+#: Further notices, for windows only.
+NOTICES: dict[str, list[str]] = {
+    "AGPL-3.0": _gnu("program", "Affero General Public License", "3"),
+    "GPL-2.0": _gnu("program", "General Public License", "2"),
+    "LGPL-2.1": _gnu("library", "Lesser General Public License", "2.1"),
+    "LGPL-3.0": _gnu("library", "Lesser General Public License", "3"),
+}
+#: Folder of full licence texts, a file for each licence.
+TEXTS = Path(__file__).with_name("license_texts")
+
 THRESHOLD = 0.8
+#: Bigrams from which a template counts as large: it needs no fixed word, but a long text.
+LARGE = 500
+
+
+def window_templates(templates: dict[str, list[str]] = TEMPLATES) -> dict[str, list[str]]:
+    """``templates``, the further notices and the full texts."""
+    out = {name: list(texts) for name, texts in templates.items()}
+    for name, texts in [*NOTICES.items(), *((f.stem, [f.read_text("utf-8")]) for f in sorted(TEXTS.glob("*.txt")))]:
+        out.setdefault(name, []).extend(texts)
+    return out
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -88,16 +132,71 @@ def needed_words(rows: list[tuple[str, list[str]]], threshold: float) -> list[st
     while any(map(missing, range(len(rows)))):
         gain: dict[str, list[int]] = {}
         for i in filter(missing, range(len(rows))):
-            for word in {w for g in left[i] for w in g.split()}:
+            for word, n in Counter(w for g in left[i] for w in set(g.split())).items():
                 entry = gain.setdefault(word, [0, 0])
                 entry[0] += len(word) >= 6
-                entry[1] += sum(word in g.split() for g in left[i])
+                entry[1] += n
         best = max(gain, key=lambda w: (gain[w][0] > 0, *gain[w], w))
         chosen.append(best)
         left = [{g for g in grams if best not in g.split()} for grams in left]
     return sorted(chosen)
 
 
+class Windows:
+    """Best window of a text for any template."""
+
+    def __init__(self, rows: list[tuple[str, list[str]]], threshold: float):
+        self.names, self.sizes, self.threshold = [name for name, _ in rows], [len(grams) for _, grams in rows], threshold
+        self.known: dict[tuple[str, str], list[int]] = {}
+        for i, (_, grams) in enumerate(rows):
+            for g in grams:
+                self.known.setdefault(tuple(g.split()), []).append(i)
+
+    def best(self, text: str | None) -> tuple[str, float] | None:
+        """(licence, coefficient) of the best window that reaches the threshold; ties go to the first name."""
+        words = re.sub("[^a-z0-9]+", " ", (text or "").lower()).split()
+        grams = list(zip(words, words[1:]))
+        places: dict[int, list[int]] = {}
+        for at, g in enumerate(grams):
+            for i in self.known.get(g, ()):
+                places.setdefault(i, []).append(at)
+        top, name = 0.0, None
+        for i in sorted(places, key=lambda i: self.names[i]):
+            dice = self._of(grams, places[i], self.sizes[i], top)
+            if dice > top:
+                top, name = dice, self.names[i]
+        return None if name is None else (name, top)
+
+    def _of(self, grams: list[tuple[str, str]], places: list[int], n: int, top: float) -> float:
+        """Best coefficient of a window with a template of ``n`` bigrams if it beats ``top``, else ``top``."""
+        floor = self.threshold
+        hit = {grams[p] for p in places}
+        if len(hit) < floor / (2 - floor) * n:
+            return top
+        most = n * (2 - floor) / floor
+        for k, start in enumerate(places):
+            # with all that is left the coefficient is 2h / (h + n) at most
+            left = min(n, len(places) - k)
+            if 2 * left / (left + n) < max(floor, top):
+                break
+            # distinct bigrams are at most so many, so a window may only be longer where they repeat
+            seen: set[tuple[str, str]] = set()
+            shared, at = 0, start
+            for stop in places[k:]:
+                fresh = set(grams[at : stop + 1]) - seen
+                seen |= fresh
+                shared += len(fresh & hit)
+                at = stop + 1
+                if len(seen) > most:
+                    break
+                dice = 2.0 * shared / (len(seen) + n)
+                if dice >= floor and dice > top:
+                    top = dice
+                if shared == len(hit):
+                    break
+        return top
+
+
 def bigrams(unit: Column) -> Column:
     """Distinct word bigrams of a normalised unit."""
     words = F.filter(F.split(unit, " "), lambda w: w != "")
@@ -135,7 +234,25 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     # largest coefficient first, then the smallest name
     best = F.array_min(F.transform(scored, lambda s: F.struct((-s["dice"]).alias("minus"), s["id"].alias("id"))))
     matched = hits.select("doc_id", best.alias("best")).where(-F.col("best.minus") >= threshold)
-    found = matched.groupBy("doc_id").agg(F.min("best").alias("best"), F.count("*").alias("n_units"))
+    wide = template_rows(window_templates(templates))
+    windows = Windows(wide, threshold)
+
+    @F.pandas_udf("id string, dice double")
+    def best_window(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([windows.best(t) or (None, None) for t in texts], columns=["id", "dice"]).astype({"id": object, "dice": "float64"})
+
+    # texts long enough for the shortest large template are all read, as those have no few needed words
+    small, large = ([r for r in wide if (len(r[1]) >= LARGE) == big] for big in (False, True))
+    needed = [F.contains(F.lower(F.col(text)), F.lit(w)) for w in needed_words(small, threshold)]
+    room = [F.char_length(text) > 2 * low * min(len(g) for _, g in large)] if large else []
+    served = docs.where(reduce(or_, room + needed))
+    # explode_outer keeps the optimiser from computing the windows again in a filter
+    seen = served.select(F.col(doc_id).alias("doc_id"), F.explode_outer(F.array(best_window(F.col(text)))).alias("w")).where("w.id is not null")
+    better = F.struct((-F.col("w.dice")).alias("minus"), F.col("w.id").alias("id"))
+    every = matched.select("doc_id", "best", F.lit(None).cast("struct<minus: double, id: string>").alias("window")).unionByName(seen.select("doc_id", F.lit(None).cast("struct<minus: double, id: string>").alias("best"), better.alias("window")))
+    found = every.groupBy("doc_id").agg(F.min("best").alias("unit"), F.min("window").alias("window"), F.count("best").alias("n"))
+    wins = F.col("unit").isNull() | ((F.col("window.minus") < F.col("unit.minus")) & (F.col("window.id") != F.col("unit.id")))
+    found = found.select("doc_id", F.when(wins, F.col("window")).otherwise(F.col("unit")).alias("best"), F.greatest("n", F.lit(1)).alias("n_units"))
     ids = docs.select(F.col(doc_id).alias("doc_id"))
     return ids.join(found, "doc_id", "left").select("doc_id", F.col("best.id").alias("license_id"), (-F.col("best.minus")).alias("dice"), F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"))
 
