@@ -1,5 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables; small cases of single operators."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 from textguard import catalogue
 from textguard.functions import text as T
 from textguard.operators import policy, reports, scan
+from textguard.plans import patterns as P
+from textguard.plans import rules as R
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -49,3 +53,23 @@ def test_ranges_and_pins(spark):
     pins = lambda rows: spark.createDataFrame(rows, "tool string, sha256 string")
     got = reports.pin_diff(pins([("x", "1"), ("y", "1"), ("z", "1")]), pins([("y", "2"), ("z", "1"), ("w", "1")])).collect()
     assert {r.tool: r.change for r in got} == {"x": "removed", "y": "changed", "w": "added"}
+
+
+def test_guarded_reads_every_document(spark):
+    hits = {r.doc_id: r.hit for r in catalogue.queries()["guarded_windows"](spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in catalogue._documents(spark, SF).collect()}
+    parts = lambda t: [t[a : a + 1200] for a in range(0, max(1, len(t) - 600), 600)]
+    want = {i: None if t is None else not re.match(catalogue._GUARD, t) and any(re.search(catalogue._CORE, p) for p in parts(t)) for i, t in texts.items()}
+    assert hits == want and any(len(t or "") > 1200 and hits[i] for i, t in texts.items())
+
+
+def test_every_mechanism_against_re(spark):
+    got = sorted((r.doc_id, r.id, r.match) for r in catalogue.queries()["mechanism_hits_all"](spark, SF).collect())
+    want = []
+    for d in catalogue._shapes(spark, SF).collect():
+        for m in P.MECHANISMS:
+            found = [x for rx in m.regex if "file" in m.channel and (x := re.search(rx, d.text or "", re.A))]
+            if found:
+                want.append((d.doc_id, m.id, found[0].group()[: R.MATCH_CHARS]))
+    assert got == sorted(want)
+    assert {i for _, i, _ in got} > {m.id for m in catalogue._PLAIN_SHAPES if "file" in m.channel}

@@ -221,6 +221,13 @@ def guarded_predicate(spark, sf_dir):
     return short.select("doc_id", scan.guarded(F.col("text"), _GUARD, _CORE).alias("hit"))
 
 
+@_register(f"""WITH {_DOCS}, w AS (SELECT text, unnest(list_transform(range(0, CASE WHEN length(text) <= {R.WINDOW_CHARS} THEN 1 ELSE ceil((length(text) - {R.WINDOW_CHARS}) / {R.WINDOW_STEP}.0)::INT + 1 END), lambda i: substr(text, (i * {R.WINDOW_STEP} + 1)::INT, {R.WINDOW_CHARS}))) AS part FROM (SELECT DISTINCT text FROM docs WHERE text IS NOT NULL)),
+c AS (SELECT text, bool_or(regexp_matches(part, '{_CORE}')) AS core FROM w GROUP BY text) SELECT doc_id, NOT regexp_matches(text, '^(?:{_GUARD})') AND core AS hit FROM docs LEFT JOIN c USING (text)""")
+def guarded_windows(spark, sf_dir):
+    """guarded_predicate over documents of every length."""
+    return _documents(spark, sf_dir).select("doc_id", scan.guarded(F.col("text"), _GUARD, _CORE).alias("hit"))
+
+
 _FOLDED = r"licensed under|sie|t[eo]st"
 
 
@@ -417,6 +424,13 @@ def mechanism_hits(spark, sf_dir):
     return found.select("doc_id", F.explode_outer("findings").alias("f")).where("f is not null").select("doc_id", "f.id", "f.match")
 
 
+@_register()
+def mechanism_hits_all(spark, sf_dir):
+    """mechanism_hits over every mechanism; DuckDB cannot read the look-behinds of some."""
+    found = engine.Engine(P.MECHANISMS, mechanisms=False).scan(_shapes(spark, sf_dir), channel="file")
+    return found.select("doc_id", F.explode_outer("findings").alias("f")).where("f is not null").select("doc_id", "f.id", "f.match")
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns that know the benchmark's passages by their first words, some by keyword, some by keyword and regex."""
     words = F.split("text", " ")
