@@ -216,3 +216,13 @@ def test_best_window_against_brute_force():
         want = max(dice(set(grams[a:b])) for a in range(len(grams)) for b in range(a + 1, len(grams) + 1))
         got = licenses.Windows(licenses.template_rows({"x": [template]}), 0.5).best(" ".join(words))
         assert (got[1] if got else 0) == pytest.approx(want if want >= 0.5 else 0)
+
+
+def test_toxicity_keeps_the_prior_of_the_table(spark):
+    rng = np.random.default_rng(3)
+    words = ["table", "river", "green", "walk", "paper", "light", "cloud", "stone", "bread", "music"]
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(3000)]  # texts say nothing about labels
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    scores = [toxicity.fit_toxicity(docs, labels, docs_per_class=n, epochs=2).score("stone river music") for n in (300, 5000)]
+    assert all(s < 0.3 for s in scores) and abs(scores[0] - scores[1]) < 0.1

@@ -14,7 +14,8 @@ of the curve below the lowest passage; equal texts get equal scores; other colum
 without two classes among the labels the score is the share of label 1 (0 without labels).
 
 Scale: training uses at most about ``docs_per_class`` labelled documents of each class, drawn by a
-hash; their count is the bound on what reaches the driver. Scoring is one pass without a shuffle.
+hash and weighted by the inverse of their class's share, so that a score means the same at any
+size; their count is the bound on what reaches the driver. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -110,10 +111,12 @@ class SubwordModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.raw(text) + self.offset, -30, 30))))
 
 
-def train(texts: list[str | None], labels: np.ndarray, bits: int = 17, dims: int = 4, passage: int = 40, blanks: float = 150, least_docs: int = 5, epochs: int = 12, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> SubwordModel:
+def train(texts: list[str | None], labels: np.ndarray, bits: int = 17, dims: int = 4, passage: int = 40, blanks: float = 150, least_docs: int = 5, epochs: int = 12, rate: float = 0.05, decay: float = 1e-5, seed: int = 7, shares: tuple[float, float] = (1.0, 1.0)) -> SubwordModel:
     """Fit embeddings and softmax by Adam, then the curve over the highest passages of the same documents.
 
     Subwords of fewer than ``least_docs`` documents keep weight 0: they could only memorise labels.
+    ``shares`` are the parts of each class that were drawn; documents weigh their inverse, so that
+    prior, bias and curve are those of all labelled documents.
     """
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels, np.int64)
@@ -127,7 +130,9 @@ def train(texts: list[str | None], labels: np.ndarray, bits: int = 17, dims: int
     place[known] = np.arange(len(known))
     bags = [(place[found[kept := place[found] >= 0]], 100 * n[kept] / max(1, n.sum())) for found, n in bags]
     table, softmax = rng.normal(0, 0.1, (len(known), dims)), rng.normal(0, 0.5, (dims, 2))
-    bias = np.log(np.bincount(labels, minlength=2) / len(labels))
+    weight = 1 / np.asarray(shares, float)[labels]
+    weight *= len(weight) / weight.sum()
+    bias = np.log(np.bincount(labels, weight, 2) / len(labels))
     values = [table, softmax, bias]
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in values]
     batch, step = 256, 0
@@ -142,7 +147,7 @@ def train(texts: list[str | None], labels: np.ndarray, bits: int = 17, dims: int
             logits = means @ softmax + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            wrong = (p - np.eye(2)[labels[chosen]]) / len(chosen)
+            wrong = (p - np.eye(2)[labels[chosen]]) * weight[chosen, None] / len(chosen)
             pull = wrong @ softmax.T
             down = np.stack([np.bincount(ids, shares * pull[rows, d], len(known)) for d in range(dims)], 1)
             step += 1
@@ -153,18 +158,18 @@ def train(texts: list[str | None], labels: np.ndarray, bits: int = 17, dims: int
     weights = np.zeros(1 << bits, np.float32)
     weights[known] = table @ (softmax[:, 1] - softmax[:, 0])
     model = SubwordModel(weights, bits, passage, blanks, 1.0, 0.0)
-    return SubwordModel(weights, bits, passage, blanks, *_curve(np.array([model.raw(t) for t in texts]), labels))
+    return SubwordModel(weights, bits, passage, blanks, *_curve(np.array([model.raw(t) for t in texts]), labels, weight))
 
 
-def _curve(raw: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of the labels on one number, by Newton steps."""
+def _curve(raw: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Weighted logistic regression of the labels on one number, by Newton steps."""
     middle, spread = raw.mean(), raw.std() or 1.0
     x = np.stack([(raw - middle) / spread, np.ones(len(raw))], 1)
     beta = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-2, 1e-6])
-        step = np.linalg.solve(hessian, x.T @ (p - labels) + np.array([1e-2, 1e-6]) * beta)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-2, 1e-6])
+        step = np.linalg.solve(hessian, x.T @ (weight * (p - labels)) + np.array([1e-2, 1e-6]) * beta)
         beta -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -179,14 +184,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label:
     """
     known = labels.select(F.col(doc_id).alias("key"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and key is not null")
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    shares = {value: min(1.0, docs_per_class / n) for value, n in totals.items()}
     share = F.lit(0.0)
-    for value, n in totals.items():
-        share = F.when(F.col("label") == value, min(1.0, docs_per_class / n)).otherwise(share)
+    for value, part in shares.items():
+        share = F.when(F.col("label") == value, part).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("key")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = known.where(drawn < share).limit(4 * docs_per_class)
     rows = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
     sample = rows.select("text", "label", "key").toPandas().sort_values(["label", "key"], kind="stable")
-    return train([None if t is None else str(t) for t in sample["text"]], sample["label"].to_numpy(), seed=seed, **settings)
+    return train([None if t is None else str(t) for t in sample["text"]], sample["label"].to_numpy(), seed=seed, shares=(shares.get(0, 1.0), shares.get(1, 1.0)), **settings)
 
 
 def score_toxicity(text: Column, model: SubwordModel) -> Column:
