@@ -80,8 +80,7 @@ def op7_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    return docs.select("doc_id", fertility.fertility(F.col("text")).alias("q")).select("doc_id", "q.*")
+    return fertility.judge_fertility(_read(spark, sf_dir, "documents"))
 
 
 def op9_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
