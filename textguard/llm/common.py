@@ -33,29 +33,37 @@ def id_crc(doc_id: Column) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage there.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, a
-    laptop) a temporary one is made.
-    """
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage there."""
     shared_folder(df)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(df: DataFrame) -> str:
-    """The session's checkpoint folder, set up if need be."""
-    context = df.sparkSession.sparkContext
+    """The session's checkpoint folder, set up if need be.
+
+    It is the one that spark.checkpoint.dir names. Only in local mode (tests, a laptop) a temporary
+    folder stands in where that is unset; on a cluster a machine's own folder would lose results.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared checkpoint folder and read it again: for wide tables."""
+def store(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it again: for wide tables. Returns its folder too."""
     path = f"{shared_folder(df)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def release(df: DataFrame, path: str) -> None:
+    """Free the space of a stored table that nobody reads any more: overwrite it by an empty one of its columns."""
+    df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def fresh_name(df: DataFrame, wanted: str) -> str:

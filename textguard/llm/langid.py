@@ -6,12 +6,14 @@ own most frequent n-grams, of how far each one's rank is from its rank in the pr
 profile's length where it is missing.
 
 Defined results: null text, empty text and text without a letter are ``und`` with score 0; ties
-between languages go to the alphabetically first; n-grams of equal frequency sort by code point;
-other columns are ignored; without any labelled row everything is ``und``.
-
-Scale: learning reads the labelled rows, keeps a bounded random sample of them for each language
-and sums n-gram counts in a shuffle; only the finished profiles reach the driver. Prediction is
-one pass without a shuffle.
+between languages go to the alphabetically first; in a profile n-grams of equal frequency sort by
+code point, in a document they share the mean of their ranks; repeated rows get equal results and
+count once in a profile; other columns are ignored; without any labelled row everything is ``und``.
+
+Scale: learning reads the labelled rows, keeps a bounded random sample of different texts for each
+language and sums n-gram counts in a shuffle; only the finished profiles reach the driver, one for
+each of at most ``most_languages`` languages (the commonest; a dirty column may hold more values).
+Prediction is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ def _letters() -> np.ndarray:
     return np.where(flags, np.arange(0x110000, dtype=np.int64) + 1, _GAP)
 
 
-def ranked_ngrams(text: str | None, size: int, longest: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """The ``size`` most frequent n-grams (n from 1 to ``longest``, at most 3) and their counts.
+def ranked_ngrams(text: str | None, size: int | None, longest: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The ``size`` most frequent n-grams (all for None; n from 1 to ``longest``, at most 3) and their counts.
 
     n-grams lie inside one word, which has a gap on either side. They are packed into integers.
     """
@@ -91,21 +93,22 @@ class RankProfiles:
         return self.languages[best], float(1 - out[best] / (self.size * len(found)))
 
 
-def fit_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size: int = 400, longest: int = 3, docs_per_language: int = 4000, seed: int = 7) -> RankProfiles:
-    """Learn from rows with text and language; about ``docs_per_language`` of each language, drawn by a hash of the text, are used."""
+def fit_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size: int = 400, longest: int = 3, docs_per_language: int = 4000, most_languages: int = 500, seed: int = 7) -> RankProfiles:
+    """Learn from rows with text and language; about ``docs_per_language`` different texts of each language, drawn by a hash of the text, are used."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    different = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    totals = {r["lang"]: r["n"] for r in different.collect()}
     if not totals:
         return RankProfiles([], np.empty(0, np.int64), np.empty((0, 0)), size, longest)
     share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, docs_per_language / n))])
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(drawn < F.try_element_at(share, F.col("lang")))
+    sample = rows.where(drawn < F.try_element_at(share, F.col("lang"))).dropDuplicates(["lang", "text"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, Counter] = {}
         for batch in batches:
             for doc, language in zip(batch["text"], batch["lang"]):
-                grams, counts = ranked_ngrams(doc, 1 << 20, longest)
+                grams, counts = ranked_ngrams(doc, None, longest)
                 sums.setdefault(language, Counter()).update(dict(zip(grams.tolist(), counts.tolist())))
                 if len(sums[language]) > 500_000:
                     yield pd.DataFrame([(language, g, n) for g, n in sums.pop(language).items()], columns=["lang", "gram", "n"])

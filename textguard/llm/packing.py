@@ -13,7 +13,9 @@ columns are ignored.
 
 Scale: no shuffle. Each partition is packed in blocks of ``block_rows`` pieces, so memory is
 bounded and a block's few half-empty bins do not matter; a bin is named by shard (partition and
-block) and number. A retried task sees the same rows and gives the same bins.
+block) and number. Bins depend on the order of a partition's rows, so a retried task gives the same
+ones where that order is fixed, as for files and for rows sorted within partitions; after a bare
+shuffle they may differ, but every piece is still packed once.
 """
 
 from __future__ import annotations

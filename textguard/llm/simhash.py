@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, checkpointed
+from .common import LOWER_ASCII, checkpointed, fresh_name
 from .graph import connected_components
 
 BITS = 64
@@ -146,11 +146,42 @@ def links(prints: DataFrame, distance: int = 4, group_rows: int = 4096, blocks:
     return dealt.groupBy("deal").applyInArrow(compare, "a long, b long")
 
 
+def components(made: DataFrame, distance: int = 4, group_rows: int = 4096) -> DataFrame:
+    """(fp, component, component_id) for every fingerprint ``fp`` of ``made`` (doc_id, fp): the component's
+    smallest fingerprint and smallest id.
+
+    What is joined is materialised first, so that both sides of a join are plain shuffles and Spark
+    can split a hot key among tasks.
+    """
+    first = checkpointed(made.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    found = connected_components(links(first.select("fp"), distance, group_rows))
+    joined = checkpointed(first.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    named = checkpointed(joined.groupBy("component").agg(F.min("first_id").alias("component_id")))
+    return checkpointed(joined.join(named, "component").select("fp", "component", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, distance: int = 4, group_rows: int = 4096) -> DataFrame:
     """Per document: doc_id, fingerprint (long), component_id (smallest id of its component)."""
     made = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text), shingle).alias("fp")))
-    first = made.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    found = connected_components(links(first.select("fp"), distance, group_rows))
-    joined = first.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = joined.join(joined.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("fp", "component_id")
+    named = components(made, distance, group_rows)
     return made.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, distance: int = 4, group_rows: int = 4096) -> DataFrame:
+    """``docs`` with one row of each component: the smallest id (a null one last), of equal ids the
+    smallest hash of the text, then of the whole row; of rows that are equal throughout any.
+
+    Rows are found again by two hashes of all their values, nulls told apart; columns stay.
+    """
+    k1, k2 = fresh_name(docs, "key1"), fresh_name(docs, "key2")
+    # maps cannot be hashed, so they are written out first
+    plain = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    values = [x for f in docs.schema for x in (plain(f), F.col(f"`{f.name}`").isNull())]
+    keyed = docs.withColumns({k1: F.xxhash64(*values), k2: F.xxhash64(F.lit(1), *values)})
+    made = checkpointed(keyed.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(k1).alias("k1"), F.col(k2).alias("k2"), simhash(F.col(text), shingle).alias("fp")))
+    named = components(made.select("doc_id", "fp"), distance, group_rows)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "k1", "k2")
+    first = made.groupBy("fp").agg(F.min(order).alias("best"))
+    kept = first.join(named, "fp").groupBy("component").agg(F.min("best").alias("best"))
+    keys = checkpointed(kept.select(F.col("best.k1").alias(k1), F.col("best.k2").alias(k2)).distinct())
+    return keyed.join(keys, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*[F.col(f"`{c}`") for c in docs.columns])

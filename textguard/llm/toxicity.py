@@ -15,7 +15,9 @@ without two classes among the labels the score is the share of label 1 (0 withou
 
 Scale: training uses at most about ``docs_per_class`` labelled documents of each class, drawn by a
 hash and weighted by the inverse of their class's share, so that a score means the same at any
-size; their count is the bound on what reaches the driver. Scoring is one pass without a shuffle.
+size. An id that is labelled both ways counts as toxic, and of several texts of an id one is taken,
+so at most 4 * ``docs_per_class`` texts, of ``most_chars`` characters together, reach the driver.
+Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 _MARK = 1
 _LENGTHS = (3, 4, 5)
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -176,22 +180,28 @@ def _curve(raw: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[flo
     return float(beta[0] / spread), float(beta[1] - beta[0] * middle / spread)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", docs_per_class: int = 2500, seed: int = 7, **settings) -> SubwordModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", docs_per_class: int = 2500, most_chars: int = 100_000_000, seed: int = 7, **settings) -> SubwordModel:
     """Train on about ``docs_per_class`` documents of each class (0, 1), drawn by a hash of their ids.
 
     Labels are drawn before they meet the texts: the drawn ones are few, whatever the corpus, so
-    they are broadcast and no text is shuffled.
+    they are broadcast and no text but the drawn ones is shuffled.
     """
-    known = labels.select(F.col(doc_id).alias("key"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and key is not null")
+    given = labels.select(F.col(doc_id).alias("key"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and key is not null")
+    known = given.groupBy("key").agg(F.max("label").alias("label"))
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     shares = {value: min(1.0, docs_per_class / n) for value, n in totals.items()}
     share = F.lit(0.0)
     for value, part in shares.items():
         share = F.when(F.col("label") == value, part).otherwise(share)
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("key")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.where(drawn < share).limit(4 * docs_per_class)
-    rows = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
-    sample = rows.select("text", "label", "key").toPandas().sort_values(["label", "key"], kind="stable")
+    known = known.withColumn("place", F.xxhash64(F.lit(seed), F.col("key")))
+    drawn = F.pmod("place", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = known.where(drawn < share).orderBy("place", "key").limit(4 * docs_per_class)
+    rows = docs.select(F.col(doc_id).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "key")
+    one = checkpointed(rows.groupBy("key", "label", "place").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+    # one row for each drawn id, so a single task orders them
+    sized = Window.orderBy("place", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fitting = one.select("key", F.sum(F.coalesce(F.char_length("text"), F.lit(0))).over(sized).alias("upto")).where(F.col("upto") <= most_chars)
+    sample = one.join(F.broadcast(fitting.select("key")), "key").toPandas().sort_values(["label", "key"], kind="stable")
     return train([None if t is None else str(t) for t in sample["text"]], sample["label"].to_numpy(), seed=seed, shares=(shares.get(0, 1.0), shares.get(1, 1.0)), **settings)
 
 
