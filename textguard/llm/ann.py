@@ -20,8 +20,9 @@ copies neither crowd out other candidates nor each other.
 
 Scale: no group of copies is gathered, as each partition passes on its ``k`` + 1 smallest ids only.
 The index is dealt into shards of about ``shard_rows`` rows: small lists share one, a hot
-list is spread over many. Queries go to the shards of their lists, in blocks, so no task holds an
-unbounded group. Only each shard's best candidates of a query leave it.
+list is spread over many. Queries go to the shards of their lists and are cut into blocks there, so
+no task holds an unbounded group, and a shard is copied only for the blocks of queries that visit
+it. Only each shard's best candidates of a query leave it.
 """
 
 from __future__ import annotations
@@ -36,7 +37,10 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-QUERY_BLOCK = 4096
+#: Queries of a shard that one task compares at most, and at least where cores would idle otherwise.
+QUERY_BLOCK, SMALL_BLOCK = 4096, 256
+#: Most tasks of one search.
+MOST_TASKS = 20_000
 #: Candidates of a query above which finer codes are fitted.
 FINER_ABOVE = 4096
 
@@ -111,7 +115,7 @@ def fit_quantiser(sample: np.ndarray, total: int, neighbours: int, recall: float
     The depth has no upper bound: above ``FINER_ABOVE`` candidates narrower blocks are tried, which lower it.
     """
     rng = np.random.default_rng(seed)
-    lists = int(np.clip(np.sqrt(total), 1, min(1024, max(1, len(sample) // 16))))
+    lists = int(np.clip(np.sqrt(total), 1, max(1, len(sample) // 16)))
     centres = kmeans(sample, lists, 12, rng)
     near = _nearest(sample, centres)
     left = sample - centres[near]
@@ -200,7 +204,6 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, vec_id:
     placed = vectors.sparkSession.createDataFrame(pd.DataFrame({"list": np.arange(len(first), dtype=np.int32), "first": first, "spread": spread}))
     asked = rows.where("asks").groupBy(*key).agg(F.any_value("v").alias("v")).select(F.col("vec_id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2"), "v")
     carried = asked.columns
-    query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
 
     def deal(batches):
         for batch in batches:
@@ -209,10 +212,18 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, vec_id:
                 take = pa.array(np.repeat(np.arange(len(shards)), [len(s) for s in shards]))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in carried], pa.array([s for each in shards for s in each], pa.int64())], names=[*carried, "shard"])
 
-    visiting = asked.mapInArrow(deal, f"query_id {id_type}, q1 long, q2 long, v array<double>, shard long").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)))
-    # the list table has a fixed size: one row for each of at most 1024 centroids
+    visiting = checkpointed(asked.mapInArrow(deal, f"query_id {id_type}, q1 long, q2 long, v array<double>, shard long"))
+    # a row for each shard: its number of query blocks, so that a few shards still make work for all cores
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    enough = -(-4 * cores // (shard + 1))
+    per_shard = F.greatest(F.ceil(F.col("n") / QUERY_BLOCK), F.least(F.ceil(F.col("n") / SMALL_BLOCK), F.lit(enough)))
+    blocks = checkpointed(visiting.groupBy("shard").agg(F.count("*").alias("n")).select("shard", per_shard.cast("long").alias("blocks")))
+    groups_dealt = int(blocks.agg(F.sum("blocks")).first()[0] or 1)
+    visiting = visiting.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("query_id", "q1"), F.col("blocks"))).drop("blocks")
+    # the list table is bounded by the sample: one row for each centroid
     stored = index.join(F.broadcast(placed), "list").select((F.col("first") + F.pmod(F.xxhash64("vec_id", "code"), F.col("spread"))).alias("shard"), *key, "single", "list", "code")
-    stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
+    stored = stored.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    visiting, stored = (side.repartition(min(groups_dealt, MOST_TASKS), "shard", "block") for side in (visiting, stored))
 
     def search(asking: pa.Table, held: pa.Table) -> pa.Table:
         asks, holds = ["query_id", "q1", "q2"], ["vec_id", "h1", "h2", "single"]
