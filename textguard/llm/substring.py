@@ -1,23 +1,31 @@
 """Substring dedup by seed and extend.
 
-Seeds: every passage of ``length`` words is represented by its smallest hash among the word
-``gram``-grams inside it (winnowing), so equal passages always share an anchor, and few anchors
-are kept for a document. Anchors that occur in two different documents are the seeds. Extension:
-around a seed, all passages of ``length`` words that it represents are hashed; equal ones in
-different documents are the repeats, and neighbouring ones join to maximal repeats. A word covered
-by a passage that also starts in a document with a smaller id is removed.
-
-Groups are never expanded into pairs: a passage keeps only its smallest document id. Exact copies
-of a whole word sequence are settled by one hash first, and only the one with the smallest id
-takes part in the rest; so a hot group of copies costs one row each.
+Seeds: every passage of ``length`` words is represented by the smallest hash among the word
+``gram``-grams inside it (winnowing; of equal ones the first), so equal passages always share an
+anchor at the same place, and few anchors are kept for a document. Anchors that occur in two
+different documents are the seeds.
+
+Extension: an occurrence of a seed carries its context, the words on either side that a passage
+around it can reach. Occurrences that agree on the words of the anchor are extended to the left and
+to the right, word by word; those that still agree stay in one class. Left and right extensions
+that together make a passage of ``length`` words give a class whose smallest document id is kept,
+and neighbouring passages with the same smallest id join to one maximal repeat. Words themselves
+are compared, hashes only choose the seeds. A word of a repeat goes if that id is smaller than its
+document's; repeats of neighbouring seeds overlap and their union is cut out.
+
+Groups are never expanded into pairs: equal contexts collapse first, and classes hold smallest ids
+only. Exact copies of a whole word sequence are settled by one digest before that, and only the one
+with the smallest id takes part in the rest; so a hot group of copies costs one row each.
 
 Defined results: null, empty and blank texts have no words; texts shorter than ``length`` lose
 nothing; a passage repeated inside one document only is kept; rows with equal ids never remove
-each other's words; a null id removes nothing and loses nothing; an empty table gives no rows.
+each other's words; a null id removes nothing and loses nothing; an empty table gives no rows;
+other columns stay or are ignored.
 
-Scale: anchors (about one for ``(length - gram) / 2`` words) and the passages around seeds are
-shuffled by their hashes, the text once by document. Passages are compared by a 64-bit hash
-together with their anchor's, of which one covers the other's words.
+Scale: anchors (about one for ``(length - gram) / 2`` words) and the contexts of seeds are shuffled,
+the text twice by document. Contexts are dealt to tasks by anchor, about ``deal_rows`` each. An
+anchor with more different contexts than that is extended by a shuffle instead: each of its
+passages is a group of its own, named by a 128-bit hash, so no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -29,121 +37,204 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpointed, fresh_name, rolling, words_of
+from .common import WordHashes, checkpointed, fresh_name, rolling, store, words_of
 
 
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Smallest of every run of ``width`` values, by doubling."""
+def sliding_min(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest of every run of ``width`` values, and the first place where it stands, by doubling."""
     if len(values) < width:
-        return values[:0]
-    have = 1
+        return values[:0], np.empty(0, np.int64)
+    places, have = np.arange(len(values)), 1
     while have < width:
         step = min(have, width - have)
-        values = np.minimum(values[:-step], values[step:])
+        right = values[step:] < values[:-step]
+        values, places = np.where(right, values[step:], values[:-step]), np.where(right, places[step:], places[:-step])
         have += step
-    return values
+    return values, places
 
 
 @dataclass
-class Passages:
-    """Hashes and anchors of all passages of a word list."""
+class Anchors:
+    """Anchors of word lists, and the contexts in which they stand."""
 
     length: int
     gram: int
     known: WordHashes = field(default_factory=WordHashes)
 
-    def anchors(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For each passage its anchor (signed) and the place of that."""
         if len(words) < self.length:
-            return np.empty(0, np.uint64)
-        return sliding_min(rolling(self.known.of(words), self.gram), self.length - self.gram + 1)
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        return rolling(self.known.of(words), self.length)
-
-    def covered(self, words: list[bytes], removed: np.ndarray) -> np.ndarray:
-        """For each word, whether a passage whose hash is in ``removed`` covers it."""
-        hit = np.isin(self.hashes(words), removed)
-        edges = np.zeros(len(words) + 1, np.int64)
-        np.add.at(edges, np.flatnonzero(hit), 1)
-        np.add.at(edges, np.flatnonzero(hit) + self.length, -1)
-        return np.cumsum(edges[:-1]) > 0
-
-
-def _signed(values: np.ndarray) -> np.ndarray:
-    return values.view(np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        values, places = sliding_min(rolling(self.known.of(words), self.gram), self.length - self.gram + 1)
+        return values.view(np.int64), places
+
+    def contexts(self, words: list[bytes], seeds: np.ndarray) -> dict[tuple[int, int, bytes], list[int]]:
+        """Places of each (anchor, words before it in the context, context) whose anchor is a seed."""
+        values, places = self.of(words)
+        at, which = np.unique(places[np.isin(values, seeds)], return_index=True)
+        reach, out = self.length - self.gram, {}
+        for p, anchor in zip(at.tolist(), values[np.isin(values, seeds)][which].tolist()):
+            start = max(0, p - reach)
+            out.setdefault((anchor, p - start, b" ".join(words[start : p + self.length])), []).append(p)
+        return out
+
+
+def extend(anchor: np.ndarray, lead: np.ndarray, contexts: list[bytes], low: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """For each context and each number of words before the anchor (0 to ``length - gram``) the smallest ``low`` of
+    the contexts that agree on the passage of ``length`` words beginning there; -1 where a context is too short.
+    """
+    n, reach = len(contexts), length - gram
+    numbers: dict[bytes, int] = {}
+    words = np.full((n, 2 * reach + gram), -1, np.int64)  # the anchor begins in column ``reach``
+    for i, (context, before) in enumerate(zip(contexts, lead.tolist())):
+        own = [numbers.setdefault(w, len(numbers)) for w in context.split(b" ")]
+        words[i, reach - before : reach - before + len(own)] = own
+    base = len(numbers) + 1
+
+    def refined(classes: np.ndarray, column: np.ndarray) -> np.ndarray:
+        return np.unique(classes * base + column + 1, return_inverse=True)[1]
+
+    right = np.unique(anchor, return_inverse=True)[1]
+    for j in range(gram):
+        right = refined(right, words[:, reach + j])
+    rights, lefts = [right], [np.zeros(n, np.int64)]
+    for j in range(reach):
+        rights.append(refined(rights[-1], words[:, reach + gram + j]))
+        lefts.append(refined(lefts[-1], words[:, reach - 1 - j]))
+    out = np.full((n, reach + 1), -1, np.int64)
+    for before in range(reach + 1):
+        whole = (words[:, reach - before] >= 0) & (words[:, reach - before + length - 1] >= 0)
+        at = np.flatnonzero(whole)
+        if not len(at):
+            continue
+        classes = np.unique(lefts[before][at] * (n + 1) + rights[reach - before][at], return_inverse=True)[1]
+        least = np.full(classes.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, classes, low[at])
+        out[at, before] = least[classes]
+    return out
+
+
+#: Most rows of a table of crowded anchors that is broadcast; above that the join is shuffled.
+MOST_BROADCAST = 1_000_000
 
 
 @dataclass
 class Repeats:
-    """profile: doc_id, h (hash of the text), n_words, whole (SHA-256 of the words) for each row;
-    copies: doc_id and h of rows whose words all stand in a smaller document; marked: doc_id, h and
-    raw text of rows with seeds; removed: doc_id and the hashes of the passages to take out."""
+    """rows: doc_id, h (hash of the text) and raw text of each row; profile: doc_id, h, n_words, whole (SHA-256 of
+    the words); copies: doc_id and h of rows whose words all stand in a smaller document; spans: doc_id, h and
+    the repeats to cut out (start and end in words)."""
 
+    rows: DataFrame
     profile: DataFrame
     copies: DataFrame
-    marked: DataFrame
-    removed: DataFrame
-    length: int
-    gram: int
+    spans: DataFrame
 
 
-def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 50, gram: int = 16) -> Repeats:
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    keyed = rows.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("raw"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 50, gram: int = 16, deal_rows: int = 16_384) -> Repeats:
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("binary").alias("raw"))
+    id_type = keyed.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = Passages(length, gram)
+        anchors = Anchors(length, gram)
         for batch in batches:
-            counts, wholes, anchors = [], [], []
+            counts, wholes, found = [], [], []
             for raw in batch.column("raw").to_pylist():
                 words = words_of(raw)
                 counts.append(len(words))
                 wholes.append(hashlib.sha256(b" ".join(words)).digest())
-                anchors.append(_signed(np.unique(passages.anchors(words))))
+                found.append(np.unique(anchors.of(words)[0]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("h"), pa.array(counts, pa.int64()), pa.array(wholes, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))],
+                [batch.column("doc_id"), batch.column("h"), pa.array(counts, pa.int64()), pa.array(wholes, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
                 names=["doc_id", "h", "n_words", "whole", "anchors"],
             )
 
     scanned = checkpointed(keyed.mapInArrow(scan, f"doc_id {id_type}, h long, n_words long, whole binary, anchors array<long>"))
     profile = scanned.drop("anchors")
     long_enough = scanned.where((F.col("n_words") >= length) & F.col("doc_id").isNotNull())
-    first = long_enough.groupBy("whole").agg(F.min("doc_id").alias("first_id"))
+    # what is joined is materialised, so that both sides are plain shuffles and Spark can split a hot key among tasks
+    first = checkpointed(long_enough.groupBy("whole").agg(F.min("doc_id").alias("first_id")))
     settled = long_enough.join(first, "whole")
-    copies = settled.where("doc_id > first_id").select("doc_id", "h")
-    seeds = settled.where("doc_id = first_id").select("doc_id", "h", "whole", F.explode("anchors").alias("anchor"))
-    shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
-    # whether a passage goes depends on its document's id alone, so rows of equal id can share marks
-    marks = seeds.join(shared.select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("seeds"))
-    marked = checkpointed(keyed.join(marks, "doc_id"))
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = Passages(length, gram)
+    copies = settled.where("doc_id > first_id").select("doc_id", "h").distinct()
+    seeds = settled.where("doc_id = first_id").select("doc_id", "h", F.explode("anchors").alias("anchor"))
+    shared = checkpointed(seeds.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("anchor"))
+    marks = seeds.join(shared, "anchor").groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("seeds"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = Anchors(length, gram)
         for batch in batches:
-            hashes, anchors, sizes = [], [], []
-            for raw, seeds_of in zip(batch.column("raw").to_pylist(), batch.column("seeds").to_pylist()):
-                words = words_of(raw)
-                anchor = passages.anchors(words)
-                near = np.isin(_signed(anchor), np.array(seeds_of, np.int64))
-                found, at = np.unique(passages.hashes(words)[near], return_index=True)
-                hashes.append(_signed(found))
-                anchors.append(_signed(anchor[near][at]))
-                sizes.append(len(found))
-            spread = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            rows, keys, places = [], [], []
+            for i, (raw, seeds_of) in enumerate(zip(batch.column("raw").to_pylist(), batch.column("seeds").to_pylist())):
+                for key, at in anchors.contexts(words_of(raw), np.array(seeds_of, np.int64)).items():
+                    rows.append(i)
+                    keys.append(key)
+                    places.append(at)
+            take = pa.array(rows, pa.int64())
+            digests = [xxhash.xxh3_128_digest(context) for _, _, context in keys]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*anchors, np.empty(0, np.int64)])), pa.array(np.concatenate([*hashes, np.empty(0, np.int64)])), batch.column("doc_id").take(spread)],
-                names=["anchor", "passage", "doc_id"],
+                [batch.column("doc_id").take(take), batch.column("h").take(take), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array(digests, pa.binary()), pa.array([k[2] for k in keys], pa.binary()), pa.array(places, pa.list_(pa.int32()))],
+                names=["doc_id", "h", "anchor", "lead", "name", "context", "places"],
             )
 
-    passages = marked.mapInArrow(extend, f"anchor long, passage long, doc_id {id_type}")
-    least = passages.groupBy("anchor", "passage").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
-    repeated = passages.join(least.select("anchor", "passage", "low"), ["anchor", "passage"]).where("doc_id > low")
-    removed = repeated.groupBy("doc_id").agg(F.collect_set("passage").alias("removed"))
-    return Repeats(profile, copies, marked.select("doc_id", "h", "raw"), removed, length, gram)
+    met = keyed.join(marks, ["doc_id", "h"]).select("doc_id", "h", "raw", "seeds").mapInArrow(cut, f"doc_id {id_type}, h long, anchor long, lead int, name binary, context binary, places array<int>")
+    met, _ = store(met)
+    key = ["anchor", "lead", "name"]
+    contexts = met.groupBy(*key, "context").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    contexts, _ = store(contexts)
+    crowded = checkpointed(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > deal_rows).select("anchor"))
+    found = f"anchor long, lead int, name binary, low {id_type}, begin int, finish int"
+
+    def refine(table: pa.Table) -> pa.Table:
+        low, high = table.column("low"), table.column("high")
+        ids, ranks = np.unique(np.array(low.to_pylist() + high.to_pylist()), return_inverse=True)
+        low_rank, high_rank = ranks[: table.num_rows], ranks[table.num_rows :]
+        least = extend(table.column("anchor").to_numpy(), table.column("lead").to_numpy(), table.column("context").to_pylist(), low_rank, length, gram)
+        least = np.where((least >= 0) & (least < high_rank[:, None]), least, -1)
+        # runs of neighbouring passages with the same smallest id are one repeat
+        edge = np.pad(least[:, 1:] != least[:, :-1], ((0, 0), (1, 1)), constant_values=True)
+        row, start = np.nonzero(edge[:, :-1] & (least >= 0))
+        stop = np.nonzero(edge[:, 1:] & (least >= 0))[1]
+        smallest = pa.array(ids[least[row, start]].tolist(), low.type)
+        return pa.table([*(table.column(c).take(pa.array(row)) for c in key), smallest, pa.array(-stop, pa.int32()), pa.array(length - start, pa.int32())], names=[*key, "low", "begin", "finish"])
+
+    plain = contexts.join(F.broadcast(crowded), "anchor", "left_anti") if crowded.count() <= MOST_BROADCAST else contexts.join(crowded, "anchor", "left_anti")
+    deals = max(1, -(-contexts.count() // deal_rows))
+    repeats = plain.withColumn("deal", F.pmod(F.xxhash64("anchor"), F.lit(deals))).groupBy("deal").applyInArrow(lambda t: refine(t.drop(["deal"])), found)
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, before, named = [], [], []
+            for i, (lead, context) in enumerate(zip(batch.column("lead").to_pylist(), batch.column("context").to_pylist())):
+                words = context.split(b" ")
+                for start in range(lead - (length - gram), min(lead, len(words) - length) + 1):
+                    if start >= 0:
+                        rows.append(i)
+                        before.append(lead - start)
+                        named.append(xxhash.xxh3_128_digest(b" ".join(words[start : start + length])))
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (*key, "low", "high")), pa.array(before, pa.int32()), pa.array(named, pa.binary())], names=[*key, "low", "high", "before", "passage"])
+
+    if crowded.limit(1).count():
+        many = contexts.join(crowded, "anchor").select(*key, "context", "low", "high").mapInArrow(passages, f"anchor long, lead int, name binary, low {id_type}, high {id_type}, before int, passage binary")
+        least = checkpointed(many.groupBy("anchor", "before", "passage").agg(F.min("low").alias("least")))
+        joined = many.join(least, ["anchor", "before", "passage"]).where("least < high")
+        repeats = repeats.unionByName(joined.select(*key, F.col("least").alias("low"), (-F.col("before")).alias("begin"), (F.lit(length) - F.col("before")).cast("int").alias("finish")))
+    repeats = checkpointed(repeats.groupBy(*key).agg(F.collect_set(F.struct("low", "begin", "finish")).alias("repeats")))
+    hits = met.select("doc_id", "h", *key, "places").join(repeats, key).select("doc_id", "h", "places", F.expr("filter(repeats, r -> r.low < doc_id)").alias("repeats")).where(F.size("repeats") > 0)
+    placed = F.flatten(F.transform("places", lambda p: F.transform("repeats", lambda r: F.struct((p + r["begin"]).alias("start"), (p + r["finish"]).alias("end")))))
+    spans = checkpointed(hits.select("doc_id", "h", placed.alias("spans")).groupBy("doc_id", "h").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")))
+    return Repeats(keyed, profile, copies, spans)
+
+
+def covered(n: int, spans: list[dict]) -> list[bool]:
+    """For each of ``n`` words whether a span covers it."""
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, [s["start"] for s in spans], 1)
+    np.add.at(edges, [s["end"] for s in spans], -1)
+    return (np.cumsum(edges[:-1]) > 0).tolist()
 
 
 def digest_repeats(found: Repeats) -> DataFrame:
@@ -152,21 +243,19 @@ def digest_repeats(found: Repeats) -> DataFrame:
     Rows without a repeat take their digest from the first pass; text is read again only where
     words go.
     """
-    length, gram = found.length, found.gram
-    cut = found.marked.join(found.removed, "doc_id").dropDuplicates(["doc_id", "h"])
 
     @F.pandas_udf("n_removed long, kept string")
-    def cut_out(raws: pd.Series, removed: pd.Series) -> pd.DataFrame:
-        passages, out = Passages(length, gram), []
-        for raw, gone in zip(raws, removed):
+    def cut_out(raws: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        out = []
+        for raw, gone in zip(raws, spans):
             words = words_of(raw)
-            covered = passages.covered(words, np.array(gone, np.int64).view(np.uint64))
-            kept = b" ".join([w for w, c in zip(words, covered.tolist()) if not c])
-            out.append((int(covered.sum()), hashlib.sha256(kept).hexdigest()))
+            removed = covered(len(words), gone)
+            kept = b" ".join([w for w, r in zip(words, removed) if not r])
+            out.append((sum(removed), hashlib.sha256(kept).hexdigest()))
         return pd.DataFrame(out, columns=["n_removed", "kept"])
 
-    changed = cut.join(found.copies, ["doc_id", "h"], "left_anti").select("doc_id", "h", cut_out("raw", "removed").alias("c")).select("doc_id", "h", "c.n_removed", "c.kept")
-    gone = found.copies.distinct().select("doc_id", "h", F.lit(-1).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept"))
+    changed = found.rows.join(found.spans, ["doc_id", "h"]).select("doc_id", "h", cut_out("raw", "spans").alias("c")).select("doc_id", "h", "c.n_removed", "c.kept").dropDuplicates(["doc_id", "h"])
+    gone = found.copies.select("doc_id", "h", F.lit(-1).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept"))
     return found.profile.join(changed.unionByName(gone), ["doc_id", "h"], "left").select(
         "doc_id",
         "n_words",
@@ -181,32 +270,31 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Rows, order of columns and all other columns stay; a text whose words all go becomes empty.
     """
     found = find_repeats(docs, text, doc_id, length, gram)
-    gone = found.copies.distinct().withColumn("all_gone", F.lit(True)).withColumn("removed", F.lit(None).cast("array<long>"))
-    marks = found.marked.select("doc_id", "h").distinct().join(found.removed, "doc_id").join(gone, ["doc_id", "h"], "left_anti").withColumn("all_gone", F.lit(False)).unionByName(gone)
+    none = F.lit(None).cast(found.spans.schema["spans"].dataType)
+    marks = found.spans.withColumn("all_gone", F.lit(False)).unionByName(found.copies.withColumns({"spans": none, "all_gone": F.lit(True)}))
     mark = fresh_name(docs, "repeat_mark")
-    marks = marks.select(F.struct("doc_id", "h", "all_gone", "removed").alias(mark))
+    marks = marks.select(F.struct("doc_id", "h", "all_gone", "spans").alias(mark))
 
     @F.pandas_udf("string")
-    def cut_out(texts: pd.Series, removed: pd.Series) -> pd.Series:
-        passages, out = Passages(length, gram), []
-        for value, gone in zip(texts, removed):
+    def cut_out(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for value, gone in zip(texts, spans):
             if gone is None:
                 out.append(value)
                 continue
-            raw, parts, at = value.encode(), [], 0
+            raw, at, starts = value.encode(), 0, []
             words = words_of(raw)
-            starts = []
             for word in words:
                 at = raw.index(word, at)
                 starts.append(at)
                 at += len(word)
-            covered = passages.covered(words, np.array(gone, np.int64).view(np.uint64)).tolist()
-            parts = [raw[: starts[0]]] if not covered[0] else []
-            parts += [raw[a:b] for a, b, c in zip(starts, [*starts[1:], len(raw)], covered) if not c]
+            removed = covered(len(words), gone)
+            parts = [raw[: starts[0]]] if not removed[0] else []
+            parts += [raw[a:b] for a, b, r in zip(starts, [*starts[1:], len(raw)], removed) if not r]
             out.append(b"".join(parts).decode())
         return pd.Series(out, dtype=object)
 
     same = (docs[doc_id] == F.col(f"{mark}.doc_id")) & (F.xxhash64(docs[text]) == F.col(f"{mark}.h"))
     joined = docs.join(marks, same, "left")
-    kept = F.when(F.col(f"{mark}.all_gone"), F.lit("")).otherwise(cut_out(docs[text], F.col(f"{mark}.removed")))
+    kept = F.when(F.col(f"{mark}.all_gone"), F.lit("")).otherwise(cut_out(docs[text], F.col(f"{mark}.spans")))
     return joined.select(*[kept.alias(c) if c == text else docs[c] for c in docs.columns])
