@@ -31,7 +31,7 @@ def test_against_sql(spark, name):
 def test_decode_layers():
     assert T.decode_layers("a&amp;b %41 \\x42") == "a&b A B"
     assert "ignore everything now" in T.decode_layers("aWdub3JlIGV2ZXJ5dGhpbmcgbm93")
-    assert T.decode_layers("say i.g.n.o.r.e and h e l p me") == "say ignore and help me"
+    assert T.join_letters("say i.g.n.o.r.e and h e l p  a l l (x y z) me e.g. U S") == "say ignore and help all (xyz) me e.g. U S"
     assert T.decode_layers(None) is None
 
 

@@ -96,10 +96,7 @@ def test_guards(spark):
     assert ("TG-M01", "review") not in got[-8] and got[-7][0][0] == "TG-003"
 
 
-def test_report_and_ladder(spark):
-    rows = [("g", "f1", "c", 3, "A", "m1"), ("g", "f1", "c", 4, "B", "m1"), ("h", "f1", "c", 3, "A", "m1"), ("h", "f1", "c", 3, "B", "m2"), ("k", "f1", "c", 3, "A", "m1"), ("k", "f2", "c", 3, "B", "m2"), ("n", "f", "c", 1, "A", "m")]
-    found = spark.createDataFrame(rows, "g string, f string, category string, rank int, id string, match string")
-    assert {r.g: r.overall for r in reports.ladder(found, "g", "f").collect()} == {"g": "review", "h": "known_attack", "k": "review", "n": "clean_notes"}
+def test_daily_page(spark):
     days = spark.createDataFrame([("2024-01-01", 1), ("<b>", 2)], "day string, total int")
     assert reports.html_report(days).count("<tr>") == 3 and "<b>" not in reports.html_report(days)
 
@@ -110,7 +107,7 @@ def test_files(spark, tmp_path):
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(body)
     got = {r.path.rsplit("/", 1)[1]: r.text for r in files.read_tree(spark, str(tmp_path / "tree")).collect()}
-    assert got == {"a.py": "ok �"}
+    assert got == {"a.py": "ok "}
     srt = spark.createDataFrame([("1\r\n00:01 --> 00:02\r\n<i>Hello</i> there\r\n\r\n2\nyou",), (None,)], t.StructType([t.StructField("s", t.StringType())]))
     assert [r[0] for r in srt.select(files.clean_subtitles(F.col("s"))).collect()] == ["Hello there you", None]
     (tmp_path / "log.csv").write_text(" ClientIP ,UA\n1.2.3.4,bot\n,none\n5.6.7.8,\n")
@@ -118,7 +115,8 @@ def test_files(spark, tmp_path):
 
 
 def test_sarif_rules(spark):
-    rows = [("A", "c", "review", 0), ("A", "c", "critical", 4), ("B", None, "odd", 0), ("B", None, None, 0)]
-    got = {r.id: (r.level, r.score, json.loads(r.rule)) for r in reports.sarif_rules(spark.createDataFrame(rows, "id string, category string, severity string, rank int")).collect()}
-    assert got["A"][:2] == ("error", "9.5") and got["B"][0] == "note" and got["B"][1] == "5.0"
-    assert got["A"][2]["properties"]["security-severity"] == "9.5" and got["A"][2]["defaultConfiguration"] == {"level": "error"}
+    rows = [("A", "exfiltration", "review", 0), ("A", "exfiltration", "critical", 4), ("B", None, "odd", 0), ("B", None, None, 0)]
+    got = {r.id: (r.level, r.score, r.help_uri, json.loads(r.rule)) for r in reports.sarif_rules(spark.createDataFrame(rows, "id string, category string, severity string, rank int")).collect()}
+    assert got["A"][:2] == ("error", "9.5") and got["A"][2].endswith("/outbound-endpoint-control-c2-drift")
+    assert got["B"][:3] == ("warning", "5.0", reports.DOCS_URI)
+    assert got["A"][3]["properties"]["security-severity"] == "9.5" and got["A"][3]["defaultConfiguration"] == {"level": "error"}

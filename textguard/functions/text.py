@@ -71,14 +71,13 @@ def _base64_segment(match: re.Match) -> str:
     return found if len(found) > 4 and found.isprintable() else raw
 
 
-#: Single letters joined by signs or by single spaces, at least three of them, and what every such run holds.
-_JOINED, _JOINED_HINT = re.compile(r"\b[a-zA-Z](?:[.\-_][a-zA-Z]){2,}\b"), re.compile(r"[.\-_][a-zA-Z][.\-_][a-zA-Z]")
-_SPACED, _SPACED_HINT = re.compile(r"(?<!\S)[a-zA-Z](?: [a-zA-Z]){2,}(?!\S)"), re.compile(r" [a-zA-Z] [a-zA-Z](?!\S)")
 _FOLDED, _FOLDS = re.compile(f"[{LOOKALIKES[0]}]"), str.maketrans(*LOOKALIKES)
+#: What a text must hold for decode_layers to change it.
+DECODABLE = r"[^\x00-\x7F]|&|%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|[A-Za-z0-9+/]{20,}"
 
 
 def decode_layers(text: str | None, passes: int = 3) -> str | None:
-    """NFKC and look-alikes; entities, percent codes, hex escapes and base64 runs until nothing changes (at most ``passes`` times); then words spelt with signs or spaces between their letters, and runs of white space."""
+    """NFKC and look-alikes; then entities, percent codes, hex escapes and base64 runs until nothing changes (at most ``passes`` times)."""
     if text is None:
         return None
     text = unicodedata.normalize("NFKC", text)
@@ -94,29 +93,51 @@ def decode_layers(text: str | None, passes: int = 3) -> str | None:
         text = re.sub(r"[A-Za-z0-9+/]{20,}={0,2}", _base64_segment, text)
         if text == before:
             break
-    if _JOINED_HINT.search(text):
-        text = _JOINED.sub(lambda m: re.sub(r"[.\-_]", "", m.group(0)), text)
-    if _SPACED_HINT.search(text):
-        text = _SPACED.sub(lambda m: m.group(0).replace(" ", ""), text)
-    return re.sub(r"\s{2,}", " ", text)
+    return text
+
+
+#: Words spelt with a sign or a space between their letters (three at least), and what a text must hold to have one.
+_JOINED = re.compile(r"\b[a-zA-Z](?:[.\-_][a-zA-Z]){2,}\b")
+_SPACED = re.compile(r"(?<!\w)(?:[a-zA-Z] ){2,}[a-zA-Z](?!\w)")
+SPELT = r"[a-zA-Z][.\-_][a-zA-Z][.\-_][a-zA-Z]|[a-zA-Z] [a-zA-Z] [a-zA-Z]"
+
+
+def join_letters(text: str | None) -> str | None:
+    """Words spelt with signs or single spaces between their letters drawn together; longer white space ends a word and becomes one space."""
+    if text is None:
+        return None
+    text = _JOINED.sub(lambda m: re.sub(r"[.\-_]", "", m.group(0)), text)
+    return " ".join(_SPACED.sub(lambda m: m.group(0).replace(" ", ""), part) for part in re.split(r"\s{2,}", text))
+
+
+def _where_needed(text: Column, hint: str, change) -> Column:
+    """``change`` of a text as an Arrow UDF, for texts that hold ``hint`` only; the others do not reach Python's loop."""
+
+    def each(texts: pd.Series) -> pd.Series:
+        return texts.map(change, na_action="ignore")
+
+    return F.coalesce(F.pandas_udf(each, StringType())(F.when(F.rlike(text, F.lit(hint)), text)), text)
 
 
 def decoded(text: Column) -> Column:
-    """decode_layers as an Arrow UDF."""
+    """decode_layers as a column."""
+    return _where_needed(text, DECODABLE, decode_layers)
 
-    def decode(texts: pd.Series) -> pd.Series:
-        return texts.map(decode_layers, na_action="ignore")
 
-    return F.pandas_udf(decode, StringType())(text)
+def joined(text: Column) -> Column:
+    """join_letters as a column."""
+    return F.regexp_replace(_where_needed(text, SPELT, join_letters), r"(?U)[\s\x1C-\x1F]{2,}", " ")
 
 
 def normalize(text: Column) -> Column:
     """Folded lower-case text, followed by its views.
 
+    Leet signs become letters before spelt-out words are joined, so that signs inside such words count too.
+
     The ROT13 view follows where it differs. Short texts are followed besides by all of this
     reversed, and then, where it differs, by the whole with each ``l`` that begins a word read as ``i``.
     """
-    plain = collapse_whitespace(fold_leet(decoded(strip_invisible(F.replace(text, F.lit(VIEW_MARK), F.lit(" "))))))
+    plain = collapse_whitespace(joined(fold_leet(decoded(strip_invisible(F.replace(text, F.lit(VIEW_MARK), F.lit(" ")))))))
     turned = lambda t: F.when(rot13(t) != t, F.concat_ws(SEPARATOR, t, rot13(t))).otherwise(t)
     mirrored = lambda t: F.lower(F.concat_ws(SEPARATOR, t, F.reverse(t)))
     reshaped = lambda t: F.regexp_replace(t, r"(?U)\bl(?=[a-z])", "i")

@@ -67,6 +67,12 @@ def clean_corpus_hits(clean: DataFrame, text: str, keywords: list[str]) -> DataF
     return clean.select(F.explode(keyword_hits(F.col(text), keywords)).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n_docs"))
 
 
+def too_general(clean: DataFrame, text: str, keywords: list[str], share: float = 0.01) -> list[str]:
+    """Keywords that more than ``share`` of the clean texts hold: the denylist of an engine, made by a rule. It is no longer than ``keywords``."""
+    total = clean.count()
+    return sorted(r["keyword"] for r in clean_corpus_hits(clean, text, keywords).where(F.col("n_docs") > share * total).collect())
+
+
 def signature(patterns: Column) -> Column:
     """Digest of the sorted, trimmed regexes of a card."""
     return F.sha2(F.array_join(F.array_sort(F.transform(patterns, lambda p: F.trim(p))), "\n"), 256)
@@ -91,3 +97,36 @@ def stats(cards: DataFrame) -> DataFrame:
     named = cards.select("category", "severity", F.size("keywords").alias("k"), F.size("regex").alias("r"))
     grouped = named.rollup("category", "severity").agg(F.count("*").alias("cards"), F.sum("k").alias("keywords"), F.sum("r").alias("regexes"), F.grouping_id().alias("g"))
     return grouped.select(F.when(F.col("g") > 1, "all").otherwise(F.col("category")).alias("category"), F.when(F.col("g") > 0, "all").otherwise(F.col("severity")).alias("severity"), "cards", "keywords", "regexes")
+
+
+def slug(name: Column) -> Column:
+    """Lower-case words of a name joined by hyphens, at most 60 characters."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 60)
+
+
+def exported(cards: DataFrame, before: DataFrame, today: Column) -> DataFrame:
+    """(folder, file, date_added, body): the file of each card, by category; a card whose file was exported ``before`` (file, date_added) keeps its date.
+
+    Null ids, names, categories and severities take the words UNKNOWN, unnamed, uncategorized and medium.
+    """
+    filled = cards.select(F.coalesce("id", F.lit("UNKNOWN")).alias("id"), F.coalesce("name", F.lit("unnamed")).alias("name"), F.coalesce("category", F.lit("uncategorized")).alias("category"), F.coalesce("severity", F.lit("medium")).alias("severity"), "channel", "keywords", "regex")
+    folder = F.replace("category", F.lit("_"), F.lit("-"))
+    placed = filled.select(folder.alias("folder"), F.concat("id", F.lit("-"), slug(F.col("name")), F.lit(".json")).alias("file"), F.struct("id", "name", F.lit("1.0").alias("version"), "category", "severity", F.col("channel").alias("channels"), "keywords", "regex").alias("card"))
+    known = before.groupBy("file").agg(F.min("date_added").alias("old"))
+    dated = placed.join(known, "file", "left").withColumn("date_added", F.coalesce("old", today))
+    return dated.select("folder", "file", "date_added", F.to_json(F.col("card").withField("date_added", F.col("date_added"))).alias("body"))
+
+
+def write_export(files: DataFrame, path: str) -> None:
+    """Write exported cards as JSON lines in one folder for each category."""
+    files.select("folder", F.col("body").alias("value")).write.mode("overwrite").partitionBy("folder").text(path)
+
+
+def manifest(files: DataFrame) -> DataFrame:
+    """(folder, n): cards by folder, and over all ('all')."""
+    return files.rollup("folder").agg(F.count("*").alias("n"), F.grouping("folder").alias("g")).select(F.when(F.col("g") == 1, "all").otherwise(F.col("folder")).alias("folder"), "n")
+
+
+def lint_counts(linted: DataFrame, by: str) -> DataFrame:
+    """(by, passed, failed) from cards with violations."""
+    return linted.groupBy(by).agg(F.count_if(F.size("violations") == 0).alias("passed"), F.count_if(F.size("violations") > 0).alias("failed"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -66,6 +66,20 @@ def ranges_of(networks: DataFrame) -> DataFrame:
     return networks.select("vendor", keys.alias("k")).where("k is not null").select("vendor", F.col("k")[0].alias("lo"), F.col("k")[1].alias("hi")).distinct()
 
 
+def read_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """(vendor, cidr) of the JSON files below ``folder``, one for each vendor and named by it; prefixes may lie at any depth."""
+    files = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("vendor"), "value")
+    return files.select("vendor", F.explode(F.regexp_extract_all("value", F.lit(r'"ipv[46]Prefix"\s*:\s*"([^"]*)"'), F.lit(1))).alias("cidr"))
+
+
+def by_total(claims: DataFrame) -> DataFrame:
+    """Result of verify_claims with total and place: the most frequent claim first, equal ones by name, the sum of all last."""
+    total = F.col("verified") + F.col("fake") + F.col("uncheckable")
+    # a row for each of at most 13 claims, so one task may order them
+    order = Window.orderBy(F.col("claim") == "all", F.desc("total"), "claim")
+    return claims.withColumn("total", total).withColumn("place", F.row_number().over(order))
+
+
 def verify_claims(log: DataFrame, networks: DataFrame) -> DataFrame:
     """Per claim and over all ('all'): rows that are verified, fake and uncheckable (no ranges known, or no readable address).
 

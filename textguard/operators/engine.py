@@ -32,6 +32,7 @@ from ..functions.text import VIEW_LIMIT, VIEW_MARK, normalize
 from ..plans import rules as R
 from ..plans.patterns import CHANNEL_ALIASES, CHANNELS, MECHANISMS, Pattern
 from . import scan as S
+from .keywords import automaton_of
 
 #: Most patterns that a plan takes; more are refused, not dropped.
 MOST_PATTERNS = 5_000
@@ -63,6 +64,20 @@ def java_regex(pattern: str) -> str:
     return f"(?dU{kept})" + _TOKENS.sub(spell, pattern[flags.end() if flags else 0 :])
 
 
+def leading_groups(regex: str, loose: bool) -> tuple[list[str], str]:
+    """The look-aheads that a regex begins with (``loose``: blanks between them do not count), and what follows them."""
+    groups = []
+    while (regex := regex.lstrip() if loose else regex).startswith(("(?=", "(?!")):
+        depth = 0
+        for token in _TOKENS.finditer(regex):
+            depth += {"(": 1, "(?P<": 1, ")": -1}.get(token.group(0), 0)
+            if not depth:
+                break
+        groups.append(regex[: token.end()])
+        regex = regex[token.end() :]
+    return groups, regex
+
+
 def evaluation(pattern: str) -> tuple[str, list[str], str]:
     """How a regex is evaluated: (``plain``, ``window`` or ``guarded``; guards; core).
 
@@ -70,25 +85,14 @@ def evaluation(pattern: str) -> tuple[str, list[str], str]:
     pinned to the beginning of the text besides, its leading negative look-aheads are guards that
     are held against the whole text, and the rest is matched at each window.
     """
-    flags = _FLAGS.match(pattern)
-    head, rest = (flags.group(0), pattern[flags.end() :]) if flags else ("", pattern)
-    loose = str.lstrip if "x" in head else str
-    stripped = loose(rest)
-    pinned = next((p for p in ("^", r"\A") if stripped.startswith(p)), None)
-    if pinned is None:
-        return ("window" if rest.lstrip().startswith(("(?=", "(?!")) else "plain"), [], pattern
-    rest, guards = loose(stripped[len(pinned) :]), []
-    if not rest.startswith(("(?=", "(?!")):
-        return "plain", [], pattern
-    while rest.startswith("(?!"):
-        depth = 0
-        for token in _TOKENS.finditer(rest):
-            depth += {"(": 1, "(?P<": 1, ")": -1}.get(token.group(0), 0)
-            if depth == 0:
-                break
-        guards.append(head + rest[3 : token.start()])
-        rest = loose(rest[token.end() :])
-    return "guarded", guards, head + rest
+    head = found.group(0) if (found := _FLAGS.match(pattern)) else ""
+    loose = "x" in head
+    pin = re.compile(r"\s*(?:\^|\\A)" if loose else r"\^|\\A").match(pattern, len(head))
+    groups, rest = leading_groups(pattern[pin.end() if pin else len(head) :], loose or not pin)
+    if not groups or not pin:
+        return ("window" if groups else "plain"), [], pattern
+    n_guards = next((i for i, g in enumerate(groups) if g[2] != "!"), len(groups))
+    return "guarded", [head + g[3:-1] for g in groups[:n_guards]], head + "".join(groups[n_guards:]) + rest
 
 
 def usable_regexes(pattern: Pattern) -> list[str]:
@@ -136,11 +140,10 @@ def keyword_places(normal: Column, owners: dict[str, list[int]]) -> Column:
                 found.setdefault(p, {"p": p, "match": (left + word + right).strip(), "at": start + 1})
         return list(found.values())
 
+    words = tuple(owners)
+
     def search(texts: pd.Series) -> pd.Series:
-        automaton = ahocorasick.Automaton()
-        for word in owners:
-            automaton.add_word(word, word)
-        automaton.make_automaton()
+        automaton = automaton_of(words)
         return texts.map(lambda t: first(t, automaton))
 
     kind = ArrayType(StructType().add("p", IntegerType()).add("match", StringType()).add("at", IntegerType()))
@@ -154,7 +157,7 @@ class Engine:
 
     ``patterns`` are Pattern rows or a table with their columns (see sources.patterns);
     ``extra`` are the user's own; mechanisms join unless switched off. Keywords in
-    ``denied`` are too general and are left out.
+    ``denied`` are too general and are left out (see cards.too_general).
     """
 
     def __init__(self, patterns: Iterable[Pattern] | DataFrame = (), extra: Iterable[Pattern] | DataFrame = (), mechanisms: bool = True, denied: Iterable[str] = ()):
@@ -246,8 +249,7 @@ class Engine:
             tried = S.bound(open_, lambda o: F.when(F.size(o) > 0, lane(folded, folded, doubtful, lambda i: F.array_contains(o, i))).otherwise(empty))
             alone = F.filter(known, lambda h: ~of(h)["has_regex"])
             found = F.concat(judged(alone, folded, False), judged(seen, raw, True), judged(tried, folded, False))
-            worst = lambda fs: F.array_max(F.transform(fs, lambda f: S.rank_of(f["severity"])))
-            return S.bound(S.suppress_mechanisms(found), lambda fs: F.struct(fs.alias("findings"), S.decision_of(worst(fs)).alias("decision")))
+            return S.bound(S.suppress_mechanisms(found), lambda fs: F.struct(fs.alias("findings"), S.decision_of(F.transform(fs, lambda f: f["severity"])).alias("decision")))
 
         out = docs.withColumn(normal, normalize(raw) if owners else F.lit(None).cast("string"))
         out = out.withColumn(keyworded, keyword_places(F.col(normal), owners))

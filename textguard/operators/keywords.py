@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,16 @@ from pyspark.sql.types import ArrayType, StringType
 MOST_KEYWORDS = 100_000
 
 
+@lru_cache(8)
+def automaton_of(words: tuple[str, ...]) -> ahocorasick.Automaton:
+    """Automaton of words, built once in each Python worker."""
+    automaton = ahocorasick.Automaton()
+    for word in words:
+        automaton.add_word(word, word)
+    automaton.make_automaton()
+    return automaton
+
+
 def keywords_in(text: str | None, automaton: ahocorasick.Automaton) -> list[str]:
     """Sorted distinct keywords in lower-case ``text``.
 
@@ -28,17 +40,14 @@ def keywords_in(text: str | None, automaton: ahocorasick.Automaton) -> list[str]
 
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
     """Array of the keywords that ``text`` holds; null and empty texts hold none."""
-    words = sorted({k.lower() for k in keywords if k})
+    words = tuple(sorted({k.lower() for k in keywords if k}))
     if len(words) > MOST_KEYWORDS:
         raise ValueError(f"{len(words)} keywords; at most {MOST_KEYWORDS}")
     if not words:
         return F.array().cast("array<string>")
 
     def search(texts: pd.Series) -> pd.Series:
-        automaton = ahocorasick.Automaton()
-        for word in words:
-            automaton.add_word(word, word)
-        automaton.make_automaton()
+        automaton = automaton_of(words)
         return texts.map(lambda t: keywords_in(t, automaton))
 
     return F.pandas_udf(search, ArrayType(StringType()))(F.lower(F.coalesce(text, F.lit(""))))

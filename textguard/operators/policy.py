@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -42,3 +43,50 @@ def verify_ranges(claims: DataFrame, ranges: DataFrame) -> DataFrame:
     inside = c.join(r, (F.col("c.vendor") == F.col("r.vendor")) & F.col("c.number").between(F.col("r.lo"), F.col("r.hi")), "left_semi").select("vendor", "number", F.lit(True).alias("ok"))
     joined = numbered.join(inside, ["vendor", "number"], "left")
     return joined.groupBy("vendor").agg(F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("verified"), F.sum(F.when(F.col("ok"), 0).otherwise(F.col("n"))).alias("fake"))
+
+
+class PolicyError(ValueError):
+    """A policy or pins file that cannot be taken at its word."""
+
+
+#: Lists that a policy may hold.
+POLICY_KEYS = ("allowed_hosts", "blocked_paths")
+_ITEM, _KEY = re.compile(r"\s*- (.*)"), re.compile(r"(\S[^:]*):(.*)")
+
+
+def parse_policy(text: str | None) -> dict[str, list[str]]:
+    """Lists of a policy: lines ``key:``, each followed by lines ``  - value``; ``#`` begins a comment.
+
+    Anything else is an error, as an ignored line would look like protection: unknown keys, values
+    behind a key, items before the first key, indented lines and lines without a colon.
+    """
+    lists: dict[str, list[str]] = {}
+    key = None
+
+    def error(what: str) -> PolicyError:
+        return PolicyError(f"line {number}: {what}")
+
+    for number, line in enumerate((text or "").splitlines(), 1):
+        line = line.partition("#")[0].rstrip()
+        if not line:
+            continue
+        if item := _ITEM.fullmatch(line):
+            if key is None:
+                raise error("a list item outside any key")
+            lists[key].append(item.group(1).strip())
+        elif line[0].isspace():
+            raise error("unexpected indentation")
+        elif not (found := _KEY.fullmatch(line)):
+            raise error("neither a key with a colon nor a list item")
+        elif (name := found.group(1).strip()) not in POLICY_KEYS:
+            raise error(f"unknown key {name!r}; there are {', '.join(POLICY_KEYS)}")
+        elif found.group(2).strip():
+            raise error(f"{name!r} takes a list, one item a line")
+        else:
+            key, lists[name] = name, []
+    return lists
+
+
+def default_policy() -> dict[str, list[str]]:
+    """The lists of a policy, all empty: nothing is blocked until a user writes it."""
+    return {key: [] for key in POLICY_KEYS}

@@ -8,23 +8,95 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ladder(found: DataFrame, group: str, file: str) -> DataFrame:
-    """Per group: findings and the rung.
+#: Severities that can corroborate, and the rungs of the ladder from the worst.
+CORROBORATING = ["high", "critical"]
+RUNGS = ["known_attack", "review_before_agent_ingestion", "clean_notes", "clean"]
 
-    Two rules of one category with two different matches in one file, all at high or above, make
-    it a known attack; any finding at medium or above asks for review; others are notes.
+
+def tier_of(patterns: DataFrame) -> DataFrame:
+    """(id, tier) of patterns (id, tier, regex): the tier given, else B without a regex, else A."""
+    has_regex = F.coalesce(F.size("regex"), F.lit(0)) > 0
+    tier = F.when(F.coalesce("tier", F.lit("")) != "", F.col("tier")).when(has_regex, "A").otherwise("B")
+    return patterns.select("id", tier.alias("tier")).groupBy("id").agg(F.max("tier").alias("tier"))
+
+
+def note_only(tier: Column, severity: Column) -> Column:
+    """Whether a finding only ever makes notes: tier B, or a severity below high."""
+    return (F.coalesce(tier, F.lit("A")) == "B") | ~F.coalesce(severity.isin(CORROBORATING), F.lit(False))
+
+
+def ladder(files: DataFrame, found: DataFrame, group: str, file: str) -> DataFrame:
+    """Per group of files: overall, files_scanned, signature_hits, review_files and notes.
+
+    ``files`` has a row for each file, ``found`` (group, file, id, category, severity, match, tier)
+    one for each finding. A finding of tier S makes a known attack. Two ids with two different
+    matches of one category in one file, none of them note-only or of tier S, ask for review. Any
+    other finding makes notes, and a group without findings is clean. Null groups are a group of
+    their own. Ids and matches of one file and category are counted by their smallest and largest,
+    so no set is gathered.
     """
-    strong = lambda c: F.count_distinct(F.when(F.col("rank") >= 3, F.col(c)))
-    by = found.groupBy(group, file, "category").agg(strong("id").alias("ids"), strong("match").alias("matches"), F.max("rank").alias("top"), F.count("*").alias("n"))
-    known = F.bool_or((F.col("ids") >= 2) & (F.col("matches") >= 2))
-    rung = F.when(known, "known_attack").when(F.max("top") >= 2, "review").otherwise("clean_notes")
-    return by.groupBy(group).agg(F.sum("n").alias("findings"), rung.alias("overall"))
+    signature = F.coalesce(F.col("tier") == "S", F.lit(False))
+    counts = ~signature & ~note_only(F.col("tier"), F.col("severity"))
+    two = lambda c: F.coalesce(F.min(F.when(counts, F.col(c))) != F.max(F.when(counts, F.col(c))), F.lit(False))
+    match = found.withColumn("match", F.coalesce("match", F.lit("")))
+    by = match.groupBy(group, file, "category").agg((two("id") & two("match")).alias("review"), F.count_if(signature).alias("hits"), F.count_if(~signature).alias("notes"))
+    per_file = by.groupBy(group, file).agg(F.bool_or("review").alias("review"), F.sum("hits").alias("hits"), F.sum("notes").alias("notes"))
+    graded = per_file.groupBy(group).agg(F.sum("hits").alias("signature_hits"), F.count_if("review").alias("review_files"), F.sum("notes").alias("notes"))
+    scanned = files.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("files_scanned"))
+    joined = scanned.join(graded, F.col("_group").eqNullSafe(graded[group]), "left")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rung = F.when(number("signature_hits") > 0, RUNGS[0]).when(number("review_files") > 0, RUNGS[1]).when(number("notes") > 0, RUNGS[2]).otherwise(RUNGS[3])
+    return joined.select(F.col("_group").alias(group), rung.alias("overall"), "files_scanned", *[number(c).alias(c) for c in ("signature_hits", "review_files", "notes")])
 
 
 def daily_report(log: DataFrame, day: Column, decision: Column, latency: Column) -> DataFrame:
-    """Per day: totals by decision and average latency."""
+    """Per day: totals by decision, average latency, and the share of clean scans in whole per cent (halves to even)."""
     rows = log.select(day.alias("day"), decision.alias("decision"), latency.alias("latency"))
-    return rows.groupBy("day").agg(F.count("*").alias("total"), F.count_if(F.col("decision") == "block").alias("blocked"), F.count_if(F.col("decision") == "quarantine").alias("quarantined"), F.count_if(F.col("decision") == "allow").alias("clean"), F.round(F.avg("latency"), 4).alias("avg_latency"))
+    count = lambda d: F.count_if(F.col("decision") == d)
+    score = F.bround(count("allow") / F.count("*") * 100, 0).cast("long")
+    return rows.groupBy("day").agg(
+        F.count("*").alias("total"), count("block").alias("blocked"), count("quarantine").alias("quarantined"), count("allow").alias("clean"), count("allow_redacted").alias("redacted"),
+        F.round(F.avg("latency"), 4).alias("avg_latency"), score.alias("protection_score"),
+    )
+
+
+def daily_categories(log: DataFrame, day: Column, categories: Column) -> DataFrame:
+    """(day, category, n): how often each category of an array column comes up on a day."""
+    return log.select(day.alias("day"), F.explode(categories).alias("category")).groupBy("day", "category").agg(F.count("*").alias("n"))
+
+
+def last_threats(log: DataFrame, day: Column, decision: Column, order: list[str], n: int = 10) -> DataFrame:
+    """The last ``n`` rows of each day that were not allowed."""
+    return tail(log.withColumns({"day": day, "decision": decision}).where("decision <> 'allow'"), "day", order, n)
+
+
+def tree_totals(scanned: DataFrame, group: str) -> DataFrame:
+    """Per group of scanned files: files_scanned, files_with_threats, total_threats, and findings by severity."""
+    n = lambda s: F.sum(F.size(F.filter("findings", lambda f: f["severity"] == s))).alias(s)
+    threats = F.size("findings")
+    return scanned.groupBy(group).agg(F.count("*").alias("files_scanned"), F.count_if(threats > 0).alias("files_with_threats"), F.sum(threats).alias("total_threats"), *[n(s) for s in ("critical", "high", "medium", "low")])
+
+
+def tree_categories(scanned: DataFrame, group: str) -> DataFrame:
+    """(group, category, n, place): categories of a group's findings, the commonest first, equal ones by name."""
+    counted = scanned.select(group, F.explode("findings.category").alias("category")).groupBy(group, "category").agg(F.count("*").alias("n"))
+    return counted.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "category")))
+
+
+def tree_report(totals: DataFrame, categories: DataFrame, group: str) -> DataFrame:
+    """(group, report): a text for each group from tree_totals and tree_categories (a few rows each)."""
+    line = F.format_string("%6d  %s", "n", "category")
+    listed = categories.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))
+    joined = totals.withColumnRenamed(group, "_group").join(listed, F.col("_group").eqNullSafe(listed[group]), "left")
+    severities = F.array_compact(F.array(*[F.when(F.col(s) > 0, F.format_string(f"{s.upper():>10s}: %d", F.col(s))) for s in ("critical", "high", "medium", "low")]))
+    head = F.format_string("Files scanned: %d\nFiles with threats: %d\nTotal threats: %d", "files_scanned", "files_with_threats", "total_threats")
+    body = F.when(F.col("total_threats") > 0, F.array_join(F.concat(F.array(F.lit("Severities:")), severities, F.array(F.lit("Categories:")), F.coalesce("lines.line", F.array().cast("array<string>"))), "\n")).otherwise("No threats found.")
+    return joined.select(F.col("_group").alias(group), F.concat_ws("\n", head, body).alias("report"))
+
+
+def all_segments(scanned: DataFrame, key: str) -> DataFrame:
+    """(key, clean, threats): a file made of segments is clean if all of them are; threats is the number of findings together."""
+    return scanned.groupBy(key).agg(F.bool_and(F.size("findings") == 0).alias("clean"), F.sum(F.size("findings")).alias("threats"))
 
 
 def tail(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
@@ -40,26 +112,76 @@ def pin_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("tool", change.alias("change")).where("change is not null")
 
 
-def sarif_results(found: DataFrame, location: str) -> DataFrame:
-    """One SARIF result (JSON) per finding, with its level."""
-    level = F.when(F.col("rank") >= 3, "error").when(F.col("rank") == 2, "warning").otherwise("note")
-    body = F.struct(F.col("id").alias("ruleId"), level.alias("level"), F.struct(F.col("category").alias("text")).alias("message"), F.array(F.struct(F.struct(F.struct(F.col(location).cast("string").alias("uri")).alias("artifactLocation")).alias("physicalLocation"))).alias("locations"))
-    return found.select(location, "id", F.to_json(body).alias("result"))
+#: Level and score by severity that code scanning shows; others count as a warning of score 5.0.
+SARIF_LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "review": "note", "none": "none"}
+SECURITY_SCORES = {"critical": "9.5", "high": "8.0", "medium": "5.5", "low": "3.0", "review": "2.0"}
+#: Chapters of the documentation and the categories that they group; other categories have none.
+CHAPTERS = {
+    "prompt-injection": ["prompt_injection", "indirect_prompt_injection", "hidden_instruction", "jailbreak_evasion", "prompt_extraction", "prompt_leak", "parasitic_injection", "context_flooding", "retrieval_poisoning"],
+    "mcp-tool-handoff-abuse": ["mcp_threat", "tool_poisoning", "tool_metadata_smuggling", "tool_chain_race", "tool_output_poisoning"],
+    "callback-redirect-trust-drift": ["provenance_chain", "provenance_chain_fracture", "agent_contract_poisoning"],
+    "outbound-endpoint-control-c2-drift": ["exfiltration", "ssrf", "dns_tunneling", "c2_indicator", "secret_detection"],
+    "policy-scope-redefinition": ["policy_scope_redefinition", "authorization_bypass", "auth_bypass", "privilege_escalation", "approval_graph_poisoning"],
+    "state-sync-poisoning": ["state_sync_poisoning", "cross_agent_injection"],
+    "memory-persistence-poisoning": ["memory_poisoning", "memory_eviction_rehydration"],
+    "package-dependency-registry-trust-abuse": ["supply_chain"],
+    "browser-agent-navigation-link-safety-abuse": ["ui_injection", "social_engineering_ui", "social_engineering", "identity_phishing"],
+    "agent-workflow-publish-path-abuse": ["agent_workflow_security", "agent_workflow", "agent_security"],
+    "discovery-file-poisoning": ["discovery_file_poisoning", "agent_instruction_file_poisoning", "identity_discovery_poisoning"],
+}
+DOCS_URI = "https://docs.example.org/patterns"
+
+
+def _looked_up(table: dict[str, str], key: Column, other: str) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), F.lit(other))
+
+
+def help_uri(category: Column, chapters: dict[str, list[str]] = CHAPTERS, root: str = DOCS_URI) -> Column:
+    """Page of the chapter that a category belongs to, else the root."""
+    pages = {c: f"{root}/{chapter}" for chapter, categories in chapters.items() for c in categories}
+    return _looked_up(pages, category, root)
+
+
+def sarif_rule(f: Column) -> Column:
+    """Rule of a finding (id, category, severity and, where the struct has them, name and description)."""
+    level, score = _looked_up(SARIF_LEVELS, f["severity"], "warning"), _looked_up(SECURITY_SCORES, f["severity"], "5.0")
+    category = F.coalesce(f["category"], F.lit("unknown"))
+    properties = F.struct(category.alias("category"), f["severity"].alias("severity"), score.alias("security-severity"), F.array(F.lit("security"), F.concat(F.lit("category:"), category)).alias("tags"))
+    return F.struct(
+        f["id"].alias("id"), f["id"].alias("name"), F.struct(f["id"].alias("text")).alias("shortDescription"), F.struct(F.concat(f["id"], F.lit(": "), category).alias("text")).alias("fullDescription"),
+        help_uri(f["category"]).alias("helpUri"), properties.alias("properties"), F.struct(level.alias("level")).alias("defaultConfiguration"),
+    )
 
 
-#: Score by severity that code scanning shows.
-SECURITY_SCORES = {"critical": "9.5", "high": "8.0", "medium": "5.5", "low": "3.0", "review": "2.0"}
+def sarif_result(f: Column, location: Column, decision: Column) -> Column:
+    """Result of a finding at a location."""
+    level, score = _looked_up(SARIF_LEVELS, f["severity"], "warning"), _looked_up(SECURITY_SCORES, f["severity"], "5.0")
+    place = F.struct(F.struct(F.struct(location.alias("uri"), F.lit(0).alias("index")).alias("artifactLocation")).alias("physicalLocation"))
+    said = F.concat(f["id"], F.lit(" detected"), F.when(F.coalesce(f["match"], F.lit("")) != "", F.concat(F.lit(': "'), f["match"], F.lit('"'))).otherwise(""))
+    properties = F.struct(F.coalesce(f["category"], F.lit("unknown")).alias("category"), f["severity"].alias("severity"), score.alias("security-severity"), F.substring(f["match"], 1, 200).alias("matched_text"), decision.alias("decision"))
+    return F.struct(f["id"].alias("ruleId"), level.alias("level"), F.struct(said.alias("text")).alias("message"), F.array(place).alias("locations"), properties.alias("properties"))
+
+
+def sarif_logs(scanned: DataFrame, key: str, version: str = "0.1") -> DataFrame:
+    """(key, sarif): a SARIF 2.1.0 log (JSON) for each scanned row with findings, with its rules, in order of first use, and its results.
+
+    A row is one artifact, so a log is as long as the row's findings and nothing is shuffled.
+    """
+    first = F.filter("findings", lambda f, i: ~F.exists(F.slice("findings", F.lit(1), i), lambda g: g["id"] == f["id"]))
+    uri = F.concat(F.lit("input:"), F.col(key).cast("string"))
+    driver = F.struct(F.lit("textguard").alias("name"), F.lit(version).alias("version"), F.lit(DOCS_URI).alias("informationUri"), F.transform(first, sarif_rule).alias("rules"))
+    artifact = F.struct(F.struct(uri.alias("uri")).alias("location"), F.array(F.lit("analysisTarget")).alias("roles"))
+    run = F.struct(F.struct(driver.alias("driver")).alias("tool"), F.array(artifact).alias("artifacts"), F.transform("findings", lambda f: sarif_result(f, uri, F.col("decision"))).alias("results"), F.lit("utf16CodeUnits").alias("columnKind"))
+    log = F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
+    return scanned.where(F.size("findings") > 0).select(key, F.to_json(log).alias("sarif"))
 
 
 def sarif_rules(found: DataFrame) -> DataFrame:
-    """One row per rule that has findings: id, category, level, score and the SARIF rule (JSON); its worst finding gives the severity."""
-    rules = found.groupBy("id").agg(F.max_by("severity", "rank").alias("severity"), F.max("rank").alias("rank"), F.min("category").alias("category"))
-    level = F.when(F.col("rank") >= 3, "error").when(F.col("rank") == 2, "warning").otherwise("note")
-    score = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SECURITY_SCORES.items() for x in kv]), F.col("severity")), F.lit("5.0"))
-    rows = rules.select("id", "category", level.alias("level"), score.alias("score"))
-    properties = F.struct("category", F.col("score").alias("security-severity"), F.array(F.lit("security"), F.concat(F.lit("category:"), "category")).alias("tags"))
-    body = F.struct("id", F.struct(F.col("id").alias("text")).alias("shortDescription"), properties.alias("properties"), F.struct("level").alias("defaultConfiguration"))
-    return rows.withColumn("rule", F.to_json(body))
+    """One row per rule that has findings: id, category, level, score, help_uri and the SARIF rule (JSON); its worst finding gives the severity."""
+    rules = found.groupBy("id").agg(F.max_by("severity", "rank").alias("severity"), F.min("category").alias("category"))
+    rule = sarif_rule(F.struct("id", "category", "severity"))
+    rows = rules.withColumn("r", rule)
+    return rows.select("id", "category", F.col("r.defaultConfiguration.level").alias("level"), F.col("r.properties")["security-severity"].alias("score"), F.col("r.helpUri").alias("help_uri"), F.to_json("r").alias("rule"))
 
 
 def result_json(scanned: DataFrame, key: str) -> DataFrame:

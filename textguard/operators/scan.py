@@ -20,9 +20,11 @@ def rank_of(severity: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in R.SEVERITIES.items() for x in kv]), severity), F.lit(0))
 
 
-def decision_of(rank: Column) -> Column:
-    """Decision of the worst rank; null (no finding) allows."""
-    return F.when(rank.isNull(), "allow").otherwise(F.element_at(F.create_map(*[F.lit(x) for kv in R.DECISIONS.items() for x in kv]), rank))
+def decision_of(severities: Column) -> Column:
+    """Decision of the worst of an array of severities, of equally bad ones the first; none allows, one that is not known quarantines."""
+    table = F.create_map(*[F.lit(x) for name, rank in R.SEVERITIES.items() for x in (name, R.DECISIONS[rank])])
+    worst = F.array_max(F.transform(severities, lambda s, i: F.struct(rank_of(s).alias("rank"), (-i).alias("place"), F.coalesce(s, F.lit("")).alias("severity"))))
+    return F.when(F.size(severities) > 0, F.coalesce(F.try_element_at(table, worst["severity"]), F.lit("quarantine"))).otherwise("allow")
 
 
 def bound(value: Column, use) -> Column:
@@ -57,9 +59,9 @@ def findings(text: Column, rules: list[R.Rule] = R.RULES) -> Column:
     Of each rule the first match decides; where a guard holds, it counts as review. Guards are
     evaluated on the few matches alone, each piece of context cut once.
     """
-    hit = lambda r: F.struct(*[F.lit(getattr(r, c)).alias(c) for c in ("id", "category", "severity", "layer", "negation_immune")], F.regexp_extract(text, r.pattern, 0).alias("match"))
+    hit = lambda r: F.struct(*[F.lit(getattr(r, c)).alias(c) for c in ("id", "category", "severity", "layer", "negation_immune")], F.regexp_extract(text, r.pattern, 0).alias("match"), (F.char_length(F.regexp_extract(text, f"(?s)^(.*?)(?:{r.pattern})", 1)) + 1).alias("at"))
     hits = F.array_compact(F.array(*[F.when(F.rlike(text, F.lit(r.pattern)), hit(r)) for r in rules]))
-    placed = F.transform(hits, lambda h: F.struct(h.alias("h"), F.instr(text, h["match"]).alias("at")))
+    placed = F.transform(hits, lambda h: F.struct(h.alias("h"), h["at"].alias("at")))
     clause = lambda at: F.regexp_replace(_before(text, at, R.DESCRIBING_CHARS), r"(?s)^.*(?:[.!?] |\n)", "")
     cut = F.transform(placed, lambda p: F.struct(p["h"].alias("h"), _before(text, p["at"], R.NEGATION_CHARS).alias("before"), F.when(p["h"]["layer"] == "mechanism", clause(p["at"])).otherwise("").alias("clause")))
     harmless = lambda c: (~c["h"]["negation_immune"] & negated(c["before"])) | described(c["clause"])
@@ -76,7 +78,7 @@ def suppress_mechanisms(found: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text", rules: list[R.Rule] = R.RULES) -> DataFrame:
     """``docs`` with columns findings and decision; works on batch and streaming input."""
     found = docs.withColumn("findings", suppress_mechanisms(findings(F.col(text), rules)))
-    return found.withColumn("decision", decision_of(F.array_max(F.transform("findings", lambda f: rank_of(f["severity"])))))
+    return found.withColumn("decision", decision_of(F.transform("findings", lambda f: f["severity"])))
 
 
 def windows(text: Column) -> Column:

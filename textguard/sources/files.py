@@ -28,10 +28,24 @@ def wanted_file(path: Column) -> Column:
 
 
 def read_tree(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, text) of the text files below ``folder``; bytes that are no UTF-8 become replacement characters; empty files give no row."""
+    """(path, text) of the text files below ``folder``; bytes that are no UTF-8 are dropped; empty files give no row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     small = files.where((F.col("length") <= LARGEST_FILE) & wanted_file(F.col("path")))
-    return small.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    raw = F.col("content").cast("string")
+    readable = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
+    return small.select("path", readable.alias("text"))
+
+
+def read_table(spark: SparkSession, folder: str, name: str, small: int = 32 << 20) -> DataFrame:
+    """The Parquet table ``name`` below ``folder``.
+
+    A table of few bytes is dealt out to all cores, as its file may be a single row group, which one
+    task reads; larger tables are read as they lie.
+    """
+    path = f"{folder}/{name}.parquet"
+    size = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.sum("length")).first()[0]
+    rows = spark.read.parquet(path)
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size is not None and size <= small else rows
 
 
 def clean_subtitles(text: Column) -> Column:

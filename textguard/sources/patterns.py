@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 PATTERN_SCHEMA = "id string, name string, category string, severity string, channels array<string>, description string, keywords array<string>, regex array<string>, tier string, negation_immune boolean, retired boolean, _corrupt_record string"
 
+#: Fixed value: a line of an access log. Address and user agent are its groups.
+LOG_LINE = r'^(\S+) \S+ \S+ \[[^\]]*\] "[^"]*" \S+ \S+(?: "[^"]*")? "([^"]*)"'
 
-def read_patterns(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per JSON pattern file below ``folder``; unreadable and incomplete files are skipped."""
+
+def read_patterns(spark: SparkSession, folder: str, complete: bool = True) -> DataFrame:
+    """One row per JSON pattern file below ``folder``; unreadable and, with ``complete``, incomplete files are skipped."""
     rows = spark.read.schema(PATTERN_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
-    whole = rows.where("_corrupt_record is null and id is not null and name is not null and category is not null and severity is not null")
+    whole = rows.where("_corrupt_record is null" + (" and id is not null and name is not null and category is not null and severity is not null" if complete else ""))
     return whole.drop("_corrupt_record").withColumnRenamed("channels", "channel").withColumn("negation_immune", F.coalesce("negation_immune", F.lit(False)))
 
 
@@ -25,6 +28,5 @@ def search_patterns(patterns: DataFrame, query: str = "", category: str | None =
 
 
 def read_access_log(spark: SparkSession, path: str) -> DataFrame:
-    """(ip, user_agent) of common-log lines: the first field and the last quoted one."""
-    lines = spark.read.text(path)
-    return lines.select(F.regexp_extract("value", r"^(\S+)", 1).alias("ip"), F.regexp_extract("value", r'"([^"]*)"\s*$', 1).alias("user_agent")).where("ip <> ''")
+    """(ip, user_agent) of lines in the common or combined log format; lines of another shape are skipped."""
+    return spark.read.text(path).where(F.rlike("value", F.lit(LOG_LINE))).select(*[F.regexp_extract("value", LOG_LINE, i).alias(c) for i, c in enumerate(("ip", "user_agent"), 1)])

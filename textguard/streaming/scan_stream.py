@@ -1,7 +1,10 @@
-"""The scan on Structured Streaming input."""
+"""The scan and pins on Structured Streaming input."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,3 +14,24 @@ from ..operators.scan import scan
 def decision_counts(stream: DataFrame, ts: str = "ts", text: str = "text", window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Decisions per event-time window, with a watermark for late rows."""
     return scan(stream.withWatermark(ts, late), text).groupBy(F.window(ts, window), "decision").agg(F.count("*").alias("n"))
+
+
+def pin_on_first_use(stream: DataFrame, tool: str = "tool", sha: str = "sha256") -> DataFrame:
+    """(tool, sha256, status) of each row: ``new`` for the first digest of a tool, which is pinned, ``ok`` where it comes again, else ``changed``.
+
+    The state is one digest for each tool; inside a batch the smallest digest of a new tool counts as the first. Null digests are ``changed``.
+    """
+
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        pinned = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches))
+        fresh = pinned is None and rows[sha].notna().any()
+        if fresh:
+            pinned = rows[sha].dropna().min()
+            state.update((pinned,))
+        status = rows[sha].map(lambda s: "ok" if s == pinned else "changed")
+        if fresh:
+            status.iloc[list(rows[sha]).index(pinned)] = "new"
+        yield pd.DataFrame({"tool": key[0], "sha256": rows[sha].to_numpy(), "status": status.to_numpy()})
+
+    return stream.select(tool, sha).groupBy(tool).applyInPandasWithState(judge, "tool string, sha256 string, status string", "pinned string", "append", "NoTimeout")
