@@ -1,11 +1,13 @@
 """Operators of the training-data pipeline on small cases, against brute force or exact round trips."""
 
 import hashlib
+from collections import Counter
 from itertools import combinations
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from textguard.llm import ann, chat, fertility, graph, langid, licenses, mixing, packing, queries, simhash, substring, toxicity
@@ -129,13 +131,65 @@ def test_packing_invariants(spark):
     assert sum(r.length for r in rows) == 9000 and {r.doc_id for r in rows if r.bin is None} == {2, 3}
 
 
-def test_fertility():
-    with open(fertility.DEFAULT_MODEL, "rb") as f:
-        model = f.read()
-    good, empty, loop = fertility.measure(["The quick brown fox. " * 3 + " ".join(f"word{i} and more" for i in range(30)) + "\nx\nx", None, "a b c " * 40], model, 50, 50)
-    assert good[3] == 1 and not good[5] and good[6] == "latin" and good[7] > 1
-    assert empty[:6] == (0, 0, 0, 0, 0, True) and empty[7] is None
-    assert loop[4] == 120 and loop[5]
+def brute_fertility(docs, fence, least_group):
+    """Measures by cutting whole texts anew, quartiles by sorting."""
+    out, groups = {}, {}
+    contents = [open(p, "rb").read() for p in fertility.VOCABULARIES.values()]
+    for i, text, lang in docs:
+        words = (text or "").encode().split()
+        lines = [line for line in (text or "").split("\n") if line.encode().split()]
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        inside = [any(windows.count(windows[j]) > 1 for j in range(max(0, k - 2), min(k + 1, len(windows)))) for k in range(len(words))]
+        base = (len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), sum(inside))
+        failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
+        values = []
+        for content in contents:
+            own = fertility.vocabulary(content)
+            tokens = [t for cut in own.cut([w.decode() for w in words]) for t in cut]
+            counts = [tokens.count(t) / len(tokens) for t in set(tokens)]
+            values += [base[1] / len(tokens), sum(own.is_fallback[t] for t in tokens) / len(tokens), -sum(p * np.log2(p) for p in counts)] if tokens else [None] * 3
+        out[i] = [base, failed, values]
+        if not failed:
+            for band in filter(None, (lang and f"lang:{lang}", "script:latin")):
+                groups.setdefault(band, {})[text] = [round(v, fertility.ROUNDING) for v in values]
+    floors, judged = list(fertility.LEAST_SPAN.values()) * 2, {}
+    for i, _, lang in docs:
+        base, failed, values = out[i]
+        band = next((b for b in (f"lang:{lang}", "script:latin") if len(groups.get(b, ())) >= least_group), None)
+        kept = not failed
+        for j, v in enumerate(values if kept else []):
+            column = sorted(m[j] for m in groups[band].values()) if band else []
+            fixed = fertility.BANDS["latin"]
+            low, high = [(fixed.least_chars, fixed.most_chars), (-1, fixed.most_fallback), (fixed.least_entropy, 99)][j % 3]
+            if column:
+                q1, q3 = (column[int(np.ceil(q * len(column))) - 1] for q in (0.25, 0.75))
+                span = fence * max(q3 - q1, floors[j])
+                low, high = max(low, q1 - span), min(high, q3 + span)
+            kept &= not ((j % 3 != 1 and v < low) or (j % 3 != 2 and v > high))
+        judged[i] = (*base, failed, kept)
+    return judged
+
+
+def test_fertility_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(2, 8)))
+    prose = lambda letters, n: " ".join(word(letters) for _ in range(n))
+    docs = [(i, prose("aeirstnl", int(rng.integers(60, 90))), "xx") for i in range(40)] + [(100 + i, prose("oukdgbmé", 70), "yy") for i in range(40)]
+    docs += [(200, prose("aeirstnl", 60).replace(" ", "%%% "), "xx"), (201, " ".join("%x" % x for x in rng.integers(0, 1 << 60, 60)), "xx"), (202, "日本" + prose("語漢字", 60), "yy"), (203, "a b c\n" * 60, "xx")]
+    docs += [(204, None, "xx"), (205, "", None), (206, prose("aeirstnl", 80), None), (207, docs[0][1], "xx"), (207, docs[0][1], "xx"), (208, prose("oukdgbmé", 60), "zz"), (None, prose("aeirstnl", 60), "xx"), (209, "a  b\n\n \nq #|", "xx")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("script", F.lit(1)).withColumn("m", F.lit(2)).withColumn("band", F.lit(3))
+    got = fertility.judge_fertility(frame, least_group=30).collect()
+    want = brute_fertility(docs, 3.0, 30)
+    assert len(got) == len(docs)
+    assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in got if r.doc_id != 202} == {i: w for i, w in want.items() if i != 202}
+    verdict = {r.doc_id: (r.kept, r.rejected_by, r.band) for r in got}
+    assert not verdict[200][0] and not verdict[201][0] and verdict[0][0] and verdict[206][2] == "script:latin" and verdict[203][1] == verdict[204][1] == "base"
+    assert fertility.judge_fertility(frame.limit(0)).count() == 0
+
+
+def test_fertility_decides(spark):
+    got = queries.op8_tokeniser_fertility(spark, SF)
+    assert got.where("not base_failed and not kept").count() > 0 and got.where("kept").count() > 0.7 * got.count()
 
 
 def test_neighbours_recall_and_bad_vectors(spark):
@@ -228,3 +282,237 @@ def test_toxicity_keeps_the_prior_of_the_table(spark):
     labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(3000)], "doc_id long, toxic int")
     scores = [toxicity.fit_toxicity(docs, labels, docs_per_class=n, epochs=2).score("stone river music") for n in (300, 5000)]
     assert all(s < 0.3 for s in scores) and abs(scores[0] - scores[1]) < 0.1
+
+
+def brute_language(text, labelled, size=400):
+    """Out-of-place distance with plain strings and dictionaries."""
+    def grams(t):
+        words = "".join(c if c.isalpha() else " " for c in t.lower()).split()
+        padded = "".join(f" {w}" for w in words) + " "
+        found = Counter(c for c in padded if c != " ")
+        found.update(padded[k : k + 2] for k in range(len(padded) - 1))
+        found.update(padded[k : k + 3] for k in range(len(padded) - 2) if padded[k + 1] != " ")
+        return found
+
+    order = lambda g: [1 if c == " " else ord(c) + 1 for c in g]
+    packed = lambda g: sum(v << 21 * (len(g) - 1 - k) for k, v in enumerate(order(g)))
+    profiles = {}
+    for lang in sorted({lang for _, lang in labelled}):
+        total = sum((grams(t) for t in {t for t, x in labelled if x == lang}), Counter())
+        profiles[lang] = {g: r for r, g in enumerate(sorted(total, key=lambda g: (-total[g], packed(g)))[:size])}
+    own = grams(text or "")
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    best = sorted(own, key=lambda g: (-own[g], packed(g)))[:size]
+    ranks = {}
+    for g in best:
+        same = [k for k, h in enumerate(best) if own[h] == own[g]]
+        ranks[g] = sum(same) / len(same)
+    distance = {lang: sum(min(abs(p[g] - ranks[g]), size) if g in p else size for g in best) for lang, p in profiles.items()}
+    lang = min(distance, key=lambda x: (distance[x], x))
+    return lang, 1 - distance[lang] / (size * len(best))
+
+
+def test_language_against_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null and length(text) < 3000").select("text", "lang").limit(60).collect()
+    labelled = [(r.text, r.lang) for r in rows if r.lang] * 2  # repeated rows count once
+    asked = [r.text[:700] for r in rows[:25]] + ["Éa é", "x", "", None, "12 %", "a\nb  c", "word " * 3000, "same same same"]
+    profiles = langid.fit_profiles(spark.createDataFrame(labelled, "text string, lang string").withColumn("lang_pred", F.lit(1)))
+    frame = spark.createDataFrame(list(enumerate(asked)), "i int, text string").withColumn("score", F.lit("x"))
+    got = {r.i: (r.p.lang_pred, r.p.score) for r in frame.select("i", langid.predict_language(F.col("text"), profiles).alias("p")).collect()}
+    for i, text in enumerate(asked):
+        want = brute_language(text, labelled)
+        assert got[i][0] == want[0] and got[i][1] == pytest.approx(want[1], abs=1e-9)
+    nothing = langid.fit_profiles(spark.createDataFrame([("a", None), (None, "x")], "text string, lang string"))
+    assert nothing.predict("abc") == ("und", 0.0)
+    tie = langid.RankProfiles(["a", "b"], profiles.grams[:0], np.empty((2, 0)), 400, 3)
+    assert tie.languages and langid.RankProfiles(["a", "b"], profiles.grams, np.full((2, len(profiles.grams)), 400.0), 400, 3).predict("zz")[0] == "a"
+
+
+def test_language_held_out(spark):
+    got = queries.op2_language_rank_order(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und' and lang is not null")
+    assert got.where("lang = lang_pred").count() >= 0.95 * got.count() > 0
+
+
+def test_language_profile_holds_under_copies(spark):
+    rows = [("der die das und nicht von mit ist", "de")] + [("the and of that with for was which", "en")] * 500 + [(f"the and of that with for was which {i}", "en") for i in range(20)]
+    profiles = langid.fit_profiles(spark.createDataFrame(rows, "text string, lang string"), docs_per_language=50)
+    assert profiles.languages == ["de", "en"] and profiles.predict("und das mit der")[0] == "de"
+
+
+def test_toxicity_gradients_and_held_out(spark):
+    # one class only: the share of label 1; nulls and empty texts get one score
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (3, "other text"), (None, "x")], DOC)
+    one = toxicity.fit_toxicity(docs, spark.createDataFrame([(1, 1), (2, 1), (3, 1), (None, 1)], "doc_id long, toxic int"))
+    assert one.score("a") == pytest.approx(1, abs=1e-6) and toxicity.fit_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).score("a") < 1e-6
+    got = queries.op3_toxicity_subwords(spark, "/root/testdata/sf0.01")
+    labelled = got.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", F.col("toxic").alias("truth")), "doc_id")
+    assert labelled.where("truth = 0").agg(F.avg("predicted")).first()[0] < 0.05
+    assert labelled.where("truth = 1").agg(F.avg("score")).first()[0] > 5 * labelled.where("truth = 0").agg(F.avg("score")).first()[0]
+
+
+def test_toxicity_sample_is_bounded_under_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"text number {i} " * 50) for i in range(300)] + [(i, f"other {i}") for i in range(2, 40)], DOC)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(2, 1)], "doc_id long, toxic int")
+    seen = []
+    real = toxicity.train
+    try:
+        toxicity.train = lambda texts, marks, **given: seen.append((texts, marks)) or real(texts, marks, **given)
+        toxicity.fit_toxicity(docs, labels, epochs=1)
+        toxicity.fit_toxicity(docs, labels, epochs=1, most_chars=100)
+    finally:
+        toxicity.train = real
+    assert len(seen[0][0]) == 39 and sum(seen[0][1]) == 21 and sum(len(t) for t in seen[1][0]) <= 100
+
+
+def test_mean_gradient_of_the_subword_model():
+    # the model's logit is the mean of its buckets' weights: brute force over the definition
+    rng = np.random.default_rng(13)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 12)) + (" nasty" if i % 2 else "") for i in range(60)]
+    model = toxicity.train(texts, np.arange(60) % 2, epochs=3, passage=40, blanks=10)
+    for text in texts[:5] + ["nastyy", "a b", "", None, "x" * 5000]:
+        half, buckets = toxicity.bag(text, model.bits, model.passage)
+        parts = {}
+        for h, b in zip(half.tolist(), buckets.tolist()):
+            parts.setdefault(h, []).append(float(model.weights[b]))
+        pairs = [parts.get(h, []) + parts.get(h + 1, []) for h in range(max(parts, default=-1))] or [parts[0]] if parts else []
+        want = max((sum(p) / (len(p) + 10) for p in pairs), default=0.0)
+        assert model.raw(text) == pytest.approx(want, abs=1e-6)
+
+
+def brute_pack(lengths, capacities, overhead, attention):
+    """Best fit by looking at every open bin, for each smallest size to open; the cheapest plan after downsizing."""
+    plans = []
+    for least in sorted(capacities):
+        bins = []
+        for n in sorted(lengths, reverse=True):
+            fitting = [b for b in bins if b[0] - b[1] >= n]
+            if fitting:
+                min(fitting, key=lambda b: b[0] - b[1])[1] += n
+            else:
+                bins.append([min(c for c in capacities if c >= max(n, least)), n])
+        final = [min(c for c in capacities if c >= b[1]) for b in bins]
+        plans.append(sum(overhead + c + attention * c * c for c in final))
+    return min(plans)
+
+
+def test_packing_against_brute_force():
+    rng = np.random.default_rng(14)
+    for k in range(40):
+        lengths = rng.integers(1, 65, rng.integers(1, 30))
+        bins, _, capacity = packing.pack(lengths, (8, 16, 32, 64), 4.0, 1 / 64)
+        final = {b: c for b, c in zip(bins.tolist(), capacity.tolist())}
+        got = sum(4 + c + c * c / 64 for c in final.values())
+        assert got == pytest.approx(brute_pack(lengths.tolist(), (8, 16, 32, 64), 4.0, 1 / 64))
+        assert all(lengths[bins == b].sum() <= c for b, c in final.items())
+
+
+def test_packing_every_partition(tmp_path):
+    """Exhaustive: no assignment of six pieces to bins is cheaper by more than best fit is known to lose."""
+    cost = lambda groups: sum(2 + min(c for c in (4, 8) if c >= sum(g)) for g in groups)
+
+    def partitions(items):
+        if not items:
+            yield []
+            return
+        for rest in partitions(items[1:]):
+            for i in range(len(rest)):
+                if sum(rest[i]) + items[0] <= 8:
+                    yield [*rest[:i], [*rest[i], items[0]], *rest[i + 1 :]]
+            yield [*rest, [items[0]]]
+
+    for lengths in ([5, 3, 3, 2, 2, 1], [4, 4, 4, 4, 1, 1], [8, 7, 1, 6, 2, 3]):
+        bins, _, capacity = packing.pack(np.array(lengths), (4, 8), 2.0, 0.0)
+        got = sum(2 + c for c in {b: c for b, c in zip(bins.tolist(), capacity.tolist())}.values())
+        assert got <= 11 / 9 * min(map(cost, partitions(lengths))) + 2
+
+
+def test_packing_edges(spark):
+    docs = spark.createDataFrame([(1, 10, "x"), (1, 10, "x"), (None, 3, None), (2, None, None)], "doc_id long, n long, piece string")
+    rows = packing.pack_documents(docs, F.col("n")).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 3), (1, 10), (1, 10), (2, 0)]
+    assert packing.pack_documents(docs.limit(0), F.col("n")).count() == 0
+
+
+def test_simhash_fingerprints_against_brute_force(spark):
+    rng = np.random.default_rng(15)
+    texts = [" ".join(rng.choice(["Ab", "c", "dé", "E\u00a0F", "%"], n)) for n in (1, 2, 3, 4, 5, 9, 300)] + ["", None, " \t", "A a\x0bB b"]
+    def brute(text):
+        words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        shingles = [b" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+    frame = spark.createDataFrame(list(enumerate(texts)), DOC).withColumn("fp", F.lit(1))
+    got = {r.doc_id: r.x for r in frame.select("doc_id", simhash.hex_of(simhash.simhash(F.col("text"))).alias("x")).collect()}
+    assert got == {i: f"{brute(t):016x}" for i, t in enumerate(texts)}
+    assert simhash.near_duplicates(frame.limit(0)).count() == 0
+    twice = spark.createDataFrame([(None, "q"), (None, "q"), (7, "z z"), (7, "other words here")], DOC)
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(twice).collect()) == [(0, 0), (0, 0), (7, 7), (7, 7)]
+
+
+def test_neighbours_edges(spark):
+    frame = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 1.0], 1), (None, [1.0, 0.0], 1), (3, [1.0, 0.0, 0.0], 1), (4, [1.0, None], 1)], "vec_id long, embedding array<double>, rank int")
+    got = ann.nearest_neighbours(frame, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(1, 2), (2, 1)] and got[0].score == pytest.approx(0.5**0.5, abs=1e-12)
+    assert ann.nearest_neighbours(frame.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_neighbours_recall_on_tables(spark, sf):
+    found = queries.op9_ivf_pq(spark, f"/root/testdata/{sf}").toPandas()
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").toPandas()
+    x, ids = np.array(rows.embedding.tolist(), float), rows.vec_id.to_numpy()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(set(ids[np.lexsort((ids, -np.round(s, 12)))[:5]]) & set(found[found.query_id == ids[q]].vec_id))
+    assert hits >= 0.9 * 5 * (ids % 50 == 0).sum()
+
+
+def test_raking_reaches_supplies_and_groups_alike(spark):
+    rows = [(s, lang, t, float(n)) for s, lang, t, n in [("big", "d", "p", 900), ("big", "e", "p", 500), ("small", "d", "p", 40), ("small", "e", "q", 60), ("mid", "e", "q", 300), ("mid", "d", "q", 200)]]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    given = {"source": {"big": 0.4, "small": 0.4, "mid": 0.2}, "topic": {"p": 0.64, "q": 0.36}}  # only mid and half of small are q
+    raked = mixing.rake(cells, given, {"lang": 0.5}, 30, 0.5)
+    near = {(r.dimension, r.category): (r.target, r.fitted) for r in mixing.marginals(raked).collect()}
+    assert near["source", "small"][0] == pytest.approx(0.1)  # all it has: 100 of 1000 tokens
+    assert near["source", "big"][0] == pytest.approx(0.6) and near["source", "mid"][0] == pytest.approx(0.3)
+    assert all(abs(t - f) < 0.02 for t, f in near.values())
+    assert raked.where("fitted > supply * (1 + 1e-12)").count() == 0
+    few = [{r[:3]: r[3] for r in mixing.rake(cells, given, {"lang": 0.5}, 4, 0.5, grouped=g).select("source", "lang", "topic", "fitted").collect()} for g in (False, True)]
+    assert all(few[0][k] == pytest.approx(few[1][k], abs=1e-12) for k in few[0])
+
+
+def test_drawn_marginals_meet_targets(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("src"), F.floor(F.sqrt(F.col("id") % 9))).alias("source"), F.when(F.col("id") % 3 == 0, "de").otherwise("en").alias("lang"), F.lit("some words of a text here").alias("text"))
+    drawn = mixing.mix(docs, targets={"source": {"src0": 0.3, "src1": 0.3, "src2": 0.4}})
+    tokens = {r.source: r.n for r in drawn.groupBy("source").agg(F.sum("mix.n_tokens").alias("n")).collect()}
+    total = sum(tokens.values())
+    want = {"src0": 2 / 9, "src1": 0.7 * 3 / 7 * 10 / 9, "src2": 0.7 * 4 / 7 * 10 / 9}  # src0 has a ninth of all tokens: two ninths of half of them
+    assert total == pytest.approx(60_000, rel=0.03) and all(tokens[s] / total == pytest.approx(w, abs=0.02) for s, w in want.items())
+    odd = spark.createDataFrame([(1, None, None, None), (1, None, None, None), (None, "a | b", "x", "y")], "doc_id long, text string, source string, lang string")
+    assert mixing.mix(odd, budget=1.0).count() == 3
+
+
+def test_chat_ties_and_repeats(spark):
+    turns = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "assistant", "z"), (None, 0, "assistant", "n")]
+    made = chat.expand_prefix_targets(spark.createDataFrame([(*t, 9) for t in turns], "conv_id long, turn long, role string, text string, formatted int"))
+    got = {(r.conv_id, r.example): [(t.role, t.text) for t in r.back] for r in made.withColumn("back", chat.read_turns(F.col("formatted"))).collect()}
+    assert got[1, 1] == [("assistant", "z"), ("user", "a"), ("user", "a"), ("user", "b")] and got[None, 0] == [("assistant", "n")]
+
+
+def test_substring_null_ids_and_clashes(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(2, passage), (None, passage), (3, "x " + passage), (3, "x " + passage), (3, "y " + passage)], DOC).withColumn("raw", F.lit(1)).withColumn("spans", F.lit(2))
+    got = sorted(((r.doc_id or 0), r.n_words, r.n_removed) for r in substring.digest_repeats(substring.find_repeats(docs)).collect())
+    assert got == [(0, 60, 0), (2, 60, 0), (3, 61, 60), (3, 61, 60), (3, 61, 60)]
+    assert substring.remove_repeats(docs).columns == docs.columns
+
+
+def test_licences_edges(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License."), (1, "Released under the MIT License."), (2, ""), (None, "word"), (3, "x " * 50_000)], DOC).withColumn("best", F.lit(1))
+    got = sorted((r.doc_id or 0, r.license_id or "") for r in licenses.scan_licenses(docs).collect())
+    assert got == [(0, ""), (1, "MIT"), (1, "MIT"), (2, ""), (3, "")] and licenses.scan_licenses(docs.limit(0)).count() == 0

@@ -75,22 +75,24 @@ def reachable(shares: DataFrame) -> DataFrame:
         dry, scale = now["dry"], max(scale, (1 - now["taken"]) / now["rest"])
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]], temper: dict[str, float], rounds: int, budget: float = 1.0, grouped: bool = False) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]], temper: dict[str, float], rounds: int, budget: float | None = None, grouped: bool = False) -> DataFrame:
     """``cells`` (dimensions, tokens) with columns supply, target_<dimension> and fitted: shares of the sample that meet the targets.
 
+    The sample holds ``budget`` of all tokens, which bounds the shares; without a budget nothing does.
     ``grouped`` groups and joins for marginals instead of using windows over cells that lie in one partition.
     """
     total = cells.agg(F.sum("tokens")).first()[0]
     if not total:
         return cells.withColumns({c: F.lit(None).cast("double") for c in ("supply", *[f"target_{d}" for d in DIMENSIONS], "fitted")})
-    cells = cells.withColumns({"supply": F.col("tokens") / F.lit(budget * total), "fitted": F.col("tokens") / F.lit(total)})
+    supply = F.col("tokens") / F.lit(budget * total) if budget else F.lit(float("inf"))
+    cells = cells.withColumns({"supply": supply, "fitted": F.col("tokens") / F.lit(total)})
     for d in DIMENSIONS:
-        own = cells.groupBy(d).agg(F.sum("supply").alias("supply"))
+        own = cells.groupBy(d).agg(F.sum("supply").alias("supply"), F.sum("tokens").alias("tokens"))
         if d in targets:
             given = F.create_map(*[F.lit(x) for k, v in targets[d].items() for x in (k, float(v))])
             wanted = F.coalesce(F.try_element_at(given, F.col(d)), F.lit(0.0))
         else:
-            wanted = F.pow(F.col("supply"), F.lit(float(temper.get(d, 1.0))))
+            wanted = F.pow(F.col("tokens"), F.lit(float(temper.get(d, 1.0))))
         met = reachable(checkpointed(own.select(d, "supply", wanted.alias("wanted")))).select(d, F.col("target").alias(f"target_{d}"))
         cells = cells.join(met, d)
     cells = checkpointed(cells if grouped else cells.coalesce(1))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import read_table
 from . import ann, chat, common, fertility, langid, licenses, mixing, packing, simhash, substring, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Tables of texts are dealt out to all cores where they are small; others are read as they lie."""
+    return read_table(spark, sf_dir, name) if name == "documents" else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 PLANTED_TURN = r"\### Assistant: </turn> ok"
