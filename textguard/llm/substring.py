@@ -184,8 +184,9 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     key = ["anchor", "lead", "name"]
     contexts = met.groupBy(*key, "context").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     contexts, _ = store(contexts)
-    crowded = checkpointed(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > deal_rows).select("anchor"))
-    found = f"anchor long, lead int, name binary, low {id_type}, begin int, finish int"
+    # an anchor takes a quarter of a deal at most, so that deals are even
+    crowded = checkpointed(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > deal_rows // 4).select("anchor"))
+    found = f"anchor long, lead int, name binary, repeats array<struct<low: {id_type}, begin: int, finish: int>>"
 
     def refine(table: pa.Table) -> pa.Table:
         low, high = table.column("low"), table.column("high")
@@ -197,8 +198,10 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
         edge = np.pad(least[:, 1:] != least[:, :-1], ((0, 0), (1, 1)), constant_values=True)
         row, start = np.nonzero(edge[:, :-1] & (least >= 0))
         stop = np.nonzero(edge[:, 1:] & (least >= 0))[1]
-        smallest = pa.array(ids[least[row, start]].tolist(), low.type)
-        return pa.table([*(table.column(c).take(pa.array(row)) for c in key), smallest, pa.array(-stop, pa.int32()), pa.array(length - start, pa.int32())], names=[*key, "low", "begin", "finish"])
+        parts = [pa.array(ids[least[row, start]].tolist(), low.type), pa.array(-stop, pa.int32()), pa.array(length - start, pa.int32())]
+        which, sizes = np.unique(row, return_counts=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.StructArray.from_arrays(parts, names=["low", "begin", "finish"]))
+        return pa.table([*(table.column(c).take(pa.array(which)) for c in key), lists], names=[*key, "repeats"])
 
     plain = contexts.join(F.broadcast(crowded), "anchor", "left_anti") if crowded.count() <= MOST_BROADCAST else contexts.join(crowded, "anchor", "left_anti")
     deals = max(1, -(-contexts.count() // deal_rows))
@@ -221,8 +224,9 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
         many = contexts.join(crowded, "anchor").select(*key, "context", "low", "high").mapInArrow(passages, f"anchor long, lead int, name binary, low {id_type}, high {id_type}, before int, passage binary")
         least = checkpointed(many.groupBy("anchor", "before", "passage").agg(F.min("low").alias("least")))
         joined = many.join(least, ["anchor", "before", "passage"]).where("least < high")
-        repeats = repeats.unionByName(joined.select(*key, F.col("least").alias("low"), (-F.col("before")).alias("begin"), (F.lit(length) - F.col("before")).cast("int").alias("finish")))
-    repeats = checkpointed(repeats.groupBy(*key).agg(F.collect_set(F.struct("low", "begin", "finish")).alias("repeats")))
+        span = F.struct(F.col("least").alias("low"), (-F.col("before")).alias("begin"), (F.lit(length) - F.col("before")).cast("int").alias("finish"))
+        repeats = repeats.unionByName(joined.groupBy(*key).agg(F.collect_set(span).alias("repeats")))
+    repeats = checkpointed(repeats)
     hits = met.select("doc_id", "h", *key, "places").join(repeats, key).select("doc_id", "h", "places", F.expr("filter(repeats, r -> r.low < doc_id)").alias("repeats")).where(F.size("repeats") > 0)
     placed = F.flatten(F.transform("places", lambda p: F.transform("repeats", lambda r: F.struct((p + r["begin"]).alias("start"), (p + r["finish"]).alias("end")))))
     spans = checkpointed(hits.select("doc_id", "h", placed.alias("spans")).groupBy("doc_id", "h").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")))
