@@ -229,7 +229,7 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     repeats = checkpointed(repeats)
     hits = met.select("doc_id", "h", *key, "places").join(repeats, key).select("doc_id", "h", "places", F.expr("filter(repeats, r -> r.low < doc_id)").alias("repeats")).where(F.size("repeats") > 0)
     placed = F.flatten(F.transform("places", lambda p: F.transform("repeats", lambda r: F.struct((p + r["begin"]).alias("start"), (p + r["finish"]).alias("end")))))
-    spans = checkpointed(hits.select("doc_id", "h", placed.alias("spans")).groupBy("doc_id", "h").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")))
+    spans = checkpointed(hits.select("doc_id", "h", placed.alias("spans")).groupBy("doc_id", "h").agg(F.flatten(F.collect_set("spans")).alias("spans")))
     return Repeats(keyed, profile, copies, spans)
 
 
