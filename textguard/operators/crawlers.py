@@ -77,7 +77,7 @@ def by_total(claims: DataFrame) -> DataFrame:
     total = F.col("verified") + F.col("fake") + F.col("uncheckable")
     # a row for each of at most 13 claims, so one task may order them
     order = Window.orderBy(F.col("claim") == "all", F.desc("total"), "claim")
-    return claims.withColumn("total", total).withColumn("place", F.row_number().over(order))
+    return claims.withColumn("total", total).withColumn("place", F.row_number().over(order).cast("long"))
 
 
 def verify_claims(log: DataFrame, networks: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def tree_totals(scanned: DataFrame, group: str) -> DataFrame:
 def tree_categories(scanned: DataFrame, group: str) -> DataFrame:
     """(group, category, n, place): categories of a group's findings, the commonest first, equal ones by name."""
     counted = scanned.select(group, F.explode("findings.category").alias("category")).groupBy(group, "category").agg(F.count("*").alias("n"))
-    return counted.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "category")))
+    return counted.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "category")).cast("long"))
 
 
 def tree_report(totals: DataFrame, categories: DataFrame, group: str) -> DataFrame:
