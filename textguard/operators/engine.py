@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+import re._parser as regex_parser
 from collections.abc import Iterable
 from functools import reduce
 from operator import or_
@@ -95,6 +96,39 @@ def evaluation(pattern: str) -> tuple[str, list[str], str]:
     return "guarded", [head + g[3:-1] for g in groups[:n_guards]], head + "".join(groups[n_guards:]) + rest
 
 
+def required_pieces(regex: str) -> tuple[str, ...]:
+    """Lower-case pieces of text of which every match of a regex holds at least one; none where that cannot be told.
+
+    Only runs of three ASCII characters or more count; of several choices the one with the longest
+    shortest piece is taken.
+    """
+
+    def best(choices: list[tuple[str, ...]]) -> tuple[str, ...]:
+        return max((c for c in choices if c and min(map(len, c)) >= 3), key=lambda c: min(map(len, c)), default=())
+
+    def needed(items) -> tuple[str, ...]:
+        choices, run = [], ""
+        for op, value in [*items, (None, None)]:
+            if op is regex_parser.LITERAL and value < 128:
+                run += chr(value).lower()
+                continue
+            choices, run = [*choices, (run,)], ""
+            if op is regex_parser.SUBPATTERN:
+                choices.append(needed(value[3]))
+            elif op is regex_parser.ATOMIC_GROUP:
+                choices.append(needed(value))
+            elif op in (regex_parser.MAX_REPEAT, regex_parser.MIN_REPEAT, regex_parser.POSSESSIVE_REPEAT) and value[0] > 0:
+                choices.append(needed(value[2]))
+            elif op is regex_parser.ASSERT and value[0] > 0:
+                choices.append(needed(value[1]))
+            elif op is regex_parser.BRANCH:
+                options = [needed(branch) for branch in value[1]]
+                choices.append(tuple(dict.fromkeys(x for o in options for x in o)) if all(options) else ())
+        return best(choices)
+
+    return needed(regex_parser.parse(regex, re.I))
+
+
 def usable_regexes(pattern: Pattern) -> list[str]:
     """The regexes of a pattern that compile."""
     def compiles(rx: str) -> bool:
@@ -168,6 +202,13 @@ class Engine:
         self.denied = {d.lower() for d in denied}
         self.channels = sorted({*CHANNELS, *(c for p in self.patterns for c in p.channel)})
         self.regexes = [usable_regexes(p) for p in self.patterns]
+        self.needs = [p.needs or self._needs(regexes) for p, regexes in zip(self.patterns, self.regexes)]
+
+    @staticmethod
+    def _needs(regexes: list[str]) -> tuple[str, ...]:
+        """Pieces of which a text needs one for any of the regexes to match; none if some regex needs none."""
+        each = [required_pieces(rx) for rx in regexes]
+        return tuple(dict.fromkeys(piece for pieces in each for piece in pieces)) if all(each) else ()
 
     @staticmethod
     def _listed(patterns: Iterable[Pattern] | DataFrame) -> list[Pattern]:
@@ -218,7 +259,7 @@ class Engine:
         def lane(over: Column, folded: Column, which: list[int], gate) -> Column:
             """First match of each of the patterns ``which`` in a text; each helper column is computed once."""
             def hits(low: Column, pieces: Column) -> Column:
-                near = lambda i: reduce(or_, [F.contains(low, F.lit(n)) for n in self.patterns[i].needs]) if self.patterns[i].needs else F.lit(True)
+                near = lambda i: reduce(or_, [F.contains(low, F.lit(n)) for n in self.needs[i]]) if self.needs[i] else F.lit(True)
                 return F.array_compact(F.array(*[F.when(gate(i) & near(i), F.coalesce(*[first_match(over, pieces, i, rx) for rx in self.regexes[i]])) for i in which]))
 
             if not which:
