@@ -12,7 +12,8 @@ from .functions import text as T
 from .operators import cards, crawlers, engine, keywords, policy, reports, scan, toolcalls
 from .plans import patterns as P
 from .plans import rules as R
-from .sources.files import read_table
+from .sources.files import clean_subtitles, read_table, wanted_file
+from .sources.patterns import parse_access_log, search_patterns
 
 #: Tables of texts, which are dealt out to all cores where they are small.
 _TEXTS = ("documents", "pages", "conversations")
@@ -213,10 +214,11 @@ def token_like_runs(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/]{20,}={0,2}"), F.lit(0))).alias("run"))
 
 
+_WINDOWS = f"list_transform(range(0, CASE WHEN length(text) <= {R.WINDOW_CHARS} THEN 1 ELSE ceil((length(text) - {R.WINDOW_CHARS}) / {R.WINDOW_STEP}.0)::INT + 1 END), lambda i: substr(text, (i * {R.WINDOW_STEP} + 1)::INT, {R.WINDOW_CHARS}))"
 _SIGNALS = (r"(?i)[0-9]{3}", r"(?i)[a-z0-9.]+@[a-z0-9]+")
 
 
-@_register(f"WITH w AS (SELECT doc_id, unnest(list_transform(range(0, CASE WHEN length(text) <= {R.WINDOW_CHARS} THEN 1 ELSE ceil((length(text) - {R.WINDOW_CHARS}) / {R.WINDOW_STEP}.0)::INT + 1 END), lambda i: substr(text, (i * {R.WINDOW_STEP} + 1)::INT, {R.WINDOW_CHARS}))) AS part FROM documents) SELECT doc_id, bool_or(regexp_matches(part, '{_SIGNALS[0]}') AND regexp_matches(part, '{_SIGNALS[1]}')) AS hit FROM w GROUP BY doc_id")
+@_register(f"WITH w AS (SELECT doc_id, unnest({_WINDOWS}) AS part FROM documents) SELECT doc_id, bool_or(regexp_matches(part, '{_SIGNALS[0]}') AND regexp_matches(part, '{_SIGNALS[1]}')) AS hit FROM w GROUP BY doc_id")
 def cooccur_window(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", scan.cooccur(F.col("text"), *_SIGNALS).alias("hit"))
 
@@ -321,22 +323,39 @@ def ua_cidr_verify(spark, sf_dir):
     return policy.verify_ranges(claims, events.select(F.col("event_type").alias("vendor"), lo.alias("lo"), (lo + 65535).alias("hi")).distinct())
 
 
-_GUARD, _CORE = r"[A-M]", r"(?i)[a-z0-9.]+@[a-z0-9]+\.[a-z]+"
+_GUARD, _OTHER_GUARD, _CORE = r"[A-M]", r"[N-Z0-9]", r"(?i)[a-z0-9.]+@[a-z0-9]+\.[a-z]+"
 
 
-@_register(f"WITH {_DOCS} SELECT doc_id, NOT regexp_matches(text, '^(?:{_GUARD})') AND regexp_matches(text, '{_CORE}') AS hit FROM docs WHERE length(text) <= {R.WINDOW_CHARS}")
+def _guarded_sql(guard: str) -> str:
+    return f"""WITH {_DOCS}, w AS (SELECT text, unnest({_WINDOWS}) AS part FROM (SELECT DISTINCT text FROM docs WHERE text IS NOT NULL)),
+c AS (SELECT text, bool_or(regexp_matches(part, '{_CORE}')) AS core FROM w GROUP BY text) SELECT doc_id, NOT regexp_matches(text, '^(?:{guard})') AND core AS hit FROM docs LEFT JOIN c USING (text)"""
+
+
+@_register(_guarded_sql(_OTHER_GUARD))
 def guarded_predicate(spark, sf_dir):
-    short = _documents(spark, sf_dir).where(F.char_length("text") <= R.WINDOW_CHARS)
-    return short.select("doc_id", scan.guarded(F.col("text"), _GUARD, _CORE).alias("hit"))
+    return _documents(spark, sf_dir).select("doc_id", scan.guarded(F.col("text"), _OTHER_GUARD, _CORE).alias("hit"))
 
 
-@_register(f"""WITH {_DOCS}, w AS (SELECT text, unnest(list_transform(range(0, CASE WHEN length(text) <= {R.WINDOW_CHARS} THEN 1 ELSE ceil((length(text) - {R.WINDOW_CHARS}) / {R.WINDOW_STEP}.0)::INT + 1 END), lambda i: substr(text, (i * {R.WINDOW_STEP} + 1)::INT, {R.WINDOW_CHARS}))) AS part FROM (SELECT DISTINCT text FROM docs WHERE text IS NOT NULL)),
-c AS (SELECT text, bool_or(regexp_matches(part, '{_CORE}')) AS core FROM w GROUP BY text) SELECT doc_id, NOT regexp_matches(text, '^(?:{_GUARD})') AND core AS hit FROM docs LEFT JOIN c USING (text)""")
+@_register(_guarded_sql(_GUARD))
 def guarded_windows(spark, sf_dir):
-    """guarded_predicate over documents of every length."""
     return _documents(spark, sf_dir).select("doc_id", scan.guarded(F.col("text"), _GUARD, _CORE).alias("hit"))
 
 
+#: Patterns that are held against windows; the second is barred from texts that begin with a letter up to M.
+_WINDOWED = [
+    P.Pattern("W-1", "windowed", "medium", ("file",), regex=(r"(?=[\s\S]*[0-9]{3})(?=[\s\S]*@[a-z])",)),
+    P.Pattern("W-2", "windowed", "low", ("file",), regex=(r"^(?![a-m])(?=[\s\S]*@[a-z])",)),
+]
+
+
+@_register(f"""WITH {_DOCS}, w AS (SELECT doc_id, text, unnest({_WINDOWS}) AS part FROM docs)
+SELECT doc_id, 'W-1' AS id FROM w GROUP BY doc_id HAVING bool_or(regexp_matches(part, '[0-9]{{3}}') AND regexp_matches(part, '(?i)@[a-z]'))
+UNION ALL SELECT doc_id, 'W-2' FROM w GROUP BY doc_id HAVING bool_or(NOT regexp_matches(text, '^(?i)[a-m]') AND regexp_matches(part, '(?i)@[a-z]'))""")
+def windowed_patterns(spark, sf_dir):
+    found = engine.Engine(_WINDOWED, mechanisms=False).scan(_documents(spark, sf_dir), channel="file")
+    return found.select("doc_id", F.explode_outer("findings.id").alias("id")).where("id is not null")
+
+
 _FOLDED = r"licensed under|sie|t[eo]st"
 
 
@@ -350,9 +369,17 @@ def summary_line(spark, sf_dir):
     return reports.summary_line(scan.scan(_documents(spark, sf_dir)), "doc_id")
 
 
-@_register()
+@_register(f"""WITH {_FOUND}, k AS (SELECT doc_id, max(rank) AS top, arg_max(severity, rank) AS severity, count(*) AS n FROM found GROUP BY doc_id)
+SELECT docs.doc_id, {_DECIDE.format('top')} AS decision, coalesce(k.severity, 'none') AS severity, 'message' AS channel, coalesce(n, 0) AS findings_count, f.id, replace(f.category, '_', ' ') AS name, f.severity AS finding_severity, f.category, f.match AS matched_text, CASE WHEN f.id IS NOT NULL THEN 'rule ' || f.id END AS reason
+FROM docs LEFT JOIN k USING (doc_id) LEFT JOIN found f ON f.doc_id = docs.doc_id""")
 def result_json(spark, sf_dir):
-    return reports.result_json(scan.scan(_documents(spark, sf_dir)), "doc_id")
+    """Results as JSON, read back with a row for each finding."""
+    said = {r.id: (r.category.replace("_", " "), f"rule {r.id}") for r in R.RULES}
+    made = reports.result_json(scan.scan(_documents(spark, sf_dir)), "doc_id", said=said)
+    finding = "struct<id: string, name: string, severity: string, category: string, matched_text: string, reason: string>"
+    read = F.from_json("result", f"decision string, severity string, channel string, findings_count long, findings array<{finding}>")
+    opened = made.select("doc_id", read.alias("r")).select("doc_id", "r.decision", "r.severity", "r.channel", "r.findings_count", F.explode_outer("r.findings").alias("f"))
+    return opened.select("doc_id", "decision", "severity", "channel", "findings_count", "f.id", "f.name", F.col("f.severity").alias("finding_severity"), "f.category", "f.matched_text", "f.reason")
 
 
 @_register(f"WITH {_FOUND} SELECT id, source, count(*) AS n FROM found GROUP BY ALL ORDER BY n DESC, id, source LIMIT 20")
@@ -427,6 +454,17 @@ def keyword_gate(spark, sf_dir):
     return cards.clean_corpus_hits(_read(spark, sf_dir, "documents").join(clean, "doc_id"), "text", _KEYWORDS)
 
 
+@_register(f"WITH {_CARDS}, named AS (SELECT item_id, lower(array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ')) AS name FROM benchmark) SELECT 'TG-' || item_id AS id FROM named JOIN cards ON cards.id = 'TG-' || item_id WHERE severity = 'high' AND (contains(name, 'th') OR contains(category, 'th') OR len(list_filter(keywords, lambda k: contains(lower(k), 'th'))) > 0) UNION ALL SELECT id FROM cards WHERE starts_with(id, 'bad') AND severity = 'high'")
+def pattern_search(spark, sf_dir):
+    """Cards of high severity that hold 'th' somewhere: all do, as their categories begin with 'length'."""
+    return search_patterns(_cards(spark, sf_dir).withColumn("description", F.lit(None).cast("string")), "TH", severity="high").select("id")
+
+
+@_register(f"WITH {_CARDS} SELECT DISTINCT id, lower(k) AS keyword FROM (SELECT id, unnest(keywords) AS k FROM cards) WHERE lower(k) NOT IN ('', 'that', 'with')")
+def denied_keywords(spark, sf_dir):
+    return keywords.usable_keywords(_cards(spark, sf_dir), spark.createDataFrame([(k.upper(),) for k in _DENIED], "keyword string"))
+
+
 _SLUG = r"substr(regexp_replace(regexp_replace(lower(array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60)"
 _FILE = f"CASE WHEN item_id % 9 = 0 THEN 'bad ' || item_id ELSE 'TG-' || item_id END || '-' || {_SLUG} || '.json'"
 
@@ -567,6 +605,33 @@ def crawler_shared_addresses(spark, sf_dir):
     return crawlers.shared_addresses(_access_log(spark, sf_dir)).select("ip", F.array_join("claims", "; ").alias("claims"))
 
 
+@_register("SELECT '10.0.0.' || (event_id % 256) AS ip, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type || '/1.0' END AS user_agent, count(*) AS n FROM events WHERE event_id % 4 < 2 GROUP BY ALL")
+def access_log_lines(spark, sf_dir):
+    """Lines of access logs in common form without, and in combined form with a referrer; every other pair of lines is broken."""
+    agent = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat("event_type", F.lit("/1.0")))
+    head = F.format_string('10.0.0.%d - - [01/Jan/2024:00:00:00 +0000] "GET /x HTTP/1.1" 200 12', F.col("event_id") % 256)
+    quoted = F.format_string('"%s"', agent)
+    kind = F.col("event_id") % 4
+    line = F.when(kind == 0, F.concat_ws(" ", head, quoted)).when(kind == 1, F.concat_ws(" ", head, F.lit('"-"'), quoted)).when(kind == 2, head).otherwise(F.concat_ws(" ", F.lit("oops"), quoted))
+    return parse_access_log(_read(spark, sf_dir, "events").select(line.alias("value"))).groupBy("ip", "user_agent").agg(F.count("*").alias("n"))
+
+
+@_register("""WITH l AS (SELECT doc_id, i, trim(lines[i]) AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\r?\n') AS lines FROM documents)))
+SELECT doc_id, sha256(concat_ws(' ', 'spoken first', string_agg(regexp_replace(line, '<[^>]+>', '', 'g'), ' ' ORDER BY i) FILTER (line <> '' AND NOT regexp_full_match(line, '[0-9]+') AND NOT contains(line, '-->')))) AS sha FROM l GROUP BY doc_id""")
+def subtitle_text(spark, sf_dir):
+    """What is spoken in subtitles that hold the documents."""
+    made = F.concat(F.lit("1\r\n00:00:01,000 --> 00:00:02,500\r\n<i>spoken</i> first\r\n\r\n2\n00:00:03,000 --> 00:00:04,000\n"), F.coalesce("text", F.lit("")))
+    return _read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(clean_subtitles(made), 256).alias("sha"))
+
+
+@_register("SELECT page_id FROM pages WHERE page_id % 5 IN (0, 3) AND page_id % 3 <> 1")
+def tree_files(spark, sf_dir):
+    """Files of a source tree that a walk reads: not below passed-over folders, nor of binary kinds."""
+    folder = F.element_at(F.array(*map(F.lit, ["src", "lib/node_modules/x", "a.egg-info", "docs/.github", ".git"])), (F.col("page_id") % 5 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ["py", "PNG", "md"])), (F.col("page_id") % 3 + 1).cast("int"))
+    return _read(spark, sf_dir, "pages").where(wanted_file(F.concat(F.lit("/repo/"), folder, F.lit("/f"), "page_id", F.lit("."), kind))).select("page_id")
+
+
 def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with planted attacks of every shape."""
     planted = spark.createDataFrame(P.PLANTED, "doc_id long, text string")
@@ -605,6 +670,37 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "benchmark").select(F.concat(F.lit("P-"), "item_id").alias("id"), F.lit("passage").alias("category"), severity.alias("severity"), channel.alias("channel"), F.array(opening).alias("keywords"), regex.alias("regex"))
 
 
+_TALK = {"en": "web_content", "de": "code", "es": "image_alt_text"}
+_TALK_SQL = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TALK.items()) + " END"
+_ANY = r"[^A-Za-z0-9 ]"
+
+
+@_register(rf"""WITH docs AS (SELECT doc_id, text, {_TALK_SQL} AS channel FROM documents), words AS (SELECT item_id, list_transform(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda w: regexp_replace(w, '{_ANY}', '.', 'g')) AS w FROM benchmark),
+pats AS (SELECT 'T-' || item_id AS id, ['high', 'medium', 'low'][item_id % 3 + 1] AS original_severity, item_id % 2 = 0 AS immune, CASE WHEN item_id % 2 = 0 THEN ['web_content'] ELSE ['file', 'code'] END AS channels,
+  CASE WHEN item_id % 7 <> 0 THEN '(?i)' || array_to_string(list_slice(w, 1, 4), ' +') END AS a, '(?i)' || array_to_string(list_slice(w, 5, 8), ' +') AS b FROM words),
+met AS (SELECT doc_id, id, original_severity, immune, text, CASE WHEN a IS NOT NULL AND regexp_matches(text, a) THEN a WHEN regexp_matches(text, b) THEN b END AS rx FROM docs, pats WHERE channel IS NULL OR channel = 'image_alt_text' OR list_contains(channels, channel)),
+hits AS (SELECT *, regexp_extract(text, rx) AS match, length(regexp_extract(text, '^((?s:.*?))(?:' || rx || ')', 1)) + 1 AS hit FROM met WHERE rx IS NOT NULL),
+guarded AS (SELECT *, lower(substr(text, greatest(hit - {R.NEGATION_CHARS}, 1), hit - greatest(hit - {R.NEGATION_CHARS}, 1))) AS before FROM hits),
+judged AS (SELECT doc_id, id, original_severity, substr(match, 1, {R.MATCH_CHARS}) AS match, CASE WHEN NOT immune AND ({_NEGATED}) THEN 'review' ELSE original_severity END AS severity FROM guarded),
+top AS (SELECT doc_id, max({_RANK.format('severity')}) AS top FROM judged GROUP BY doc_id)
+SELECT doc_id, channel, {_DECIDE.format('top')} AS decision, id, severity, original_severity, match FROM docs LEFT JOIN top USING (doc_id) LEFT JOIN judged USING (doc_id)""")
+def table_regexes(spark, sf_dir):
+    """Patterns of a table, each with two regexes of which some are broken, against texts of known channels, of none, and of one that no pattern declares: those two are met by all."""
+    words = F.transform(F.split("text", r"\s+"), lambda w: F.regexp_replace(w, _ANY, "."))
+    wanted = lambda start: F.array_join(F.slice(words, start, 4), " +")
+    item = F.col("item_id")
+    made = _read(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("T-"), item).alias("id"), F.lit("passage").alias("category"),
+        F.element_at(F.array(*map(F.lit, ["high", "medium", "low"])), (item % 3 + 1).cast("int")).alias("severity"),
+        F.array(F.when(item % 2 == 0, "web_content").otherwise("file")).alias("channel"),
+        F.array(F.when(item % 7 == 0, "(").otherwise(wanted(1)), wanted(5)).alias("regex"), (item % 2 == 0).alias("negation_immune"),
+    )
+    channel = F.element_at(F.create_map(*[F.lit(x) for kv in _TALK.items() for x in kv]), F.col("lang"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", channel.alias("channel"))
+    found = engine.Engine(made, mechanisms=False).scan(docs, channel=F.col("channel"))
+    return found.select("doc_id", "channel", "decision", F.explode_outer("findings").alias("f")).select("doc_id", "channel", "decision", "f.id", "f.severity", "f.original_severity", "f.match")
+
+
 @_register()
 def engine_decisions(spark, sf_dir):
     source = F.when(F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 2 == 0, "web_content").otherwise("code")

@@ -7,6 +7,8 @@ import html
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import rank_of
+
 
 #: Severities that can corroborate, and the rungs of the ladder from the worst.
 CORROBORATING = ["high", "critical"]
@@ -184,9 +186,23 @@ def sarif_rules(found: DataFrame) -> DataFrame:
     return rows.select("id", "category", F.col("r.defaultConfiguration.level").alias("level"), F.col("r.properties")["security-severity"].alias("score"), F.col("r.helpUri").alias("help_uri"), F.to_json("r").alias("rule"))
 
 
-def result_json(scanned: DataFrame, key: str) -> DataFrame:
-    """One JSON object per scanned row: its decision and findings."""
-    body = F.struct(F.col(key), "decision", F.size("findings").alias("findings_count"), "findings")
+def result_json(scanned: DataFrame, key: str, channel: str = "message", said: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """One JSON object per scanned row: its decision, worst severity (``none`` without findings), channel and findings.
+
+    ``said`` gives the name and the reason of rules by their id; a rule that is not in it is named
+    by its id and has an empty reason. Of equally bad severities the first is the worst.
+    """
+    def told(id_: Column, which: int, other: Column) -> Column:
+        known = F.create_map(*[F.lit(x) for k, v in (said or {}).items() for x in (k, v[which])]).cast("map<string, string>")
+        return F.coalesce(F.try_element_at(known, id_), other)
+
+    ranked = F.transform("findings", lambda f, i: F.struct(rank_of(f["severity"]).alias("rank"), (-i).alias("place"), f["severity"].alias("severity")))
+    findings = F.transform("findings", lambda f: F.struct(
+        f["id"].alias("id"), told(f["id"], 0, f["id"]).alias("name"), f["severity"].alias("severity"), f["category"].alias("category"),
+        F.coalesce(f["match"], F.lit("")).alias("matched_text"), told(f["id"], 1, F.lit("")).alias("reason"),
+    ))
+    severity = F.coalesce(F.array_max(ranked)["severity"], F.lit("none"))
+    body = F.struct(F.col(key), "decision", severity.alias("severity"), F.lit(channel).alias("channel"), F.size("findings").alias("findings_count"), findings.alias("findings"))
     return scanned.select(key, F.to_json(body).alias("result"))
 
 

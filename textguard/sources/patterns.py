@@ -27,6 +27,11 @@ def search_patterns(patterns: DataFrame, query: str = "", category: str | None =
     return patterns.where(holds(F.col("name")) | holds(F.col("description")) | holds(F.col("category")) | F.exists(F.coalesce("keywords", F.array().cast("array<string>")), holds))
 
 
+def parse_access_log(lines: DataFrame) -> DataFrame:
+    """(ip, user_agent) of the column ``value`` of ``lines`` in the common or combined log format; lines of another shape and nulls are skipped."""
+    return lines.where(F.rlike("value", F.lit(LOG_LINE))).select(*[F.regexp_extract("value", LOG_LINE, i).alias(c) for i, c in enumerate(("ip", "user_agent"), 1)])
+
+
 def read_access_log(spark: SparkSession, path: str) -> DataFrame:
-    """(ip, user_agent) of lines in the common or combined log format; lines of another shape are skipped."""
-    return spark.read.text(path).where(F.rlike("value", F.lit(LOG_LINE))).select(*[F.regexp_extract("value", LOG_LINE, i).alias(c) for i, c in enumerate(("ip", "user_agent"), 1)])
+    """parse_access_log of text files."""
+    return parse_access_log(spark.read.text(path))
