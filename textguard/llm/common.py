@@ -74,6 +74,16 @@ def fresh_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def finite(vector: Column) -> Column:
+    """Whether a vector has components and all of them are finite numbers."""
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False))
+
+
+def whole_numbers(vector: Column, scale: int) -> Column:
+    """floor(scale * component) of every component, as double, held inside a long's range."""
+    return F.transform(vector.cast("array<double>"), lambda c: F.floor(c * F.lit(float(scale))))
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen lately so that memory stays bounded."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import read_table
-from . import ann, chat, common, fertility, langid, licenses, mixing, packing, simhash, substring, toxicity
+from . import ann, chat, common, fertility, langid, licenses, mixing, packing, runs, simhash, substring, topk, toxicity, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,39 @@ def op10_mix_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "mix.source", "mix.lang", "mix.topic", "mix.n_tokens", F.round("mix.probability", 6).alias("probability"))
 
 
+def op11_pivot_table_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op12_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", common.id_crc(F.col("doc_id")).alias("h"))
+    g, n = F.expr("h div 10"), common.word_count(F.col("text"))
+    begin = g % F.nullif(n, F.lit(0))
+    period = 1 + F.floor((n - begin) / (3 + g % 8))
+    planted = docs.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), runs.with_period(F.col("text"), begin, period)).otherwise(F.col("text")).alias("text"))
+    longest = runs.find_runs(planted).withColumn("best", runs.longest_run(F.col("runs")))
+    return longest.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(runs.listed_runs(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -103,4 +136,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat_prefix_targets": OP1_SQL,
         "op4_license_dice": licenses.oracle_sql(),
         "op10_mix_raking": mixing.oracle_sql(),
+        "op11_pivot_table_topk": OP11_SQL,
     }
