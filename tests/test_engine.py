@@ -132,3 +132,49 @@ def test_search(spark):
     table = spark.createDataFrame(rows, "id string, name string, category string, severity string, description string, keywords array<string>")
     found = lambda *a, **k: sorted(r.id for r in search_patterns(table, *a, **k).collect())
     assert found("abc") == ["1", "2"] and found("abc", severity="low") == ["2"] and found(category="c") == ["1", "3"] and found() == ["1", "2", "3"]
+
+
+def test_places_count_characters(spark):
+    """Behind 60 characters of two units a negation still stands before the match."""
+    rule = Pattern("A-1", "c", "high", ALL, regex=(r"override\s+the\s+rules",))
+    smile = "\U0001f600"
+    rows = ["Never override the rules", smile * 60 + " Never override the rules", smile * 60 + " we override the rules", "Never " + smile * 60 + " override the rules", "never " + "x" * 60 + " override the rules"]
+    assert [g[1][0][1] for g in scanned(spark, [rule], rows, mechanisms=False)] == ["review", "review", "high", "high", "high"]
+
+
+def many_patterns(n):
+    """Patterns of several kinds: by pieces, by classes alone, with look-aheads, guarded, with groups that are referred to, and broken."""
+    kinds = [
+        lambda i: rf"word{i}\s+(?:left|right)", lambda i: rf"[0-9]{{{3 + i % 5}}}x{i}", lambda i: rf"(?=.*alpha{i}\b)(?=.*omega)", lambda i: rf"^(?!.*harmless)(?=.*beta{i}\b)(?=.*omega)",
+        lambda i: rf"\b(\w+)\s+\1\s+end{i}\b", lambda i: "(", lambda i: rf"(?P<a>q{i})-(?P=a)", lambda i: rf"\d\d:\d{i % 10}",
+    ]
+    return [Pattern(f"M-{i:04d}", "c", ("high", "medium", "low")[i % 3], ALL, regex=(kinds[i % 8](i), rf"second{i}!")) for i in range(n)]
+
+
+def test_large_tables_against_python(spark):
+    """1,324 patterns: findings are those of Python's re, and the plan has as many nodes as with 40."""
+    patterns = many_patterns(1324)
+    rows = [f"word{i} left" for i in range(0, 1324, 97)] + [f"9999x{i} and 12:3{i % 10}" for i in range(1, 1324, 131)] + [f"alpha{i} omega beta{i + 1} omega" for i in range(2, 1324, 88)]
+    rows += [f"it it end{i} q{i + 2}-q{i + 2} second{i + 1}! Second{i}!" for i in range(4, 1324, 104)] + ["harmless beta3 omega", "", None, "nothing here", "x" * 3000 + " word0 right"]
+
+    def want(text):
+        out = []
+        for p in patterns:
+            for rx in E.usable_regexes(p):
+                how, guards, core = E.evaluation(rx)
+                if text and (m := re.search(core, text, re.I) if how == "plain" else re.match(core, text, re.I)) and not any(re.match(g, text, re.I) for g in guards):
+                    out.append((p.id, p.severity, m.group(0)[:50]))
+                    break
+        return out
+
+    got = scanned(spark, patterns, rows, mechanisms=False)
+    assert [g[1] for g in got] == [want(r) for r in rows] and sum(len(g[1]) for g in got) > 60
+    docs = spark.createDataFrame([(0, "a", None)], DOC)
+    nodes = lambda n: E.Engine(many_patterns(n)).scan(docs)._jdf.queryExecution().analyzed().toString().count("lambda")
+    assert nodes(40) == nodes(1324)
+
+
+def test_candidates_are_few():
+    engine = E.Engine(many_patterns(1324), mechanisms=False)
+    pieces, always = engine.index(range(1324))
+    assert len(engine.table) == 2 * 1324 - 1324 // 8 and len(always) < 0.25 * len(engine.table) and len(pieces) > 1000

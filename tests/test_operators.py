@@ -1,11 +1,13 @@
 """Small cases of calls, keywords, cards, crawler claims, files and logs."""
 
+import ipaddress
 import json
+import random
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
-from textguard.operators import cards, crawlers, keywords, reports, scan, toolcalls
+from textguard.operators import cards, crawlers, keywords, policy, reports, scan, toolcalls
 from textguard.plans import rules as R
 from textguard.sources import files
 
@@ -85,8 +87,65 @@ def test_crawlers(spark):
     log = spark.createDataFrame(rows, "ip string, user_agent string")
     nets = spark.createDataFrame([("openai_train", "10.0.0.0/8"), ("openai_train", "10.0.0.0/16"), ("openai_train", "fd00::/16"), ("x", None)], "vendor string, cidr string")
     got = {r.claim: (r.verified, r.fake, r.uncheckable) for r in crawlers.verify_claims(log, nets).collect()}
-    assert got == {"GPTBot (training)": (2, 1, 2), "Cohere (no list published)": (0, 0, 1), "ClaudeBot (training)": (0, 0, 1), "all": (2, 1, 4)}
-    assert [(r.ip, r.claims) for r in crawlers.shared_addresses(log).collect()] == [("9.0.0.1", ["ClaudeBot (training)", "GPTBot (training)"])]
+    assert got == {"GPTBot (training)": (2, 3, 0), "Cohere (no list published)": (0, 0, 1), "ClaudeBot (training)": (0, 0, 1), "all": (2, 3, 2)}
+    assert not crawlers.shared_addresses(log, nets).collect()
+    more = nets.union(spark.createDataFrame([("anthropic", "8.0.0.0/8")], nets.schema))
+    found = [tuple(r) for r in crawlers.fake_addresses(log, more).collect()]
+    assert found[0] == ("9.0.0.1", 2, ["ClaudeBot", "GPTBot"]) and {r[0] for r in found[1:]} == {"what", None}
+    assert [r.ip for r in crawlers.shared_addresses(log, more).collect()] == ["9.0.0.1"]
+    # a network with bits behind its prefix, or one that is none, voids the list
+    for bad in ("11.0.0.1/8", "no network", None):
+        void = crawlers.verify_claims(log, nets.union(spark.createDataFrame([("openai_train", bad)], nets.schema)))
+        assert {r.claim: (r.verified, r.fake, r.uncheckable) for r in void.collect()}["all"] == (0, 0, 7)
+
+
+def test_networks_against_brute_force(spark):
+    rng = random.Random(4)
+    nets = {(v, str(ipaddress.ip_network((base, size), strict=False))) for v in "ab" for base, size in [*((rng.choice([10, 11]) << 24 | rng.getrandbits(24), rng.choice([0, 9, 16, 24, 25, 32]) or 7) for _ in range(40)), *((f"fd00::{rng.getrandbits(16):x}:{rng.getrandbits(16):x}", rng.choice([16, 100, 112, 127, 128])) for _ in range(20))]}
+    ips = [*(f"{rng.choice([10, 11, 12])}.{rng.choice([0, 128, 255])}.{rng.randrange(3)}.{rng.randrange(256)}" for _ in range(300)), *(f"fd00::{rng.randrange(3):x}:{rng.getrandbits(16):x}" for _ in range(60)), "::1", "0.0.0.0", "255.255.255.255"]
+    addresses = spark.createDataFrame([(v, ip, crawlers.address_bits(ip)) for v in "ab" for ip in ips], "vendor string, ip string, bits string").repartition(3)
+    prefixes = crawlers.prefixes_of(spark.createDataFrame(sorted(nets), "vendor string, cidr string"))
+    got = {(r.vendor, r.bits) for r in crawlers.inside_networks(addresses, prefixes).collect()}
+    inside = lambda v, ip: any(ipaddress.ip_address(ip) in ipaddress.ip_network(c) for w, c in nets if w == v)
+    assert got == {(v, crawlers.address_bits(ip)) for v in "ab" for ip in ips if inside(v, ip)}
+    assert crawlers.inside_networks(addresses, prefixes.limit(0)).count() == 0
+
+
+def test_ranges_against_brute_force(spark):
+    rng = random.Random(5)
+    ranges = [(v, lo, lo + rng.choice([-1, 0, 1, 5, 63, 64, 300])) for v in "ab" for lo in (rng.randrange(2000) for _ in range(30))] + [("a", 2**32 - 3, 2**32 - 1), ("b", 0, 0)]
+    numbers = [(v, n) for v in "ab" for n in [*range(0, 2400, 3), 2**32 - 4, 2**32 - 1]]
+    got = policy.in_ranges(spark.createDataFrame(numbers, "vendor string, number long"), spark.createDataFrame(ranges, "vendor string, lo long, hi long"))
+    assert {tuple(r) for r in got.collect()} == {(v, n) for v, n in numbers if any(w == v and lo <= n <= hi for w, lo, hi in ranges)}
+    assert policy.in_ranges(got, spark.createDataFrame([], "vendor string, lo long, hi long")).count() == 0
+    blocks = spark.createDataFrame([(5, 22)], "lo long, hi long").select(policy.aligned_blocks(F.col("lo"), F.col("hi")).alias("b")).first().b
+    assert sorted((b.block << b.size, b.size) for b in blocks) == [(5, 0), (6, 1), (8, 3), (16, 2), (20, 1), (22, 0)]
+
+
+def test_hot_vendor_is_spread(spark):
+    """The addresses of one vendor are dealt by their prefixes, so that no task gets them all."""
+    many = spark.range(4000).select(F.lit("v").alias("vendor"), F.format_string("10.%d.%d.1", F.col("id") % 200, F.expr("id div 200")).alias("ip"))
+    bits = many.select("vendor", crawlers._mapped(F.col("ip"), crawlers.address_bits).alias("bits"))
+    prefixes = crawlers.prefixes_of(spark.createDataFrame([("v", f"10.{i}.0.0/16") for i in range(100)], "vendor string, cidr string"))
+    found = crawlers.inside_networks(bits, prefixes)
+    assert found.count() == 2000
+    parts = bits.select("vendor", F.substring("bits", 1, 17).alias("prefix")).repartition(16, "vendor", "prefix").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert max(r["count"] for r in parts) < 1200
+
+
+def test_strings_at_any_depth(spark):
+    def walk(node, out):
+        for k, v in node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ():
+            if k in ("ipv4Prefix", "ipv6Prefix") and isinstance(v, str):
+                out.append(v)
+            else:
+                walk(v, out)
+        return out
+
+    texts = ['{"ipv4Prefix": "a", "b": [{"ipv6Prefix": "c"}, ["x", {"d": {"ipv4Prefix": ["e", {"ipv4Prefix": "f"}]}}]]}', '"ipv4Prefix"', "[]", "{}", r'{"s": "\"ipv4Prefix\": \"no\"", "ipv4\u0050refix": "yes"}', '{"ipv4Prefix": 5, "ipv6Prefix": null}', '{"a":' * 30 + '{"ipv4Prefix": "deep"}' + "}" * 30]
+    trees = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.parse_json("t").alias("tree"))
+    got = sorted((r.i, r.value) for r in crawlers.strings_under(trees, crawlers.PREFIX_KEYS).collect())
+    assert got == sorted((i, v) for i, t in enumerate(texts) for v in walk(json.loads(t), [])) and (6, "deep") in got
 
 
 def test_guards(spark):

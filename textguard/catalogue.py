@@ -577,32 +577,68 @@ _AGENTS = ["Mozilla/5.0 GPTBot/1.1", "Mozilla/5.0 (compatible; ClaudeBot/1.0)",
 
 
 def _access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ip = F.when(F.col("user_id") % 7 == 0, F.format_string("fd00::%x", F.col("event_id") % 256)).otherwise(F.format_string("10.%d.0.%d", F.col("user_id") % 4, F.col("event_id") % 256))
-    agent = F.element_at(F.array(*map(F.lit, _AGENTS)), (F.col("event_id") % 5 + 1).cast("int"))
+    event, user = F.col("event_id"), F.col("user_id")
+    ip = F.when(user % 11 == 0, F.format_string("host-%d", event % 32)).when(user % 7 == 0, F.format_string("fd00::%x", event % 256)).otherwise(F.format_string("10.%d.0.%d", user % 4, event % 256))
+    agent = F.element_at(F.array(*map(F.lit, _AGENTS)), (event % 5 + 1).cast("int"))
     return _read(spark, sf_dir, "events").select(ip.alias("ip"), agent.alias("user_agent"))
 
 
-_LOG = """log AS (SELECT ['GPTBot (training)', 'ClaudeBot (training)', 'Amazonbot (no list published)', NULL, 'ChatGPT-User (answer time)'][event_id % 5 + 1] AS claim, event_id % 5 AS k,
-  CASE WHEN user_id % 7 = 0 THEN event_id % 256 < 16 ELSE user_id % 4 < 2 END AS ok, CASE WHEN user_id % 7 = 0 THEN 'fd00::' || printf('%x', event_id % 256) ELSE '10.' || (user_id % 4) || '.0.' || (event_id % 256) END AS ip FROM events WHERE event_id % 5 <> 3)"""
+#: Published networks: nested ones, and a list that is void as one of its networks has bits set behind its prefix.
+_PUBLISHED = [
+    *[("openai_train", c) for c in ("10.0.0.0/15", "10.1.0.0/24", "fd00::/124")], *[("anthropic", c) for c in ("10.1.0.0/16", "fd00::/120")],
+    *[("openai_user", c) for c in ("10.0.0.0/8", "10.0.0.1/9")], ("nobody", "10.0.0.0/8"),
+]
+_LOG = """log AS (SELECT ['GPTBot (training)', 'ClaudeBot (training)', 'Amazonbot (no list published)', NULL, 'ChatGPT-User (answer time)'][event_id % 5 + 1] AS claim,
+  CASE WHEN event_id % 5 > 1 THEN 'uncheckable' WHEN user_id % 11 = 0 THEN 'fake' WHEN CASE WHEN user_id % 7 = 0 THEN event_id % 5 = 1 OR event_id % 256 < 16 WHEN event_id % 5 = 0 THEN user_id % 4 < 2 ELSE user_id % 4 = 1 END THEN 'verified' ELSE 'fake' END AS verdict,
+  CASE WHEN user_id % 11 = 0 THEN 'host-' || (event_id % 32) WHEN user_id % 7 = 0 THEN 'fd00::' || printf('%x', event_id % 256) ELSE '10.' || (user_id % 4) || '.0.' || (event_id % 256) END AS ip FROM events WHERE event_id % 5 <> 3)"""
+_FAKE = f"WITH {_LOG} SELECT ip, count(*) AS requests, array_to_string(list_sort(list(DISTINCT split_part(claim, ' ', 1))), '; ') AS claims FROM log WHERE verdict = 'fake' GROUP BY ip"
 
 
-_PUBLISHED = [(v, c) for v in ("openai_train", "anthropic") for c in ("10.0.0.0/15", "fd00::/124", "no network")]
+def _networks(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_PUBLISHED, "vendor string, cidr string")
 
 
-@_register(f"WITH {_LOG} SELECT coalesce(claim, 'all') AS claim, count(*) FILTER (k IN (0, 1) AND ok) AS verified, count(*) FILTER (k IN (0, 1) AND NOT ok) AS fake, count(*) FILTER (k IN (2, 4)) AS uncheckable FROM log GROUP BY ROLLUP (claim)")
+@_register(f"WITH {_LOG} SELECT coalesce(claim, 'all') AS claim, " + ", ".join(f"count(*) FILTER (verdict = '{k}') AS {k}" for k in ("verified", "fake", "uncheckable")) + " FROM log GROUP BY ROLLUP (claim)")
 def crawler_claims(spark, sf_dir):
-    return crawlers.verify_claims(_access_log(spark, sf_dir), spark.createDataFrame(_PUBLISHED, "vendor string, cidr string"))
+    return crawlers.verify_claims(_access_log(spark, sf_dir), _networks(spark))
 
 
 @_register(f"WITH {_LOG}, c AS (SELECT coalesce(claim, 'all') AS claim, count(*) AS total FROM log GROUP BY ROLLUP (claim)) SELECT claim, total, row_number() OVER (ORDER BY claim = 'all', total DESC, claim) AS place FROM c")
 def claims_by_total(spark, sf_dir):
-    claims = crawlers.verify_claims(_access_log(spark, sf_dir), spark.createDataFrame(_PUBLISHED, "vendor string, cidr string"))
-    return crawlers.by_total(claims).select("claim", "total", "place")
+    return crawlers.by_total(crawlers.verify_claims(_access_log(spark, sf_dir), _networks(spark))).select("claim", "total", "place")
 
 
-@_register(f"WITH {_LOG} SELECT ip, array_to_string(list_sort(list(DISTINCT claim)), '; ') AS claims FROM log GROUP BY ip HAVING count(DISTINCT claim) > 1")
+@_register(_FAKE)
+def fake_addresses(spark, sf_dir):
+    return crawlers.fake_addresses(_access_log(spark, sf_dir), _networks(spark)).withColumn("claims", F.array_join("claims", "; "))
+
+
+@_register(f"SELECT * FROM ({_FAKE}) WHERE contains(claims, ';')")
 def crawler_shared_addresses(spark, sf_dir):
-    return crawlers.shared_addresses(_access_log(spark, sf_dir)).select("ip", F.array_join("claims", "; ").alias("claims"))
+    return crawlers.shared_addresses(_access_log(spark, sf_dir), _networks(spark)).withColumn("claims", F.array_join("claims", "; "))
+
+
+@_register("""WITH r AS (SELECT c_custkey, c_nationkey AS vendor, (c_custkey * 7919) % 100000 AS lo, (c_custkey * 7919) % 100000 + (c_custkey * c_custkey) % 977 - 3 AS hi FROM customer)
+SELECT DISTINCT l_suppkey % 25 AS vendor, (l_partkey * 31 + l_orderkey) % 110000 AS number FROM lineitem WHERE EXISTS (SELECT 1 FROM r WHERE r.vendor = l_suppkey % 25 AND (l_partkey * 31 + l_orderkey) % 110000 BETWEEN lo AND hi)""")
+def numbers_in_ranges(spark, sf_dir):
+    """Numbers of line items inside overlapping ranges, some of them empty, of their supplier's nation."""
+    key, lo = F.col("c_custkey"), (F.col("c_custkey") * 7919) % 100000
+    ranges = _read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("vendor"), lo.alias("lo"), (lo + (key * key) % 977 - 3).alias("hi"))
+    numbers = _read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 25).alias("vendor"), ((F.col("l_partkey") * 31 + F.col("l_orderkey")) % 110000).alias("number"))
+    return policy.in_ranges(numbers, ranges)
+
+
+@_register("""SELECT event_id, unnest(CASE event_id % 4 WHEN 0 THEN [ '10.' || (event_id % 256) || '.0.0/16', 'fd00::/' || (event_id % 64)] WHEN 1 THEN ['deep ' || event_type] WHEN 2 THEN ['a"b'] ELSE [] END) AS value FROM events""")
+def strings_in_json(spark, sf_dir):
+    """Strings under the names of networks at any depth; names inside strings, escaped names, and values of other types under a wanted name."""
+    event, kind = F.col("event_id"), F.col("event_id") % 4
+    made = (
+        F.when(kind == 0, F.format_string(r'{"prefixes": [{"ipv4Prefix": "10.%d.0.0/16", "note": "\"ipv4Prefix\": \"9.9.9.9\""}, {"x": [[{"ipv6Prefix": "fd00::/%d"}]]}]}', event % 256, event % 64))
+        .when(kind == 1, F.format_string('{"ipv4Prefix": {"ipv6Prefix": ["no", {"ipv4Prefix": "deep %s"}]}, "ipv6Prefix": 7}', F.col("event_type")))
+        .when(kind == 2, F.lit(r'[{"\u0069pv4Prefix": "a\"b"}, {"ipv4prefix": "no"}, null, true]'))
+        .otherwise(F.lit('{"ipv4Prefix": '))
+    )
+    return crawlers.strings_under(_read(spark, sf_dir, "events").select("event_id", F.try_parse_json(made).alias("tree")), crawlers.PREFIX_KEYS)
 
 
 @_register("SELECT '10.0.0.' || (event_id % 256) AS ip, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type || '/1.0' END AS user_agent, count(*) AS n FROM events WHERE event_id % 4 < 2 GROUP BY ALL")
@@ -675,32 +711,72 @@ _TALK_SQL = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TALK.i
 _ANY = r"[^A-Za-z0-9 ]"
 
 
-@_register(rf"""WITH docs AS (SELECT doc_id, text, {_TALK_SQL} AS channel FROM documents), words AS (SELECT item_id, list_transform(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda w: regexp_replace(w, '{_ANY}', '.', 'g')) AS w FROM benchmark),
-pats AS (SELECT 'T-' || item_id AS id, ['high', 'medium', 'low'][item_id % 3 + 1] AS original_severity, item_id % 2 = 0 AS immune, CASE WHEN item_id % 2 = 0 THEN ['web_content'] ELSE ['file', 'code'] END AS channels,
-  CASE WHEN item_id % 7 <> 0 THEN '(?i)' || array_to_string(list_slice(w, 1, 4), ' +') END AS a, '(?i)' || array_to_string(list_slice(w, 5, 8), ' +') AS b FROM words),
+#: Windows of words that the wide table takes of each passage, and their distance.
+_WINDOWS_EACH, _WINDOW_STEP = 12, 3
+
+
+def _table_regexes_sql(docs: str, wide: bool = False) -> str:
+    """Decisions and findings of the patterns of ``_regex_table`` (or of the wide one) over docs (doc_id, text, channel)."""
+    two = """SELECT 'T-' || item_id AS id, ['high', 'medium', 'low'][item_id % 3 + 1] AS original_severity, item_id % 2 = 0 AS immune, CASE WHEN item_id % 2 = 0 THEN ['web_content'] ELSE ['file', 'code'] END AS channels,
+  CASE WHEN item_id % 7 <> 0 THEN '(?i)' || array_to_string(list_slice(w, 1, 4), ' +') END AS a, '(?i)' || array_to_string(list_slice(w, 5, 8), ' +') AS b FROM words"""
+    many = f"""SELECT 'T-' || item_id || '-' || i AS id, ['high', 'medium', 'low'][item_id % 3 + 1] AS original_severity, item_id % 2 = 0 AS immune, CASE WHEN item_id % 2 = 0 THEN ['web_content'] ELSE ['file', 'code'] END AS channels,
+  NULL AS a, '(?i)' || array_to_string(list_slice(w, i * {_WINDOW_STEP} + 1, i * {_WINDOW_STEP} + 4), ' +') AS b FROM words, range(0, {_WINDOWS_EACH}) r(i) WHERE len(w) >= i * {_WINDOW_STEP} + 4"""
+    return rf"""WITH docs AS ({docs}), words AS (SELECT item_id, list_transform(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda w: regexp_replace(w, '{_ANY}', '.', 'g')) AS w FROM benchmark),
+pats AS ({many if wide else two}),
 met AS (SELECT doc_id, id, original_severity, immune, text, CASE WHEN a IS NOT NULL AND regexp_matches(text, a) THEN a WHEN regexp_matches(text, b) THEN b END AS rx FROM docs, pats WHERE channel IS NULL OR channel = 'image_alt_text' OR list_contains(channels, channel)),
 hits AS (SELECT *, regexp_extract(text, rx) AS match, length(regexp_extract(text, '^((?s:.*?))(?:' || rx || ')', 1)) + 1 AS hit FROM met WHERE rx IS NOT NULL),
 guarded AS (SELECT *, lower(substr(text, greatest(hit - {R.NEGATION_CHARS}, 1), hit - greatest(hit - {R.NEGATION_CHARS}, 1))) AS before FROM hits),
 judged AS (SELECT doc_id, id, original_severity, substr(match, 1, {R.MATCH_CHARS}) AS match, CASE WHEN NOT immune AND ({_NEGATED}) THEN 'review' ELSE original_severity END AS severity FROM guarded),
 top AS (SELECT doc_id, max({_RANK.format('severity')}) AS top FROM judged GROUP BY doc_id)
-SELECT doc_id, channel, {_DECIDE.format('top')} AS decision, id, severity, original_severity, match FROM docs LEFT JOIN top USING (doc_id) LEFT JOIN judged USING (doc_id)""")
-def table_regexes(spark, sf_dir):
-    """Patterns of a table, each with two regexes of which some are broken, against texts of known channels, of none, and of one that no pattern declares: those two are met by all."""
+SELECT doc_id, channel, {_DECIDE.format('top')} AS decision, id, severity, original_severity, match FROM docs LEFT JOIN top USING (doc_id) LEFT JOIN judged USING (doc_id)"""
+
+
+def _regex_table(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """Patterns of the benchmark's passages: each with two regexes of which some are broken, or one for each of many windows of words."""
     words = F.transform(F.split("text", r"\s+"), lambda w: F.regexp_replace(w, _ANY, "."))
     wanted = lambda start: F.array_join(F.slice(words, start, 4), " +")
     item = F.col("item_id")
-    made = _read(spark, sf_dir, "benchmark").select(
-        F.concat(F.lit("T-"), item).alias("id"), F.lit("passage").alias("category"),
+    passages = _read(spark, sf_dir, "benchmark").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(_WINDOWS_EACH - 1))) if wide else F.lit(0))
+    start = F.col("i") * _WINDOW_STEP + 1
+    return passages.where((start + 3 <= F.size(words)) if wide else F.lit(True)).select(
+        F.concat_ws("-", F.lit("T"), item, *([F.col("i")] if wide else [])).alias("id"), F.lit("passage").alias("category"),
         F.element_at(F.array(*map(F.lit, ["high", "medium", "low"])), (item % 3 + 1).cast("int")).alias("severity"),
         F.array(F.when(item % 2 == 0, "web_content").otherwise("file")).alias("channel"),
-        F.array(F.when(item % 7 == 0, "(").otherwise(wanted(1)), wanted(5)).alias("regex"), (item % 2 == 0).alias("negation_immune"),
+        (F.array(wanted(start)) if wide else F.array(F.when(item % 7 == 0, "(").otherwise(wanted(1)), wanted(5))).alias("regex"), (item % 2 == 0).alias("negation_immune"),
     )
-    channel = F.element_at(F.create_map(*[F.lit(x) for kv in _TALK.items() for x in kv]), F.col("lang"))
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", channel.alias("channel"))
-    found = engine.Engine(made, mechanisms=False).scan(docs, channel=F.col("channel"))
+
+
+def _table_findings(patterns: DataFrame, docs: DataFrame) -> DataFrame:
+    found = engine.Engine(patterns, mechanisms=False).scan(docs, channel=F.col("channel"))
     return found.select("doc_id", "channel", "decision", F.explode_outer("findings").alias("f")).select("doc_id", "channel", "decision", "f.id", "f.severity", "f.original_severity", "f.match")
 
 
+def _talking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    channel = F.element_at(F.create_map(*[F.lit(x) for kv in _TALK.items() for x in kv]), F.col("lang"))
+    return _read(spark, sf_dir, "documents").select("doc_id", "text", channel.alias("channel"))
+
+
+@_register(_table_regexes_sql(f"SELECT doc_id, text, {_TALK_SQL} AS channel FROM documents"))
+def table_regexes(spark, sf_dir):
+    """Patterns of a table, each with two regexes of which some are broken, against texts of known channels, of none, and of one that no pattern declares: those two are met by all."""
+    return _table_findings(_regex_table(spark, sf_dir), _talking(spark, sf_dir))
+
+
+@_register(_table_regexes_sql(f"SELECT doc_id, text, {_TALK_SQL} AS channel FROM documents", wide=True))
+def wide_table_regexes(spark, sf_dir):
+    """A table of hundreds of regexes, of which a text is held against those alone whose pieces it holds."""
+    return _table_findings(_regex_table(spark, sf_dir, wide=True), _talking(spark, sf_dir))
+
+
+@_register(_table_regexes_sql("SELECT item_id AS doc_id, repeat(chr(128512), (item_id % 90)::INT) || CASE item_id % 4 WHEN 1 THEN ' never ' WHEN 2 THEN '' ELSE ' and ' END || text AS text, 'file' AS channel FROM benchmark"))
+def astral_places(spark, sf_dir):
+    """Matches and the guards before them, behind characters that take two units of UTF-16."""
+    item = F.col("item_id")
+    word = F.when(item % 4 == 1, " never ").when(item % 4 == 2, "").otherwise(" and ")
+    text = F.concat(F.repeat(F.lit("\U0001f600"), (item % 90).cast("int")), word, F.col("text"))
+    return _table_findings(_regex_table(spark, sf_dir), _read(spark, sf_dir, "benchmark").select(item.alias("doc_id"), text.alias("text"), F.lit("file").alias("channel")))
+
+
 @_register()
 def engine_decisions(spark, sf_dir):
     source = F.when(F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 2 == 0, "web_content").otherwise("code")

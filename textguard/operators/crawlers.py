@@ -35,22 +35,22 @@ def claim_of(agent: Column, field: int = 0) -> Column:
     return out
 
 
-def address_key(text: str | None) -> str | None:
-    """Version and 32 hex digits of an address, so that text order is address order; null if it is none."""
+def address_bits(text: str | None) -> str | None:
+    """Version and bits of an address; null if it is none."""
     try:
         address = ipaddress.ip_address((text or "").strip())
     except ValueError:
         return None
-    return f"{address.version}:{int(address):032x}"
+    return f"{address.version}{int(address):0{address.max_prefixlen}b}"
 
 
-def range_keys(text: str | None) -> str | None:
-    """Keys of the first and last address of a network, joined by ``-``; null if it is none."""
+def network_bits(text: str | None) -> str | None:
+    """Version and leading bits that all addresses of a network share; null if it is none, or has bits set behind its prefix."""
     try:
-        network = ipaddress.ip_network((text or "").strip(), strict=False)
+        network = ipaddress.ip_network((text or "").strip())
     except ValueError:
         return None
-    return f"{address_key(str(network[0]))}-{address_key(str(network[-1]))}"
+    return address_bits(str(network.network_address))[: 1 + network.prefixlen]
 
 
 def _mapped(text: Column, of) -> Column:
@@ -60,16 +60,94 @@ def _mapped(text: Column, of) -> Column:
     return F.pandas_udf(each, StringType())(text)
 
 
-def ranges_of(networks: DataFrame) -> DataFrame:
-    """(vendor, lo, hi) of networks (vendor, cidr); unreadable ones are skipped."""
-    keys = F.split(_mapped(F.col("cidr"), range_keys), "-")
-    return networks.select("vendor", keys.alias("k")).where("k is not null").select("vendor", F.col("k")[0].alias("lo"), F.col("k")[1].alias("hi")).distinct()
+def prefixes_of(networks: DataFrame) -> DataFrame:
+    """Distinct (vendor, prefix) of networks (vendor, cidr). A vendor with a network that cannot be read has none: its list cannot be trusted."""
+    read = networks.select("vendor", _mapped(F.col("cidr"), network_bits).alias("prefix")).distinct()
+    void = read.where("prefix is null").select("vendor").distinct()
+    return read.join(void, "vendor", "left_anti")
+
+
+def inside_networks(addresses: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Distinct (vendor, bits) of ``addresses`` that lie in a network (vendor, prefix) of their vendor.
+
+    A network is a prefix of its addresses' bits. An address has one prefix of each length in use (at most 33 and 129 of
+    the two versions), so an equi-join finds them: nested networks cost no more than others, and the
+    addresses of a vendor with most of the traffic are spread by their prefixes.
+    """
+    kinds = prefixes.select(F.substring("prefix", 1, 1).alias("version"), F.char_length("prefix").alias("size")).distinct().collect()
+    sizes = {v: sorted(k["size"] for k in kinds if k["version"] == v) for v in ("4", "6")}
+    lengths = F.when(F.startswith("bits", F.lit("4")), F.array(*map(F.lit, sizes["4"]))).otherwise(F.array(*map(F.lit, sizes["6"])))
+    keyed = addresses.select("vendor", "bits", F.explode(lengths.cast("array<int>")).alias("size"))
+    keyed = keyed.select("vendor", "bits", F.substring("bits", F.lit(1), F.col("size")).alias("prefix"))
+    return keyed.join(prefixes, ["vendor", "prefix"], "left_semi").select("vendor", "bits").distinct()
+
+
+#: Names under which the published lists keep their networks.
+PREFIX_KEYS = ("ipv4Prefix", "ipv6Prefix")
+
+
+def strings_under(documents: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(key columns, value) of all strings that stand under one of the names ``keys`` at any depth of a column ``tree`` (VARIANT).
+
+    Each level of the trees is one generator over the containers of the level above, until none is left; what stands under a
+    wanted name without being a string is searched on. The other columns of ``documents`` are carried along. Levels
+    are kept only while the search runs; the result, which stays cached, is what was found.
+    """
+    carried = [c for c in documents.columns if c != "tree"]
+    kind = F.schema_of_variant("node")
+    container = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+    level = documents.select(*carried, F.lit(None).cast("string").alias("name"), F.col("tree").alias("node")).where("tree is not null")
+    found, levels, spark = None, [], documents.sparkSession
+    while True:
+        level = level.withColumn("kind", kind).withColumn("inner", container).persist()
+        levels.append(level)
+        hits = level.where(F.col("name").isin(list(keys)) & (F.col("kind") == "STRING")).select(*carried, F.try_variant_get("node", "$", "string").alias("value"))
+        found = hits if found is None else found.unionByName(hits)
+        above = level.where("inner").select(*carried, "node")
+        if above.isEmpty():
+            break
+        opened = above.lateralJoin(spark.tvf.variant_explode(F.col("node").outer()))
+        level = opened.select(*carried, F.col("key").alias("name"), F.col("value").alias("node"))
+    found = found.persist()
+    found.count()
+    for level in levels:
+        level.unpersist()
+    return found
 
 
 def read_ranges(spark: SparkSession, folder: str) -> DataFrame:
-    """(vendor, cidr) of the JSON files below ``folder``, one for each vendor and named by it; prefixes may lie at any depth."""
-    files = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("vendor"), "value")
-    return files.select("vendor", F.explode(F.regexp_extract_all("value", F.lit(r'"ipv[46]Prefix"\s*:\s*"([^"]*)"'), F.lit(1))).alias("cidr"))
+    """(vendor, cidr) of the JSON files below ``folder``, one for each vendor and named by it; prefixes may lie at any depth.
+
+    A file that is no JSON gives a null network, which voids its vendor.
+    """
+    files = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("vendor"), F.try_parse_json("value").alias("tree"))
+    broken = files.where("tree is null").select("vendor", F.lit(None).cast("string").alias("cidr"))
+    return strings_under(files, PREFIX_KEYS).select("vendor", F.col("value").alias("cidr")).unionByName(broken)
+
+
+def judge_claims(log: DataFrame, networks: DataFrame) -> DataFrame:
+    """(claim, ip, n, verdict) of the requests (ip, user_agent) that claim something.
+
+    Uncheckable is a claim whose vendor has no list, or one that is void; fake is any address outside
+    the list, one that cannot be read included. Requests of equal claim and address are counted first, so that each meets the networks once.
+    """
+    agent = F.col("user_agent")
+    claimed = log.select("ip", claim_of(agent).alias("claim"), claim_of(agent, 2).alias("vendor")).where("claim is not null")
+    counted = claimed.groupBy("claim", "vendor", "ip").agg(F.count("*").alias("n")).withColumn("bits", _mapped(F.col("ip"), address_bits))
+    wanted = [c[2] for c in CLAIMS if c[2]]
+    prefixes = prefixes_of(networks.where(F.col("vendor").isin(wanted)))
+    # a row for each key of the fixed table of claims at most
+    known = F.broadcast(prefixes.select("vendor").distinct().withColumn("known", F.lit(True)))
+    inside = inside_networks(counted.where("bits is not null").select("vendor", "bits").distinct(), prefixes).withColumn("ok", F.lit(True))
+    verdict = F.when(F.col("known").isNull(), "uncheckable").when(F.col("ok"), "verified").otherwise("fake")
+    return counted.join(known, "vendor", "left").join(inside, ["vendor", "bits"], "left").select("claim", "ip", "n", verdict.alias("verdict"))
+
+
+def verify_claims(log: DataFrame, networks: DataFrame) -> DataFrame:
+    """Per claim and over all ('all'): numbers of requests that are verified, fake and uncheckable."""
+    total = lambda k: F.sum(F.when(F.col("verdict") == k, F.col("n")).otherwise(0)).alias(k)
+    rolled = judge_claims(log, networks).rollup("claim").agg(total("verified"), total("fake"), total("uncheckable"))
+    return rolled.select(F.coalesce("claim", F.lit("all")).alias("claim"), *[F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in ("verified", "fake", "uncheckable")])
 
 
 def by_total(claims: DataFrame) -> DataFrame:
@@ -80,25 +158,16 @@ def by_total(claims: DataFrame) -> DataFrame:
     return claims.withColumn("total", total).withColumn("place", F.row_number().over(order).cast("long"))
 
 
-def verify_claims(log: DataFrame, networks: DataFrame) -> DataFrame:
-    """Per claim and over all ('all'): rows that are verified, fake and uncheckable (no ranges known, or no readable address).
+def fake_addresses(log: DataFrame, networks: DataFrame) -> DataFrame:
+    """(ip, requests, claims): addresses of fake requests with their number and the names claimed, most frequent first.
 
-    Rows of equal claim and address are counted first, so the range join, keyed by vendor, sees each once.
+    A name is a claim up to its first blank; there are at most 13, so the sets are small.
     """
-    claimed = log.select("ip", claim_of(F.col("user_agent")).alias("claim"), claim_of(F.col("user_agent"), 2).alias("vendor")).where("claim is not null")
-    counted = claimed.groupBy("claim", "vendor", "ip").agg(F.count("*").alias("n")).withColumn("number", _mapped(F.col("ip"), address_key))
-    ranges = ranges_of(networks)
-    known = ranges.select("vendor").distinct().withColumn("known", F.lit(True))
-    c, r = counted.select("vendor", "number").distinct().alias("c"), ranges.alias("r")
-    inside = c.join(r, (F.col("c.vendor") == F.col("r.vendor")) & F.col("c.number").between(F.col("r.lo"), F.col("r.hi")), "left_semi").select("vendor", "number", F.lit(True).alias("ok"))
-    judged = counted.join(known, "vendor", "left").join(inside, ["vendor", "number"], "left")
-    kind = F.when(F.col("known").isNull() | F.col("number").isNull(), "uncheckable").when(F.col("ok"), "verified").otherwise("fake")
-    total = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k)
-    rolled = judged.withColumn("kind", kind).rollup("claim").agg(total("verified"), total("fake"), total("uncheckable"))
-    return rolled.select(F.coalesce("claim", F.lit("all")).alias("claim"), *[F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in ("verified", "fake", "uncheckable")])
+    fake = judge_claims(log, networks).where("verdict = 'fake'")
+    names = F.array_sort(F.collect_set(F.split_part("claim", F.lit(" "), F.lit(1))))
+    return fake.groupBy("ip").agg(F.sum("n").alias("requests"), names.alias("claims")).orderBy(F.desc("requests"), "ip")
 
 
-def shared_addresses(log: DataFrame) -> DataFrame:
-    """(ip, claims): addresses that make more than one claim. There are at most 13 claims, so the sets are small."""
-    claimed = log.select("ip", claim_of(F.col("user_agent")).alias("claim")).where("claim is not null")
-    return claimed.groupBy("ip").agg(F.array_sort(F.collect_set("claim")).alias("claims")).where(F.size("claims") > 1)
+def shared_addresses(log: DataFrame, networks: DataFrame) -> DataFrame:
+    """Fake addresses that claim more than one name."""
+    return fake_addresses(log, networks).where(F.size("claims") > 1)

@@ -2,9 +2,13 @@
 
 Three lanes give findings. Keywords are sought in the normalised text by one automaton pass; a
 pattern without regexes is found by a keyword, one with regexes only becomes a candidate. Regexes
-are sought in the text itself, as predicates of the plan. Candidates that the text itself does not
-confirm are tried on the normalised text if the text is short. Guards, suppression of mechanisms
-and decisions are those of ``scan``.
+are sought in the text itself. Candidates that the text itself does not confirm are tried on the
+normalised text if the text is short. Guards, suppression of mechanisms and decisions are those of ``scan``.
+
+Regexes meet texts as pairs: each regex is known by pieces of text of which its matches hold one; an automaton of all
+pieces passes once over a text and gives the numbers of the regexes that it may match, and only those are evaluated.
+The pairs stay an array in the text's row, so that no text is shuffled or copied, and their
+regexes are looked up in a table inside the plan: the plan is the same for ten patterns and for thousands.
 
 Patterns are a small table of checked size; each text is read in one narrow pass without a
 shuffle, and findings stay in its row.
@@ -141,20 +145,48 @@ def usable_regexes(pattern: Pattern) -> list[str]:
     return [rx for rx in pattern.regex if compiles(rx)]
 
 
-def first_match(text: Column, pieces: Column, which: int, pattern: str) -> Column:
-    """(p, match, at) of the first match of a regex, else null; ``pieces`` are the windows of ``text``."""
+#: A regex of the table: number of its pattern, its Java spelling, whether it is held against windows and what bars it there,
+#: and the regex by which everything from its first match on is cut off.
+REGEX = "struct<p: int, rx: string, windowed: boolean, guards: array<string>, onward: string>"
+
+
+def spelt(p: int, pattern: str) -> dict:
+    """A row of the table of regexes."""
     how, guards, core = evaluation(pattern)
-    made = lambda match, at: F.struct(F.lit(which).alias("p"), match.alias("match"), at.cast("int").alias("at"))
-    if how == "plain":
-        rx = java_regex(core)
-        return F.when(F.rlike(text, F.lit(rx)), made(F.regexp_extract(text, rx, 0), F.regexp_instr(text, F.lit(rx))))
     at_start = lambda rx: rf"\A(?:{java_regex(rx)})"
-    hit = S.bound(
-        F.filter(pieces, lambda w: F.rlike(w, F.lit(at_start(core)))),
-        lambda ws: F.when(F.size(ws) > 0, made(F.regexp_extract(ws[0], at_start(core), 0), F.lit(1))),
-    )
-    barred = reduce(or_, [F.rlike(text, F.lit(at_start(g))) for g in guards], F.lit(False))
-    return F.when(~barred, hit)
+    rx = java_regex(core) if how == "plain" else at_start(core)
+    return {"p": p, "rx": rx, "windowed": how != "plain", "guards": [at_start(g) for g in guards], "onward": f"(?:{rx})(?s:.*)"}
+
+
+def matches(text: Column, rx: Column) -> Column:
+    """Whether a regex that is a column matches; unlike rlike, this keeps the compiled regex for the next text."""
+    return F.call_function("regexp_instr", text, rx) > 0
+
+
+def first_match(text: Column, pieces: Column, regex: Column) -> Column:
+    """(p, match, at) of the first match of a row of the table of regexes, else null; ``pieces`` are the windows of ``text``.
+
+    ``at`` counts characters, from 1; a match in a window counts as the beginning of its text.
+    """
+    first = lambda over: F.call_function("regexp_extract", over, regex["rx"], F.lit(0))
+    made = lambda match, at: F.struct(regex["p"].alias("p"), match.alias("match"), at.cast("int").alias("at"))
+    before = F.call_function("regexp_replace", text, regex["onward"], F.lit(""))
+    plain = F.when(matches(text, regex["rx"]), made(first(text), F.char_length(before) + 1))
+    hit = S.bound(F.filter(pieces, lambda w: matches(w, regex["rx"])), lambda ws: F.when(F.size(ws) > 0, made(first(ws[0]), F.lit(1))))
+    return F.when(~regex["windowed"], plain).when(~F.exists(regex["guards"], lambda g: matches(text, g)), hit)
+
+
+def candidates(folded: Column, pieces: dict[str, list[int]], always: list[int]) -> Column:
+    """Sorted numbers of the regexes that a text may match: those of the pieces it holds, and those that need none."""
+    words = tuple(pieces)
+
+    def search(texts: pd.Series) -> pd.Series:
+        automaton = automaton_of(words)
+        return texts.map(lambda t: [] if t is None else sorted({r for w in {w for _, w in automaton.iter(t)} for r in pieces[w]}.union(always)))
+
+    if not words:
+        return F.when(folded.isNotNull(), F.array(*map(F.lit, always)).cast("array<int>")).otherwise(F.array().cast("array<int>"))
+    return F.pandas_udf(search, ArrayType(IntegerType()))(folded)
 
 
 def keyword_places(normal: Column, owners: dict[str, list[int]]) -> Column:
@@ -202,13 +234,24 @@ class Engine:
         self.denied = {d.lower() for d in denied}
         self.channels = sorted({*CHANNELS, *(c for p in self.patterns for c in p.channel)})
         self.regexes = [usable_regexes(p) for p in self.patterns]
-        self.needs = [p.needs or self._needs(regexes) for p, regexes in zip(self.patterns, self.regexes)]
-
-    @staticmethod
-    def _needs(regexes: list[str]) -> tuple[str, ...]:
-        """Pieces of which a text needs one for any of the regexes to match; none if some regex needs none."""
-        each = [required_pieces(rx) for rx in regexes]
-        return tuple(dict.fromkeys(piece for pieces in each for piece in pieces)) if all(each) else ()
+        #: (pattern, regex) by number, and the numbers of each pattern
+        self.table = [(p, rx) for p, regexes in enumerate(self.regexes) for rx in regexes]
+        self.numbers = [[] for _ in self.patterns]
+        for number, (p, _) in enumerate(self.table):
+            self.numbers[p].append(number)
+
+    def index(self, chosen: Iterable[int]) -> tuple[dict[str, list[int]], list[int]]:
+        """The regexes of some patterns by the pieces of which their matches hold one, and those that need none."""
+        pieces: dict[str, list[int]] = {}
+        always = []
+        for number in (n for p in chosen for n in self.numbers[p]):
+            p, rx = self.table[number]
+            needs = self.patterns[p].needs or required_pieces(rx)
+            for piece in needs:
+                pieces.setdefault(piece, []).append(number)
+            if not needs:
+                always.append(number)
+        return pieces, always
 
     @staticmethod
     def _listed(patterns: Iterable[Pattern] | DataFrame) -> list[Pattern]:
@@ -246,26 +289,22 @@ class Engine:
             met = F.array(channel, F.coalesce(F.try_element_at(alias, channel), channel))
             unknown = channel.isNull() | ~channel.isin(self.channels)
             allowed = lambda given: unknown | F.arrays_overlap(met, given)
-        table = F.from_json(
-            F.lit(json.dumps([{"id": p.id, "category": p.category, "severity": p.severity, "layer": p.layer, "immune": p.negation_immune, "has_regex": bool(rx), "channel": p.channel} for p, rx in zip(self.patterns, self.regexes)])),
-            "array<struct<id string, category string, severity string, layer string, immune boolean, has_regex boolean, channel array<string>>>",
-        )
+        facts = [{"id": p.id, "category": p.category, "severity": p.severity, "layer": p.layer, "immune": p.negation_immune, "regexes": numbers, "channel": p.channel} for p, numbers in zip(self.patterns, self.numbers)]
+        table = F.from_json(F.lit(json.dumps(facts)), "array<struct<id string, category string, severity string, layer string, immune boolean, regexes array<int>, channel array<string>>>")
+        regexes = F.from_json(F.lit(json.dumps([spelt(p, rx) for p, rx in self.table])), f"array<{REGEX}>")
         of = lambda hit: F.element_at(table, hit["p"] + 1)
         taken = {c.lower() for c in docs.columns}
-        normal, keyworded, result = (next(n for n in ("_" * k + part for k in range(1, 99)) if n not in taken) for part in ("normal", "keyworded", "result"))
+        normal, keyworded, pairs, result = (next(n for n in ("_" * k + part for k in range(1, 99)) if n not in taken) for part in ("normal", "keyworded", "pairs", "result"))
         raw = F.col(text)
         empty = F.array().cast("array<struct<p int, match string, at int>>")
 
-        def lane(over: Column, folded: Column, which: list[int], gate) -> Column:
-            """First match of each of the patterns ``which`` in a text; each helper column is computed once."""
-            def hits(low: Column, pieces: Column) -> Column:
-                near = lambda i: reduce(or_, [F.contains(low, F.lit(n)) for n in self.needs[i]]) if self.needs[i] else F.lit(True)
-                return F.array_compact(F.array(*[F.when(gate(i) & near(i), F.coalesce(*[first_match(over, pieces, i, rx) for rx in self.regexes[i]])) for i in which]))
-
-            if not which:
-                return empty
-            windowed = any(evaluation(rx)[0] != "plain" for i in which for rx in self.regexes[i])
-            return S.bound(folded, lambda low: S.bound(S.windows(over), lambda ws: hits(low, ws)) if windowed else hits(low, F.lit(None)))
+        def lane(over: Column, numbers: Column) -> Column:
+            """First match of each pattern whose regexes have the ``numbers`` (sorted) in a text."""
+            chosen = F.transform(numbers, lambda n: F.element_at(regexes, n + 1))
+            cut = lambda rs: F.when(F.exists(rs, lambda r: r["windowed"]), S.windows(over))
+            hits = S.bound(chosen, lambda rs: S.bound(cut(rs), lambda ws: F.array_compact(F.transform(rs, lambda r: first_match(over, ws, r)))))
+            # of a pattern's regexes, which follow each other, the first that matches counts
+            return S.bound(hits, lambda hs: F.filter(hs, lambda h, i: (i == 0) | (F.get(hs, i - 1)["p"] != h["p"])))
 
         def judged(hits: Column, over: Column, describing: bool) -> Column:
             """Findings of an array of matches, with the guards held against the text before each."""
@@ -278,24 +317,24 @@ class Engine:
                 c["o"]["layer"].alias("layer"), F.substring(c["match"], 1, R.MATCH_CHARS).alias("match"), c["o"]["severity"].alias("original_severity"),
             ))
 
-        regexed = [i for i in chosen if self.regexes[i]]
         owners = self._owners(chosen)
-        doubtful = sorted({p for ps in owners.values() for p in ps if self.regexes[p]})
-        literal = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
 
         def verdict(folded: Column, known: Column, seen: Column) -> Column:
             """Findings and decision, from the normalised text, keyword hits and matches in the text itself."""
-            unsure = F.transform(F.filter(known, lambda h: of(h)["has_regex"]), lambda h: h["p"])
-            open_ = F.when(F.char_length(raw) <= VIEW_LIMIT, F.filter(unsure, lambda p: ~F.exists(seen, lambda m: m["p"] == p))).otherwise(F.array().cast("array<int>"))
-            tried = S.bound(open_, lambda o: F.when(F.size(o) > 0, lane(folded, folded, doubtful, lambda i: F.array_contains(o, i))).otherwise(empty))
-            alone = F.filter(known, lambda h: ~of(h)["has_regex"])
+            has_regex = lambda h: F.size(of(h)["regexes"]) > 0
+            unsure = F.filter(known, lambda h: has_regex(h) & ~F.exists(seen, lambda m: m["p"] == h["p"]))
+            open_ = F.when(F.char_length(raw) <= VIEW_LIMIT, F.flatten(F.transform(unsure, lambda h: of(h)["regexes"])))
+            tried = S.bound(open_, lambda o: F.when(F.size(o) > 0, lane(folded, F.array_sort(o))).otherwise(empty))
+            alone = F.filter(known, lambda h: ~has_regex(h))
             found = F.concat(judged(alone, folded, False), judged(seen, raw, True), judged(tried, folded, False))
             return S.bound(S.suppress_mechanisms(found), lambda fs: F.struct(fs.alias("findings"), S.decision_of(F.transform(fs, lambda f: f["severity"])).alias("decision")))
 
         out = docs.withColumn(normal, normalize(raw) if owners else F.lit(None).cast("string"))
         out = out.withColumn(keyworded, keyword_places(F.col(normal), owners))
         known = F.filter(keyworded, lambda h: allowed(of(h)["channel"]))
-        seen = lane(raw, F.translate(F.lower(raw), *SAME_LETTERS), regexed, lambda i: allowed(literal(self.patterns[i].channel)))
+        out = out.withColumn(pairs, candidates(F.translate(F.lower(raw), *SAME_LETTERS), *self.index(chosen)))
+        met_by = F.filter(pairs, lambda n: allowed(of(F.element_at(regexes, n + 1))["channel"]))
+        seen = F.when(F.size(met_by) > 0, lane(raw, met_by)).otherwise(empty)
         # one nested expression: optimiser rules that copy a column's definition copy it once, not once for each use inside
         out = out.withColumn(result, S.bound(F.col(normal), lambda n: S.bound(known, lambda k: S.bound(seen, lambda s: verdict(n, k, s)))))
         kept = [c for c in docs.columns if c.lower() not in ("findings", "decision")]

@@ -33,14 +33,39 @@ def ipv4_number(ip: Column) -> Column:
     return reduce(lambda a, i: a * 256 + F.try_element_at(parts, F.lit(i)).cast("long"), range(1, 5), F.lit(0).cast("long"))
 
 
+def aligned_blocks(lo: Column, hi: Column, bits: int = 32) -> Column:
+    """The numbers from ``lo`` to ``hi`` as an array of (size, block): all numbers that are ``block`` once shifted right by
+    ``size`` bits. At most two blocks of each size are needed; an empty range has none.
+    """
+    def both(k: Column) -> Column:
+        first, stop = F.call_function("shiftright", lo + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k), F.call_function("shiftright", hi + 1, k)
+        block = lambda n: F.struct(k.cast("int").alias("size"), n.alias("block"))
+        return F.array_compact(F.array(F.when((first < stop) & (first % 2 == 1), block(first)), F.when((first < stop) & (stop % 2 == 1), block(stop - 1))))
+
+    # a block that is both the first and the last of its size counts once
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bits)), both)))
+
+
+def in_ranges(numbers: DataFrame, ranges: DataFrame, bits: int = 32) -> DataFrame:
+    """Distinct (vendor, number) of ``numbers`` that lie in a range (vendor, lo, hi) of their vendor, ends included.
+
+    Ranges are cut into aligned blocks, and a number has one block of each size in use (``bits`` + 1 at most), so an
+    equi-join finds them: overlapping and nested ranges cost no more than others, and a vendor's numbers are spread by their blocks.
+    """
+    blocks = ranges.select("vendor", F.explode(aligned_blocks(F.col("lo"), F.col("hi"), bits)).alias("b")).select("vendor", "b.*").distinct()
+    sizes = sorted(r["size"] for r in blocks.select("size").distinct().collect())
+    keys = [F.struct(F.lit(k).alias("size"), F.shiftright("number", k).alias("block")) for k in sizes]
+    keyed = numbers.select("vendor", "number", F.explode(F.array(*keys)).alias("b")) if keys else numbers.select("vendor", "number", F.struct(F.lit(0).alias("size"), F.col("number").alias("block")).alias("b"))
+    return keyed.select("vendor", "number", "b.*").join(blocks, ["vendor", "size", "block"], "left_semi").select("vendor", "number").distinct()
+
+
 def verify_ranges(claims: DataFrame, ranges: DataFrame) -> DataFrame:
     """Per vendor: claims whose address lies in one of its ranges, and those outside.
 
-    ``claims`` (vendor, ip), ``ranges`` (vendor, lo, hi) as numbers: a range join keyed by vendor.
+    ``claims`` (vendor, ip), ``ranges`` (vendor, lo, hi) as numbers; equal claims are counted before they meet ranges.
     """
     numbered = claims.select("vendor", ipv4_number(F.col("ip")).alias("number")).groupBy("vendor", "number").agg(F.count("*").alias("n"))
-    c, r = numbered.alias("c"), ranges.select("vendor", "lo", "hi").alias("r")
-    inside = c.join(r, (F.col("c.vendor") == F.col("r.vendor")) & F.col("c.number").between(F.col("r.lo"), F.col("r.hi")), "left_semi").select("vendor", "number", F.lit(True).alias("ok"))
+    inside = in_ranges(numbered.where("number is not null"), ranges.select("vendor", "lo", "hi")).withColumn("ok", F.lit(True))
     joined = numbered.join(inside, ["vendor", "number"], "left")
     return joined.groupBy("vendor").agg(F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("verified"), F.sum(F.when(F.col("ok"), 0).otherwise(F.col("n"))).alias("fake"))
 
