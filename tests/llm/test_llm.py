@@ -1,6 +1,7 @@
 """Operators of the training-data pipeline on small cases, against brute force or exact round trips."""
 
 import hashlib
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -274,6 +275,43 @@ def test_best_window_against_brute_force():
         assert (got[1] if got else 0) == pytest.approx(want if want >= 0.5 else 0)
 
 
+def test_best_window_of_repetitive_texts_against_brute_force():
+    """Few words, so that bigrams come again and again; the coefficient is the largest of all windows."""
+    rng = np.random.default_rng(10)
+    for _ in range(150):
+        template, text = (" ".join(f"w{j}" for j in rng.integers(0, 3, n)) for n in (6, 30))
+        grams, own = list(zip(text.split(), text.split()[1:])), {tuple(g.split()) for g in licenses.template_bigrams(template)}
+        dice = lambda w: 2 * len(w & own) / (len(w) + len(own))
+        want = max(dice(set(grams[a:b])) for a in range(len(grams)) for b in range(a + 1, len(grams) + 1))
+        got = licenses.Windows(licenses.template_rows({"x": [template]}), 0.5).best(text)
+        assert (got[1] if got else 0) == pytest.approx(want if want >= 0.5 else 0)
+
+
+def test_best_window_takes_linear_time():
+    windows = licenses.Windows(licenses.template_rows(licenses.window_templates(licenses.TEMPLATES)), licenses.THRESHOLD)
+    began = time.perf_counter()
+    assert windows.best("released under the " * 20_000 + "mit license")[0] == "MIT"
+    for piece in ("the software is provided as is ", "permission is hereby granted x ", "license ", "you may not use this file except y z "):
+        windows.best(piece * 20_000)
+    assert time.perf_counter() - began < 20
+
+
+def test_neighbours_of_tiny_and_huge_vectors(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(100)] + [(100, [1e-200, 2e-200, 0.0, 1e-200]), (150, [1e200, 2e200, 0.0, 1e200]), (200, [5e-324, 1e-323, 0.0, 5e-324]), (250, [8e307, 1.6e308, 0.0, 8e307])]
+    got = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    best = {q: [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (100, 150, 200, 250)}
+    for q, found in best.items():
+        assert len(found) == 5 and {i for i, _ in found[:3]} == {100, 150, 200, 250} - {q} and all(s == pytest.approx(1.0) for _, s in found[:3])
+
+
+def test_too_many_languages_are_an_error(spark):
+    rows = spark.createDataFrame([("text of it", f"l{i}") for i in range(4)], "text string, lang string")
+    assert len(langid.fit_profiles(rows, most_languages=4).languages) == 4
+    with pytest.raises(ValueError):
+        langid.fit_profiles(rows, most_languages=3)
+
+
 def test_toxicity_keeps_the_prior_of_the_table(spark):
     rng = np.random.default_rng(3)
     words = ["table", "river", "green", "walk", "paper", "light", "cloud", "stone", "bread", "music"]

@@ -267,8 +267,11 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, vec_id:
     nearest = Window.partitionBy("query_id", "q1", "q2").orderBy("far", "vec_id", "h1", "h2")
     others = found.where("query_id <> vec_id or not single")  # the own group counts for its other ids
     near = others.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= quantiser.depth).drop("place", "far", "single")
+    # a power of two brings the largest component near 1: exact, and neither tiny nor huge vectors leave the range of doubles
+    power = lambda v: F.pow(F.lit(2.0), -F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), F.floor(F.log2(F.array_max(F.transform(v, F.abs)))).cast("double"))))
+    scaled = lambda v: F.transform(F.array(power(v)), lambda p: F.transform(v, lambda x: x * p))[0]
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    exact = near.join(groups, key).join(rows.select(*key, F.col("v").alias("b")), key).join(asked.withColumnRenamed("v", "a"), ["query_id", "q1", "q2"])
+    exact = near.join(groups, key).join(rows.select(*key, scaled(F.col("v")).alias("b")), key).join(asked.withColumn("a", scaled(F.col("v"))).drop("v"), ["query_id", "q1", "q2"])
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     members = exact.select("query_id", "ids", (dot / (norm(F.col("a")) * norm(F.col("b")))).alias("score")).select("query_id", F.explode("ids").alias("vec_id"), "score")
     scored = members.where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
