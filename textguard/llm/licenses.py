@@ -174,6 +174,12 @@ class Windows:
         if len(hit) < floor / (2 - floor) * n:
             return top
         most = n * (2 - floor) / floor
+        # a window that holds its first bigram once more is no better without it, so a start serves up to its bigram's
+        # next place only: all starts together take each place at most once for each of the template's bigrams
+        again, latest = [len(grams)] * len(places), {}
+        for k in range(len(places) - 1, -1, -1):
+            again[k] = latest.get(grams[places[k]], len(grams))
+            latest[grams[places[k]]] = places[k]
         for k, start in enumerate(places):
             # with all that is left the coefficient is 2h / (h + n) at most
             left = min(n, len(places) - k)
@@ -182,10 +188,14 @@ class Windows:
             # distinct bigrams are at most so many, so a window may only be longer where they repeat
             seen: set[tuple[str, str]] = set()
             shared, at = 0, start
-            for stop in places[k:]:
-                fresh = set(grams[at : stop + 1]) - seen
-                seen |= fresh
-                shared += len(fresh & hit)
+            for j in range(k, len(places)):
+                stop = places[j]
+                if stop >= again[k]:
+                    break
+                for g in grams[at : stop + 1]:
+                    if g not in seen:
+                        seen.add(g)
+                        shared += g in hit
                 at = stop + 1
                 if len(seen) > most:
                     break
