@@ -94,10 +94,12 @@ class RankProfiles:
 
 
 def fit_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size: int = 400, longest: int = 3, docs_per_language: int = 4000, most_languages: int = 500, seed: int = 7) -> RankProfiles:
-    """Learn from rows with text and language; about ``docs_per_language`` different texts of each language, drawn by a hash of the text, are used."""
+    """Learn from rows with text and language; about ``docs_per_language`` different texts of each language, drawn by a hash of the text, are used; more than ``most_languages`` languages are an error."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    different = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    different = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).limit(most_languages + 1)
     totals = {r["lang"]: r["n"] for r in different.collect()}
+    if len(totals) > most_languages:
+        raise ValueError(f"more than {most_languages} languages; raise the bound")
     if not totals:
         return RankProfiles([], np.empty(0, np.int64), np.empty((0, 0)), size, longest)
     share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, docs_per_language / n))])
