@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpointed, fresh_name, rolling, store, words_of
+from .common import WordHashes, checkpointed, fresh_name, release, rolling, store, words_of
 
 
 def sliding_min(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,10 +180,10 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
             )
 
     met = keyed.join(marks, ["doc_id", "h"]).select("doc_id", "h", "raw", "seeds").mapInArrow(cut, f"doc_id {id_type}, h long, anchor long, lead int, name binary, context binary, places array<int>")
-    met, _ = store(met)
+    met, met_path = store(met)
     key = ["anchor", "lead", "name"]
     contexts = met.groupBy(*key, "context").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    contexts, _ = store(contexts)
+    contexts, contexts_path = store(contexts)
     # an anchor takes a quarter of a deal at most, so that deals are even
     crowded = checkpointed(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > deal_rows // 4).select("anchor"))
     found = f"anchor long, lead int, name binary, repeats array<struct<low: {id_type}, begin: int, finish: int>>"
@@ -230,6 +230,8 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     hits = met.select("doc_id", "h", *key, "places").join(repeats, key).select("doc_id", "h", "places", F.expr("filter(repeats, r -> r.low < doc_id)").alias("repeats")).where(F.size("repeats") > 0)
     placed = F.flatten(F.transform("places", lambda p: F.transform("repeats", lambda r: F.struct((p + r["begin"]).alias("start"), (p + r["finish"]).alias("end")))))
     spans = checkpointed(hits.select("doc_id", "h", placed.alias("spans")).groupBy("doc_id", "h").agg(F.flatten(F.collect_set("spans")).alias("spans")))
+    release(met, met_path)
+    release(contexts, contexts_path)
     return Repeats(keyed, profile, copies, spans)
 
 
