@@ -9,6 +9,7 @@ from textguard.functions import text as T
 from textguard.operators import engine as E
 from textguard.operators import toolcalls
 from textguard.plans.patterns import MECHANISMS, PLANTED, Pattern
+from textguard.plans.table_functions import register_scan_text
 from textguard.sources.patterns import search_patterns
 
 DOC = "doc_id long, text string, channel string"
@@ -178,3 +179,24 @@ def test_candidates_are_few():
     engine = E.Engine(many_patterns(1324), mechanisms=False)
     pieces, always = engine.index(range(1324))
     assert len(engine.table) == 2 * 1324 - 1324 // 8 and len(always) < 0.25 * len(engine.table) and len(pieces) > 1000
+
+
+def test_scan_text_in_sql(spark):
+    """The table function gives what Engine.scan gives, over documents and planted texts, by LATERAL."""
+    patterns = [
+        Pattern("K-1", "c", "medium", ALL, keywords=("ignore previous", "license")), Pattern("K-2", "c", "high", ("file",), keywords=("reveal", "token"), regex=(r"reveal\s+the\s+plan", r"token\s*=")),
+        Pattern("W-1", "d", "low", ("file", "email"), regex=(r"(?is)^(?!.*harmless)(?=.*[0-9]{3})(?=.*@[a-z])",)), Pattern("X-1", "exfiltration", "high", ("file",), regex=(r"(?i)gather the api keys",)),
+        Pattern("I-1", "i", "critical", ALL, keywords=("disregard",), negation_immune=True), Pattern("U-1", "u", "odd", ALL, regex=(r"oddity",)),
+    ]
+    engine = E.Engine(patterns)
+    register_scan_text(spark, engine)
+    planted = [(i, t) for i, t in PLANTED] + [(-50, "please ignore previous notes"), (-51, "never ignore previous notes, disregard"), (-52, "r3v3al the pl4n"), (-53, "\U0001f600" * 60 + " never override the earlier rules"), (-54, "an oddity"), (-55, 'example of "disregard" it'), (-56, None), (-57, "")]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string"))
+    docs = docs.withColumn("channel", F.element_at(F.array(*map(F.lit, ["file", "message", "odd", "prompt", "web_content"])), (F.abs("doc_id") % 5 + 1).cast("int")))
+    docs.createOrReplaceTempView("texts_to_scan")
+    found = spark.sql("SELECT d.doc_id, f.* FROM texts_to_scan d, LATERAL scan_text(d.text, d.channel) f").collect()
+    whole = engine.scan(docs, channel=F.col("channel")).select("doc_id", "decision", F.explode("findings").alias("f")).select("doc_id", "f.*", "decision").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, whole)) and len({r.id for r in found}) > 12
+    rows = spark.sql("WITH f AS (SELECT d.doc_id, s.decision FROM texts_to_scan d, LATERAL scan_text(d.text, d.channel) s) SELECT d.doc_id, coalesce(max(f.decision), 'allow') AS decision FROM texts_to_scan d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id").collect()
+    assert {r.doc_id: r.decision for r in rows} == {r.doc_id: r.decision for r in engine.scan(docs, channel=F.col("channel")).collect()}
+    assert spark.sql("SELECT id, severity FROM scan_text('never ignore previous notes', 'message')").collect() == [("K-1", "review")]

@@ -124,7 +124,7 @@ def test_export(spark, tmp_path):
     assert rows["dns-tunneling"].date_added == "2020-01-01" and json.loads(rows["dns-tunneling"].body)["channels"] == ["f"]
     assert rows["uncategorized"].file == "UNKNOWN-unnamed.json" and rows["uncategorized"].date_added == "2024-01-01"
     cards.write_export(cards.exported(made, before, F.lit("2024-01-01")), str(tmp_path / "db"))
-    assert json.loads(spark.read.text(str(tmp_path / "db" / "folder=dns-tunneling")).first()[0])["id"] == "A-1"
+    assert json.loads((tmp_path / "db" / "dns-tunneling" / "A-1-some-name.json").read_text())["id"] == "A-1"
 
 
 def test_general_keywords(spark):
@@ -167,11 +167,8 @@ def test_streams(spark, tmp_path):
     (folder / "a.json").write_text("".join(json.dumps(dict(zip(("ts", "text", "tool", "sha256"), r))) + "\n" for r in rows))
     (folder / "b.json").write_text(json.dumps({"ts": "2024-01-03T00:00:00", "text": "x", "tool": "t", "sha256": "1"}) + "\n")
     read = lambda: spark.readStream.schema("ts timestamp, text string, tool string, sha256 string").option("maxFilesPerTrigger", 1).json(str(folder))
-    for name, frame, mode in (("counts", scan_stream.decision_counts(read()), "complete"), ("pins", scan_stream.pin_on_first_use(read()), "append")):
-        query = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
-        query.awaitTermination(120)
-        query.stop()
+    query = scan_stream.decision_counts(read()).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "counts")).start()
+    query.awaitTermination(120)
+    query.stop()
     counts = {(str(r.window.start.date()), r.decision): r.n for r in spark.table("counts").collect()}
     assert counts == {("2024-01-01", "block"): 1, ("2024-01-01", "allow"): 1, ("2024-01-03", "allow"): 2}
-    got = sorted((r.tool, r.sha256, r.status) for r in spark.table("pins").collect())
-    assert got in ([("t", "1", "changed"), ("t", "2", "new"), ("t", "2", "ok"), ("u", "1", "new")], [("t", "1", "new"), ("t", "2", "changed"), ("t", "2", "changed"), ("u", "1", "new")])

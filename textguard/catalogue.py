@@ -174,17 +174,17 @@ _SPACES = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(f, '[\s\
 _VIEW = f"' ' || chr({ord(T.VIEW_MARK)}) || ' '"
 
 
-@_register(rf"""WITH {_DOCS}, folded AS (SELECT doc_id, text, translate(replace(text, chr({ord(T.VIEW_MARK)}), ' '), {_q(T.LEET[0])}, {_q(T.LEET[1])}) AS f FROM docs),
-plain AS (SELECT doc_id, {_SPACES} AS p FROM folded WHERE NOT regexp_matches(text, {_q(T.DECODABLE)}) AND NOT regexp_matches(f, {_q(T.SPELT)}) UNION ALL SELECT * FROM (VALUES {', '.join(f"({i}, {_q(p)})" for i, _, p in _DISGUISED)})),
+@_register(rf"""WITH {_DOCS}, folded AS (SELECT doc_id, text, translate(regexp_replace(replace(text, chr({ord(T.VIEW_MARK)}), ' '), {_q(T.INVISIBLE)}, '', 'g'), {_q(T.LEET[0])}, {_q(T.LEET[1])}) AS f FROM docs),
+plain AS (SELECT doc_id, {_SPACES} AS p FROM folded WHERE NOT regexp_matches(text, {_q(T.decodable())}) AND NOT regexp_matches(f, {_q(T.SPELT)}) UNION ALL SELECT * FROM (VALUES {', '.join(f"({i}, {_q(p)})" for i, _, p in _DISGUISED)})),
 turned AS (SELECT doc_id, p, CASE WHEN translate(p, {_q(T.ROT13[0])}, {_q(T.ROT13[1])}) <> p THEN p || {_VIEW} || translate(p, {_q(T.ROT13[0])}, {_q(T.ROT13[1])}) ELSE p END AS t FROM plain),
 mirrored AS (SELECT doc_id, p, CASE WHEN length(p) <= {T.VIEW_LIMIT} THEN lower(t || {_VIEW} || reverse(t)) ELSE lower(t) END AS m FROM turned),
-viewed AS (SELECT doc_id, CASE WHEN length(p) <= {T.VIEW_LIMIT} AND regexp_replace(m, '\bl([a-z])', 'i\1', 'g') <> m THEN m || {_VIEW} || regexp_replace(m, '\bl([a-z])', 'i\1', 'g') ELSE m END AS v FROM mirrored)
+viewed AS (SELECT doc_id, CASE WHEN length(p) <= {T.VIEW_LIMIT} AND regexp_replace(m, '(^|[^\p{{L}}\p{{N}}_])l([a-z])', '\1i\2', 'g') <> m THEN m || {_VIEW} || regexp_replace(m, '(^|[^\p{{L}}\p{{N}}_])l([a-z])', '\1i\2', 'g') ELSE m END AS v FROM mirrored)
 SELECT doc_id, sha256(v) AS sha FROM (SELECT doc_id FROM docs UNION ALL VALUES {', '.join(f"({i})" for i, _, _ in _DISGUISED)}) LEFT JOIN viewed USING (doc_id)""")
 def normalize_views(spark, sf_dir):
-    """Normalised texts; SQL knows those that need no decoding and the planted ones, so the digest of others is left out."""
+    """Normalised texts; SQL knows those that decoding and joining leave as they are (all but a few) and the planted ones, so the digest of others is left out."""
     planted = spark.createDataFrame([(i, t, "en", "planted") for i, t, _ in _DISGUISED], "doc_id long, text string, lang string, source string")
     folded = T.fold_leet(T.strip_invisible(F.col("text")))
-    known = (~F.rlike("text", F.lit(T.DECODABLE)) & ~F.rlike(folded, F.lit(T.SPELT))) | F.col("doc_id").isin([i for i, _, _ in _DISGUISED])
+    known = (~F.rlike("text", F.lit(T.decodable())) & ~F.rlike(folded, F.lit(T.SPELT))) | F.col("doc_id").isin([i for i, _, _ in _DISGUISED])
     return _documents(spark, sf_dir).unionByName(planted).select("doc_id", F.when(known, F.sha2(T.normalize(F.col("text")), 256)).alias("sha"))
 
 

@@ -6,7 +6,9 @@ import base64
 import binascii
 import html
 import re
+import sys
 import unicodedata
+from functools import lru_cache
 from urllib.parse import unquote
 
 import pandas as pd
@@ -72,8 +74,26 @@ def _base64_segment(match: re.Match) -> str:
 
 
 _FOLDED, _FOLDS = re.compile(f"[{LOOKALIKES[0]}]"), str.maketrans(*LOOKALIKES)
-#: What a text must hold for decode_layers to change it.
-DECODABLE = r"[^\x00-\x7F]|&|%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|[A-Za-z0-9+/]{20,}"
+@lru_cache(1)
+def decodable() -> str:
+    """What a text must hold for decode_layers to change it: entities, percent codes, hex escapes, long runs, look-alikes, and
+    characters that NFKC changes or that may join the one before (those with a combining class, and second parts of compositions).
+
+    Read by Java and RE2 alike.
+    """
+    moved = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3)) | set(map(ord, LOOKALIKES[0]))  # vowels and finals of Hangul join too
+    for code in range(128, sys.maxunicode + 1):
+        char = chr(code)
+        if unicodedata.combining(char) or not 0xD800 <= code < 0xE000 and unicodedata.normalize("NFKC", char) != char:
+            moved.add(code)
+        parts = unicodedata.decomposition(char).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            moved.add(int(parts[1], 16))
+    ordered = sorted(moved)
+    begins = [c for c in ordered if c - 1 not in moved]
+    ends = [c for c in ordered if c + 1 not in moved]
+    ranges = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(begins, ends))
+    return rf"&[#a-zA-Z]|%[0-9A-Fa-f]{{2}}|\\x[0-9A-Fa-f]{{2}}|[A-Za-z0-9+/]{{20,}}|[{ranges}]"
 
 
 def decode_layers(text: str | None, passes: int = 3) -> str | None:
@@ -99,7 +119,8 @@ def decode_layers(text: str | None, passes: int = 3) -> str | None:
 #: Words spelt with a sign or a space between their letters (three at least), and what a text must hold to have one.
 _JOINED = re.compile(r"\b[a-zA-Z](?:[.\-_][a-zA-Z]){2,}\b")
 _SPACED = re.compile(r"(?<!\w)(?:[a-zA-Z] ){2,}[a-zA-Z](?!\w)")
-SPELT = r"[a-zA-Z][.\-_][a-zA-Z][.\-_][a-zA-Z]|[a-zA-Z] [a-zA-Z] [a-zA-Z]"
+_OUTSIDE = r"[^\p{L}\p{N}_]"
+SPELT = rf"(?:^|{_OUTSIDE})(?:[a-zA-Z](?:[.\-_][a-zA-Z]){{2,}}|(?:[a-zA-Z] ){{2,}}[a-zA-Z])(?:$|{_OUTSIDE})"
 
 
 def join_letters(text: str | None) -> str | None:
@@ -121,7 +142,7 @@ def _where_needed(text: Column, hint: str, change) -> Column:
 
 def decoded(text: Column) -> Column:
     """decode_layers as a column."""
-    return _where_needed(text, DECODABLE, decode_layers)
+    return _where_needed(text, decodable(), decode_layers)
 
 
 def joined(text: Column) -> Column:

@@ -8,10 +8,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType
 
+from ..sources.files_by_row import write_files
 from .keywords import keyword_hits
 
 ID_SHAPE = r"^[A-Z]{2,}(-[A-Z]+)*-[0-9]+$"
@@ -118,8 +119,14 @@ def exported(cards: DataFrame, before: DataFrame, today: Column) -> DataFrame:
 
 
 def write_export(files: DataFrame, path: str) -> None:
-    """Write exported cards as JSON lines in one folder for each category."""
-    files.select("folder", F.col("body").alias("value")).write.mode("overwrite").partitionBy("folder").text(path)
+    """Write each exported card to its own file, folder/file below ``path``: all of them or, if the job fails, none."""
+    write_files(files.select("folder", "file", "body"), path)
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """(file, date_added) of the cards that lie below ``path``; a file that is no card has no date."""
+    found = spark.read.text(f"{path}/*/*.json", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.get_json_object("value", "$.date_added").alias("date_added"))
+    return found.select(F.url_decode("file").alias("file"), "date_added")
 
 
 def manifest(files: DataFrame) -> DataFrame:

@@ -27,7 +27,6 @@ from collections.abc import Iterable
 from functools import reduce
 from operator import or_
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,28 +188,28 @@ def candidates(folded: Column, pieces: dict[str, list[int]], always: list[int])
     return F.pandas_udf(search, ArrayType(IntegerType()))(folded)
 
 
-def keyword_places(normal: Column, owners: dict[str, list[int]]) -> Column:
-    """Array of (p, match, at): for each pattern its first keyword in ``normal``, quoted with what stands around it.
+def keyword_finds(text: str, owners: dict[str, list[int]]) -> list[dict]:
+    """(p, match, at): for each pattern its first keyword in a normalised text, quoted with what stands around it.
 
     A keyword must not run on into a longer word on its right; quotes stay inside one view.
     """
-    def first(text: str, automaton: ahocorasick.Automaton) -> list[dict]:
-        found: dict[int, dict] = {}
-        for last, word in automaton.iter(text):
-            start, end = last + 1 - len(word), last + 1
-            if word[-1].isalnum() and text[end : end + 1].isalnum():
-                continue
-            left = text[max(0, start - QUOTED_BEFORE) : start].rpartition(VIEW_MARK)[2]
-            right = text[end : end + QUOTED_AFTER].partition(VIEW_MARK)[0]
-            for p in owners[word]:
-                found.setdefault(p, {"p": p, "match": (left + word + right).strip(), "at": start + 1})
-        return list(found.values())
+    found: dict[int, dict] = {}
+    for last, word in automaton_of(tuple(owners)).iter(text):
+        start, end = last + 1 - len(word), last + 1
+        if word[-1].isalnum() and text[end : end + 1].isalnum():
+            continue
+        left = text[max(0, start - QUOTED_BEFORE) : start].rpartition(VIEW_MARK)[2]
+        right = text[end : end + QUOTED_AFTER].partition(VIEW_MARK)[0]
+        for p in owners[word]:
+            found.setdefault(p, {"p": p, "match": (left + word + right).strip(), "at": start + 1})
+    return list(found.values())
 
-    words = tuple(owners)
+
+def keyword_places(normal: Column, owners: dict[str, list[int]]) -> Column:
+    """keyword_finds as a column: an array of (p, match, at)."""
 
     def search(texts: pd.Series) -> pd.Series:
-        automaton = automaton_of(words)
-        return texts.map(lambda t: first(t, automaton))
+        return texts.map(lambda t: keyword_finds(t, owners))
 
     kind = ArrayType(StructType().add("p", IntegerType()).add("match", StringType()).add("at", IntegerType()))
     if not owners:
