@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions import versions
 from .operators import cards, crawlers, engine, keywords, policy, reports, scan, toolcalls
 from .plans import patterns as P
 from .plans import rules as R
-from .sources.files import clean_subtitles, read_table, wanted_file
+from .sources.files import BINARY_KINDS, SKIPPED_FOLDERS, clean_subtitles, read_table, wanted_file
 from .sources.patterns import parse_access_log, search_patterns
 
 #: Tables of texts, which are dealt out to all cores where they are small.
@@ -393,7 +394,7 @@ _RATIO = "round(CASE WHEN {1} > 0 THEN ({0})::DOUBLE / ({1}) ELSE 0.0 END, 4)"
 
 @_register(f"""WITH {_FOUND}, d AS (SELECT doc_id, docs.lang, coalesce(max(rank), -1) >= 2 AS caught FROM docs LEFT JOIN found USING (doc_id) GROUP BY ALL),
 c AS (SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS segment, count(*) FILTER (toxic = 1 AND caught) AS tp, count(*) FILTER (toxic = 1 AND NOT caught) AS fn, count(*) FILTER (toxic = 0 AND caught) AS fp, count(*) FILTER (toxic = 0 AND NOT caught) AS tn FROM d JOIN labels USING (doc_id) GROUP BY ROLLUP (lang))
-SELECT segment, tp, fn, fp, tn, {_RATIO.format('tp', '(tp + fp)')} AS precision, {_RATIO.format('tp', '(tp + fn)')} AS recall, {_RATIO.format('2 * tp', '(2 * tp + fp + fn)')} AS f1, sha256(concat_ws(',', tp, fn, fp, tn)) AS seal FROM c""")
+SELECT segment, tp, fn, fp, tn, {_RATIO.format('tp', '(tp + fp)')} AS precision, {_RATIO.format('tp', '(tp + fn)')} AS recall, {_RATIO.format('2 * tp', '(2 * tp + fp + fn)')} AS f1, sha256(format('{{{{"f1":{{:.4f}},"fn":{{}},"fp":{{}},"precision":{{:.4f}},"recall":{{:.4f}},"tn":{{}},"tp":{{}}}}}}', {_RATIO.format('2 * tp', '(2 * tp + fp + fn)')}, fn, fp, {_RATIO.format('tp', '(tp + fp)')}, {_RATIO.format('tp', '(tp + fn)')}, tn, tp)) AS seal FROM c""")
 def quality_metrics(spark, sf_dir):
     judged = scan.scan(_documents(spark, sf_dir)).select("doc_id", F.col("lang"), F.col("decision").isin("block", "quarantine").alias("caught"))
     truth = _read(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("truth"))
@@ -454,10 +455,11 @@ def keyword_gate(spark, sf_dir):
     return cards.clean_corpus_hits(_read(spark, sf_dir, "documents").join(clean, "doc_id"), "text", _KEYWORDS)
 
 
-@_register(f"WITH {_CARDS}, named AS (SELECT item_id, lower(array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ')) AS name FROM benchmark) SELECT 'TG-' || item_id AS id FROM named JOIN cards ON cards.id = 'TG-' || item_id WHERE severity = 'high' AND (contains(name, 'th') OR contains(category, 'th') OR len(list_filter(keywords, lambda k: contains(lower(k), 'th'))) > 0) UNION ALL SELECT id FROM cards WHERE starts_with(id, 'bad') AND severity = 'high'")
+@_register("""SELECT CASE WHEN item_id % 9 = 0 THEN 'bad ' || item_id ELSE 'TG-' || item_id END AS id FROM (SELECT item_id, string_split(text, ' ') AS w, text FROM benchmark WHERE item_id % 5 = 1)
+WHERE contains(lower(array_to_string(list_slice(w, 1, 4), ' ')), 'er') OR contains('length-' || (length(text) // 100), 'er') OR len(list_filter(list_slice(w, 1, 3), lambda k: contains(lower(k), 'er'))) > 0""")
 def pattern_search(spark, sf_dir):
-    """Cards of high severity that hold 'th' somewhere: all do, as their categories begin with 'length'."""
-    return search_patterns(_cards(spark, sf_dir).withColumn("description", F.lit(None).cast("string")), "TH", severity="high").select("id")
+    """Cards of high severity with 'er' in their name, category or a keyword: some of them."""
+    return search_patterns(_cards(spark, sf_dir).withColumn("description", F.lit(None).cast("string")), "ER", severity="high").select("id")
 
 
 @_register(f"WITH {_CARDS} SELECT DISTINCT id, lower(k) AS keyword FROM (SELECT id, unnest(keywords) AS k FROM cards) WHERE lower(k) NOT IN ('', 'that', 'with')")
@@ -660,12 +662,42 @@ def subtitle_text(spark, sf_dir):
     return _read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(clean_subtitles(made), 256).alias("sha"))
 
 
-@_register("SELECT page_id FROM pages WHERE page_id % 5 IN (0, 3) AND page_id % 3 <> 1")
+#: Folders and endings of made-up paths: passed over, or only like those that are.
+_TREE_FOLDERS = ["src", "lib/node_modules/x", "a.egg-info", "docs/.github", ".git", "gitlab.git", "my_dist/dist2", "build/x", "src/Vendor", "egg-info/x"]
+_TREE_KINDS = [".py", ".PNG", ".md", "", ".tar.gz", ".gz.txt", ".ds_store", ".", ".so.1"]
+_TREE_PATH = f"'/repo/' || {_TREE_FOLDERS}[page_id % {len(_TREE_FOLDERS)} + 1] || regexp_extract(url, '{_PATH}', 1) || {_TREE_KINDS}[page_id % {len(_TREE_KINDS)} + 1]"
+
+
+@_register(f"""WITH t AS (SELECT page_id, string_split({_TREE_PATH}, '/') AS parts FROM pages), n AS (SELECT page_id, list_slice(parts, 1, len(parts) - 1) AS folders, parts[len(parts)] AS file FROM t)
+SELECT page_id FROM n WHERE len(list_filter(folders, lambda f: f IN ({', '.join(map(_q, SKIPPED_FOLDERS))}) OR ends_with(f, '.egg-info'))) = 0
+AND NOT (contains(file, '.') AND lower(list_last(string_split(file, '.'))) IN ({', '.join(_q(k.lower()) for k in BINARY_KINDS)}))""")
 def tree_files(spark, sf_dir):
-    """Files of a source tree that a walk reads: not below passed-over folders, nor of binary kinds."""
-    folder = F.element_at(F.array(*map(F.lit, ["src", "lib/node_modules/x", "a.egg-info", "docs/.github", ".git"])), (F.col("page_id") % 5 + 1).cast("int"))
-    kind = F.element_at(F.array(*map(F.lit, ["py", "PNG", "md"])), (F.col("page_id") % 3 + 1).cast("int"))
-    return _read(spark, sf_dir, "pages").where(wanted_file(F.concat(F.lit("/repo/"), folder, F.lit("/f"), "page_id", F.lit("."), kind))).select("page_id")
+    """Files of a source tree that a walk reads: not below passed-over folders, nor of binary kinds. Paths are those of the pages below some folders."""
+    one = lambda of: F.element_at(F.array(*map(F.lit, of)), (F.col("page_id") % len(of) + 1).cast("int"))
+    path = F.concat(F.lit("/repo/"), one(_TREE_FOLDERS), F.regexp_extract("url", _PATH, 1), one(_TREE_KINDS))
+    return _read(spark, sf_dir, "pages").where(wanted_file(path)).select("page_id")
+
+
+@_register(f"WITH {_FOUND} SELECT DISTINCT id, doc_id FROM found ORDER BY id, doc_id LIMIT 20")
+def top_findings(spark, sf_dir):
+    """The first 20 pairs of a rule and a document."""
+    return reports.top_pairs(_findings(_documents(spark, sf_dir)), ["id", "doc_id"])
+
+
+_VERSION = "CASE p_partkey % 6 WHEN 0 THEN 'v' || (p_partkey % 13) || '.' || p_size || '.' || (p_partkey % 7) WHEN 1 THEN p_size || '.' || (p_partkey % 11) WHEN 2 THEN '1.x.' || p_size WHEN 3 THEN ' ' || p_size || '.0' || (p_partkey % 10) || '.3 ' WHEN 4 THEN '2.' || p_size || '.9.post1' ELSE p_size || '.1.0rc1' END"
+_RELEASED = "CASE p_partkey % 5 WHEN 0 THEN '2024-01-' || lpad((p_size % 28 + 1)::VARCHAR, 2, '0') WHEN 1 THEN '2024-02-03T' || lpad((p_size % 24)::VARCHAR, 2, '0') || ':30:00Z' WHEN 2 THEN '2024-02-03T' || lpad((p_size % 24)::VARCHAR, 2, '0') || ':30:00+05:30' WHEN 3 THEN '2024-02-30' ELSE p_name END"
+
+
+@_register(f"""WITH v AS (SELECT p_partkey, string_split(regexp_replace(trim({_VERSION}), '^v+', ''), '.') AS w, {_RELEASED} AS released, p_partkey % 5 AS kind, p_size FROM part),
+k AS (SELECT *, CASE WHEN regexp_full_match(trim(w[1]), '[0-9]+') AND regexp_full_match(trim(w[2]), '[0-9]+') AND regexp_full_match(trim(w[3]), '[0-9]+') THEN [trim(w[1])::BIGINT, trim(w[2])::BIGINT, trim(w[3])::BIGINT] ELSE [0, 0, 0]::BIGINT[] END AS key,
+  CASE kind WHEN 0 THEN TIMESTAMP '2024-01-01' + to_days((p_size % 28)::INT) WHEN 1 THEN TIMESTAMP '2024-02-03 00:30:00' + to_hours((p_size % 24)::INT) WHEN 2 THEN TIMESTAMP '2024-02-02 19:00:00' + to_hours((p_size % 24)::INT) END AS moment FROM v)
+SELECT p_partkey, key[1] AS major, key[2] AS minor, key[3] AS patch, key > [7, 5, 0]::BIGINT[] AS newer, coalesce(floor((epoch_us(TIMESTAMP '2024-02-03 12:00:00') - epoch_us(moment)) / 86400000000.0), -9999)::BIGINT AS days FROM k""")
+def version_order(spark, sf_dir):
+    """Versions of parts, some unreadable, against a local one, and days since releases with and without a zone (-9999 where there is none)."""
+    version = F.expr(_VERSION.replace("p_size ||", "cast(p_size AS string) ||"))
+    released = F.expr(_RELEASED.replace("::VARCHAR", "::STRING"))
+    key, now = versions.version_key(version), F.lit("2024-02-03T12:00:00Z").cast("timestamp")
+    return _read(spark, sf_dir, "part").select("p_partkey", key["major"].alias("major"), key["minor"].alias("minor"), key["patch"].alias("patch"), versions.newer(version, F.lit("v7.5.0")).alias("newer"), F.coalesce(versions.days_since(released, now), F.lit(-9999)).cast("long").alias("days"))
 
 
 def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:

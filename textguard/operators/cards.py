@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType
 
 from ..sources.files_by_row import write_files
-from .keywords import keyword_hits
+from .keywords import keyword_hits, usable_keywords
 
 ID_SHAPE = r"^[A-Z]{2,}(-[A-Z]+)*-[0-9]+$"
 SEVERITIES = ["critical", "high", "medium", "low"]
 #: Characters that make a short keyword specific.
 PATH_SIGNS = r"[/.\\*~_-]"
+#: Words too common for a keyword, and the least number of examples that a card of the third form brings of each kind.
+COMMON_WORDS = [
+    "the", "and", "for", "with", "init", "docs", "doc", "code", "data", "file", "files", "agent", "agents", "note", "notes", "group", "path",
+    "env", "key", "name", "type", "user", "tool", "tools", "api", "run", "get", "set", "add", "use", "ai",
+]
+LEAST_EXAMPLES = 8
 
 
 def _compiles(pattern: str) -> bool:
@@ -42,8 +48,14 @@ def _blank(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))) == ""
 
 
-def lint(cards: DataFrame, denied: list[str] = ()) -> DataFrame:
-    """``cards`` with violations: the names of all faults, in a fixed order."""
+def lint(cards: DataFrame, denied: list[str] = (), categories: list[str] | None = None, clean: DataFrame | None = None) -> DataFrame:
+    """``cards`` with violations: the names of all faults, in a fixed order.
+
+    A column ``description`` is looked at where it exists, ``fixture_positive``, ``fixture_negative`` and ``validation_summary`` where the first does. With
+    ``categories`` there is a column ``warnings`` besides, for categories outside them. ``clean`` (keyword, n_docs) are the keywords that clean texts hold, see
+    clean_corpus_hits: those of four characters or more are faults.
+    """
+    has = set(cards.columns)
     bad_keyword = lambda test: F.exists(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: F.coalesce(test(F.trim(k)), F.lit(True)))
     empty = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
     rules = {
@@ -60,7 +72,22 @@ def lint(cards: DataFrame, denied: list[str] = ()) -> DataFrame:
         "keyword_short": bad_keyword(lambda k: (F.char_length(k) < 4) & ~F.rlike(k, F.lit(PATH_SIGNS))),
         "keyword_denied": bad_keyword(lambda k: F.lower(k).isin([d.lower() for d in denied])) if denied else F.lit(False),
     }
-    return cards.withColumn("violations", F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()])))
+    if "description" in has:
+        rules["keyword_common"] = bad_keyword(lambda k: F.lower(k).isin(COMMON_WORDS))
+        rules["description_empty"] = _blank(F.col("description"))
+    if "fixture_positive" in has:
+        few = lambda c: F.coalesce(F.size(c), F.lit(0)) < LEAST_EXAMPLES
+        rules |= {"examples_positive": few("fixture_positive"), "examples_negative": few("fixture_negative"), "summary_missing": _blank(F.col("validation_summary").cast("string"))}
+    found = cards.withColumn("violations", F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()])))
+    if categories is not None:
+        found = found.withColumn("warnings", F.array_compact(F.array(F.when(~_blank(F.col("category")) & ~F.col("category").isin(categories), F.lit("category_unknown")))))
+    if clean is None:
+        return found
+    held = clean.where(F.char_length(F.trim("keyword")) >= 4).select(F.lower(F.trim("keyword")).alias("keyword")).distinct()
+    bad = usable_keywords(cards).select("id", F.trim("keyword").alias("keyword")).join(held, "keyword", "left_semi").select("id").distinct().withColumn("_held", F.lit(True))
+    joined = found.join(bad, "id", "left")
+    marked = F.when(F.col("_held"), F.concat("violations", F.array(F.lit("keyword_in_clean_texts")))).otherwise(F.col("violations"))
+    return joined.select(*[marked.alias(c) if c == "violations" else F.col(f"`{c}`") for c in found.columns])
 
 
 def clean_corpus_hits(clean: DataFrame, text: str, keywords: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from functools import reduce
 from operator import or_
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +113,38 @@ def parse_policy(text: str | None) -> dict[str, list[str]]:
     return lists
 
 
+#: Paths that a starter policy blocks. Private keys stand one by one, so that public keys beside them stay usable.
+STARTER_PATHS = [
+    "~/.ssh/id_rsa", "~/.ssh/id_ed25519", "~/.ssh/id_ecdsa", "~/.ssh/id_dsa", "~/.aws", "~/.config/gcloud",
+    "~/.kube/config", "~/.docker/config.json", "~/.netrc", "~/.npmrc", "~/.pypirc",
+]
+
+
+def starter_policy(enabled: bool = True) -> str:
+    """Text of a policy for a start, as parse_policy reads it: the starter paths blocked or, unless ``enabled``, as comments that block nothing."""
+    rules = ["blocked_paths:", *(f"  - {path}" for path in STARTER_PATHS)]
+    return "\n".join([
+        "# Calls that touch one of the blocked paths are denied; a path covers what lies below it, not names that only begin like it.",
+        *([] if enabled else ["# Nothing is blocked yet: take the signs away from the lines below."]), *(r if enabled else f"# {r}" for r in rules), "",
+        "# With a list of allowed hosts, calls to all others are denied.", "# allowed_hosts:", "#   - pypi.org", "",
+    ])
+
+
+def write_starter_policy(path: str, enabled: bool = True) -> bool:
+    """Write the starter policy to a file (a local path or one that Arrow reaches) unless a user's policy is there; whether it was written.
+
+    The one file that is replaced is an untouched starter that blocks nothing.
+    """
+    system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    if system.get_file_info(place).type != fs.FileType.NotFound:
+        with system.open_input_stream(place) as old:
+            if not enabled or old.read().decode("utf-8", "replace") != starter_policy(False):
+                return False
+    with system.open_output_stream(place) as out:
+        out.write(starter_policy(enabled).encode())
+    return True
+
+
 def default_policy() -> dict[str, list[str]]:
     """The lists of a policy, all empty: nothing is blocked until a user writes it."""
     return {key: [] for key in POLICY_KEYS}

@@ -216,18 +216,24 @@ def summary_line(scanned: DataFrame, key: str) -> DataFrame:
 def quality_metrics(judged: DataFrame, segment: str) -> DataFrame:
     """Confusion counts, precision, recall and F1 by segment and over all (segment 'all'), from booleans truth and caught.
 
-    A ratio without a base is 0. ``seal`` is a digest of the counts, equal for equal results.
+    A ratio without a base is 0. ``seal`` is the digest of the metrics as canonical JSON (sorted keys, no blanks, ratios with four places), equal for equal results.
     """
     count = lambda c: F.count_if(c)
     truth, caught = F.col("truth"), F.col("caught")
     counts = judged.rollup(segment).agg(count(truth & caught).alias("tp"), count(truth & ~caught).alias("fn"), count(~truth & caught).alias("fp"), count(~truth & ~caught).alias("tn"), F.grouping(segment).alias("g"))
     ratio = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 4)
     tp, fn, fp = F.col("tp"), F.col("fn"), F.col("fp")
-    return counts.select(
+    rated = counts.select(
         F.when(F.col("g") == 1, "all").otherwise(F.col(segment)).alias("segment"), "tp", "fn", "fp", "tn",
         ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
-        F.sha2(F.concat_ws(",", "tp", "fn", "fp", "tn"), 256).alias("seal"),
     )
+    members = [F.concat(F.lit(f'"{c}":'), F.format_string("%.4f", c) if c in ("f1", "precision", "recall") else F.col(c).cast("string")) for c in ("f1", "fn", "fp", "precision", "recall", "tn", "tp")]
+    return rated.withColumn("seal", F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")), 256))
+
+
+def top_pairs(found: DataFrame, columns: list[str], most: int = 20) -> DataFrame:
+    """The first ``most`` distinct combinations of ``columns`` of findings, in their order."""
+    return found.select(*columns).distinct().orderBy(*columns).limit(most)
 
 
 def html_report(days: DataFrame, most: int = 366) -> str:

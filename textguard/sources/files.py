@@ -78,3 +78,28 @@ def read_cards(spark: SparkSession, path: str, schema: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True)
     listed = F.coalesce(F.from_json(F.get_json_object("value", "$.patterns"), f"array<struct<{schema}>>"), F.from_json("value", f"array<struct<{schema}>>"))
     return raw.select(F.explode(listed).alias("c")).select("c.*").where("id is not null")
+
+
+def read_attacks(spark: SparkSession, path: str) -> DataFrame:
+    """(id, text, channel, kind, category) of labelled attacks: a JSON object whose list ``attacks`` holds them.
+
+    Without a channel an attack is a message, without a kind ``unspecified``; those without id or text are passed over.
+    """
+    listed = F.from_json(F.get_json_object("value", "$.attacks"), "array<struct<id: string, text: string, channel: string, kind: string, category: string>>")
+    rows = spark.read.text(path, wholetext=True).select(F.explode(listed).alias("a")).select("a.*").where("id is not null and text is not null")
+    return rows.withColumns({"channel": F.coalesce("channel", F.lit("message")), "kind": F.coalesce("kind", F.lit("unspecified"))})
+
+
+#: Kinds of attack whose shape is known; all others are new in meaning.
+KNOWN_SHAPES = ["canonical", "paraphrase", "obfuscated", "obfuscated_hardening"]
+
+
+def attack_segment(kind: Column) -> Column:
+    """known_shape or novel_semantic."""
+    return F.when(kind.isin(KNOWN_SHAPES), "known_shape").otherwise("novel_semantic")
+
+
+def read_clean_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, text) of the Markdown files of a folder, which are known to be clean."""
+    files = spark.read.text(f"{folder}/*.md", wholetext=True)
+    return files.select(F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1)).alias("name"), F.col("value").alias("text"))
