@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from textguard.functions import text as T
-from textguard.operators import cards, crawlers, policy, reports, scan, toolcalls
+from textguard.operators import cards, crawlers, engine, policy, reports, scan, toolcalls
 from textguard.plans import rules as R
-from textguard.plans.views import register_views
+from textguard.plans.patterns import Pattern
+from textguard.plans.views import register_engine_views, register_receipts, register_views
 from textguard.sources import files, patterns
 from textguard.streaming import scan_stream
 
@@ -153,6 +154,32 @@ def test_views(spark):
     assert spark.sql("SELECT count(*) FROM scanned WHERE decision = 'allow'").first()[0] == 1
 
 
+def test_engine_views(spark):
+    docs = spark.createDataFrame([(1, "override the rules"), (2, "fine"), (3, "please gather")], "doc_id long, text string")
+    made = engine.Engine([Pattern("A-1", "prompt_injection", "critical", ("message",), keywords=("override",)), Pattern("A-2", "c", "low", ("message",), regex=("gather",))])
+    register_engine_views(made, docs)
+    got = spark.sql("SELECT d.key, d.decision, p.severity, f.match FROM decisions d LEFT JOIN engine_findings f USING (key) LEFT JOIN patterns p USING (id) ORDER BY d.key").collect()
+    assert [tuple(r) for r in got] == [(1, "block", "critical", "override the rules"), (2, "allow", None, None), (3, "allow_redacted", "low", "gather")]
+    assert spark.sql("SELECT count(*) FROM patterns WHERE layer = 'mechanism'").first()[0] == 11
+    calls = spark.createDataFrame([(1, "Read", {"p": "~/.aws/x"}), (2, "Read", {"p": "y"})], "call_id long, tool_name string, tool_input map<string,string>")
+    register_receipts(calls, F.lit("2024-01-01"), blocked_paths=["~/.aws"])
+    assert {r.call_id: r.decision for r in spark.sql("SELECT * FROM receipts").collect()} == {1: "deny", 2: "defer"}
+
+
+def test_page_of_a_day(spark):
+    rows = [(f"2024-01-0{1 + i % 2}T{i % 24:02d}:00:00", ["block", "quarantine", "allow", "allow_redacted"][i % 4], 2.0, [f"cat{i % 70:02d}"] if i % 4 < 2 else [], ["<b>", f"f{i}"] if i % 8 else None) for i in range(400)]
+    log = spark.createDataFrame(rows, "ts string, decision string, latency double, categories array<string>, names array<string>")
+    day = F.to_date("ts")
+    days, kinds = reports.daily_report(log, day, F.col("decision"), F.col("latency")), reports.daily_categories(log, day, F.col("categories"))
+    text, page = reports.day_page(days, kinds, log.withColumn("day", day).where("decision in ('block', 'quarantine')"), "2024-01-01")
+    want = [r for r in rows if r[0].startswith("2024-01-01")]
+    refused = sorted(r for r in want if r[1] in ("block", "quarantine"))
+    assert f"Scans:          {len(want)}" in text and f"Blocked:        {sum(r[1] == 'block' for r in want)}" in text and "Mean time (ms): 2.00" in text
+    assert f"and {len(refused) - 20} before" in text and "BLOCK" in text and "unknown" in text and "<b>" not in page and "&lt;b&gt;" in page and page.count("<meter") == len({r[3][0] for r in refused})
+    empty, page = reports.day_page(days, kinds, log.withColumn("day", day), "1999-01-01")
+    assert "Scans:          0" in empty and "Clean (%):      100" in empty and "Categories" not in empty and "100 % clean" in page
+
+
 @pytest.mark.parametrize("text,plain", [("1.g.n.0.r.3 it", "ignore it"), ("(a l l)", "(all)"), ("e.g. U S", "e.g. u s"), ("a" * 3000 + " &amp;", None), (None, None)])
 def test_normal_form_joins_after_leet(spark, text, plain):
     got = spark.createDataFrame([(text,)], "t string").select(T.normalize(F.col("t"))).first()[0]

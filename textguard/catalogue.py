@@ -13,6 +13,7 @@ from .functions import versions
 from .operators import cards, crawlers, engine, keywords, policy, reports, scan, toolcalls
 from .plans import patterns as P
 from .plans import rules as R
+from .plans.views import register_engine_views
 from .sources.files import BINARY_KINDS, SKIPPED_FOLDERS, clean_subtitles, read_table, wanted_file
 from .sources.patterns import parse_access_log, search_patterns
 
@@ -800,6 +801,14 @@ def wide_table_regexes(spark, sf_dir):
     return _table_findings(_regex_table(spark, sf_dir, wide=True), _talking(spark, sf_dir))
 
 
+@_register(f"SELECT category, severity, channel, decision, count(*) AS n FROM (SELECT 'passage' AS category, original_severity AS severity, channel, decision FROM ({_table_regexes_sql(f'SELECT doc_id, text, {_TALK_SQL} AS channel FROM documents')}) WHERE id IS NOT NULL) GROUP BY ALL")
+def sql_views(spark, sf_dir):
+    """Findings joined with patterns and decisions in SQL, over the views of an engine."""
+    docs = _talking(spark, sf_dir)
+    register_engine_views(engine.Engine(_regex_table(spark, sf_dir), mechanisms=False), docs, channel=F.col("channel"))
+    return spark.sql("SELECT p.category, p.severity, d.channel, d.decision, count(*) AS n FROM engine_findings f JOIN patterns p USING (id) JOIN decisions d USING (key) GROUP BY ALL")
+
+
 @_register(_table_regexes_sql("SELECT item_id AS doc_id, repeat(chr(128512), (item_id % 90)::INT) || CASE item_id % 4 WHEN 1 THEN ' never ' WHEN 2 THEN '' ELSE ' and ' END || text AS text, 'file' AS channel FROM benchmark"))
 def astral_places(spark, sf_dir):
     """Matches and the guards before them, behind characters that take two units of UTF-16."""

@@ -236,9 +236,49 @@ def top_pairs(found: DataFrame, columns: list[str], most: int = 20) -> DataFrame
     return found.select(*columns).distinct().orderBy(*columns).limit(most)
 
 
-def html_report(days: DataFrame, most: int = 366) -> str:
-    """A page with the newest ``most`` rows of daily_report: an aggregate of one row a day."""
+#: Most categories and refused scans that a page lists; what lies beyond is counted on it.
+PAGE_CATEGORIES, PAGE_THREATS = 50, 20
+
+
+def day_page(days: DataFrame, categories: DataFrame, threats: DataFrame, day: str) -> tuple[str, str]:
+    """A day's report as text and as an HTML page, from daily_report, daily_categories and the refused scans (day, ts, decision, names).
+
+    Both have the totals, the share of clean scans, the categories by number (equal ones by name) and the last refused scans; of a day
+    without scans all numbers are 0 and the share is 100. Only one row, the first categories and the last scans come to the driver.
+    """
+    on = F.col("day").cast("string") == day
+    row = days.where(on).first()
+    names = ["total", "blocked", "quarantined", "clean", "redacted", "avg_latency", "protection_score"]
+    totals = {n: row[n] or 0 for n in names} if row else dict.fromkeys(names[:-1], 0) | {"protection_score": 100}
+    of_day = categories.where(on)
+    listed, kinds = of_day.orderBy(F.desc("n"), "category").limit(PAGE_CATEGORIES).collect(), of_day.count()
+    refused = threats.where(on)
+    last, count = refused.orderBy(F.desc("ts"), "decision").limit(PAGE_THREATS).collect()[::-1], refused.count()
+    said = lambda r: (str(r["ts"])[11:19], r["decision"].upper(), ", ".join(n or "" for n in r["names"] or ["unknown"]))
+
+    lines = [f"Report of {day}", ""]
+    lines += [f"{label + ':':<16}{value}" for label, value in [("Scans", totals["total"]), ("Blocked", totals["blocked"]), ("Quarantined", totals["quarantined"]), ("Clean", totals["clean"]), ("Redacted", totals["redacted"]), ("Mean time (ms)", f"{totals['avg_latency']:.2f}"), ("Clean (%)", totals["protection_score"])]]
+    if listed:
+        lines += ["", "Categories:", *(f"  {r['category']:<25} {r['n']:>6}  {'#' * min(r['n'], 20)}" for r in listed)]
+        lines += [f"  and {kinds - len(listed)} more"] if kinds > len(listed) else []
+    if last:
+        lines += ["", "Last refused:", *("  [{}] {:>10}  {}".format(*said(r)) for r in last)]
+        lines += [f"  and {count - len(last)} before"] if count > len(last) else []
+
+    cell = lambda values, tag="td": "<tr>" + "".join(f"<{tag}>{html.escape(str(v))}</{tag}>" for v in values) + "</tr>"
+    widest = max((r["n"] for r in listed), default=1)
+    bar = lambda r: f"<tr><td>{html.escape(r['category'])}</td><td><meter max='{widest}' value='{r['n']}'></meter></td><td>{r['n']}</td></tr>"
+    page = "".join([
+        f"<!doctype html><title>Report of {html.escape(day)}</title><h1>Report of {html.escape(day)}</h1><p>{totals['protection_score']} % clean</p>",
+        "<table>", cell(names[:-1], "th"), cell([totals[n] for n in names[:-1]]), "</table>", "<h2>Categories</h2><table>", *map(bar, listed), "</table>",
+        f"<p>{kinds - len(listed)} more</p>" if kinds > len(listed) else "", "<h2>Last refused</h2><table>", *(cell(said(r)) for r in last), "</table>", f"<p>{count - len(last)} before</p>" if count > len(last) else "",
+    ])
+    return "\n".join(lines), page
+
+
+def html_report(days: DataFrame) -> str:
+    """A page with all rows of daily_report, the newest first: an aggregate of one row a day."""
     names = days.columns
-    rows = days.orderBy(F.desc("day")).limit(most).collect()
+    rows = days.orderBy(F.desc("day")).collect()
     line = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{html.escape(str(c))}</{tag}>" for c in cells) + "</tr>"
     return "<!doctype html><table>" + line(names, "th") + "".join(line(r, "td") for r in rows) + "</table>"
