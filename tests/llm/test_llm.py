@@ -82,7 +82,8 @@ def test_substring_against_brute_force(spark):
     cut = {r.doc_id: r.text for r in substring.remove_repeats(frame.withColumn("removed", F.lit(1))).collect()}
     assert {i: hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for i, t in cut.items()} == {i: w[2] for i, w in want.items()}
     assert substring.digest_repeats(substring.find_repeats(frame.limit(0))).count() == 0
-    crowded = substring.digest_repeats(substring.find_repeats(frame, deal_rows=3)).collect()
+    crowded = substring.digest_repeats(substring.find_repeats(frame, deal_rows=3, anchor_rows=3)).collect()
+    assert sorted(substring.digest_repeats(substring.find_repeats(frame, deal_rows=3)).collect()) == sorted(crowded)  # large anchors by themselves
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in crowded} == want
 
 

@@ -134,7 +134,10 @@ class Repeats:
     spans: DataFrame
 
 
-def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 50, gram: int = 16, deal_rows: int = 16_384) -> Repeats:
+def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 50, gram: int = 16, deal_rows: int = 16_384, anchor_rows: int = 65_536) -> Repeats:
+    """The repeats of ``docs``. Contexts are compared in deals of about ``deal_rows``; an anchor with more than a quarter of that is a deal of its
+    own, and one with more than ``anchor_rows`` contexts is worked off passage by passage, whose rows are many but spread.
+    """
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("binary").alias("raw"))
     id_type = keyed.schema["doc_id"].dataType.simpleString()
 
@@ -184,8 +187,8 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     key = ["anchor", "lead", "name"]
     contexts = met.groupBy(*key, "context").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     contexts, contexts_path = store(contexts)
-    # an anchor takes a quarter of a deal at most, so that deals are even
-    crowded = checkpointed(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > deal_rows // 4).select("anchor"))
+    large = checkpointed(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > min(deal_rows // 4, anchor_rows)))
+    crowded = large.where(F.col("n") > anchor_rows).select("anchor")
     found = f"anchor long, lead int, name binary, repeats array<struct<low: {id_type}, begin: int, finish: int>>"
 
     def refine(table: pa.Table) -> pa.Table:
@@ -203,9 +206,12 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.StructArray.from_arrays(parts, names=["low", "begin", "finish"]))
         return pa.table([*(table.column(c).take(pa.array(which)) for c in key), lists], names=[*key, "repeats"])
 
-    plain = contexts.join(F.broadcast(crowded), "anchor", "left_anti") if crowded.count() <= MOST_BROADCAST else contexts.join(crowded, "anchor", "left_anti")
+    sized = contexts.join(F.broadcast(large) if large.count() <= MOST_BROADCAST else large, "anchor", "left")
+    plain = sized.where(F.col("n").isNull() | (F.col("n") <= anchor_rows))
     deals = max(1, -(-contexts.count() // deal_rows))
-    repeats = plain.withColumn("deal", F.pmod(F.xxhash64("anchor"), F.lit(deals))).groupBy("deal").applyInArrow(lambda t: refine(t.drop(["deal"])), found)
+    # a large anchor is a group by itself, so that no group grows by several of them
+    dealt = plain.withColumns({"own": F.when(F.col("n").isNotNull(), F.col("anchor")), "deal": F.when(F.col("n").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(deals)))}).drop("n")
+    repeats = dealt.groupBy("own", "deal").applyInArrow(lambda t: refine(t.drop(["own", "deal"])), found)
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
