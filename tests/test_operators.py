@@ -161,12 +161,12 @@ def test_daily_page(spark):
 
 
 def test_files(spark, tmp_path):
-    for name, body in {"a.py": b"ok \xff", "node_modules/b.py": b"x", "pkg.egg-info/c": b"x", "d.PNG": b"x", "e.txt": b"y" * 1_000_001, "f": b""}.items():
+    for name, body in {"a.py": b"ok \xff \xef\xbf\xbd!", "node_modules/b.py": b"x", "pkg.egg-info/c": b"x", "d.PNG": b"x", "e.txt": b"y" * 1_000_001, "f": b""}.items():
         path = tmp_path / "tree" / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(body)
     got = {r.path.rsplit("/", 1)[1]: r.text for r in files.read_tree(spark, str(tmp_path / "tree")).collect()}
-    assert got == {"a.py": "ok "}
+    assert got == {"a.py": "ok  \ufffd!"}  # the bad byte goes, the replacement character that the file has stays
     srt = spark.createDataFrame([("1\r\n00:01 --> 00:02\r\n<i>Hello</i> there\r\n\r\n2\nyou",), (None,)], t.StructType([t.StructField("s", t.StringType())]))
     assert [r[0] for r in srt.select(files.clean_subtitles(F.col("s"))).collect()] == ["Hello there you", None]
     (tmp_path / "log.csv").write_text(" ClientIP ,UA\n1.2.3.4,bot\n,none\n5.6.7.8,\n")

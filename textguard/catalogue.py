@@ -134,6 +134,17 @@ def corpus_fp_gate(spark, sf_dir):
     return _findings(_documents(spark, sf_dir)).where("rank >= 2").join(clean, "doc_id").groupBy("id").agg(F.count("*").alias("n"))
 
 
+_CANDIDATES = ["TG-003", "TG-005", "TG-006", "TG-M02", "TG-999"]
+
+
+@_register(f"WITH {_FOUND} SELECT DISTINCT id FROM found JOIN labels USING (doc_id) WHERE quality = 1 AND severity IN ('critical', 'high', 'medium') AND id IN ({', '.join(map(_q, _CANDIDATES))})")
+def candidate_offenders(spark, sf_dir):
+    """Candidate rules that would block texts of good quality."""
+    good = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    candidates = spark.createDataFrame([(c,) for c in _CANDIDATES], "id string")
+    return reports.offenders(_findings(_documents(spark, sf_dir)).join(good, "doc_id"), candidates)
+
+
 _LEVEL = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in reports.SARIF_LEVELS.items()) + " ELSE 'warning' END"
 _SCORE = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in reports.SECURITY_SCORES.items()) + " ELSE '5.0' END"
 _HELP = "CASE " + " ".join(f"WHEN category IN ({', '.join(map(_q, cs))}) THEN '{reports.DOCS_URI}/{chapter}'" for chapter, cs in reports.CHAPTERS.items()) + f" ELSE '{reports.DOCS_URI}' END"

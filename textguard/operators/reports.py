@@ -231,6 +231,16 @@ def quality_metrics(judged: DataFrame, segment: str) -> DataFrame:
     return rated.withColumn("seal", F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")), 256))
 
 
+#: Severities that block on clean texts.
+BLOCKING = ["critical", "high", "medium"]
+
+
+def offenders(found: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """Distinct ids of findings (id, severity) of clean texts that would block; with ``candidates`` (id) only those of them."""
+    ids = found.where(F.col("severity").isin(BLOCKING)).select("id").distinct()
+    return ids if candidates is None else ids.join(candidates.select("id").distinct(), "id", "left_semi")
+
+
 def top_pairs(found: DataFrame, columns: list[str], most: int = 20) -> DataFrame:
     """The first ``most`` distinct combinations of ``columns`` of findings, in their order."""
     return found.select(*columns).distinct().orderBy(*columns).limit(most)

@@ -32,7 +32,9 @@ def read_tree(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     small = files.where((F.col("length") <= LARGEST_FILE) & wanted_file(F.col("path")))
     raw = F.col("content").cast("string")
-    readable = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
+    # bad bytes become replacement characters, which go; those that the file has itself stand aside meanwhile
+    bad, aside = F.lit("\ufffd"), F.lit("\uffff\ufffe\uffff")
+    readable = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.replace(F.make_valid_utf8(F.replace(raw, bad, aside)), bad, F.lit("")), aside, bad))
     return small.select("path", readable.alias("text"))
 
 
