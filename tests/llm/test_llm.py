@@ -103,12 +103,25 @@ def test_simhash_pieces_and_components(spark):
 
     for a, b in near:
         parent[max(find(a), find(b))] = min(find(a), find(b))
-    for rows in (4096, 16):
-        found = graph.connected_components(simhash.links(frame, 4, group_rows=rows))
+    for rows, pieces in ((4096, 16), (16, 1000), (16, 2), (40, 1)):
+        found = graph.connected_components(simhash.links(frame, 4, group_rows=rows, most_pieces=pieces))
         got = {r.node: r.component for r in found.collect()}
         assert all(got.get(p, p) == find(p) for p in prints)
 
 
+def test_simhash_inner_blocks():
+    """Close fingerprints that share an outer key share an inner one, and crowded keys cost few rows."""
+    rng = np.random.default_rng(4)
+    for distance in (1, 4):
+        for mask in simhash.block_masks(distance + 3, distance):
+            inner = simhash.inner_masks(mask, distance)
+            free = [i for i in range(64) if not mask >> i & 1]
+            assert len(set(inner)) == len(list(combinations(range(distance + 2), 2))) and all(m & mask == mask for m in inner)
+            for _ in range(20):
+                flipped = sum(1 << int(i) for i in rng.choice(free, min(distance, len(free)), replace=False))
+                assert any(flipped & m == 0 for m in inner)
+
+
 def test_simhash_blank_texts_link(spark):
     docs = spark.createDataFrame([(3, None), (1, ""), (2, " \n"), (9, "a b c d e"), (4, "A B C D E")], DOC)
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {3: 1, 1: 1, 2: 1, 9: 4, 4: 4}

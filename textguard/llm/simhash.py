@@ -7,7 +7,9 @@ of agreeing blocks is a table whose key joins them, and Hamming distance then ve
 
 The number of blocks follows the number of distinct fingerprints, so that the expected chance
 partners of one stay few at any size. Inside a key group only a spanning forest of the verified
-links is written, never all pairs. Groups above ``group_rows`` are cut into pieces that are
+links is written, never all pairs. A key that very many fingerprints share is split by blocks of its
+other bits: close fingerprints agree on two of ``distance`` + 2 such blocks, so each choice of two is a
+key again. Groups that are still above ``group_rows`` are cut into pieces that are
 compared piece against piece, so no task holds an unbounded group.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other;
@@ -33,6 +35,8 @@ from .graph import connected_components
 BITS = 64
 #: Rows of all tables that one Python group compares, about.
 DEAL_ROWS = 150_000
+#: Pieces of a key above which it is split by further blocks: those cost fewer rows than comparing all pairs of pieces.
+MOST_PIECES = 16
 
 
 def fingerprint(raw: bytes | None, shingle: int) -> int:
@@ -76,6 +80,14 @@ def block_masks(blocks: int, distance: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(parts, blocks - distance)]
 
 
+def inner_masks(mask: int, distance: int, agreeing: int = 2) -> list[int]:
+    """``mask`` with each choice of ``agreeing`` of ``distance + agreeing`` blocks of the bits outside it."""
+    free = [1 << i for i in range(BITS) if not mask >> i & 1]
+    cuts = [len(free) * i // (distance + agreeing) for i in range(distance + agreeing + 1)]
+    parts = [sum(free[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return [mask | sum(chosen) for chosen in combinations(parts, agreeing)]
+
+
 def choose_blocks(fingerprints: int, distance: int, partners: float = 8.0) -> int:
     """Fewest blocks for which random fingerprints meet at most ``partners`` others over all tables."""
     for extra in range(1, 8):
@@ -106,23 +118,48 @@ def forest(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return edges
 
 
-def links(prints: DataFrame, distance: int = 4, group_rows: int = 4096, blocks: int | None = None) -> DataFrame:
+def links(prints: DataFrame, distance: int = 4, group_rows: int = 4096, blocks: int | None = None, most_pieces: int = MOST_PIECES) -> DataFrame:
     """(a, b): links between the distinct fingerprints ``fp`` of ``prints`` that connect all that are near.
 
-    Where a key group is larger than ``group_rows`` it is cut into pieces; each pair of pieces is
-    compared in a group of its own.
+    Where a key group is larger than ``group_rows`` it is cut into pieces, and each pair of pieces is
+    compared in a group of its own; with more than ``most_pieces`` pieces it is split by further blocks first.
     """
     n = prints.count()
     masks = block_masks(blocks or choose_blocks(n, distance), distance)
-    keyed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks)])).alias("t")).select("t.table", "t.key", "fp")
-    crowded = checkpointed(keyed.groupBy("table", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > group_rows).select("table", "key", F.ceil(F.col("rows") * 2 / group_rows).cast("int").alias("pieces")))
-    plain = keyed.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    inner = [inner_masks(m, distance) for m in masks]
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
+    by = lambda tables: F.explode(F.array(*[F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(mask).alias("key")) for i, mask in tables])).alias("t")
+    key = ["table", "key"]
+
+    def crowds(keyed: DataFrame) -> DataFrame:
+        counted = keyed.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > group_rows)
+        return checkpointed(counted.withColumn("pieces", F.ceil(F.col("rows") * 2 / group_rows).cast("int")))
+
+    def whole(keyed: DataFrame, crowded: DataFrame) -> DataFrame:
+        return keyed.join(crowded, key, "left_anti").withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+
+    def cut(keyed: DataFrame, crowded: DataFrame) -> DataFrame:
+        pieces = keyed.join(crowded, key).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("pieces"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        return pieces.select(*key, "fp", F.least("p", "q").cast("int").alias("i"), F.greatest("p", "q").cast("int").alias("j"))
+
+    def copies(crowded: DataFrame) -> int:
+        return crowded.agg(F.coalesce(F.sum(F.col("rows") * F.col("pieces")), F.lit(0))).first()[0]
+
+    keyed = prints.select("fp", by((i, signed(m)) for i, m in enumerate(masks))).select("t.table", "t.key", "fp")
+    crowded = crowds(keyed)
+    some, many = crowded.where(F.col("pieces") <= most_pieces), crowded.where(F.col("pieces") > most_pieces)
+    plain, rows = whole(keyed, crowded), n * len(masks)
     if crowded.limit(1).count():
-        plain = plain.join(crowded.select("table", "key"), ["table", "key"], "left_anti")
-        cut = keyed.join(crowded, ["table", "key"]).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("pieces")))
-        other = cut.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        plain = plain.unionByName(other.select("table", "key", "fp", F.least("p", "q").cast("int").alias("i"), F.greatest("p", "q").cast("int").alias("j")))
-    groups = max(1, -(-n * len(masks) // DEAL_ROWS))
+        plain, rows = plain.unionByName(cut(keyed, some)), rows + copies(some)
+    if many.limit(1).count():
+        table = F.array(*[F.array(*map(signed, each)) for each in inner])
+        split = keyed.join(many.select(*key), key).select("table", "fp", F.posexplode(F.element_at(table, F.col("table") + 1)).alias("choice", "mask"))
+        # numbers of inner tables begin behind those of the outer ones
+        split = split.select((F.lit(len(masks)) + F.col("table") * len(inner[0]) + F.col("choice")).alias("table"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        still = crowds(split)
+        plain = plain.unionByName(whole(split, still)).unionByName(cut(split, still))
+        rows += len(inner[0]) * many.agg(F.sum("rows")).first()[0] + copies(still)
+    groups = max(1, -(-rows // DEAL_ROWS))
     dealt = plain.select(F.pmod(F.xxhash64("table", "key", "i", "j"), F.lit(groups)).alias("deal"), F.xxhash64("table", "key", "i", "j").alias("key"), "fp")
 
     def compare(table: pa.Table) -> pa.Table:
