@@ -166,8 +166,7 @@ def brute_runs(words, least, times):
             while j + period < len(words) and words[j] == words[j + period]:
                 j += 1
             size = j + period - i
-            smaller = any(all(words[x] == words[x + p] for x in range(i, i + size - p)) for p in range(1, period))
-            if j > i and size >= max(least, times * period) and not smaller:
+            if j > i and size >= max(least, times * period) and not any(all(words[x] == words[x + p] for x in range(i, i + size - p)) for p in range(1, period)):
                 out.append((i, size, period))
             i = max(j, i + 1)
     return sorted(out, key=lambda r: (r[0], r[2]))
