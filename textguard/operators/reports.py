@@ -241,9 +241,10 @@ def offenders(found: DataFrame, candidates: DataFrame | None = None) -> DataFram
     return ids if candidates is None else ids.join(candidates.select("id").distinct(), "id", "left_semi")
 
 
-def top_pairs(found: DataFrame, columns: list[str], most: int = 20) -> DataFrame:
-    """The first ``most`` distinct combinations of ``columns`` of findings, in their order."""
-    return found.select(*columns).distinct().orderBy(*columns).limit(most)
+def top_pairs(found: DataFrame, columns: list[str], most: int | None = 20) -> DataFrame:
+    """The first ``most`` distinct combinations of ``columns`` of findings (None: all), in their order."""
+    pairs = found.select(*columns).distinct().orderBy(*columns)
+    return pairs if most is None else pairs.limit(most)
 
 
 #: Most categories and refused scans that a page lists; what lies beyond is counted on it.
