@@ -6,7 +6,8 @@ are sought in the text itself. Candidates that the text itself does not confirm
 normalised text if the text is short. Guards, suppression of mechanisms and decisions are those of ``scan``.
 
 Regexes meet texts as pairs: each regex is known by pieces of text of which its matches hold one; an automaton of all
-pieces passes once over a text and gives the numbers of the regexes that it may match, and only those are evaluated.
+pieces passes once over a text and gives the numbers of the regexes that it may match. Of those, only regexes whose
+other necessary pieces the text holds too are evaluated.
 The pairs stay an array in the text's row, so that no text is shuffled or copied, and their
 regexes are looked up in a table inside the plan: the plan is the same for ten patterns and for thousands.
 
@@ -43,8 +44,8 @@ MOST_PATTERNS = 5_000
 #: Characters of normalised text that a keyword finding quotes before and after the keyword.
 QUOTED_BEFORE, QUOTED_AFTER = 10, 20
 
-#: Letters that count as another where case is ignored, although lower-casing keeps them.
-SAME_LETTERS = ("ſı", "si")
+#: Letters that count as another where case is ignored, although lower-casing keeps them or makes two of them.
+SAME_LETTERS = ("ſıİ", "sii")
 
 _FLAGS = re.compile(r"\(\?([aiLmsux]+)\)")
 #: Escapes, whole character classes, Python's named groups, and repetitions, with and without a lower bound.
@@ -99,17 +100,17 @@ def evaluation(pattern: str) -> tuple[str, list[str], str]:
     return "guarded", [head + g[3:-1] for g in groups[:n_guards]], head + "".join(groups[n_guards:]) + rest
 
 
-def required_pieces(regex: str) -> tuple[str, ...]:
-    """Lower-case pieces of text of which every match of a regex holds at least one; none where that cannot be told.
+def _best(choices: list[tuple[str, ...]]) -> tuple[str, ...]:
+    return max(choices, key=lambda c: min(map(len, c)), default=())
 
-    Only runs of three ASCII characters or more count; of several choices the one with the longest
-    shortest piece is taken.
-    """
 
-    def best(choices: list[tuple[str, ...]]) -> tuple[str, ...]:
-        return max((c for c in choices if c and min(map(len, c)) >= 3), key=lambda c: min(map(len, c)), default=())
+def required_groups(regex: str) -> list[tuple[str, ...]]:
+    """Groups of lower-case pieces of text: every match of a regex holds at least one piece of each group.
+
+    Only runs of three ASCII characters or more count.
+    """
 
-    def needed(items) -> tuple[str, ...]:
+    def needed(items) -> list[tuple[str, ...]]:
         choices, run = [], ""
         for op, value in [*items, (None, None)]:
             if op is regex_parser.LITERAL and value < 128:
@@ -117,21 +118,29 @@ def required_pieces(regex: str) -> tuple[str, ...]:
                 continue
             choices, run = [*choices, (run,)], ""
             if op is regex_parser.SUBPATTERN:
-                choices.append(needed(value[3]))
+                choices += needed(value[3])
             elif op is regex_parser.ATOMIC_GROUP:
-                choices.append(needed(value))
+                choices += needed(value)
             elif op in (regex_parser.MAX_REPEAT, regex_parser.MIN_REPEAT, regex_parser.POSSESSIVE_REPEAT) and value[0] > 0:
-                choices.append(needed(value[2]))
+                choices += needed(value[2])
             elif op is regex_parser.ASSERT and value[0] > 0:
-                choices.append(needed(value[1]))
+                choices += needed(value[1])
             elif op is regex_parser.BRANCH:
-                options = [needed(branch) for branch in value[1]]
+                options = [_best(needed(branch)) for branch in value[1]]
                 choices.append(tuple(dict.fromkeys(x for o in options for x in o)) if all(options) else ())
-        return best(choices)
+        return [c for c in choices if c and min(map(len, c)) >= 3]
 
     return needed(regex_parser.parse(regex, re.I))
 
 
+def required_pieces(regex: str) -> tuple[str, ...]:
+    """Lower-case pieces of text of which every match of a regex holds at least one; none where that cannot be told.
+
+    Of several groups of pieces the one with the longest shortest piece is taken.
+    """
+    return _best(required_groups(regex))
+
+
 def usable_regexes(pattern: Pattern) -> list[str]:
     """The regexes of a pattern that compile."""
     def compiles(rx: str) -> bool:
@@ -175,13 +184,19 @@ def first_match(text: Column, pieces: Column, regex: Column) -> Column:
     return F.when(~regex["windowed"], plain).when(~F.exists(regex["guards"], lambda g: matches(text, g)), hit)
 
 
-def candidates(folded: Column, pieces: dict[str, list[int]], always: list[int]) -> Column:
-    """Sorted numbers of the regexes that a text may match: those of the pieces it holds, and those that need none."""
+def candidates(folded: Column, pieces: dict[str, list[int]], always: list[int], groups: list[list[tuple[str, ...]]] = ()) -> Column:
+    """Sorted numbers of the regexes that a text may match: those of the pieces it holds, and those that need none.
+
+    ``groups`` has for each number further groups of pieces (see required_groups); a regex of whose groups a text lacks one is left out.
+    """
     words = tuple(pieces)
 
+    def may_match(text: str, number: int) -> bool:
+        return not groups or all(any(piece in text for piece in group) for group in groups[number])
+
     def search(texts: pd.Series) -> pd.Series:
         automaton = automaton_of(words)
-        return texts.map(lambda t: [] if t is None else sorted({r for w in {w for _, w in automaton.iter(t)} for r in pieces[w]}.union(always)))
+        return texts.map(lambda t: [] if t is None else sorted(r for r in {r for w in {w for _, w in automaton.iter(t)} for r in pieces[w]}.union(always) if may_match(t, r)))
 
     if not words:
         return F.when(folded.isNotNull(), F.array(*map(F.lit, always)).cast("array<int>")).otherwise(F.array().cast("array<int>"))
@@ -252,6 +267,15 @@ class Engine:
                 always.append(number)
         return pieces, always
 
+    def groups(self) -> list[list[tuple[str, ...]]]:
+        """For each regex its groups of pieces but the one that ``index`` goes by, those with the longest pieces first."""
+        found = []
+        for p, rx in self.table:
+            every = required_groups(rx)
+            used = () if self.patterns[p].needs else _best(every)
+            found.append(sorted((g for g in dict.fromkeys(every) if g != used), key=lambda g: -min(map(len, g))))
+        return found
+
     @staticmethod
     def _listed(patterns: Iterable[Pattern] | DataFrame) -> list[Pattern]:
         if not isinstance(patterns, DataFrame):
@@ -331,7 +355,7 @@ class Engine:
         out = docs.withColumn(normal, normalize(raw) if owners else F.lit(None).cast("string"))
         out = out.withColumn(keyworded, keyword_places(F.col(normal), owners))
         known = F.filter(keyworded, lambda h: allowed(of(h)["channel"]))
-        out = out.withColumn(pairs, candidates(F.translate(F.lower(raw), *SAME_LETTERS), *self.index(chosen)))
+        out = out.withColumn(pairs, candidates(F.lower(F.translate(raw, *SAME_LETTERS)), *self.index(chosen), self.groups()))
         met_by = F.filter(pairs, lambda n: allowed(of(F.element_at(regexes, n + 1))["channel"]))
         seen = F.when(F.size(met_by) > 0, lane(raw, met_by)).otherwise(empty)
         # one nested expression: optimiser rules that copy a column's definition copy it once, not once for each use inside
