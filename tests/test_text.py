@@ -47,3 +47,13 @@ def test_normalisation_costs_a_few_passes(spark):
         return min(took)
 
     assert seconds(T.normalize(F.col("t"))) < 5 + 5 * seconds(T.strip_invisible(F.col("t")))
+
+
+def test_one_arrow_udf_normalises(spark):
+    """Texts go to Python at most once, and a column made by another Arrow UDF over the normal form can be evaluated."""
+    docs = spark.createDataFrame([(1, "h e l p &amp; l1ke"), (2, None), (3, "plain")], "i int, t string")
+    normal = docs.select("i", T.normalize(F.col("t")).alias("n"))
+    assert normal._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    size = F.pandas_udf(lambda texts: texts.str.len().fillna(-1).astype("int64"), "long")
+    got = {r.i: (r.n, r.size) for r in normal.withColumn("size", size("n")).collect()}
+    assert all(size == (-1 if n is None else len(n)) for n, size in got.values()) and got[1][0].startswith("help & like")
